@@ -236,8 +236,8 @@ def cluster(docs: DataFrame, params: Params | None = None) -> DataFrame:
         .withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
     )
     inside = storage.keep(placed.join(buckets, "key").select("key", "doc_id", "leader", "blocks", F.pmod(F.xxhash64("doc_id", "key"), "blocks").cast("int").alias("block")), "inside")
-    involved = inside.select("doc_id").distinct()
-    sets = storage.keep(full_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), p), "sets")
+    involved = inside.select("doc_id")
+    sets = storage.keep(full_sets(storage.by_ids(docs.select("doc_id", "text"), involved, "doc_id", "left_semi"), p), "sets")
 
     own = inside.select(F.xxhash64("key", "block").alias("task"), "doc_id")
     led = inside.where("blocks > 1").select(F.xxhash64("key", "block").alias("task"), F.col("leader").alias("doc_id")).distinct()
@@ -269,5 +269,5 @@ def cluster(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
 def keep_one(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """The rows of ``docs`` (all columns) that are the smallest id of their group."""
-    gone = cluster(docs, params).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cluster(docs, params).where("not kept").select("doc_id")
+    return storage.by_ids(docs, gone, "doc_id", "left_anti")

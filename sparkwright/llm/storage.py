@@ -85,3 +85,19 @@ def local_path(path: str) -> str | None:
     """The plain path of a file on a mounted folder, or None for a remote store."""
     system, inner = open_fs(path)
     return inner if isinstance(system, pafs.LocalFileSystem) else None
+
+
+#: ids whose set may be sent to every executor: 16 MB of longs, twice that in a hash table
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``df`` joined (``left_semi`` or ``left_anti``) with the one-column table ``ids``.
+
+    The ids are written and counted first.  Up to ``BROADCAST_IDS`` they are
+    broadcast and the rows of ``df`` stay where they are; beyond that both
+    sides are shuffled by the key.  The rows are the same either way.
+    """
+    kept = keep(ids.select(key).where(f"`{key}` is not null").distinct(), "ids")
+    small = kept.count() <= BROADCAST_IDS
+    return df.join(kept.hint("broadcast") if small else kept.hint("merge"), key, how).select(*df.columns)

@@ -272,7 +272,7 @@ def write(docs: DataFrame, folder: str, p: Params, text: str = "text") -> DataFr
                     name = f"part-{context.partitionId():06d}-{context.attemptNumber()}-{uuid.uuid4().hex}.planes"
                     system, root = storage.open_fs(folder)
                     system.create_dir(root, recursive=True)
-                    out = system.open_output_stream(f"{root}/{name}")
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
                     writer, first, total = Writer(out, p), ids[0], 0
                 for doc_id, found in zip(ids, encoder(p.tokenizer, p.special_as_text).encode([x or "" for x in part.to_pylist()]), strict=True):
                     found = np.append(found, np.uint32(p.end_id))
