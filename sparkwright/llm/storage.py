@@ -29,7 +29,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; ``release`` deletes it."""
+    """A new path in the shared folder; ``delete`` removes it."""
     path = f"{shared_root(spark)}/sparkwright/{tag}-{uuid.uuid4().hex}"
     _OPEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
@@ -43,13 +43,9 @@ def delete(spark: SparkSession, path: str) -> None:
         opened.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch path of this application.
-
-    Call it only once the results that read them are written elsewhere.
-    """
-    for path in list(_OPEN.get(spark.sparkContext.applicationId, [])):
-        delete(spark, path)
+def opened(spark: SparkSession) -> list[str]:
+    """The scratch paths of this application that have not been deleted."""
+    return list(_OPEN.get(spark.sparkContext.applicationId, []))
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
