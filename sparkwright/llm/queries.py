@@ -108,8 +108,8 @@ with recursive w as (select doc_id, {_WORDS.format(text=_LOWER)} as ws from docu
 s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
              else list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) end) as sh from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
-c as (select a.doc_id as a, b.doc_id as b, count(*) as both from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
-l as (select c.a, c.b from c join n na on na.doc_id = c.a join n nb on nb.doc_id = c.b where 100 * both >= 75 * (na.n + nb.n - both)),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+l as (select c.a, c.b from c join n na on na.doc_id = c.a join n nb on nb.doc_id = c.b where 100 * shared >= 75 * (na.n + nb.n - shared)),
 r(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from r join l on l.a = r.b),
 m as (select a, min(b) as component_id from r group by a)
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, m.component_id, d.doc_id = m.component_id as kept

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from sparkwright.llm import textops as tx
 
@@ -129,9 +130,7 @@ def measure(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), text: str =
                 yield pa.RecordBatch.from_arrays(arrays, [*columns, *names])
 
     own = docs.select(*columns, docs[text].alias("_text"))
-    schema = own.drop("_text").schema
-    for part in SCHEMA.split(", "):
-        schema = schema.add(part.split()[0], part.split()[1])
+    schema = StructType([*own.schema.fields[:-1], *StructType.fromDDL(SCHEMA).fields])
     return own.mapInArrow(run, schema)
 
 
