@@ -106,7 +106,7 @@ from o
 _OP2 = f"""
 with recursive w as (select doc_id, {_WORDS.format(text=_LOWER)} as ws from documents),
 s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
-             else list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) end) as sh from w),
+             else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
 c as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
 l as (select c.a, c.b from c join n na on na.doc_id = c.a join n nb on nb.doc_id = c.b where 100 * shared >= 75 * (na.n + nb.n - shared)),
@@ -122,14 +122,14 @@ def _covered(n: int, later: bool) -> str:
     which = "rn > 1" if later else "k > 1"
     return f"""select distinct doc_id, i + j as i from (
   select doc_id, i, row_number() over (partition by doc_id, g order by i) as rn, count(*) over (partition by doc_id, g) as k
-  from (select doc_id, unnest(range(1, len(ws) - {n - 2})) as i, unnest(list_transform(range(1, len(ws) - {n - 2}), x -> array_to_string(ws[x:x + {n - 1}], ' '))) as g
+  from (select doc_id, unnest(range(1, len(ws) - {n - 2})) as i, unnest(list_transform(range(1, len(ws) - {n - 2}), lambda x: array_to_string(ws[x:x + {n - 1}], ' '))) as g
         from w where len(ws) >= {n})) t, unnest(range(0, {n})) as u(j) where {which}"""
 
 
 _GRAMS = {5: 0.30, 8: 0.25, 10: 0.20}
 _OP8 = f"""
 with w as (select doc_id, coalesce(text, '') as text, {_WORDS.format(text="coalesce(text, '')")} as ws from documents),
-q as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(list_transform(ws, x -> length(x))) as chars from w),
+q as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(list_transform(ws, lambda x: length(x))) as chars from w),
 t as (select doc_id, count(*) as n_words, sum(chars) as word_chars from q group by doc_id),
 ln as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as k, unnest(string_split(text, chr(10))) as line from w),
 ld as (select doc_id, count(*) as n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) as line_chars
