@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from types import ModuleType
+
+from sparkwright.plans import serp
+
+MODULES: tuple[ModuleType, ...] = (serp,)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for m in MODULES for k, sql in m.ORACLES.items()}
