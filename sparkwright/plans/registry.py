@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from sparkwright.plans import serp
+from sparkwright.plans import probes, serp
 
-MODULES: tuple[ModuleType, ...] = (serp,)
+MODULES: tuple[ModuleType, ...] = (serp, probes)
 
 
 def queries() -> dict:

@@ -41,7 +41,7 @@ BINDINGS = {
   case doc_id % 4 when 0 then 'openai' when 1 then 'perplexity' when 2 then 'gemini' else 'deepseek' end as provider, text as answer_text from {documents}""",
     "prompts": """select distinct cast(doc_id % 3 as bigint) as run_id, doc_id % 30 as prompt_id, (doc_id % 30) < 6 as branded from {documents}""",
     "citations": """select d.doc_id as evidence_id, cast(d.doc_id % 3 as bigint) as run_id, d.doc_id % 30 as prompt_id, p.url as cited_url
-  from {documents} d join {pages} p on p.page_id = d.doc_id % (select count(*) from {pages}) where d.doc_id % 3 <> 0 and d.doc_id % 4 <> 3""",
+  from {documents} d cross join (select count(*) as n_pages from {pages}) c join {pages} p on p.page_id = d.doc_id % c.n_pages where d.doc_id % 3 <> 0 and d.doc_id % 4 <> 3""",
     "progress": """select user_id as run_id, event_id as seq, ts,
   case event_type when 'view' then 'progress' when 'click' then 'evidence_created' when 'signup' then 'phase' when 'purchase' then 'done' else 'failed' end as msg_type,
   cast(floor(value) as bigint) as amount from {events}""",
@@ -60,7 +60,7 @@ BINDINGS = {
   length(html) as initial_chars, length(html) * (1 + page_id % 5) as rendered_chars, page_id % 8 as list_count, 40 * (page_id % 6) as paragraph_words,
   case when page_id % 10 = 0 then '' else concat('h', cast(page_id % 60 as string)) end as content_hash,
   case page_id % 7 when 0 then 'xx' when 1 then 'US' when 2 then 'x-default' else null end as hreflang from {pages}""",
-    "links": """select cast(o_custkey % 4 as bigint) as run_id, o_custkey as source_id, (o_custkey * 7 + o_orderkey) % (select count(*) from {customer}) as target_id from {orders}""",
+    "links": """select cast(o_custkey % 4 as bigint) as run_id, o_custkey as source_id, (o_custkey * 7 + o_orderkey) % n_nodes as target_id from {orders} cross join (select count(*) as n_nodes from {customer}) c""",
     "aio": """select cast(p_partkey % 4 as bigint) as run_id, p_partkey as keyword_id, p_partkey % 3 <> 0 as measured, p_partkey % 5 < 2 as present,
   p_partkey % 10 = 0 as owned, concat('d', cast(p_partkey % 17 as string), '.example') as cited_domain from {part}""",
     "sources": """select s_suppkey as run_id, k.source_key,
