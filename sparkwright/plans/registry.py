@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from sparkwright.plans import probes, serp
+from sparkwright.plans import findings, probes, serp
 
-MODULES: tuple[ModuleType, ...] = (serp, probes)
+MODULES: tuple[ModuleType, ...] = (serp, probes, findings)
 
 
 def queries() -> dict:
