@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from sparkwright.plans import findings, probes, serp
+from sparkwright.plans import findings, log, probes, serp
 
-MODULES: tuple[ModuleType, ...] = (serp, probes, findings)
+MODULES: tuple[ModuleType, ...] = (serp, probes, findings, log)
 
 
 def queries() -> dict:
