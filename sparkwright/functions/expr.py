@@ -199,7 +199,7 @@ def segment_token(segment: Column) -> Column:
     """The template token of one path segment, dates aside."""
     return (
         F.when(segment.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "{uuid}")
-        .when(segment.rlike(r"^\d{4}-\d{2}-\d{2}$"), "{date}")
+        .when(segment.rlike(r"^\d{4}(-\d{2}){1,2}$"), "{date}")
         .when(segment.rlike(r"^(19|20)\d{2}$"), "{date}")
         .when(segment.rlike(r"^\d+$"), "{id}")
         .otherwise(segment)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from sparkwright.plans import findings, log, probes, serp
+from sparkwright.plans import crawl, findings, log, probes, serp
 
-MODULES: tuple[ModuleType, ...] = (serp, probes, findings, log)
+MODULES: tuple[ModuleType, ...] = (serp, probes, findings, log, crawl)
 
 
 def queries() -> dict:
