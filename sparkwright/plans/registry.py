@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from sparkwright.plans import crawl, findings, log, probes, serp
+from sparkwright.plans import crawl, findings, log, probes, rules, serp
 
-MODULES: tuple[ModuleType, ...] = (serp, probes, findings, log, crawl)
+MODULES: tuple[ModuleType, ...] = (serp, probes, findings, log, crawl, rules)
 
 
 def queries() -> dict:

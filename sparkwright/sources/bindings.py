@@ -60,6 +60,9 @@ BINDINGS = {
   length(html) as initial_chars, length(html) * (1 + page_id % 5) as rendered_chars, page_id % 8 as list_count, 40 * (page_id % 6) as paragraph_words,
   case when page_id % 10 = 0 then '' else concat('h', cast(page_id % 60 as string)) end as content_hash,
   case page_id % 7 when 0 then 'xx' when 1 then 'US' when 2 then 'x-default' else null end as hreflang from {pages}""",
+    "json_ld": """select page_id, cast(page_id % 5 as bigint) as run_id, html, page_id % 14 <> 0 as valid, page_id % 9 <> 0 as context_ok, page_id % 4 <> 0 as has_fields,
+  case page_id % 6 when 0 then 'Organization' when 1 then 'FAQPage' when 2 then 'HowTo' when 3 then 'Product' else 'Article' end as type,
+  case when page_id % 3 = 0 then concat('absent ', cast(page_id as string)) else regexp_extract(html, '<h1>([^<]*)</h1>', 1) end as stated from {pages}""",
     "links": """select cast(o_custkey % 4 as bigint) as run_id, o_custkey as source_id, (o_custkey * 7 + o_orderkey) % n_nodes as target_id from {orders} cross join (select count(*) as n_nodes from {customer}) c""",
     "aio": """select cast(p_partkey % 4 as bigint) as run_id, p_partkey as keyword_id, p_partkey % 3 <> 0 as measured, p_partkey % 5 < 2 as present,
   p_partkey % 10 = 0 as owned, concat('d', cast(p_partkey % 17 as string), '.example') as cited_domain from {part}""",
