@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> n
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "label", "text")  # max_train rows
     rows = sample.mapInArrow(extract, "rank long, label int, idx array<int>, val array<float>")
     model = rows.repartition(1).sortWithinPartitions("rank").mapInArrow(learn, "w binary").collect()
-    return np.frombuffer(model[0]["w"], "<f4").astype(np.float64)
+    # the optimiser may drop the whole job where it knows that there are no rows
+    return np.frombuffer(model[0]["w"], "<f4").astype(np.float64) if model else np.zeros((1 << p.bits) + 1)
 
 
 def score(docs: DataFrame, w: np.ndarray, params: Params | None = None) -> DataFrame:
