@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from sparkwright.plans import crawl, findings, log, probes, rules, serp
+from sparkwright.plans import crawl, findings, log, probes, rules, serp, streams
 
-MODULES: tuple[ModuleType, ...] = (serp, probes, findings, log, crawl, rules)
+MODULES: tuple[ModuleType, ...] = (serp, probes, findings, log, crawl, rules, streams)
 
 
 def queries() -> dict:

@@ -310,7 +310,7 @@ def test_mix_targets():
 
 def test_mix(spark):
     rng = random.Random(2)
-    rows = [(i, " ".join(["w"] * rng.randint(0, 300)), s) for i, s in enumerate(["b", "a", None, "c"] * 120)] + [(900, None, "a"), (901, "tiny", "d"), (None, "x y", "a"), (5, "w", "b")]
+    rows = [(i, " ".join(["w"] * rng.randint(0, 300)), s) for i, s in enumerate(["b", "a", None, "c"] * 120)] + [(900, None, "a"), (901, "tiny", "d"), (None, "x y", "a"), (4, "w", "b")]
     df = spark.createDataFrame([(*r, 7, 7) for r in rows], "doc_id long, text string, source string, size long, taken long")
     got = source_mix.mix(df).collect()
     assert len(got) == len(rows)
