@@ -254,7 +254,7 @@ def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [hits_of(r, b) for r in RULES])
 
 
-def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as finding rows: identity, confidence and impact."""
     x = all_hits(spark, sf_dir)
     confidence = E.lookup(F.col("claim"), {"measured_hard": "high", "measured_sample": "medium"}, "low")
@@ -263,16 +263,16 @@ def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.concat(lit("fnd_"), F.substring(key, 1, 16)).alias("finding_id"), "run_id", "rule_id", "pillar", "severity", "claim", confidence.alias("confidence"), impact.alias("impact"), "fingerprint")
 
 
-def recommendation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recommendation for each finding: its quadrant by impact and effort, and when to validate."""
-    x = finding_rows(spark, sf_dir)
+    x = findings(spark, sf_dir)
     effort = E.lookup(F.col("pillar"), {"P1": "low", "P2": "low", "P3": "medium"}, "high")
     high = F.col("impact") == "high"
     quadrant = F.when(high & (effort == "low"), "quick_win").when(high, "strategic").when(effort == "low", "fill_in").otherwise("low")
     return x.groupBy("run_id", "pillar", effort.alias("effort"), quadrant.alias("quadrant")).agg(F.count("*").alias("n"))
 
 
-QUERIES = (*[_query(r) for r in RULES], all_hits, finding_rows, recommendation_rows)
+QUERIES = (*[_query(r) for r in RULES], all_hits, findings, recommendations)
 
 _T = crawl_plans._T
 _ROW = "select run_id, '{scope}' as scope, {severity} as severity, '{claim}' as claim, cast({affected} as bigint) as affected, cast({measure} as double) as measure from ({sql})"
@@ -344,5 +344,5 @@ _ALL = " union all ".join(f"select * from ({ORACLES[f'rule_{r.rule_id.lower()}']
 _IMPACT = "case when severity = 'high' or (severity = 'mid' and affected >= 5) then 'high' when severity = 'mid' then 'medium' else 'low' end"
 _EFFORT = "case when pillar in ('P1', 'P2') then 'low' when pillar = 'P3' then 'medium' else 'high' end"
 ORACLES["all_hits"] = _ALL
-ORACLES["finding_rows"] = f"select 'fnd_' || sha256(run_id || '|' || rule_id || '|' || scope || '|' || severity)[1:16] as finding_id, run_id, rule_id, pillar, severity, claim, case claim when 'measured_hard' then 'high' when 'measured_sample' then 'medium' else 'low' end as confidence, {_IMPACT} as impact, fingerprint from ({_ALL})"
-ORACLES["recommendation_rows"] = f"select run_id, pillar, effort, case when impact = 'high' and effort = 'low' then 'quick_win' when impact = 'high' then 'strategic' when effort = 'low' then 'fill_in' else 'low' end as quadrant, count(*) as n from (select *, {_IMPACT} as impact, {_EFFORT} as effort from ({_ALL})) group by all"
+ORACLES["findings"] = f"select 'fnd_' || sha256(run_id || '|' || rule_id || '|' || scope || '|' || severity)[1:16] as finding_id, run_id, rule_id, pillar, severity, claim, case claim when 'measured_hard' then 'high' when 'measured_sample' then 'medium' else 'low' end as confidence, {_IMPACT} as impact, fingerprint from ({_ALL})"
+ORACLES["recommendations"] = f"select run_id, pillar, effort, case when impact = 'high' and effort = 'low' then 'quick_win' when impact = 'high' then 'strategic' when effort = 'low' then 'fill_in' else 'low' end as quadrant, count(*) as n from (select *, {_IMPACT} as impact, {_EFFORT} as effort from ({_ALL})) group by all"

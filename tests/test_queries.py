@@ -8,7 +8,7 @@ from sparkwright.plans import registry
 from tests.helpers import connect, same
 
 #: unions of queries that are each compared already
-SLOW = {"all_hits", "finding_rows", "recommendation_rows"}
+SLOW = {"all_hits", "findings", "recommendations"}
 
 
 @pytest.fixture(scope="module")
