@@ -23,8 +23,8 @@ def render_prompts(projects: DataFrame, prompts: tuple[tuple[str, str], ...] = P
 
     A missing rival becomes "other vendors".
     """
-    table = projects.sparkSession.createDataFrame([(i, k, t) for i, (k, t) in enumerate(prompts)], "priority int, kind string, template string")
-    x = projects.crossJoin(F.broadcast(table))  # the table's size is the parameter's
+    rows = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(k).alias("kind"), F.lit(t).alias("template")) for i, (k, t) in enumerate(prompts)])
+    x = projects.withColumn("_p", F.explode(rows)).select("*", "_p.*")
     text = F.col("template")
     for name, value in (("brand", F.col("brand")), ("category", F.col("category")), ("rival", F.coalesce("rival", F.lit("other vendors"))), ("market", F.col("market"))):
         text = F.replace(text, F.lit("{" + name + "}"), value)

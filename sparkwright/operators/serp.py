@@ -34,7 +34,7 @@ def competitor_candidates(serp: DataFrame, own: str, top: int = 10, excluded: Se
     # first keywords only for the few candidates that remain
     first = Window.partitionBy("run_id", "domain").orderBy("keyword_id")
     keywords = (
-        per_keyword.join(F.broadcast(scored.select("run_id", "domain")), ["run_id", "domain"]).withColumn("k", F.row_number().over(first))
+        per_keyword.join(scored.select("run_id", "domain"), ["run_id", "domain"]).withColumn("k", F.row_number().over(first))
         .where(F.col("k") <= shared).groupBy("run_id", "domain").agg(F.sort_array(F.collect_list("keyword_id")).alias("top_keywords"))
     )
     joined = scored.join(keywords, ["run_id", "domain"])
@@ -95,10 +95,10 @@ def top_gaps(gaps: DataFrame, kind: Sequence[str], top: int = 20) -> DataFrame:
 def share_of_serp(serp: DataFrame, own: str, competitors: Sequence[str], top: int = 10) -> DataFrame:
     """Items among the first ``top`` by wanted domain: counts of items, not of keywords; absent domains count 0."""
     named = serp.withColumn("domain", E.norm_domain(F.col("domain")))
-    runs = named.select("run_id").distinct()
     dim = domain_dim(serp, [own, *competitors])
+    every = named.select("run_id").distinct().select("run_id", F.explode(F.array(*map(F.lit, [own, *competitors]))).alias("domain"))
     counts = named.where((F.col("item_rank") > 0) & (F.col("item_rank") <= top)).join(F.broadcast(dim), "domain").groupBy("run_id", "domain").agg(F.count("*").alias("items"))
-    return runs.crossJoin(F.broadcast(dim)).join(counts, ["run_id", "domain"], "left").select("run_id", "domain", F.coalesce("items", F.lit(0)).alias("items"), (F.col("domain") == own).alias("own"))
+    return every.join(counts, ["run_id", "domain"], "left").select("run_id", "domain", F.coalesce("items", F.lit(0)).alias("items"), (F.col("domain") == own).alias("own"))
 
 
 def seed_keywords(metrics: DataFrame, prompts: DataFrame, brand: str, limit: int = 100) -> DataFrame:

@@ -46,3 +46,43 @@ def report_markdown(health: DataFrame, top: DataFrame, constraint: DataFrame, ru
     lines += [f"Main constraint: {c.kind if c else 'unknown'}", "", "## Findings that matter most", ""]
     lines += [f"{r.place}. {r.finding_id} ({r.severity}, {r.pillar})" for r in top.where(F.col("run_id") == run_id).orderBy("place").limit(3).collect()]
     return "\n".join(lines) + "\n"
+
+
+def release(frames: dict[str, DataFrame], path: str) -> None:
+    """Write several tables so that all appear at once or none: staged beside ``path``, then renamed.
+
+    ``path`` must not exist.  A failed write leaves only the staging folder,
+    which the next attempt replaces.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    staging = f"{path.rstrip('/')}.staging"
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{staging}/{name}")
+    j = spark._jvm.org.apache.hadoop.fs.Path
+    system = j(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(j(path)) or not system.rename(j(staging), j(path)):
+        raise FileExistsError(path)
+
+
+def affected_pages(why: str, pages: list[str], limit: int = 10) -> str:
+    """A text with a section that lists pages; ``split_affected`` takes it apart again."""
+    if not pages:
+        return why
+    more = [f"- and {len(pages) - limit} more"] if len(pages) > limit else []
+    return "\n".join([why, "", "Affected pages:", *(f"- {p}" for p in pages[:limit]), *more])
+
+
+def split_affected(text: str) -> tuple[str, list[str]]:
+    why, mark, rest = text.partition("\n\nAffected pages:\n")
+    return (why, [x.removeprefix("- ") for x in rest.split("\n") if not x.startswith("- and ")]) if mark else (text, [])
+
+
+def actions_markdown(recs: DataFrame, run_id: int) -> str:
+    """The gated recommendations of a run by quadrant and place.  A run's gated recommendations are a person's reading list; they are collected."""
+    rows = recs.where(F.col("run_id") == run_id).orderBy("quadrant", "place").collect()
+    lines = [f"# Actions for run {run_id}", ""]
+    for quadrant in ("quick_win", "strategic", "fill_in", "low"):
+        mine = [r for r in rows if r.quadrant == quadrant]
+        if mine:
+            lines += [f"## {quadrant}", "", *(f"{i}. {r.finding_id}/{r.rec_no}" for i, r in enumerate(mine, 1)), ""]
+    return "\n".join(lines)

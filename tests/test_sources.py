@@ -79,3 +79,28 @@ def test_stream_state_goes_on_over_batches(spark, tmp_path):
     out = G.once(G.run_states(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint", "update")
     last = out.orderBy(F.desc("messages")).first()
     assert (last.state, last.messages, last.evidence, last.phases, last.last_progress) == ("done", 4, 1, 1, 1)
+
+
+def test_release_is_all_or_nothing(spark, tmp_path):
+    a = spark.range(3)
+    sinks.release({"x": a, "y": a.limit(1)}, f"file://{tmp_path}/v2")
+    assert spark.read.parquet(f"file://{tmp_path}/v2/x").count() == 3 and spark.read.parquet(f"file://{tmp_path}/v2/y").count() == 1
+    broken = a.select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.release({"x": a, "y": broken}, f"file://{tmp_path}/v3")
+    assert not (tmp_path / "v3").exists()
+    with pytest.raises(FileExistsError):
+        sinks.release({"x": a}, f"file://{tmp_path}/v2")
+
+
+def test_affected_pages_round_trip():
+    pages = [f"http://a/{i}" for i in range(12)]
+    assert sinks.split_affected(sinks.affected_pages("why", pages[:3])) == ("why", pages[:3])
+    assert sinks.split_affected(sinks.affected_pages("why", pages)) == ("why", pages[:10])
+    assert sinks.affected_pages("why", []) == "why" and sinks.split_affected("why") == ("why", [])
+
+
+def test_actions(spark):
+    recs = spark.createDataFrame([(1, "low", 1, 5, 1), (1, "quick_win", 2, 6, 1), (1, "quick_win", 1, 7, 2), (2, "low", 1, 8, 1)], "run_id long, quadrant string, place int, finding_id long, rec_no long")
+    text = sinks.actions_markdown(recs, 1)
+    assert text.index("7/2") < text.index("6/1") < text.index("5/1") and "8/1" not in text
