@@ -93,6 +93,12 @@ def light_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", "title", "n_h1", "h1", "description", "canonical", "viewport", "images", "missing_alt", "lists", "tables", F.round("mean_paragraph_words", 4).alias("mean_paragraph_words"), F.size("links").alias("n_links"), "text_chars")
 
 
+def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser's signals that regular markup also gives to pattern matching."""
+    x = page_features(Bound(spark, sf_dir).pages)
+    return x.select("page_id", "title", "n_h1", "lists", "tables", "images", "viewport", F.size("links").alias("n_links"), F.size("hreflangs").alias("n_hreflangs"), F.size("json_ld").alias("n_json_ld"))
+
+
 def pages_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Bound(spark, sf_dir).pages.where("http_status >= 400").select("run_id", "page_id", "http_status")
 
@@ -138,7 +144,7 @@ def render_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     url_normalize, url_template, url_templates, template_representative, page_links, internal_link_counts, inbound_links, site_audit_stats, audit_diff, audit_template_diff, site_citations, duplicate_content, crawl_bfs,
-    page_facts, light_check, pages_by_status, site_panel, cluster_inbound, language_paths, robots_check, sitemap_locations, render_dependency,
+    page_facts, light_check, page_signals, pages_by_status, site_panel, cluster_inbound, language_paths, robots_check, sitemap_locations, render_dependency,
 )
 
 _PG = ctes("pages")
@@ -180,6 +186,7 @@ l1 as (select distinct l0.run_id, nxt as page, 1 as depth from l0 join e using (
 s as (select run_id, page, min(depth) as depth from (select * from l0 union all select * from l1 union all select * from l2 union all select * from l3) group by all)
 select run_id, page, depth, cast(row_number() over (partition by run_id order by depth, page) as integer) as place from s qualify place <= 200""",
     "page_facts": _PG + "select page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) as title, cast(length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) as integer) as text_chars from b_pages",
+    "page_signals": _PG + "select page_id, nullif(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '') as title, " + ", ".join(f"cast(len(regexp_extract_all(html, '{p}')) as integer) as {n}" for n, p in (("n_h1", "<h1[ >]"), ("lists", "<(ul|ol)[ >]"), ("tables", "<table[ >]"), ("images", "<img[ >]"), ("n_links", "<a [^>]*href="), ("n_hreflangs", "hreflang="), ("n_json_ld", "application/ld.json"))) + ", html like '%name=\"viewport\"%' as viewport from b_pages",
     "pages_by_status": _PG + "select run_id, page_id, http_status from b_pages where http_status >= 400",
     "site_panel": _PG + _T + " select page_id, pattern, count(*) over (partition by run_id, pattern) as siblings, rendered_chars - initial_chars as render_delta from t",
     "cluster_inbound": _PG + _T + " select run_id, pattern, count(*) as pages, round(avg(inbound), 6) as mean_inbound, max(inbound) as max_inbound from t group by all",
