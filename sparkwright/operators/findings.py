@@ -27,7 +27,8 @@ def health(findings: DataFrame, affected_ratio: Column | None = None) -> DataFra
     ratio = F.lit(1.0) if affected_ratio is None else affected_ratio
     weight = E.lookup(F.col("severity"), E.SEVERITY_WEIGHT, 0.0) * ratio
     sums = active(findings).groupBy("run_id").agg(*[F.sum(F.when(F.col("pillar") == p, weight)).alias(p) for p in PILLARS])
-    score = lambda p: E.js_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - F.col(p) / E.HEALTH_BUDGET))), 1)
+    # greatest and least skip nulls, so a pillar without findings is kept null by hand
+    score = lambda p: F.when(F.col(p).isNotNull(), E.js_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - F.col(p) / E.HEALTH_BUDGET))), 1))
     scored = sums.select("run_id", *[score(p).alias(p) for p in PILLARS])
     total = sum((F.coalesce(F.col(p) * w, F.lit(0.0)) for p, w in E.PILLAR_WEIGHT.items()), F.lit(0.0))
     weights = sum((F.when(F.col(p).isNotNull(), w).otherwise(0.0) for p, w in E.PILLAR_WEIGHT.items()), F.lit(0.0))

@@ -52,7 +52,7 @@ def opportunity(volume: Column, intent: Column, difficulty: Column) -> Column:
     """0 to 100: log volume (0 if missing) x intent weight x reachability (0.5 if missing)."""
     v = F.when(volume > 0, F.least(F.lit(1.0), F.log10(volume.cast("double") + 1) / F.log10(F.lit(100001.0)))).otherwise(0.0)
     i = E.lookup(F.lower(intent), {"transactional": 1.0, "commercial": 0.9, "informational": 0.5, "navigational": 0.3}, 0.5)
-    d = F.coalesce((100 - F.least(F.lit(100.0), F.greatest(F.lit(0.0), difficulty.cast("double")))) / 100, F.lit(0.5))
+    d = F.when(difficulty.isNull(), 0.5).otherwise((100 - F.least(F.lit(100.0), F.greatest(F.lit(0.0), difficulty.cast("double")))) / 100)
     return E.js_round(v * i * d * 100).cast("long")
 
 

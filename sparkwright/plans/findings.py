@@ -281,7 +281,7 @@ _FRESH = f"select artifact_key, cast(date_diff('day', verified_on, date '{TODAY}
 _REFS = ", refs as (select run_id, finding_id, case when finding_id % 13 = 0 then [] when finding_id % 5 = 0 then [finding_id, finding_id * 2] else [finding_id, finding_id * 2, finding_id * 3] end as refs from b_findings)"
 _Q = "case when priority in ('quick_win', 'strategic', 'fill_in', 'low') then priority else 'fill_in' end"
 _QR = "case {p} when 'quick_win' then 0 when 'strategic' then 1 when 'fill_in' then 2 when 'low' then 3 else {e} end"
-_PIL = ", ".join(f"floor(greatest(0::double, least(100::double, 100 * (1 - sum({_W}) filter (pillar = '{p}') / 12))) * 10 + 0.5) / 10 as {p}" for p in O.PILLARS)
+_PIL = ", ".join(f"case when count(*) filter (pillar = '{p}') > 0 then floor(greatest(0::double, least(100::double, 100 * (1 - sum({_W}) filter (pillar = '{p}') / 12))) * 10 + 0.5) / 10 end as {p}" for p in O.PILLARS)
 _TOT = " + ".join(f"coalesce({p} * {w}::double, 0)" for p, w in E.PILLAR_WEIGHT.items())
 _WS = " + ".join(f"case when {p} is null then 0::double else {w}::double end" for p, w in E.PILLAR_WEIGHT.items())
 ORACLES = {

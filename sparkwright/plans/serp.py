@@ -13,7 +13,7 @@ RIVALS = ", ".join(f"'{d}'" for d in COMPETITORS)
 ROUND = "floor(({x}) * {k}::double + 0.5) / {k}::double"
 SCORE = """cast(floor(case when search_volume > 0 then least(1.0::double, log10(search_volume::double + 1) / log10(100001::double)) else 0::double end
   * case lower(intent) when 'transactional' then 1.0::double when 'commercial' then 0.9::double when 'informational' then 0.5::double when 'navigational' then 0.3::double else 0.5::double end
-  * coalesce((100 - least(100::double, greatest(0::double, difficulty::double))) / 100, 0.5::double) * 100 + 0.5) as bigint)"""
+  * case when difficulty is null then 0.5::double else (100 - least(100::double, greatest(0::double, difficulty::double))) / 100 end * 100 + 0.5) as bigint)"""
 GAPS = f"""best as (select run_id, keyword_id, keyword, domain, min(item_rank) as r from b_serp where domain in ('{OWN}', {RIVALS}) and item_rank > 0 group by all),
 per as (select run_id, keyword_id, keyword, min(case when domain = '{OWN}' then r end) as our_position, count(*) filter (domain <> '{OWN}' and r <= 10) as rivals,
   min(case when domain <> '{OWN}' and r <= 10 then r end) as best_rival from best group by all),
