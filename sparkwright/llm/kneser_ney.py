@@ -43,7 +43,7 @@ _PAIR = tx.constants(2, 82)
 class Params:
     shard_bytes: int = 32 << 20  # text whose bigrams meet in one task
     chunk_tokens: int = 3 << 20  # tokens counted at once in a task
-    slice_bytes: int = 4 << 20
+    slice_bytes: int = 2 << 20
 
 
 @dataclass
