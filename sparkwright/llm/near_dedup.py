@@ -42,7 +42,7 @@ class Params:
     percent: int = 75
     bands: int = 32
     rows: int = 4
-    block: int = 2048
+    block: int = 512
 
     @property
     def slots(self) -> int:
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in tx.slices(batch.column(1), 1 << 20):
+            for at, part in tx.slices(batch.column(1)):
                 n = len(part)
                 s, doc, bounds = tx.shingles(tx.words(part, lower=True), p.words)
                 sig = super_minhash(s, doc, n, p.slots)
