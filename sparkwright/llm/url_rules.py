@@ -115,8 +115,11 @@ def judge(pages: DataFrame, params: Params) -> DataFrame:
     # the few tokens that rules speak of: bounded by the support, as the rules are
     vocabulary = sorted(r[0] for r in rules.select(F.explode("antecedent")).distinct().collect())
     known = F.array_sort(F.array_intersect("tokens", F.array(*map(F.lit, vocabulary)).cast("array<string>")))
-    keyed = rows.withColumn("key", F.when(F.col("label").isNull(), known))
-    combos = keyed.where("label is null and size(key) > 0").select("key").distinct()
+    # rows that no mined rule can decide get keys of their own that match nothing, so that they do not meet in one task
+    apart = F.array(F.concat(F.lit("\u0000"), F.xxhash64("page_id", "host", "path").cast("string")))
+    open_ = F.col("label").isNull() & (F.size(known) > 0)
+    keyed = rows.withColumns({"key": F.when(open_, known).otherwise(apart), "open": open_})
+    combos = keyed.where("open").select("key").distinct()
     index = rules.withColumnRenamed("label", "mined")
     posted = combos.select("key", F.explode("key").alias("rarest")).join(index, "rarest").where(F.size(F.array_except("antecedent", "key")) == 0)
     order = F.struct("confidence", "support", "mined", F.concat_ws(" ", "antecedent"))
