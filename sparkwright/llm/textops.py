@@ -8,6 +8,7 @@ places as its code points do.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,6 +54,15 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
+def _trim() -> None:
+    """Give freed memory back, as a worker process serves many tasks beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Runs of rows with about ``max_bytes`` of text each (one row at least)."""
     if isinstance(column, pa.ChunkedArray):
@@ -67,6 +77,7 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int
         end = min(n, max(at + 1, end))
         yield at, column.slice(at, end - at)
         at = end
+    _trim()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,19 +44,38 @@ class Params:
     special_as_text: bool = True
 
 
+# white space by the tokenizer's rule: these bytes, and the sequences in ``_spaces``
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+
+
+def _spaces(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space of any script."""
+    out = _SPACE[data]
+    if len(data) > 1:
+        two = (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+        out[:-1] |= two
+        out[1:] |= two
+    if len(data) > 2:
+        x, y, z = data[:-2], data[1:-1], data[2:]
+        general = (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+        three = general | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE2) & (y == 0x81) & (z == 0x9F)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+        for i in range(3):
+            out[i : len(data) - 2 + i] |= three
+    return out
+
+
 class PieceEncoder:
     """Byte-level BPE through the tokenizers library, with each piece of text encoded once.
 
     A single space between two characters other than white space always
-    begins a new pre-token, so text cut there encodes piece by piece.  New
-    pieces are encoded together and told apart by the tokens that start with
-    a space.  A text with a space beside other white space, which shows in a
-    piece that is empty or has white space at an end, goes to the library
-    whole.  The memory of pieces is emptied when it is full.
+    begins a new pre-token, so texts are cut there, and only there, and each
+    piece encodes by itself.  Pieces are known by 64-bit hashes of their bytes;
+    new ones are encoded together and told apart by the tokens that start with
+    a space, or one by one where that doesn't work.  The memory of pieces is
+    emptied when it is full.
     """
 
-    ODD, NEW = -1, -2
-
     def __init__(self, path: str, special_as_text: bool, limit: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -71,7 +89,8 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.code: dict[str, int] = {}
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.known, self.fresh = none, none  # sorted hashes and their places; fresh ones join the others now and then
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 14, np.int64)
         self.n = 0
@@ -79,63 +98,82 @@ class PieceEncoder:
     def _whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _put(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         end = self.bounds[self.n]
         while end + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(keys) + 1 > len(self.bounds):
+        while self.n + len(lengths) + 1 > len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
         self.ids[end : end + len(ids)] = ids
-        self.bounds[self.n + 1 : self.n + 1 + len(keys)] = end + np.cumsum(lengths)
-        self.code.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
-        self.n += len(keys)
-
-    def _learn(self, missing: list[str]) -> None:
-        odd = {x for x in missing if not x or x[0].isspace() or x[-1].isspace()}
-        self.code.update(dict.fromkeys(odd, self.ODD))
-        missing = [x for x in missing if x not in odd]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            ids = np.array(self._whole(" " + " ".join(part)), np.uint32)
-            first = np.flatnonzero(self.starts[ids])
-            if len(first) == len(part):
-                self._put(part, ids, np.diff(np.append(first, len(ids))))
+        self.bounds[self.n + 1 : self.n + 1 + len(lengths)] = end + np.cumsum(lengths)
+        self.n += len(lengths)
+
+    def _learn(self, pieces: list[str], hashes: np.ndarray) -> None:
+        simple = np.array([x[0] == " " and len(x) > 1 and " " not in x[1:] and not x[1].isspace() and not x[-1].isspace() for x in pieces])
+        first = self.n
+        for i in range(0, len(together := np.flatnonzero(simple).tolist()), 4096):
+            part = [pieces[k] for k in together[i : i + 4096]]
+            ids = np.array(self._whole("".join(part)), np.uint32)
+            begin = np.flatnonzero(self.starts[ids])
+            if len(begin) == len(part):
+                self._put(ids, np.diff(np.append(begin, len(ids))))
             else:
-                own = [self._whole(" " + x) for x in part]
-                self._put(part, np.array([x for y in own for x in y], np.uint32), np.array([len(x) for x in own]))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+                self._each(part)
+        self._each([pieces[k] for k in np.flatnonzero(~simple).tolist()])
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        self.fresh = self._joined(self.fresh, (hashes[order], first + np.arange(len(order))))
+        if len(self.fresh[0]) > 1 << 15:
+            self.known = self._joined(self.known, self.fresh)
+            self.fresh = (self.fresh[0][:0], self.fresh[1][:0])
+
+    def _each(self, pieces: list[str]) -> None:
+        own = [self._whole(x) for x in pieces]
+        self._put(np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64))
+
+    @staticmethod
+    def _joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        h, at = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(h)
+        return h[order], at[order]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of sorted hashes, -1 where new."""
+        out = np.full(len(hashes), -1, np.int64)
+        for have, at in (self.known, self.fresh):
+            if len(have):
+                i = np.minimum(np.searchsorted(have, hashes), len(have) - 1)
+                hit = have[i] == hashes
+                out[hit] = at[i[hit]]
+        return out
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         if self.n > self.limit:
             self._reset()
-        heads: list[str] = []
-        pieces: list[str] = []
-        counts = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            head, *rest = text.split(" ")
-            heads.append(head)
-            counts[i + 1] = len(rest)
-            pieces += rest
-        codes = np.fromiter(map(self.code.get, pieces, repeat(self.NEW)), np.int64, len(pieces))
-        new = np.flatnonzero(codes == self.NEW)
+        data, offsets = tx.raw(column)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        space = _spaces(data)
+        cut = np.zeros(len(data), bool)
+        if len(data) > 2:
+            cut[1:-1] = (data[1:-1] == 0x20) & ~space[:-2] & ~space[2:] & ~edge[1:-2] & ~edge[2:-1]
+        start = np.flatnonzero(cut | edge[:-1])
+        end = np.append(start[1:], len(data)) if len(start) else start
+        first = np.searchsorted(start, offsets)
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        hashes, at, place = np.unique(tx.word_hashes(tx.Words(data, offsets, start, end, doc, first)), return_index=True, return_inverse=True)
+        codes = self._find(hashes)
+        new = np.flatnonzero(codes < 0)
         if len(new):
-            own = [pieces[i] for i in new.tolist()]
-            self._learn(list(dict.fromkeys(own)))
-            codes[new] = np.fromiter(map(self.code.__getitem__, own), np.int64, len(own))
-        cut = np.cumsum(counts)
-        odd = tx.sums(codes == self.ODD, cut) > 0
-        codes[codes == self.ODD] = 0  # not used
+            raw = data.tobytes()
+            self._learn([raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)], hashes[new])
+            codes = self._find(hashes)
+        codes = codes[place]
         lengths = self.bounds[codes + 1] - self.bounds[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(self.bounds[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
-        cut = ends[cut]
-        whole = {}
-        for i, head in enumerate(heads):
-            if odd[i] or head[-1:].isspace():
-                whole[i] = np.array(self._whole(texts[i]), np.uint32)
-            elif head:
-                whole[i] = np.concatenate([np.array(self._whole(head), np.uint32), ids[cut[i] : cut[i + 1]]])
-        return [whole[i] if i in whole else ids[cut[i] : cut[i + 1]] for i in range(len(texts))]
+        bounds = ends[first]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -274,7 +312,7 @@ def write(docs: DataFrame, folder: str, p: Params, text: str = "text") -> DataFr
                     system.create_dir(root, recursive=True)
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
                     writer, first, total = Writer(out, p), ids[0], 0
-                for doc_id, found in zip(ids, encoder(p.tokenizer, p.special_as_text).encode([x or "" for x in part.to_pylist()]), strict=True):
+                for doc_id, found in zip(ids, encoder(p.tokenizer, p.special_as_text).encode(part), strict=True):
                     found = np.append(found, np.uint32(p.end_id))
                     writer.add(doc_id, found)
                     total += len(found)

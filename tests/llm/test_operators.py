@@ -442,10 +442,10 @@ def tokenizer():
 
 
 def test_pieces(tokenizer, corpus):
-    texts = [t or "" for t in corpus] + ["a", " a", "a ", "  a b", "x\n y", "x \n", "it's we're\tfine\n\nok", "<|endoftext|> hi <|endoftext|>", "a b  c", "日本 語 12 345,6", " ", "\n", "a b", "x\u2003 y"]
+    texts = [t or "" for t in corpus] + ["a", " a", "a ", "  a b", "x\n y", "x \n", "it's we're\tfine\n\nok", "<|endoftext|> hi <|endoftext|>", "a b  c", "日本 語 12 345,6", " ", "\n", "a b", "x\u2003 y", "x \u2003y", "a\u00a0 b", "é à", "\u3000 x", "x \u3000", "x\u0085 y"]
     encoder = token_planes.PieceEncoder(tokenizer_path(), True, limit=50)
     for _ in range(2):  # from memory too, and after it was emptied
-        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        for text, ids in zip(texts, encoder.encode(pa.array(texts, pa.string())), strict=True):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:60]
 
 
