@@ -42,7 +42,7 @@ def competitor_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed domains and those among the first three results, each once a run."""
     serp = Bound(spark, sf_dir).serp
     runs = serp.select("run_id").distinct().select("run_id", F.explode(F.array(*map(F.lit, COMPETITORS))).alias("domain"))
-    return runs.union(serp.where("item_rank <= 3 and keyword_id % 25 = 0").select("run_id", "domain")).distinct()
+    return runs.union(serp.where("item_rank <= 3").select("run_id", "domain")).distinct()
 
 
 def platform_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
