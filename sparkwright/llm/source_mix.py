@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm import storage
@@ -105,6 +105,10 @@ def _diffuse(size: np.ndarray, rate: np.ndarray, cap: int) -> np.ndarray:
     return out
 
 
+def _sized(docs: DataFrame, text: str = "text", id_column: str = "doc_id", source: str = "source", *more: Column) -> DataFrame:
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more)
+
+
 def mix(docs: DataFrame, params: Params | None = None, text: str = "text", id_column: str = "doc_id", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and rate of each row of ``docs``.
 
@@ -114,9 +118,12 @@ def mix(docs: DataFrame, params: Params | None = None, text: str = "text", id_co
     rows of their own; a null id is allowed; other columns are ignored; an
     empty table gives an empty one.  Equal tables give equal mixes.
     """
-    p = params or Params()
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return _mixed(_sized(docs, text, id_column, source), params or Params())
+
+
+def _mixed(rows: DataFrame, p: Params, tie: Sequence[str] = ()) -> DataFrame:
+    """The mix of ``rows (doc_id, source, size)``; the long columns ``tie`` order equal ids and sizes, and are returned too."""
+    spark = rows.sparkSession
     raw = storage.keep(rows, "sizes")
     per = raw.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     found = [r.asDict() for r in per.limit(p.max_sources + 1).collect()]
@@ -135,7 +142,7 @@ def mix(docs: DataFrame, params: Params | None = None, text: str = "text", id_co
     dim = spark.createDataFrame([line(t) for t in found], schema).withColumnRenamed("source", "_s")
     tilt = F.when(F.col("lam") == float("inf"), float(p.cap)).when(F.col("lam") == float("-inf"), 0.0).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0))), F.lit(float(p.cap))))
     rated = raw.join(F.broadcast(dim), F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "size", "source_size", "target", tilt.alias("rate"), "code", F.pmod(F.xxhash64("doc_id", "size"), F.col("groups")).cast("long").alias("part")
+        "doc_id", "size", "source_size", "target", tilt.alias("rate"), "code", F.pmod(F.xxhash64("doc_id", "size"), F.col("groups")).cast("long").alias("part"), *tie
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +163,26 @@ def mix(docs: DataFrame, params: Params | None = None, text: str = "text", id_co
         size, rate = group.column("size").to_numpy(), group.column("rate").to_numpy()
         copies = _diffuse(size, rate, p.cap)
         out = group.select(["doc_id", "size", "source_size", "target"]).append_column("taken", pa.array(copies * size)).append_column("copies", pa.array(copies)).append_column("rate", group.column("rate"))
+        for x in tie:
+            out = out.append_column(x, group.column(x))
         return out.combine_chunks().to_batches()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = rated.repartition(parts, "code", "part").sortWithinPartitions("code", "part", F.desc("size"), "doc_id")
-    return grouped.mapInArrow(run, "doc_id long, size long, source_size long, target double, taken long, copies long, rate double")
+    grouped = rated.repartition(parts, "code", "part").sortWithinPartitions("code", "part", F.desc("size"), "doc_id", *tie)
+    return grouped.mapInArrow(run, ", ".join(["doc_id long, size long, source_size long, target double, taken long, copies long, rate double", *(f"{x} long" for x in tie)]))
 
 
 def resample(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """The rows of ``docs`` (all columns), each as often as the mix takes its id.
+    """The rows of ``docs`` (all columns), each as often as the mix takes it.
 
-    Ids are expected to be unique; of repeated ids the first mix row counts.
+    A row is known by a key of its own, written with the rows before the mix,
+    so that null and repeated ids get exactly their own copies.  Rows that are
+    equal but for the key are interchangeable.
     """
-    copies = storage.keep(mix(docs, params).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")), "copies")
+    keyed = storage.with_row_key(docs)
+    tie = [F.xxhash64(*docs.columns).alias("content"), F.col(storage.ROW_KEY).alias("row")]
+    mixed = _mixed(_sized(keyed, "text", "doc_id", "source", *tie), params or Params(), ("content", "row"))
+    copies = storage.keep(mixed.where("copies > 0").select(F.col("row").alias(storage.ROW_KEY), F.col("copies").cast("int").alias("_copies")), "copies")
     small = copies.count() <= storage.BROADCAST_IDS
-    joined = docs.join(copies.hint("broadcast") if small else copies.hint("merge"), F.col("doc_id") == F.col("_id"))
+    joined = keyed.join(copies.hint("broadcast") if small else copies.hint("merge"), storage.ROW_KEY)
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

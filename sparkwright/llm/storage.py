@@ -15,6 +15,7 @@ import uuid
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OPEN: dict[str, list[str]] = {}
 
@@ -83,6 +84,15 @@ def local_path(path: str) -> str | None:
     return inner if isinstance(system, pafs.LocalFileSystem) else None
 
 
+#: the column that ``with_row_key`` adds
+ROW_KEY = "_row_key"
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``df`` with a key of its own for each row, in a scratch table: read again, a row has the same key."""
+    return keep(df.withColumn(ROW_KEY, F.monotonically_increasing_id()), "rows")
+
+
 #: ids whose set may be sent to every executor: 16 MB of longs, twice that in a hash table
 BROADCAST_IDS = 1_000_000
 

@@ -334,6 +334,30 @@ def test_mix(spark):
     assert out.columns == df.columns
 
 
+def test_resample_gives_each_row_its_own_copies(spark):
+    rng = random.Random(3)
+    ids = [*range(150), *[None] * 150, *[500] * 150, *[501, 502] * 75]
+    rows = [(d, f"t{i} " + " ".join(["w"] * rng.randint(0, 60)), "abc"[i % 3]) for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = source_mix.resample(df).collect()
+    words = lambda t: len(WORD.findall(t))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.source_size)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += words(t)
+    taken, want = Counter(), Counter()
+    for r in out:
+        assert (r.doc_id, r.text, r.source) in rows
+        taken[r.doc_id is None, r.doc_id or 0, words(r.text), size[r.source]] += 1
+    for r in source_mix.mix(df).collect():
+        if r.copies:
+            want[key(r)] += r.copies
+    assert len(set(size.values())) == 3 and taken == want
+    assert any(r.doc_id is None for r in out)
+    again = source_mix.resample(df.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
 def test_entropy_dual_against_bisection():
     size = np.array([1.0, 5.0, 20.0, 100.0])
     for target in (40.0, 126.0, 300.0):
