@@ -4,7 +4,10 @@ Numbers, names and units become typed placeholders, so that a question with
 other parameters still has the template of the benchmark item.  Windows of
 template tokens are hash-joined with those of the benchmark; the hits of one
 alignment of an item with a text are an occurrence, and in an occurrence each
-parameter of the item must stand for one value throughout.
+parameter of the item must stand for one value throughout.  A template needs
+literal tokens; copies whose windows have too few of them (arithmetic, lists of
+names, title case) are found by a second hash of every window, over its
+lower-cased tokens as they are.
 
 Only windows that pass a bitmap of the benchmark's windows leave the scan; the
 bitmap has a fixed greatest size and is a filter only, the join decides.
@@ -44,7 +47,7 @@ _STOP[list(b".!?:\n")] = True
 @dataclass(frozen=True)
 class Params:
     window: int = 8
-    #: tokens of a window that must be literal
+    #: tokens of a window that must be literal for its template to count; verbatim windows need none
     min_literal: int = 4
     #: an occurrence counts from this many windows on, or from this share of the item's windows if that is fewer
     min_windows: int = 5
@@ -97,18 +100,20 @@ def template(column: pa.Array) -> tuple[tx.Words, np.ndarray, np.ndarray, np.nda
 
 
 def _windows(column: pa.Array, sizes: list[int], min_literal: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each size: hash, document, place, and the token span of its windows with enough literals."""
+    """For each size, hash, document, place and token span: templates of windows with enough literals, then values of all windows."""
     w, kind, token, value = template(column)
     literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
     for k in sizes:
         h, at = tx.windows(token, w, k, seed=62)
         ok = literal[at + k] - literal[at] >= min(k, min_literal)
         h, at = h[ok], at[ok]
-        yield k, h + tx.U64(k), w.doc[at], at - w.first[w.doc[at]], at, kind, value
+        yield k, False, h + tx.U64(k), w.doc[at], at - w.first[w.doc[at]], at, kind, value
+        h, at = tx.windows(value, w, k, seed=63)
+        yield k, True, h + tx.U64(k), w.doc[at], at - w.first[w.doc[at]], at, kind, value
 
 
 def window_rows(texts: DataFrame, key: str, sizes: list[int], p: Params, bitmap=None, bits: int = 0, only_own: bool = False) -> DataFrame:
-    """Rows ``key, hash, place, kinds, vals`` of windows; with a bitmap only those it knows.
+    """Rows ``key, hash, verbatim, place, kinds, vals`` of windows; with a bitmap only those it knows.
 
     ``only_own`` keeps, for each text, the windows of the full size, or of its
     whole length if it is shorter.
@@ -118,7 +123,7 @@ def window_rows(texts: DataFrame, key: str, sizes: list[int], p: Params, bitmap=
         for batch in batches:
             for at0, part in tx.slices(batch.column(1)):
                 ids = batch.column(0).slice(at0, len(part))
-                for k, h, doc, place, at, kind, value in _windows(part, sizes, p.min_literal):
+                for k, verbatim, h, doc, place, at, kind, value in _windows(part, sizes, p.min_literal):
                     if bitmap is not None and len(h):
                         spot = (h % tx.U64(bits)).astype(np.int64)
                         table = np.frombuffer(bitmap.value, np.uint8)
@@ -136,14 +141,15 @@ def window_rows(texts: DataFrame, key: str, sizes: list[int], p: Params, bitmap=
                         [
                             ids.take(pa.array(doc)),
                             pa.array(h.view(np.int64)),
+                            pa.array(np.full(len(h), verbatim)),
                             pa.array(place.astype(np.int64)),
                             pa.ListArray.from_arrays(cut, pa.array(kind[span].ravel().astype(np.int32))),
                             pa.ListArray.from_arrays(cut, pa.array(value[span].ravel().view(np.int64))),
                         ],
-                        [key, "hash", "place", "kinds", "vals"],
+                        [key, "hash", "verbatim", "place", "kinds", "vals"],
                     )
 
-    return texts.select(key, "text").mapInArrow(run, f"{key} long, hash long, place long, kinds array<int>, vals array<long>")
+    return texts.select(key, "text").mapInArrow(run, f"{key} long, hash long, verbatim boolean, place long, kinds array<int>, vals array<long>")
 
 
 def _bitmap(hashes: DataFrame, bits: int) -> bytes:
@@ -171,7 +177,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params | None = None)
     ``docs (doc_id, text)`` and ``benchmark (item_id, text)``.  Rows with a
     null id or text match nothing, nor do items with fewer than ``min_literal``
     tokens; repeated rows count once; other columns are ignored; where either
-    table is empty so is the result.  Of several occurrences of an item in a
+    table is empty so is the result.  An occurrence counts if enough of the
+    item's templates are there and its slots are consistent, or if enough of
+    its windows are there verbatim but for case; the numbers returned are of
+    both kinds of windows together.  Of several occurrences of an item in a
     text, the one with the most windows is reported (ties: the earliest).
     """
     p = params or Params()
@@ -179,7 +188,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params | None = None)
     sizes = list(range(p.min_literal, p.window + 1))
     items = benchmark.where("item_id is not null and text is not null")
     rows = window_rows(items, "item_id", sizes, p, only_own=True)
-    known = storage.keep(rows.groupBy("item_id", "hash", "place").agg(F.first("kinds").alias("kinds"), F.first("vals").alias("vals")), "templates")
+    known = storage.keep(rows.groupBy("item_id", "hash", "verbatim", "place").agg(F.first("kinds").alias("kinds"), F.first("vals").alias("vals")), "templates")
     n = known.select("hash").distinct().count()
     used = [r[0] for r in known.select(F.size("kinds")).distinct().collect()]  # at most ``window`` values
     bits = min(p.max_bitmap_bits, max(1 << 20, 1 << (64 * max(n, 1) - 1).bit_length()))
@@ -189,15 +198,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params | None = None)
     aligned = theirs.join(known, "hash").withColumn("shift", F.col("at") - F.col("place"))
     aligned = storage.keep(aligned, "aligned")
     occurrence = ["doc_id", "item_id", "shift"]
-    counts = aligned.groupBy(*occurrence, "place").agg(F.lit(1).alias("one")).groupBy(*occurrence).agg(F.count("*").alias("n_windows"))
-    slot = aligned.select(*occurrence, F.explode(F.arrays_zip("kinds", "vals", "doc_vals")).alias("s")).where(f"s.kinds <> {LITERAL}")
-    values = slot.groupBy(*occurrence, "s.kinds", "s.vals").agg(F.min("s.doc_vals").alias("lo"), F.max("s.doc_vals").alias("hi"))
-    slots = values.groupBy(*occurrence).agg(F.count("*").alias("n_slots"), F.count(F.when(F.col("lo") == F.col("hi"), 1)).alias("consistent_slots"))
-    whole = known.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
+    both = lambda: (F.max("verbatim").alias("as_value"), F.max(~F.col("verbatim")).alias("as_template"))
+    places = lambda: (F.count_if("as_value").alias("values"), F.count_if("as_template").alias("templates"))
+    counts = aligned.groupBy(*occurrence, "place").agg(*both()).groupBy(*occurrence).agg(F.count("*").alias("n_windows"), *places())
+    slot = aligned.select(*occurrence, "verbatim", F.explode(F.arrays_zip("kinds", "vals", "doc_vals")).alias("s")).where(f"s.kinds <> {LITERAL}")
+    templated = F.when(~F.col("verbatim"), F.col("s.doc_vals"))
+    values = slot.groupBy(*occurrence, "s.kinds", "s.vals").agg(F.min("s.doc_vals").alias("lo"), F.max("s.doc_vals").alias("hi"), F.min(templated).alias("t_lo"), F.max(templated).alias("t_hi"))
+    slots = values.groupBy(*occurrence).agg(
+        F.count("*").alias("n_slots"), F.count_if(F.col("lo") == F.col("hi")).alias("consistent_slots"), F.count("t_lo").alias("t_slots"), F.count_if(F.col("t_lo") == F.col("t_hi")).alias("t_consistent")
+    )
+    whole = known.groupBy("item_id", "place").agg(*both()).groupBy("item_id").agg(F.count("*").alias("item_windows"), F.count_if("as_template").alias("item_templates"))
+    enough = lambda n, of: (F.col(n) > 0) & (F.col(n) >= F.least(F.lit(p.min_windows), F.ceil(F.col(of) * p.min_share)))
     found = (
-        counts.join(slots, occurrence, "left").na.fill(0, ["n_slots", "consistent_slots"]).join(whole, "item_id")
-        .where(F.col("n_windows") >= F.least(F.lit(p.min_windows), F.ceil(F.col("item_windows") * p.min_share)))
-        .where(F.col("consistent_slots") >= F.col("n_slots") * p.min_consistent)
+        counts.join(slots, occurrence, "left").na.fill(0, ["n_slots", "consistent_slots", "t_slots", "t_consistent"]).join(whole, "item_id")
+        .where((enough("templates", "item_templates") & (F.col("t_consistent") >= F.col("t_slots") * p.min_consistent)) | enough("values", "item_windows"))
     )
     fields = ["n_windows", "item_windows", "n_slots", "consistent_slots"]
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-F.col("shift")).alias("early"), *fields[1:])).alias("b"))

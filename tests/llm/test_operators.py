@@ -437,6 +437,27 @@ def test_decontamination(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_copies_without_literals_are_found(spark):
+    sums = "What is 23 * 45 + 12 - 7 + 88 / 4 - 19 + 3 * 61 - 5"
+    names = "Anna Berta Carl Dora Emil Frida Gustav Hanna Ivan Jana Karl Lena"
+    filler = "some plain words that no item has in any order at all. "
+    texts = [filler + sums + " " + filler, filler + names.lower() + " " + filler, filler + ITEMS[1].title() + " " + filler, filler + sums.replace("45", "46").replace("88", "89").replace("61", "62"), filler * 3, filler + names.upper()]
+    df = docs_of(spark, texts)
+    bench = spark.createDataFrame([(0, sums), (1, names), (2, ITEMS[1])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(df, bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (5, 1)}
+    assert all(r.n_windows == r.item_windows and r.n_slots == r.consistent_slots for r in got.values())
+    assert {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()} == {3, 4}
+
+
+def test_values_do_not_hide_a_template(spark):
+    """Windows without literals neither raise the number of templates needed nor make slots inconsistent."""
+    item = "the old harbour had 7 boats and each boat held 7 men " + " ".join(map(str, range(100, 140)))
+    text = "the old harbour had 9 boats and each boat held 9 men " + " ".join(map(str, range(200, 240)))
+    got = decontaminate.matches(docs_of(spark, [text]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(0, 1)]
+
+
 def test_inconsistent_slots_are_no_match(spark):
     item = "From 10 take 10 then add 10 and the last 10 gives what the first 10 had before we began"
     same = item.replace("10", "77")
