@@ -61,7 +61,7 @@ def ecommerce_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def psi_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five audits of each run that save most."""
-    per = Bound(spark, sf_dir).lab_audits.groupBy("run_id", "title").agg(F.max("savings_ms").alias("ms"))
+    per = Bound(spark, sf_dir).all_lab_audits.groupBy("run_id", "title").agg(F.max("savings_ms").alias("ms"))
     return per.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("ms"), "title"))).where("place <= 5")
 
 
