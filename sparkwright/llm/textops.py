@@ -40,18 +40,9 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
 
-_BYTE = constants(256, 11)
-_BASE = constants(1, 12)[0]
-_POWERS = np.ones(1, U64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        steps = np.full(max(n, 64), _BASE, U64)
-        steps[0] = 1
-        _POWERS = np.multiply.accumulate(steps)
-    return _POWERS[:n]
+_NODE = constants(64, 11)
+_LAST = U64(0xFFFFFFFFFFFFFFFF) >> (U64(8) * (U64(8) - np.arange(9, dtype=U64)).clip(0, 7))
+_LAST[0] = 0
 
 
 def _trim() -> None:
@@ -131,18 +122,59 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, offsets, start, end, doc, first)
 
 
+def lanes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each word as little-endian 64-bit numbers, zeros after its end, and the n + 1 bounds of each word's."""
+    count = (length + 7) >> 3
+    bounds = np.zeros(len(length) + 1, np.int64)
+    np.cumsum(count, out=bounds[1:])
+    if len(length) != bounds[-1]:
+        word = np.repeat(np.arange(len(length)), count)
+        inner = (np.arange(bounds[-1]) - bounds[word]) << 3
+        start, length = start[word] + inner, np.minimum(length[word] - inner, 8)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    every = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    return every[start] & _LAST[length], bounds
+
+
+def lane_hashes(lane: np.ndarray, bounds: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of ``lanes``: neighbours are mixed in pairs until one number is left.
+
+    Each pairing is a non-linear function of both sides, so that texts of
+    regular structure collide no more than random ones do.
+    """
+    out = lane[bounds[:-1]] if len(length) else np.zeros(0, U64)
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        count = np.diff(bounds)[long]
+        word = np.repeat(np.arange(len(long)), count)
+        at = np.cumsum(count) - count
+        h = lane[np.arange(len(word)) - at[word] + bounds[long][word]]
+        level = 0
+        while len(h) > len(long):
+            half = (count + 1) >> 1
+            to = np.cumsum(half) - half
+            word = np.repeat(np.arange(len(long)), half)
+            inner = (np.arange(len(word)) - to[word]) << 1
+            left = at[word] + inner
+            paired = np.flatnonzero(inner + 1 < count[word])
+            new = h[left]
+            new[paired] = mix(mix(new[paired] ^ _NODE[level]) + h[left[paired] + 1])
+            h, count, at, level = new, half, to, level + 1
+        out[long] = h
+    return mix(out + length.astype(U64) * _NODE[63])
+
+
 def word_hashes(w: Words) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     if not len(w.start):
         return np.zeros(0, U64)
     length = w.end - w.start
-    total = np.zeros(len(length) + 1, np.int64)
-    np.cumsum(length, out=total[1:])
-    inner = np.arange(total[-1]) - np.repeat(total[:-1], length)
-    at = inner + np.repeat(w.start, length)
-    part = _BYTE[w.data[at]]
-    part *= _powers(int(length.max()))[inner]
-    return mix(np.add.reduceat(part, total[:-1]) + length.astype(U64))
+    long = np.flatnonzero(length > 8)
+    out, _ = lanes(w.data, w.start, np.minimum(length, 8))
+    out = mix(out + length.astype(U64) * _NODE[63])
+    if len(long):
+        out[long] = lane_hashes(*lanes(w.data, w.start[long], length[long]), length[long])
+    return out
 
 
 def windows(h: np.ndarray, w: Words, n: int, seed: int = 21) -> tuple[np.ndarray, np.ndarray]:

@@ -70,10 +70,12 @@ class PieceEncoder:
 
     A single space between two characters other than white space always
     begins a new pre-token, so texts are cut there, and only there, and each
-    piece encodes by itself.  Pieces are known by 64-bit hashes of their bytes;
-    new ones are encoded together and told apart by the tokens that start with
-    a space, or one by one where that doesn't work.  The memory of pieces is
-    emptied when it is full.
+    piece encodes by itself.  Pieces are found by 64-bit hashes of their bytes,
+    and the bytes of a remembered piece are compared before its ids are used; a
+    text with a piece that only has the hash of another one is encoded whole.
+    New pieces are encoded together and told apart by the tokens that start
+    with a space, or one by one where that doesn't work.  When the memory of
+    pieces is full, those that no second slice of texts had are forgotten.
     """
 
     def __init__(self, path: str, special_as_text: bool, limit: int = 1 << 20) -> None:
@@ -89,39 +91,73 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         self.known, self.fresh = none, none  # sorted hashes and their places; fresh ones join the others now and then
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.bounds = np.zeros(1 << 14, np.int64)
+        self.ids, self.bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32)
+        # the bytes of each piece, as lanes, and their number
+        self.lane, self.lane_bounds, self.size = np.zeros(1 << 15, np.uint64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.used = np.zeros(1 << 14, np.uint8)  # slices that had the piece, two at most
         self.n = 0
 
+    def _forget(self) -> None:
+        """Keep the pieces that were used again, unless that is most of them."""
+        keep = np.flatnonzero(self.used[: self.n] > 1)
+        if len(keep) > self.limit // 2:
+            keep = keep[:0]
+        place = np.full(self.n, -1, np.int32)
+        place[keep] = np.arange(len(keep), dtype=np.int32)
+        h, at = self._joined(self.known, self.fresh)
+        stay = place[at] >= 0
+        ids, bounds, lane, lane_bounds, size = self.ids, self.bounds, self.lane, self.lane_bounds, self.size[keep]
+        self._reset()
+        self._bytes(*self._taken(lane, lane_bounds, keep), size)
+        self._put(*self._taken(ids, bounds, keep))
+        self.known = (h[stay], place[at[stay]])
+
+    @staticmethod
+    def _taken(values: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs ``keep`` of ``values``, and the length of each."""
+        count = (bounds[keep + 1] - bounds[keep]).astype(np.int64)
+        return values[np.repeat(bounds[keep] - (np.cumsum(count) - count), count) + np.arange(count.sum())], count
+
     def _whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+
     def _put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        end = self.bounds[self.n]
-        while end + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(lengths) + 1 > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        end, n = self.bounds[self.n], self.n + len(lengths)
+        self.ids, self.bounds = self._room(self.ids, end + len(ids)), self._room(self.bounds, n + 1)
         self.ids[end : end + len(ids)] = ids
-        self.bounds[self.n + 1 : self.n + 1 + len(lengths)] = end + np.cumsum(lengths)
-        self.n += len(lengths)
-
-    def _learn(self, pieces: list[str], hashes: np.ndarray) -> None:
+        self.bounds[self.n + 1 : n + 1] = end + np.cumsum(lengths)
+        self.n = n
+
+    def _bytes(self, lane: np.ndarray, count: np.ndarray, size: np.ndarray) -> None:
+        """The bytes of pieces whose ids are put next."""
+        end, n = self.lane_bounds[self.n], self.n + len(size)
+        self.lane, self.lane_bounds = self._room(self.lane, end + len(lane)), self._room(self.lane_bounds, n + 1)
+        self.size, self.used = self._room(self.size, n), self._room(self.used, n)
+        self.lane[end : end + len(lane)] = lane
+        self.lane_bounds[self.n + 1 : n + 1] = end + np.cumsum(count)
+        self.size[self.n : n], self.used[self.n : n] = size, 0
+
+    def _learn(self, pieces: list[str], hashes: np.ndarray, lane: np.ndarray, bounds: np.ndarray, size: np.ndarray) -> None:
         simple = np.array([x[0] == " " and len(x) > 1 and " " not in x[1:] and not x[1].isspace() and not x[-1].isspace() for x in pieces])
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
         first = self.n
+        self._bytes(*self._taken(lane, bounds, order), size[order])
         for i in range(0, len(together := np.flatnonzero(simple).tolist()), 4096):
             part = [pieces[k] for k in together[i : i + 4096]]
             ids = np.array(self._whole("".join(part)), np.uint32)
-            begin = np.flatnonzero(self.starts[ids])
-            if len(begin) == len(part):
-                self._put(ids, np.diff(np.append(begin, len(ids))))
+            starts = np.flatnonzero(self.starts[ids])
+            if len(starts) == len(part):
+                self._put(ids, np.diff(np.append(starts, len(ids))))
             else:
                 self._each(part)
         self._each([pieces[k] for k in np.flatnonzero(~simple).tolist()])
-        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
-        self.fresh = self._joined(self.fresh, (hashes[order], first + np.arange(len(order))))
+        self.fresh = self._joined(self.fresh, (hashes[order], np.arange(first, self.n, dtype=np.int32)))
         if len(self.fresh[0]) > 1 << 15:
             self.known = self._joined(self.known, self.fresh)
             self.fresh = (self.fresh[0][:0], self.fresh[1][:0])
@@ -149,7 +185,7 @@ class PieceEncoder:
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         if self.n > self.limit:
-            self._reset()
+            self._forget()
         data, offsets = tx.raw(column)
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
@@ -161,19 +197,32 @@ class PieceEncoder:
         end = np.append(start[1:], len(data)) if len(start) else start
         first = np.searchsorted(start, offsets)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        hashes, at, place = np.unique(tx.word_hashes(tx.Words(data, offsets, start, end, doc, first)), return_index=True, return_inverse=True)
+        size = end - start
+        lane, bounds = tx.lanes(data, start, size)
+        hashes, at, place = np.unique(tx.lane_hashes(lane, bounds, size), return_index=True, return_inverse=True)
         codes = self._find(hashes)
         new = np.flatnonzero(codes < 0)
         if len(new):
-            raw = data.tobytes()
-            self._learn([raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)], hashes[new])
+            text, one = data.tobytes(), at[new]
+            pieces = [text[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+            self._learn(pieces, hashes[new], *tx.lanes(data, start[one], size[one]), size[one])
             codes = self._find(hashes)
+        self.used[codes] = np.minimum(self.used[codes] + 1, 2)
         codes = codes[place]
-        lengths = self.bounds[codes + 1] - self.bounds[codes]
+        # bytes decide: the number, then all lanes
+        other = size != self.size[codes]
+        count = np.where(other, 0, np.diff(bounds))
+        piece = np.repeat(np.arange(len(count)), count)
+        step = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+        other[piece[lane[bounds[piece] + step] != self.lane[self.lane_bounds[codes[piece]] + step]]] = True
+        lengths = (self.bounds[codes + 1] - self.bounds[codes]).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(self.bounds[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
-        bounds = ends[first]
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        cut = ends[first]
+        out = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for i in np.unique(doc[other]).tolist():
+            out[i] = np.array(self._whole(column[i].as_py()), np.uint32)
+        return out
 
 
 @lru_cache(maxsize=2)
