@@ -1,24 +1,31 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
-
-Counting: each task counts its bigrams in numpy and sends them as sorted
-blocks to a grid of shards, the row given by the context's hash and the column
-by the word's, so that even a context that stands before everything is split
-over a whole row.  A shard merges its blocks, writes its bigrams as a file of
-sorted hashes with counts and passes on, for each context and each word, only
-sums (how many bigrams occur once, twice, more often; how many contexts a word
-follows).  These meet the word counts in shards by word, which are written as
-sorted hash arrays too.
-
-Scoring: workers memory-map the shards and look up the sorted distinct hashes
-of a slice of texts.  Where the shared folder isn't mounted, shards are read
-into memory instead, a bounded number at a time.
-
-p(w|u) = max(c(u,w) - D, 0) / c(u) + g(u) p(w), and p(w) likewise from the
-numbers of contexts that w follows, over 1 / (V + 1) for any token at all.
+"""Interpolated modified Kneser-Ney n-gram model of any order, counted in Spark.
+
+Levels go from the order down to two.  At each level a pass over the texts
+counts, chunk by chunk in numpy, the n-grams of the order itself, or below it
+the distinct words to the left of each n-gram, and sends them as blocks to
+shards.  A shard is a range of the context's hash, so that it holds all of a
+context: it writes one file with the n-grams as sorted hashes and their
+counts, and the sums of each context that occurs more than once (a known
+context that is not listed occurs once).  What a shard passes on is small:
+word counts, how many words each word follows, and partial sums of hot keys.
+
+Hot keys: contexts, and n-grams with very many left words, that would fill a
+large part of a shard by a sample of the texts, are spread over all shards and
+their partial sums are added up; the sample decides only where rows go, never
+what is counted.
+
+Scoring: workers memory-map the shards and look up the n-grams of a slice of
+texts.  Where the shared folder isn't mounted, shards are read into memory
+instead, a bounded number at a time.
+
+p_k(w|u) = max(a(u,w) - D, 0) / a(u) + g(u) p_(k-1)(w|u'), where a counts
+occurrences at the order itself and distinct left words below it, u' is u
+without its first word, and below level one stands 1 / (V + 1) for any token.
 """
 
 from __future__ import annotations
 
+import gc
 import pickle
 import uuid
 from collections.abc import Iterator
@@ -28,36 +35,48 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm import storage
 from sparkwright.llm import textops as tx
 
-ID_BITS = 48  # words are told apart by hashes of so many bits
-BEGIN, END = (int(x >> tx.U64(64 - ID_BITS)) for x in tx.constants(2, 81))
-_PAIR = tx.constants(2, 82)
+U64 = np.uint64
+BEGIN, END = tx.constants(2, 81)
+_PAIR, _CONTEXT, _LEFT = tx.constants(2, 82), tx.constants(2, 83), tx.constants(2, 84)
+NONE = np.zeros(0, U64)
 
 
 @dataclass(frozen=True)
 class Params:
-    shard_bytes: int = 32 << 20  # text whose bigrams meet in one task
-    chunk_tokens: int = 3 << 20  # tokens counted at once in a task
+    order: int = 3
+    shard_bytes: int = 12 << 20  # text whose n-grams meet in one task
+    chunk_tokens: int = 3 << 19  # tokens counted at once in a task
     slice_bytes: int = 2 << 20
+    sample_tokens: int = 1 << 20  # the sample for hot keys holds at least so many, and 64 a shard
+
+
+@dataclass
+class Hot:
+    """The hot keys of one level: contexts and n-grams (sorted hashes), and, once they are known, their sums."""
+
+    context: np.ndarray = field(default_factory=lambda: NONE)
+    pair: np.ndarray = field(default_factory=lambda: NONE)
+    stats: np.ndarray = field(default_factory=lambda: np.zeros((0, 4), np.int64))  # total, one, two, more
+    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
 @dataclass
 class Model:
-    """What every worker needs; the arrays stay in the files."""
+    """What every worker needs; the arrays stay in the files, whose names follow from level and shard."""
 
     folder: str
-    grid: int
-    grams: dict[int, str] = field(default_factory=dict)
-    words: dict[int, str] = field(default_factory=dict)
+    order: int
+    shards: int
     tokens: int = 0  # N
     types: int = 0  # V
-    discount: tuple[float, float, float] = (0.5, 1.0, 1.5)
-    word_discount: tuple[float, float, float] = (0.5, 1.0, 1.5)
+    hot: dict[int, Hot] = field(default_factory=dict)
+    discount: dict[int, tuple[float, float, float]] = field(default_factory=dict)  # by level
     pairs: int = 0  # distinct bigrams
     word_gamma: float = 1.0
 
@@ -65,9 +84,9 @@ class Model:
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word ids of all texts, each followed by the end token, and the n + 1 bounds."""
     w = tx.words(column, lower=True)
-    h = (tx.word_hashes(w) >> tx.U64(64 - ID_BITS)).astype(np.int64)
+    h = tx.word_hashes(w)
     bounds = w.first + np.arange(len(w.first))
-    out = np.empty(len(h) + len(w.first) - 1, np.int64)
+    out = np.empty(len(h) + len(w.first) - 1, U64)
     ends = bounds[1:] - 1
     inner = np.ones(len(out), bool)
     inner[ends] = False
@@ -75,168 +94,337 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The token before each token."""
-    out = np.empty_like(ids)
-    out[1:] = ids[:-1]
-    out[bounds[:-1]] = BEGIN
+def back(ids: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+    """The token ``n`` places before each token; ``BEGIN`` before a text."""
+    out = np.full(len(ids), BEGIN)
+    out[n:] = ids[: max(0, len(ids) - n)]
+    for i in range(n):
+        at = bounds[:-1] + i
+        out[at[at < bounds[1:]]] = BEGIN
     return out
 
 
+def contexts(ids: np.ndarray, bounds: np.ndarray, levels: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each level from two on, the hash of the words before each token that it looks at."""
+    out = back(ids, bounds, 1)
+    yield 2, out
+    for k in range(3, levels + 1):
+        out = tx.mix(out * _CONTEXT[0] + back(ids, bounds, k - 1) * _CONTEXT[1])
+        yield k, out
+
+
+def all_begin(level: int) -> np.uint64:
+    return [c for _, c in contexts(np.array([END]), np.array([0, 1]), level)][-1][0]
+
+
 def pair_id(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return tx.mix(context.astype(np.uint64) * _PAIR[0] + word.astype(np.uint64) * _PAIR[1])
+    return tx.mix(context * _PAIR[0] + word * _PAIR[1])
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+def left_id(pair: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return tx.mix(pair * _LEFT[0] + left * _LEFT[1])
+
+
+def known(keys: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` in the sorted array ``have``, and which are there."""
+    if not len(have):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    return at, have[at] == keys
+
+
+def placed(hot: Hot, context: np.ndarray, pair: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
+    """The number that gives each row its shard: of its context, or of more of the row where that is hot."""
+    out = tx.mix(context)
+    is_hot = known(context, hot.context)[1]
+    out[is_hot] = pair[is_hot]
+    if left is not None and len(hot.pair):
+        is_hot = known(pair, hot.pair)[1]
+        out[is_hot] = left_id(pair[is_hot], left[is_hot])
+    return out
 
 
-def _planes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (x & 0xFFFFFFFF).astype(np.uint32), (x >> 32).astype(np.uint16)
+def shard_of(place: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each place; rising with it."""
+    return ((place >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def _joined(p: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    return p[0].astype(np.int64) | (p[1].astype(np.int64) << 32)
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
+def _runs(key: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
-    new = np.ones(len(keys[0]), bool)
-    if len(new):
-        new[1:] = False
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     return np.flatnonzero(new)
 
 
+def _lengths(begin: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(begin, n))
+
+
 def _add(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys and the sums of their values."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     begin = _runs(keys)
     return keys[begin], *(np.add.reduceat(v[order].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64) for v in values)
 
 
-def _by_shard(shard: np.ndarray, arrays: tuple[np.ndarray, ...]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    order = np.argsort(shard, kind="stable")
-    shard = shard[order]
-    begin = _runs(shard)
-    for a, b in zip(begin, np.append(begin[1:], len(shard)), strict=True):
-        yield int(shard[a]), tuple(x[order[a:b]] for x in arrays)
+ROWS = "kind string, shard long, name string, blob binary, n array<long>"
 
 
-def _rows(kind: str, items: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(items), pa.string()), pa.array([x[0] for x in items], pa.int64()), pa.array([x[1] for x in items], pa.binary())], ["kind", "shard", "blob"])
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["kind", "shard", "name", "blob", "n"])
 
 
-BLOCKS = "kind string, shard long, blob binary"
+def _blob(kind: str, shard: int, *arrays: np.ndarray) -> tuple:
+    return kind, int(shard), None, pickle.dumps(arrays, 5), None
 
 
-def _count(texts: DataFrame, grid: int, p: Params) -> DataFrame:
-    """Blocks of bigram counts (by grid shard) and word counts (by word shard)."""
-    shards = grid * grid
+def _blobs(frame: pa.Table) -> list[tuple]:
+    return [pickle.loads(x) for x in frame.column("blob").to_pylist()]
 
-    def chunk(ids: list[np.ndarray], before: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        word, context = np.concatenate(ids), np.concatenate(before)
-        order = np.lexsort((word, context))
-        word, context = word[order], context[order]
-        begin = _runs(context, word)
-        n = np.diff(np.append(begin, len(word)))
-        word, context = word[begin], context[begin]
-        out = []
-        for shard, (c, w, k) in _by_shard(context % grid * grid + word % grid, (context, word, n)):
-            run = _runs(c)
-            out.append((shard, pickle.dumps((_planes(c[run]), _small(np.diff(np.append(run, len(c)))), _planes(w), _small(k)), 5)))
-            if len(out) == 256:
-                yield _rows("pairs", out)
-                out = []
-        yield _rows("pairs", out)
-        w, k = _add(word, n)
-        yield _rows("words", [(shard, pickle.dumps(("count", _planes(a), _small(b)), 5)) for shard, (a, b) in _by_shard(w % shards, (w, k))])
+
+def _signed(x) -> int:
+    return int(np.array(x, U64).view(np.int64))
+
+
+def _unsigned(x: list[int]) -> np.ndarray:
+    return np.array(x, np.int64).view(U64)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Token ids and bounds of a bounded number of texts at a time."""
+    ids: list[np.ndarray] = []
+    bounds: list[np.ndarray] = [np.zeros(1, np.int64)]
+    held = 0
+    for batch in batches:
+        for _, part in tx.slices(batch.column(0), p.slice_bytes):
+            t, b = tokens(part)
+            ids.append(t)
+            bounds.append(b[1:] + held)
+            held += len(t)
+            if held >= p.chunk_tokens:
+                yield np.concatenate(ids), np.concatenate(bounds)
+                ids, bounds, held = [], [np.zeros(1, np.int64)], 0
+    if held:
+        yield np.concatenate(ids), np.concatenate(bounds)
+
+
+def _level(ids: np.ndarray, bounds: np.ndarray, level: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """Context, pair and left word of every token at a level, and the hash that tells its rows apart."""
+    context = [c for _, c in contexts(ids, bounds, level)][-1]
+    pair = pair_id(context, ids)
+    left = back(ids, bounds, level) if level < order else None
+    return context, pair, left, pair if left is None else left_id(pair, left)
+
+
+def _hot_keys(texts: DataFrame, size: int, shards: int, p: Params) -> dict[int, Hot]:
+    """Keys of more than a quarter of a shard's rows in a sample; four a shard, level and kind at most."""
+    want = max(p.sample_tokens, 64 * shards)
+    fraction = min(1.0, 6.0 * want / max(1, size))
+    sample = texts.sample(fraction, 7) if fraction < 1 else texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-        before: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for _, part in tx.slices(batch.column(0), p.slice_bytes):
-                t, bounds = tokens(part)
-                ids.append(t)
-                before.append(contexts(t, bounds))
-                held += len(t)
-                if held >= p.chunk_tokens:
-                    yield from chunk(ids, before)
-                    ids, before, held = [], [], 0
-        if held:
-            yield from chunk(ids, before)
+        for ids, bounds in _chunks(batches, p):
+            for level in range(2, p.order + 1):
+                context, pair, left, whole = _level(ids, bounds, level, p.order)
+                one = np.unique(whole, return_index=True)[1]
+                out = [("all", NONE[:1], np.array([len(one)]))]
+                for kind, key in (("context", context[one]), *([("pair", pair[one])] if left is not None else [])):
+                    key, n = np.unique(key, return_counts=True)
+                    out.append((kind, key[n > 1], n[n > 1]))
+                for kind, key, n in out:
+                    k = max(1, len(key)) if kind == "all" else len(key)
+                    values = key.view(np.int64) if len(key) else np.zeros(k, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([level] * k, pa.int64()), pa.array([kind] * k, pa.string()), pa.array(values, pa.int64()), pa.array(n, pa.int64())], ["level", "kind", "key", "n"])
+
+    counts = storage.keep(sample.select("text").mapInArrow(run, "level long, kind string, key long, n long").groupBy("level", "kind", "key").agg(F.sum("n").alias("n")), "sample")
+    total = counts.where("kind = 'all'").select("level", F.greatest(F.lit(16), F.col("n") / (4 * shards)).alias("least"))
+    found = counts.where("kind <> 'all'").join(total, "level").where("n > least").collect()
+    storage.drop(counts)
+    return {k: Hot(*(np.sort(_unsigned([r["key"] for r in found if r["level"] == k and r["kind"] == kind])) for kind in ("context", "pair"))) for k in range(2, p.order + 1)}
+
+
+def _count(texts: DataFrame, level: int, shards: int, hot: Hot, p: Params) -> DataFrame:
+    """Blocks of the rows of one level, by shard; at the order itself the word counts too."""
 
-    return texts.select("text").mapInArrow(run, BLOCKS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, bounds in _chunks(batches, p):
+            word, code = np.unique(ids, return_inverse=True)
+            if level == p.order:
+                n = np.bincount(code)
+                begin = _runs(at := shard_of(word, shards))
+                cuts = np.append(begin, len(word))
+                yield _rows([_blob("words", at[a], word[a:b], _small(n[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            context, pair, left, whole = _level(ids, bounds, level, p.order)
+            order = np.argsort(whole)
+            begin = _runs(whole[order])
+            one, n = order[begin], _lengths(begin, len(order))
+            place = placed(hot, context[one], pair[one], None if left is None else left[one])
+            order = np.argsort(place)
+            place, one, n = place[order], one[order], n[order]
+            context, code = context[one], code[one]
+            if left is not None:
+                # the first words of a text have BEGIN to their left, which no word has as its id
+                word = np.append(word, BEGIN)
+                rank = np.argsort(word)
+                left_code = rank[np.searchsorted(word, left[one], sorter=rank)]
+            seen, local = np.zeros(len(word), bool), np.zeros(len(word), np.int64)
+            cuts, out, held = np.append(_runs(at := shard_of(place, shards)), len(place)), [], 0
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                parts = [code[a:b]] if left is None else [code[a:b], left_code[a:b]]
+                for x in parts:
+                    seen[x] = True
+                used = np.flatnonzero(seen)
+                seen[used] = False
+                local[used] = np.arange(len(used))
+                begin = _runs(context[a:b])
+                block = [context[a:b][begin], _small(_lengths(begin, b - a)), word[used], *(_small(local[x]) for x in parts)]
+                out.append(_blob("grams", at[a], *block, _small(n[a:b]) if left is None else NONE))
+                held += len(out[-1][3])
+                if held > 1 << 22:
+                    yield _rows(out)
+                    out, held = [], 0
+            yield _rows(out)
+
+    return texts.select("text").mapInArrow(run, ROWS)
+
+
+def _directory(key: np.ndarray) -> list[np.ndarray]:
+    """Sorted 64-bit keys as the start of each bucket of leading bits, and the next 32 bits of each key."""
+    bits = max(1, int(len(key)).bit_length() - 2)
+    bucket = key >> U64(64 - bits)
+    start = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=U64))
+    return [start.astype("<u4"), ((key << U64(bits)) >> U64(32)).astype("<u4")]
+
+
+def _bytes_and_more(n: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes; those of 255 and more apart, with their places."""
+    more = np.flatnonzero(n >= 255)
+    return [np.minimum(n, 255).astype(np.uint8), more.astype("<u4"), n[more].astype("<u8")]
 
 
 def _write(folder: str, kind: str, shard: int, arrays: list[np.ndarray]) -> str:
-    """One file: number of rows, then for each array its item size, then the arrays."""
-    context = TaskContext.get()
-    name = f"{kind}-{shard}-{context.attemptNumber()}-{uuid.uuid4().hex}.arr"
+    """One file: number of arrays, then length and type of each, then the arrays at multiples of eight bytes."""
+    name = f"{kind}-{shard}-{TaskContext.get().attemptNumber()}-{uuid.uuid4().hex}.tmp"
     system, root = storage.open_fs(folder)
     system.create_dir(root, recursive=True)
+    head = np.array([len(arrays), *(v for x in arrays for v in (len(x), x.itemsize))], "<i8")
     with system.open_output_stream(f"{root}/{name}", compression=None) as out:
-        out.write(np.array([len(arrays[0]), len(arrays), *(x.itemsize for x in arrays), *[0] * (6 - len(arrays))], "<i8").tobytes())
+        out.write(head.tobytes())
         for x in arrays:
             out.write(np.ascontiguousarray(x).data)
             out.write(b"\0" * (-x.nbytes % 8))
     return name
 
 
-def _merge_pairs(folder: str, grid: int):
-    shards = grid * grid
+def _merge(folder: str, level: int, hot: Hot, p: Params):
+    first = all_begin(level)
+
+    def grams(shard: int, parts: list[tuple]) -> list[tuple]:
+        context = np.concatenate([np.repeat(x[0], x[1]) for x in parts])
+        word = np.concatenate([x[2][x[3]] for x in parts])
+        pair = pair_id(context, word)
+        if level == p.order:
+            n = np.concatenate([x[4].astype(np.int64) for x in parts])
+        else:  # a left word counts once
+            whole = left_id(pair, np.concatenate([x[2][x[4]] for x in parts]))
+            one = np.unique(whole, return_index=True)[1]
+            context, word, pair, n = context[one], word[one], pair[one], np.ones(len(one), np.int64)
+        parts.clear()
+        order = np.argsort(pair)
+        pair = pair[order]
+        begin = _runs(pair)
+        n = np.add.reduceat(n[order], begin)
+        pair, one = pair[begin], order[begin]
+        context, word = context[one], word[one]
+        out = []
+        if len(hot.pair):
+            is_hot = known(pair, hot.pair)[1]
+            out += [("pair", _signed(c), None, None, [_signed(w), int(k), _signed(h)]) for c, w, k, h in zip(context[is_hot], word[is_hot], n[is_hot], pair[is_hot], strict=True)]
+            context, word, pair, n = context[~is_hot], word[~is_hot], pair[~is_hot], n[~is_hot]
+        u, total, ones, twos, more = _add(context, n, n == 1, n == 2, n > 2)
+        is_hot = known(u, hot.context)[1]
+        out += [("hot", _signed(u[i]), None, None, [int(x[i]) for x in (total, ones, twos, more)]) for i in np.flatnonzero(is_hot)]
+        listed = ~is_hot & ((total > 1) | (u == first))
+        stats = [_small(x[listed]) for x in (total, ones, twos, more)]
+        name = _write(folder, f"level{level}", shard, [*_directory(pair), *_bytes_and_more(n), *_directory(u[listed]), *stats])
+        out.append(("file", shard, name, None, [len(pair), *(int((n == i).sum()) for i in (1, 2, 3, 4))]))
+        if level == 2:
+            out.append(_blob("follows", shard, *map(_compact, _add(word, np.ones(len(word), np.int64)))))
+        return out
 
     def merge(block: pa.Table) -> pa.Table:
-        shard = block.column("shard")[0].as_py()
-        parts = [pickle.loads(x) for x in block.column("blob").to_pylist()]
-        if block.column("kind")[0].as_py() == "words":
-            w, n = _add(np.concatenate([_joined(x[1]) for x in parts]), np.concatenate([x[2] for x in parts]))
-            return pa.Table.from_batches([_rows("words", [(shard, pickle.dumps(("count", _planes(w), _small(n)), 5))])])
-        context = np.concatenate([np.repeat(_joined(c), r) for c, r, _, _ in parts])
-        word = np.concatenate([_joined(w) for _, _, w, _ in parts])
-        n = np.concatenate([k.astype(np.int64) for _, _, _, k in parts])
-        key = pair_id(context, word)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        begin = _runs(key)
-        n = np.add.reduceat(n[order], begin)
-        key, context, word = key[begin], context[order[begin]], word[order[begin]]
-        name = _write(folder, "pairs", shard, [key, _small(n)])
-        u, total, one, two, more = _add(context, n, n == 1, n == 2, n > 2)
-        w, follows = _add(word, np.ones(len(word), np.int64))
-        out = [(s, pickle.dumps(("context", _planes(a), *map(_small, rest)), 5)) for s, (a, *rest) in _by_shard(u % shards, (u, total, one, two, more))]
-        out += [(s, pickle.dumps(("follows", _planes(a), _small(b)), 5)) for s, (a, b) in _by_shard(w % shards, (w, follows))]
-        stats = (name, len(key), [int((n == i).sum()) for i in (1, 2, 3, 4)])
-        return pa.Table.from_batches([_rows("words", out), _rows("file", [(shard, pickle.dumps(stats))])])
+        shard, kind = block.column("shard")[0].as_py(), block.column("kind")[0].as_py()
+        parts = _blobs(block)
+        if kind == "words":
+            w, n = _add(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
+            return pa.Table.from_batches([_rows([_blob("words", shard, w, _small(n))])])
+        return pa.Table.from_batches([_rows(grams(shard, parts))])
 
     return merge
 
 
+def _compact(x: np.ndarray) -> np.ndarray:
+    return x if x.dtype == U64 else _small(x)
+
+
+def _deal_words(shards: int):
+    """Word counts and numbers of followed words, cut by the words' shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                word, n = pickle.loads(row["blob"])
+                cuts = np.append(_runs(at := shard_of(word, shards)), len(word))
+                yield _rows([_blob(row["kind"], at[a], word[a:b], n[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+
+    return run
+
+
 def _merge_words(folder: str):
     def merge(block: pa.Table) -> pa.Table:
-        shard = block.column("shard")[0].as_py()
-        ids, columns = [], [[] for _ in range(6)]  # count, follows, total, one, two, more
-        place = {"count": (0,), "follows": (1,), "context": (2, 3, 4, 5)}
-        for blob in block.column("blob").to_pylist():
-            kind, key, *values = pickle.loads(blob)
-            key = _joined(key)
-            ids.append(key)
-            for i in range(6):
-                columns[i].append(values[place[kind].index(i)] if i in place[kind] else np.zeros(len(key), np.uint8))
-        w, *sums = _add(np.concatenate(ids), *(np.concatenate([x.astype(np.int64) for x in c]) for c in columns))
-        count, follows, total, one, two, more = sums
-        narrow = np.stack([follows, one, two, more], 1).astype("<u4" if max(int(x.max()) for x in (follows, one, two, more)) < 1 << 32 else "<u8")
-        name = _write(folder, "words", shard, [w, count, total, narrow.ravel().view(np.dtype((np.void, narrow.itemsize * 4)))])
-        stats = (name, int(count.sum()), int((count > 0).sum()), int(follows.sum()), [int((follows == i).sum()) for i in (1, 2, 3, 4)], int((follows > 2).sum()))
-        return pa.Table.from_batches([_rows("file", [(shard, pickle.dumps(stats))])])
+        shard, parts = block.column("shard")[0].as_py(), _blobs(block)
+        is_count = [k == "words" for k in block.column("kind").to_pylist()]
+        zero = lambda x: np.zeros(len(x), np.int64)
+        w, count, follows = _add(
+            np.concatenate([x[0] for x in parts]),
+            np.concatenate([x[1].astype(np.int64) if k else zero(x[1]) for x, k in zip(parts, is_count, strict=True)]),
+            np.concatenate([zero(x[1]) if k else x[1].astype(np.int64) for x, k in zip(parts, is_count, strict=True)]),
+        )
+        name = _write(folder, "words", shard, [w, _small(count), _small(follows)])
+        sums = [int(count.sum()), int((count > 0).sum()), int(follows.sum()), *(int((follows == i).sum()) for i in (1, 2, 3, 4)), int((follows > 2).sum())]
+        return pa.Table.from_batches([_rows([("file", shard, name, None, sums)])])
 
     return merge
 
 
+def _settle(files: DataFrame, folder: str) -> list[int]:
+    """Give the files of a committed table their final names; returns the sums of ``n``.  A repeated attempt finds the work done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = storage.open_fs(folder)
+        for batch in batches:
+            for row in batch.to_pylist():
+                kind = row["name"].split("-", 1)[0]
+                target = f"{root}/{kind}-{row['shard']}"
+                try:
+                    system.move(f"{root}/{row['name']}", target)
+                except OSError:
+                    if system.get_file_info(target).type.name == "NotFound":
+                        raise
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("n"))], ["n"])
+
+    moved = files.where("kind = 'file'").mapInArrow(run, "n array<long>")
+    rows = moved.select(F.posexplode("n").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    sums = {r["i"]: int(r["v"]) for r in rows}
+    return [sums.get(i, 0) for i in range(8)]
+
+
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Of counts 1, 2 and more, from how many have the counts 1 to 4; kept between 0 and the count."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -247,122 +435,188 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(i - 0.01, max(0.01, d)) for i, d in enumerate(raw, 1))
 
 
+def _free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of frames that are gone; they would stay on disk until the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def train(docs: DataFrame, params: Params | None = None) -> Model:
     """Count all texts of ``docs (text)`` and write the model below the shared folder.
 
-    A null text counts as empty, which is one end token.  What comes to the
-    driver is a line for each shard: its file and its sums.
+    A null text counts as empty, which is one end token; an empty table gives
+    a model that knows no token.  What comes to the driver are sums and the hot
+    keys, whose number is bounded by that of the shards.
     """
     p = params or Params()
+    if p.order < 2:
+        raise ValueError("the order is two at least")
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // p.shard_bytes))
-    grid = int(np.ceil(np.sqrt(least)))
-    model = Model(storage.scratch(spark, "kneser-ney"), grid)
-    merged = storage.keep(_count(docs, grid, p).groupBy("kind", "shard").applyInArrow(_merge_pairs(model.folder, grid), BLOCKS), "pairs")
-    n = np.zeros(4, np.int64)
-    for row in merged.where("kind = 'file'").select("shard", "blob").toLocalIterator():
-        name, pairs, ones = pickle.loads(row["blob"])
-        model.grams[row["shard"]] = name
-        model.pairs += pairs
-        n += ones
-    model.discount = discounts(n.tolist())
-    finished = storage.keep(merged.where("kind = 'words'").groupBy("shard").applyInArrow(_merge_words(model.folder), BLOCKS), "words")
-    n, more, follows = np.zeros(4, np.int64), 0, 0
-    for row in finished.select("shard", "blob").toLocalIterator():
-        name, count, types, total, ones, many = pickle.loads(row["blob"])
-        model.words[row["shard"]] = name
-        model.tokens += count
-        model.types += types
-        follows += total
-        n += ones
-        more += many
-    model.word_discount = d = discounts(n.tolist())
-    model.word_gamma = (d[0] * n[0] + d[1] * n[1] + d[2] * more) / follows if follows else 1.0
-    storage.drop(merged)
-    storage.drop(finished)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(least, -(-size // p.shard_bytes))
+    tasks = max(least, -(-shards // 2))
+    model = Model(storage.scratch(spark, "kneser-ney"), p.order, shards, hot=_hot_keys(docs, size, shards, p))
+    kept, follows = [], []
+    for level in range(p.order, 1, -1):
+        hot = model.hot[level]
+        blocks = _count(docs, level, shards, hot, p).repartition(tasks, "shard")
+        merged = storage.keep(blocks.groupBy("kind", "shard").applyInArrow(_merge(model.folder, level, hot, p), ROWS), f"level{level}")
+        del blocks
+        kept.append(merged)
+        _, *ones = _settle(merged, model.folder)[:5]
+        # hot n-grams first, as hot contexts hold them too; both are bounded by the sample's threshold
+        pairs = merged.where("kind = 'pair'").groupBy("shard", F.col("n")[0].alias("word"), F.col("n")[2].alias("pair")).agg(F.sum(F.col("n")[1]).alias("n")).collect()
+        stats = merged.where("kind = 'hot'").groupBy("shard").agg(*(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(4))).collect()
+        hot.stats, hot.count = np.zeros((len(hot.context), 4), np.int64), np.zeros(len(hot.pair), np.int64)
+        for r in stats:
+            hot.stats[np.searchsorted(hot.context, _unsigned([r[0]])[0])] += r[1:]
+        for r in pairs:
+            hot.count[np.searchsorted(hot.pair, _unsigned([r["pair"]])[0])] = r["n"]
+            hot.stats[np.searchsorted(hot.context, _unsigned([r["shard"]])[0])] += [r["n"], r["n"] == 1, r["n"] == 2, r["n"] > 2]
+            if r["n"] <= 4:
+                ones[r["n"] - 1] += 1
+        if level == 2 and pairs:
+            word, n = _add(_unsigned([r["word"] for r in pairs]), np.ones(len(pairs), np.int64))
+            follows = [("follows", 0, None, bytearray(pickle.dumps((word, _small(n)), 5)), None)]
+        model.discount[level] = discounts(ones)
+        _free(spark)
+    words = kept[0].where("kind = 'words'").unionAll(kept[-1].where("kind = 'follows'")).unionAll(spark.createDataFrame(follows, ROWS))
+    dealt = words.mapInArrow(_deal_words(shards), ROWS).repartition(tasks, "shard")
+    finished = storage.keep(dealt.groupBy("shard").applyInArrow(_merge_words(model.folder), ROWS), "words")
+    model.tokens, model.types, model.pairs, *ones, more = _settle(finished, model.folder)
+    model.discount[1] = d = discounts(ones)
+    model.word_gamma = (d[0] * ones[0] + d[1] * ones[1] + d[2] * more) / model.pairs if model.pairs else 1.0
+    for x in (*kept, finished):
+        storage.drop(x)
+    _free(spark)
     return model
 
 
-def _arrays(buffer, widths: list[np.dtype]) -> list[np.ndarray]:
-    head = np.frombuffer(buffer, "<i8", 8)
-    n, at, out = int(head[0]), 64, []
-    for item, base in zip(head[2 : 2 + head[1]].tolist(), widths, strict=True):
-        kind = np.dtype(base) if base is not None else np.dtype(f"<u{item}")
-        count = n * item // kind.itemsize
-        out.append(np.frombuffer(buffer, kind, count, at))
-        at += n * item + (-n * item % 8)
-    return out
-
-
 @lru_cache(maxsize=64)
-def _in_memory(path: str) -> bytes:
+def _in_memory(path: str) -> bytes | None:
     system, inner = storage.open_fs(path)
-    with system.open_input_file(inner) as source:
-        return source.read()
+    try:
+        with system.open_input_file(inner) as source:
+            return source.read()
+    except FileNotFoundError:
+        return None
 
 
 @lru_cache(maxsize=4096)
-def _mapped(path: str) -> np.memmap:
-    return np.memmap(path, np.uint8, "r")
-
+def _mapped(path: str) -> np.memmap | None:
+    try:
+        return np.memmap(path, np.uint8, "r")
+    except FileNotFoundError:
+        return None
 
-def _open(folder: str, name: str):
-    local = storage.local_path(f"{folder}/{name}")
-    return _mapped(local) if local else _in_memory(f"{folder}/{name}")
 
-
-def _lookup(keys: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of sorted ``keys`` in the sorted array ``have``, and which are there."""
-    at = np.minimum(np.searchsorted(have, keys), max(0, len(have) - 1))
-    return at, (have[at] == keys) if len(have) else np.zeros(len(keys), bool)
-
-
-def word_stats(model: Model, ids: np.ndarray) -> np.ndarray:
-    """count, follows, total, one, two, more of each of the sorted distinct ids; zeros for unknown ones."""
-    out = np.zeros((len(ids), 6), np.int64)
-    for shard, (mine, place) in _by_shard(ids % model.grid**2, (ids, np.arange(len(ids)))):
-        if shard in model.words:
-            w, count, total, flat = _arrays(_open(model.folder, model.words[shard]), [np.dtype("<i8"), np.dtype("<i8"), np.dtype("<i8"), np.dtype("u1")])
-            at, ok = _lookup(mine, w)
-            wide = flat.view("<u8" if len(flat) == 32 * len(w) else "<u4").reshape(-1, 4)
-            at, place = at[ok], place[ok]
-            out[place, 0], out[place, 2] = count[at], total[at]
-            out[place, 1], out[place, 3:] = wide[at, 0], wide[at, 1:]
+@lru_cache(maxsize=4096)
+def _arrays(path: str, kinds: tuple[str | None, ...]) -> list[np.ndarray] | None:
+    """The arrays of a file, or None where no shard was written."""
+    local = storage.local_path(path)
+    buffer = _mapped(local) if local else _in_memory(path)
+    if buffer is None:
+        return None
+    n = int(np.frombuffer(buffer, "<i8", 1)[0])
+    head = np.frombuffer(buffer, "<i8", 2 * n, 8).reshape(n, 2).tolist()
+    at, out = 8 + 16 * n, []
+    for (length, item), kind in zip(head, kinds, strict=True):
+        out.append(np.frombuffer(buffer, np.dtype(kind or f"<u{item}"), length, at))
+        at += length * item + (-length * item % 8)
     return out
 
 
-def pair_counts(model: Model, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Counts of distinct (context, word) pairs."""
-    out = np.zeros(len(word), np.int64)
-    key = pair_id(context, word)
-    order = np.argsort(key)
-    for shard, (mine, place) in _by_shard((context % model.grid * model.grid + word % model.grid)[order], (key[order], order)):
-        if shard in model.grams:
-            have, count = _arrays(_open(model.folder, model.grams[shard]), [np.dtype("<u8"), None])
-            at, ok = _lookup(mine, have)
-            out[place[ok]] = count[at[ok]]
-    return out
+_LEVEL = ("<u4", "<u4", "u1", "<u4", "<u8", "<u4", "<u4", None, None, None, None)
+_WORDS = ("<u8", None, None)
+
+
+def _find(key: np.ndarray, start: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in a directory, and their places there."""
+    bits = U64((len(start) - 1).bit_length() - 1)
+    bucket = (key >> (U64(64) - bits)).astype(np.int64)
+    want = ((key << bits) >> U64(32)).astype(np.uint32)
+    at, end = start[bucket].astype(np.int64), start[bucket + 1]
+    open_ = np.flatnonzero(at < end)
+    found = []
+    while len(open_):
+        here = low[at[open_]]
+        found.append(open_[here == want[open_]])
+        open_ = open_[here < want[open_]]
+        at[open_] += 1
+        open_ = open_[at[open_] < end[open_]]
+    hit = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return hit, at[hit]
+
+
+def word_stats(model: Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count and number of followed words of each of the sorted distinct ids; zeros for unknown ones."""
+    count, follows = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    cuts = np.append(_runs(shard := shard_of(ids, model.shards)), len(ids))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if arrays := _arrays(f"{model.folder}/words-{shard[a]}", _WORDS):
+            at, ok = known(ids[a:b], arrays[0])
+            at, place = at[ok], a + np.flatnonzero(ok)
+            count[place], follows[place] = arrays[1][at], arrays[2][at]
+    return count, follows
+
+
+def level_stats(model: Model, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The count of each (context, word), and total, one, two and more of each context where it is listed."""
+    hot, pair = model.hot[level], pair_id(context, word)
+    place = placed(hot, context, pair)
+    order = np.argsort(place)
+    n, stats = np.zeros(len(word), np.int64), np.zeros((len(word), 4), np.int64)
+    cuts = np.append(_runs(shard := shard_of(place[order], model.shards)), len(order))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        arrays = _arrays(f"{model.folder}/level{level}-{shard[a]}", _LEVEL)
+        if arrays is None:
+            continue
+        start, low, count, more, large, c_start, c_low, *sums = arrays
+        rows = order[a:b]
+        hit, at = _find(pair[rows], start, low)
+        found = count[at].astype(np.int64)
+        if len(more):
+            full = np.flatnonzero(found == 255)
+            found[full] = large[np.searchsorted(more, at[full])]
+        n[rows[hit]] = found
+        c = context[rows]
+        begin = _runs(c)
+        hit, at = _find(c[begin], c_start, c_low)
+        got = np.zeros((len(begin), 4), np.int64)
+        for i, x in enumerate(sums):
+            got[hit, i] = x[at]
+        stats[rows] = np.repeat(got, _lengths(begin, len(c)), axis=0)
+    if len(hot.context):
+        at, ok = known(context, hot.context)
+        stats[ok] = hot.stats[at[ok]]
+    if len(hot.pair):
+        at, ok = known(pair, hot.pair)
+        n[ok] = hot.count[at[ok]]
+    return n, stats
 
 
 def _off(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-    return count - np.array([0.0, *d])[np.minimum(count, 3)]
-
-
-def probabilities(model: Model, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """p of each token after the one before it, and the token's count in training."""
-    known, code = np.unique(np.concatenate([ids, before]), return_inverse=True)
-    stats = word_stats(model, known)
-    word, context = code[: len(ids)], code[len(ids) :]
-    pair, place = np.unique(context.astype(np.int64) * len(known) + word, return_inverse=True)
-    u, w = pair // len(known), pair % len(known)
-    floor = 1.0 / (model.types + 1)
-    lower = np.maximum(_off(stats[w, 1], model.word_discount), 0) / max(1, model.pairs) + model.word_gamma * floor
-    total = stats[u, 2]
-    upper = np.maximum(_off(pair_counts(model, known[u], known[w]), model.discount), 0) / np.maximum(1, total)
-    gamma = (stats[u, 3:] @ np.array(model.discount)) / np.maximum(1, total)
-    p = np.where(total > 0, upper + gamma * lower, lower)
-    return p[place], stats[word, 0]
+    return np.maximum(count - np.array([0.0, *d])[np.minimum(count, 3)], 0)
+
+
+def probabilities(model: Model, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """p of each token after those before it, and the token's count in training."""
+    distinct, code = np.unique(ids, return_inverse=True)
+    count, follows = (x[code] for x in word_stats(model, distinct))
+    p = _off(follows, model.discount[1]) / max(1, model.pairs) + model.word_gamma / (model.types + 1)
+    seen = count  # how often the n-gram that ends at each token occurs, one level below
+    for level, context in contexts(ids, bounds, model.order):
+        n, stats = level_stats(model, level, context, ids)
+        # a context is an n-gram that ends one token earlier; where it is known but not listed it occurs once
+        once = np.zeros(len(ids), bool)
+        once[1:] = seen[:-1] > 0
+        once[bounds[:-1]] = False
+        stats[once & (stats[:, 0] == 0)] = (1, 1, 0, 0)
+        total = np.maximum(1, stats[:, 0])
+        upper = _off(n, model.discount[level]) / total + (stats[:, 1:] @ np.array(model.discount[level])) / total * p
+        p, seen = np.where(stats[:, 0] > 0, upper, p), n
+    return p, count
 
 
 def score(docs: DataFrame, model: Model, params: Params | None = None) -> DataFrame:
@@ -370,8 +624,9 @@ def score(docs: DataFrame, model: Model, params: Params | None = None) -> DataFr
 
     Scores are log10 probabilities of the whole text with its end token;
     perplexity is ``10 ** (-score / n_tokens)``.  A null text counts as empty.
-    Null and repeated ids are rows of their own; other columns are ignored; a
-    model without training text gives every token the same probability.
+    Null and repeated ids are rows of their own; other columns are ignored; an
+    empty table gives an empty one; a model without training text gives every
+    token the same probability.
     """
     p = params or Params()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -381,7 +636,7 @@ def score(docs: DataFrame, model: Model, params: Params | None = None) -> DataFr
         for batch in batches:
             for at, part in tx.slices(batch.column(1), p.slice_bytes):
                 ids, bounds = tokens(part)
-                prob, count = probabilities(model, ids, contexts(ids, bounds))
+                prob, count = probabilities(model, ids, bounds)
                 n = np.diff(bounds).astype(np.int64)
                 add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
                 base = add(np.log10((count + 1) / (model.tokens + model.types + 1)))

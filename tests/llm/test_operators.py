@@ -371,47 +371,63 @@ def test_entropy_dual_against_bisection():
         assert abs((copies * size[::-1]).sum() - target) <= 100 and copies.max() <= 3
 
 
-def brute_kneser_ney(train, texts):
-    tokens = lambda t: [*WORD.findall(low(t)), "</s>"]
+def brute_kneser_ney(train, texts, order):
+    """Every quantity from the definition, with ``order - 1`` begin tokens before each text."""
+    tokens = lambda t: [*["<s>"] * (order - 1), *WORD.findall(low(t)), "</s>"]
+    grams = lambda x, k: [tuple(x[i - k + 1 : i + 1]) for i in range(order - 1, len(x))]
     rows = [tokens(t) for t in train]
-    count = Counter(w for x in rows for w in x)
-    pairs = Counter(p for x in rows for p in zip(["<s>", *x[:-1]], x, strict=True))
-    follows = Counter(w for _, w in pairs)
-    d2, d1 = (kneser_ney.discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]) for c in (pairs, follows))
+    count = Counter(w for x in rows for w in x[order - 1 :])
+    levels = {order: Counter(g for x in rows for g in grams(x, order))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in {g for x in rows for g in grams(x, k + 1)})
+    off = {k: kneser_ney.discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]) for k, c in levels.items()}
     total, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
-    for (u, _), k in pairs.items():
-        total[u] += k
-        kinds[u][min(k, 3) - 1] += 1
+    for k, c in levels.items():
+        for g, n in c.items():
+            total[k, g[:-1]] += n
+            kinds[k, g[:-1]][min(n, 3) - 1] += 1
     n, v = sum(count.values()), len(count)
-    gamma = sum(d1[min(k, 3) - 1] for k in follows.values()) / len(pairs) if pairs else 1.0
 
-    def p1(w):
-        k = follows.get(w, 0)
-        return (max(k - d1[min(k, 3) - 1], 0) / len(pairs) if k else 0) + gamma / (v + 1)
-
-    def p(u, w):
-        if not total[u]:
-            return p1(w)
-        k = pairs.get((u, w), 0)
-        return (max(k - d2[min(k, 3) - 1], 0) / total[u] if k else 0) + sum(x * y for x, y in zip(d2, kinds[u], strict=True)) / total[u] * p1(w)
-
-    assert math.isclose(sum(p("<s>", w) for w in count) + p("<s>", object()), 1.0)
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (v + 1)
+        key, lower = (k, gram[:-1]), p(gram[1:])
+        if not total[key]:
+            return lower
+        c = levels[k].get(gram, 0)
+        return (max(c - off[k][min(c, 3) - 1], 0) / total[key] if c else 0) + sum(x * y for x, y in zip(off[k], kinds[key], strict=True)) / total[key] * lower
+
+    begin = ("<s>",) * (order - 1)
+    assert math.isclose(sum(p((*begin, w)) for w in count) + p((*begin, object())), 1.0)
     out = []
     for t in texts:
         x = tokens(t)
-        out.append((len(x), sum(w in count for w in x), n, sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in x), sum(math.log10(p(u, w)) for u, w in zip(["<s>", *x[:-1]], x, strict=True))))
+        own = x[order - 1 :]
+        out.append((len(own), sum(w in count for w in own), n, sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in own), sum(math.log10(p(g)) for g in grams(x, order))))
     return out
 
 
-def test_kneser_ney(spark, corpus):
-    texts = [*corpus, "never seen words", "the The THE"]
+@pytest.mark.parametrize(("order", "hot"), [(2, True), (3, True), (3, False), (4, False), (5, True)])
+def test_kneser_ney(spark, corpus, order, hot):
+    structured = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = [*corpus, "never seen words", "the The THE", *(f"x{i} is a" for i in range(90)), " ".join(f"y{i} is a" for i in range(90)), structured, structured.translate(str.maketrans("ab", "ba"))]
     df = docs_of(spark, texts)
-    model = kneser_ney.train(df.where("doc_id % 3 <> 0"), kneser_ney.Params(shard_bytes=1 << 14, chunk_tokens=3000, slice_bytes=1 << 14))
-    got = {r.doc_id: r for r in kneser_ney.score(df, model).collect()}
-    for i, want in enumerate(brute_kneser_ney([t for i, t in enumerate(texts) if i % 3], texts)):
+    # with a small sample and shards some contexts and n-grams are hot
+    params = kneser_ney.Params(order=order, shard_bytes=1 << (11 if hot else 14), chunk_tokens=3000, slice_bytes=1 << 14, sample_tokens=20_000 if hot else 10)
+    model = kneser_ney.train(df.where("doc_id % 3 <> 0"), params)
+    if hot:
+        assert any(len(x.context) for x in model.hot.values())
+        assert order == 2 or any(len(x.pair) for x in model.hot.values())
+    got = {r.doc_id: r for r in kneser_ney.score(df, model, params).collect()}
+    for i, want in enumerate(brute_kneser_ney([t for i, t in enumerate(texts) if i % 3], texts, order)):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3], i
         assert math.isclose(r.base_score, want[3], rel_tol=1e-9) and math.isclose(r.score, want[4], rel_tol=1e-9), i
+
+
+def test_kneser_ney_empty(spark):
+    df = docs_of(spark, ["a b"])
     empty = kneser_ney.train(df.limit(0))
     r = kneser_ney.score(docs_of(spark, ["a b"]), empty).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0.0)
