@@ -7,7 +7,7 @@
    an earlier rank.
 2. Documents with equal digests are one class; only its smallest id goes on.
 3. Bands of the signature are hashed into buckets.  Buckets with the same
-   members are looked at once.
+   members (by two 64-bit hashes of all of them) are looked at once.
 4. The members' full sets meet in tasks of at most ``block`` documents and the
    bucket's leader; pairs are confirmed on the full sets and only a spanning
    forest of confirmed links leaves the task.
@@ -231,8 +231,8 @@ def cluster(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
     placed = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     buckets = (
-        placed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("members"))
-        .where("n > 1").groupBy("n", "leader", "members").agg(F.min("key").alias("key"))
+        placed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"), *(F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"members_{i}") for i in (1, 2)))
+        .where("n > 1").groupBy("n", "leader", "members_1", "members_2").agg(F.min("key").alias("key"))
         .withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
     )
     inside = storage.keep(placed.join(buckets, "key").select("key", "doc_id", "leader", "blocks", F.pmod(F.xxhash64("doc_id", "key"), "blocks").cast("int").alias("block")), "inside")
@@ -257,9 +257,13 @@ def cluster(docs: DataFrame, params: Params | None = None) -> DataFrame:
         cols = open_.withColumn("col", F.pmod(F.xxhash64("doc_id", F.lit(2)), "blocks").cast("int")).join(used, "key").select("key", "row", "col", "doc_id", F.lit(False).alias("side"), "grp")
         more = rows.union(cols).groupBy("key", "row", "col", "doc_id", "grp").agg(F.max("side").alias("side"))
         extra = _confirm(more.select(F.xxhash64("key", "row", "col").alias("task"), "doc_id", "side", "grp"), sets, p.percent)
+        first, old = links, groups
         links = storage.keep(links.union(extra), "links")
         groups = storage.keep(connected_components(links), "groups")
-    storage.drop(sets)
+        for x in (first, old, named):
+            storage.drop(x)
+    for x in (sets, inside, links):
+        storage.drop(x)
 
     named = classes.select(*digest, "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(*digest, F.coalesce("component_id", "rep").alias("component_id"))
     linked = some.select("doc_id", *digest).join(named, digest).select("doc_id", "n_shingles", "component_id")

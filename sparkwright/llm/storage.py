@@ -21,9 +21,11 @@ _OPEN: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; set to a new temporary folder only if none is named."""
+    """The shared folder; set to a new temporary folder only if none is named and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
