@@ -3,8 +3,10 @@
 One bit-sliced Bloom filter serves all languages: each of its places holds a
 bit for every language, so one look-up of an n-gram (the AND of its places)
 returns all languages that contain it.  A text's n-grams are looked up, the
-languages' bits are counted, and each count is corrected for the false
-positives that the fill of its bit plane makes likely.
+languages' bits are counted, and each count is corrected for false positives:
+n-grams share codes and codes share places, and the part of all codes that
+pass a language's filter is the rate at which an n-gram that the language
+doesn't have passes for either reason.
 
 Training counts n-grams by language over all training texts; a language
 contains an n-gram that is not rare in it and not much rarer than in the
@@ -81,8 +83,8 @@ def count(texts: DataFrame, p: Params) -> DataFrame:
             for lang, code in codes.items():
                 used = np.flatnonzero(table[code])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(table[code][used])], ["lang", "gram", "n"])
+                table[code][used] = 0
             codes.clear()
-            table[:] = 0
 
         for batch in batches:
             for at, part in tx.slices(batch.column(0)):
@@ -139,21 +141,34 @@ def train(texts: DataFrame, params: Params | None = None) -> Model:
     filled = masks.mapInArrow(spread, "place long, word int, mask long").groupBy("place", "word").agg(F.bit_or("mask").alias("mask"))
     got = filled.toArrow()
     model.table[got.column("place").to_numpy(), got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
-    for i in range(len(langs)):
-        fill = float((model.table[:, i // 64] >> tx.U64(i % 64) & tx.U64(1)).mean())
-        model.false_rate[i] = fill**p.hashes
+    model.false_rate = false_rates(model, p)
     storage.drop(counts)
     return model
 
 
-def corrected(column: pa.Array, model: Model, p: Params) -> np.ndarray:
-    """Counts of n-grams by text and language, without the expected false positives."""
-    gram, doc = grams(column, p)
-    n_docs = len(column)
+def look_up(model: Model, gram: np.ndarray, p: Params) -> np.ndarray:
+    """The bits of all languages that contain each n-gram, 64 languages a word."""
     places = _places(gram, p)
     found = model.table[places[0]]
     for x in places[1:]:
         found &= model.table[x]
+    return found
+
+
+def false_rates(model: Model, p: Params) -> np.ndarray:
+    """The part of all n-gram codes that passes each language's filter."""
+    passed, codes = np.zeros(len(model.langs)), 1 << p.gram_bits
+    for at in range(0, codes, 1 << 18):
+        found = look_up(model, np.arange(at, min(codes, at + (1 << 18)), dtype=np.uint64), p)
+        passed += [np.count_nonzero(found[:, i // 64] >> tx.U64(i % 64) & tx.U64(1)) for i in range(len(passed))]
+    return passed / codes
+
+
+def corrected(column: pa.Array, model: Model, p: Params) -> np.ndarray:
+    """Counts of n-grams by text and language, without the expected false positives."""
+    gram, doc = grams(column, p)
+    n_docs = len(column)
+    found = look_up(model, gram, p)
     total = np.bincount(doc, minlength=n_docs)
     out = np.zeros((n_docs, len(model.langs)))
     for i, rate in enumerate(model.false_rate):
@@ -182,7 +197,8 @@ def predict(docs: DataFrame, model: Model, params: Params | None = None) -> Data
     language was learned.  The score is the best language's part of all
     corrected counts.  Ties go to the language first by code point; a text
     without a known n-gram gets the language with most training data and 0.
-    Null and repeated ids are rows of their own; other columns are ignored.
+    Null and repeated ids are rows of their own; other columns are ignored; an
+    empty table gives an empty one.
     """
     p = params or Params()
     shared = docs.sparkSession.sparkContext.broadcast(model)
