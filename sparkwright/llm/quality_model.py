@@ -101,41 +101,50 @@ def weights(z: np.ndarray, g2: np.ndarray, p: Params) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> np.ndarray:
     """Weights from ``docs (doc_id, text)`` and ``labels (doc_id, quality)``.
 
-    Null ids and qualities teach nothing; of repeated labels the least counts.
-    Without labelled documents all weights are zero and every score is 0.5.
-    The last feature is a constant.
+    Null ids and qualities teach nothing; of repeated labels the least counts;
+    labels without a document don't count towards ``max_train``.  Repeated
+    rows of one id and text teach once, those of one id with other texts go by
+    a hash of the text, so that equal tables give equal weights.  Without
+    labelled documents all weights are zero and every score is 0.5.  The last
+    feature is a constant.
     """
     p = params or Params()
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    chosen = chosen.select("doc_id", "label", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id").limit(p.max_train)
+    labelled = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    known = rows.select("doc_id", "tie").join(labelled, "doc_id").distinct()
+    chosen = known.select("doc_id", "tie", "label", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id", "tie").limit(p.max_train).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "label", "rank")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in tx.slices(batch.column(2)):
+            for at, part in tx.slices(batch.column(3)):
                 ids, vals, doc = features(part, p)
                 key, place = np.unique(doc * (1 << p.bits) + ids, return_inverse=True)
                 total = np.bincount(place, weights=vals, minlength=len(key)).astype(np.float32)
                 cut = np.searchsorted(key >> p.bits, np.arange(len(part) + 1))
                 bound = pa.array(cut.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.ListArray.from_arrays(bound, pa.array((key & ((1 << p.bits) - 1)).astype(np.int32))), pa.ListArray.from_arrays(bound, pa.array(total))],
-                    ["rank", "label", "idx", "val"],
+                    [*(batch.column(i).slice(at, len(part)) for i in range(3)), pa.ListArray.from_arrays(bound, pa.array((key & ((1 << p.bits) - 1)).astype(np.int32))), pa.ListArray.from_arrays(bound, pa.array(total))],
+                    ["rank", "tie", "label", "idx", "val"],
                 )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, before = [], None
         for batch in batches:
             for i in range(len(batch)):
-                idx, val = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
-                rows.append((np.append(idx, 1 << p.bits), np.append(val, np.float32(1)).astype(np.float64), int(batch.column(1)[i].as_py() > 0)))
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if key == before:
+                    continue
+                idx, val = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
+                rows.append((np.append(idx, 1 << p.bits), np.append(val, np.float32(1)).astype(np.float64), int(batch.column(2)[i].as_py() > 0)))
+                before = key
         z, g2 = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
         for _ in range(p.epochs):
             ftrl(iter(rows), z, g2, p)
         yield pa.RecordBatch.from_arrays([pa.array([weights(z, g2, p).astype("<f4").tobytes()], pa.binary())], ["w"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "label", "text")  # max_train rows
-    rows = sample.mapInArrow(extract, "rank long, label int, idx array<int>, val array<float>")
-    model = rows.repartition(1).sortWithinPartitions("rank").mapInArrow(learn, "w binary").collect()
+    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("rank", "tie", "label", "text")  # max_train rows
+    found = sample.mapInArrow(extract, "rank long, tie long, label int, idx array<int>, val array<float>")
+    model = found.repartition(1).sortWithinPartitions("rank", "tie").mapInArrow(learn, "w binary").collect()
     # the optimiser may drop the whole job where it knows that there are no rows
     return np.frombuffer(model[0]["w"], "<f4").astype(np.float64) if model else np.zeros((1 << p.bits) + 1)
 
@@ -144,7 +153,8 @@ def score(docs: DataFrame, w: np.ndarray, params: Params | None = None) -> DataF
     """doc_id, score and predicted of each row of ``docs (doc_id, text)``.
 
     A null text counts as empty; an empty one gets the score of the constant.
-    Null and repeated ids are rows of their own; other columns are ignored.
+    Null and repeated ids are rows of their own; other columns are ignored; an
+    empty table gives an empty one.
     """
     p = params or Params()
     shared = docs.sparkSession.sparkContext.broadcast(w)
