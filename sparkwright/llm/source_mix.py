@@ -3,10 +3,12 @@
 Document rates r minimise the entropy sum(r log r - r + 1) under one token
 constraint for each source, sum(size r) = target, and 0 <= r <= cap.  The
 solution is r = min(cap, exp(lambda size)): an exponential tilt by size whose
-dual variable is found by Newton's method, safeguarded by a bracket.  Every
-iteration is one aggregation over all documents by source.  Rates become whole
-copies by error diffusion from large to small documents inside hashed groups
-of bounded size, so that each source's tokens land on its target.
+dual variable is found by Newton's method, safeguarded by a bracket.  All
+documents of one source and size have one rate, so every iteration is one
+aggregation over the number of documents of each source and size; sources and
+their state stay in tables, as many as there are.  Rates become whole copies
+by error diffusion from large to small documents inside hashed groups of
+bounded size, so that each source's tokens land on its target.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.llm import storage
@@ -33,64 +35,74 @@ class Params:
     iterations: int = 60
     #: documents whose copies are rounded together
     group: int = 4096
-    #: a table of mixing weights; more distinct sources than this are refused
-    max_sources: int = 100_000
 
 
-def targets(sizes: Sequence[float], weights: Sequence[float], cap: float) -> list[float]:
-    """Shares of the whole by weight; what lies above ``cap`` times a size is shared again by weight."""
-    out = [0.0] * len(sizes)
-    left, open_ = float(sum(sizes)), set(range(len(sizes)))
-    while open_ and left > 0:
-        total = sum(weights[i] for i in open_)
-        if not total:
-            break
-        over = {i for i in open_ if left * weights[i] / total > cap * sizes[i]}
-        if not over:
-            for i in open_:
-                out[i] = left * weights[i] / total
+def coded(sources: DataFrame) -> DataFrame:
+    """``sources (source, ...)``, one row each, with ``code``: their places by code point, null last."""
+    first = F.when(F.col("source").isNull(), 1).otherwise(0)
+    ordered = sources.withColumn("_last", first).repartitionByRange("_last", "source").sortWithinPartitions("_last", "source")
+    placed = storage.keep(ordered.drop("_last").withColumn("_at", F.monotonically_increasing_id()), "sources")
+    part, row = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.withColumn("_part", part).join(starts, "_part").withColumn("code", row + F.col("_start")).drop("_part", "_at", "_start")
+
+
+def targeted(sources: DataFrame, p: Params) -> DataFrame:
+    """``sources (code, size, ...)`` with ``target``: shares of the whole by weight; what lies above ``cap`` times a size is shared again by weight.
+
+    A source is at its cap where cap * size / weight is below what one unit of
+    weight gets; that level only rises while caps give way, so it is found by
+    a few aggregations.
+    """
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in p.weights)), (F.col("code") % len(p.weights) + 1).cast("int"))
+    rows = storage.keep(sources.withColumn("weight", weight), "weighted")
+    whole = float(rows.agg(F.sum("size")).first()[0] or 0)
+    most, capped, n = F.col("size") * float(p.cap), F.lit(False), -1
+    while True:
+        got = rows.agg(F.sum(F.when(~capped, F.col("weight"))).alias("w"), F.sum(F.when(capped, most)).alias("full"), F.count_if(capped).alias("n")).first()
+        left, total = whole - (got["full"] or 0.0), got["w"] or 0.0
+        if not total or got["n"] == n:
             break
-        for i in over:
-            out[i] = float(cap * sizes[i])
-        # all at their cap give way at once; the rest share what is then left
-        left -= sum(out[i] for i in over)
-        open_ -= over
-    return out
+        n, capped = got["n"], F.lit(left / total) * F.col("weight") > most
+    share = F.lit(left) * F.col("weight") / F.lit(total) if total else most
+    return rows.withColumn("target", F.when(capped, most).otherwise(share))
+
 
+def _solved(sources: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
+    """``sources (code, size, n, target)`` with the dual variable ``lam`` of each, in units of one over its mean size.
 
-def _solve(sized: DataFrame, table: list[dict], p: Params) -> None:
-    """Fill in the dual variable of each source of ``table``, in units of one over its mean size."""
-    spark = sized.sparkSession
-    for t in table:
-        t.update(lam=0.0, lo=None, hi=None)
-        t["done"] = t["size"] == 0 or t["target"] >= p.cap * t["size"] or t["target"] <= 0
-        if t["done"]:
-            t["lam"] = math.inf if t["target"] > 0 else -math.inf
+    ``sizes (code, size, n)`` counts the documents of each size.  It is
+    infinite where all is taken as often as can be, or nothing at all.
+    """
+    lam, lo, hi, none = F.col("lam"), F.col("lo"), F.col("hi"), F.lit(None).cast("double")
+    full = F.col("target") >= p.cap * F.col("source_size")
+    state = sources.withColumns({
+        "mean": F.greatest(F.lit(1.0), F.col("source_size") / F.col("docs")), "lo": none, "hi": none,
+        "done": (F.col("source_size") == 0) | full | (F.col("target") <= 0),
+        "lam": F.when((F.col("source_size") > 0) & ~full & (F.col("target") > 0), 0.0).when(F.col("target") > 0, math.inf).otherwise(-math.inf),
+    })
+    state = storage.keep(state, "state")
     for _ in range(p.iterations):
-        work = [t for t in table if not t["done"]]
-        if not work:
-            return
-        step = spark.createDataFrame([(t["code"], t["lam"], t["mean"]) for t in work], "code int, lam double, mean double")
+        work = state.where("not done")
+        if work.isEmpty():
+            break
         x = F.col("size") / F.col("mean")
-        rate = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
-        free = rate < p.cap
-        got = sized.where("size > 0").join(F.broadcast(step), "code").groupBy("code").agg(
-            F.sum(F.col("size") * F.least(rate, F.lit(float(p.cap)))).alias("taken"), F.sum(F.when(free, F.col("size") * x * rate).otherwise(0.0)).alias("slope")
-        )  # one row a source
-        sums = {r["code"]: (r["taken"], r["slope"]) for r in got.collect()}
-        for t in work:
-            taken, slope = sums[t["code"]]
-            gap = taken - t["target"]
-            if abs(gap) <= p.tolerance * t["target"]:
-                t["done"] = True
-                continue
-            t["hi" if gap > 0 else "lo"] = t["lam"]
-            new = t["lam"] - gap / slope if slope > 0 else math.nan
-            lo, hi = t["lo"], t["hi"]
-            if not (math.isfinite(new) and abs(new) < 1e9 and (lo is None or new > lo) and (hi is None or new < hi)):
-                # outside the bracket: double away from the known side, or halve
-                new = (lo + hi) / 2 if lo is not None and hi is not None else (max(1.0, 2 * lo) if hi is None else min(-1.0, 2 * hi))
-            t["lam"] = new
+        rate = F.exp(F.least(lam * x, F.lit(50.0)))
+        mass = F.col("size") * F.col("n")
+        sums = sizes.join(work.select("code", "lam", "mean"), "code").groupBy("code").agg(
+            F.sum(mass * F.least(rate, F.lit(float(p.cap)))).alias("taken"), F.sum(F.when(rate < p.cap, mass * x * rate).otherwise(0.0)).alias("slope")
+        )
+        gap = F.col("taken") - F.col("target")
+        near = F.abs(gap) <= p.tolerance * F.col("target")
+        moved = state.join(sums, "code", "left").withColumns({"near": F.col("done") | near, "hi": F.when(~F.col("done") & (gap > 0), lam).otherwise(hi), "lo": F.when(~F.col("done") & (gap <= 0), lam).otherwise(lo), "step": F.when(F.col("slope") > 0, lam - gap / F.col("slope"))})
+        inside = F.col("step").isNotNull() & (F.abs("step") < 1e9) & (lo.isNull() | (F.col("step") > lo)) & (hi.isNull() | (F.col("step") < hi))
+        # outside the bracket: double away from the known side, or halve
+        other = F.when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2).when(hi.isNull(), F.greatest(F.lit(1.0), 2 * lo)).otherwise(F.least(F.lit(-1.0), 2 * hi))
+        new = moved.withColumn("lam", F.when(F.col("near"), lam).when(inside, F.col("step")).otherwise(other)).withColumn("done", F.col("near"))
+        old, state = state, storage.keep(new.select(*state.columns), "state")
+        storage.drop(old)
+    return state
 
 
 def _diffuse(size: np.ndarray, rate: np.ndarray, cap: int) -> np.ndarray:
@@ -125,23 +137,17 @@ def _mixed(rows: DataFrame, p: Params, tie: Sequence[str] = ()) -> DataFrame:
     """The mix of ``rows (doc_id, source, size)``; the long columns ``tie`` order equal ids and sizes, and are returned too."""
     spark = rows.sparkSession
     raw = storage.keep(rows, "sizes")
-    per = raw.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    found = [r.asDict() for r in per.limit(p.max_sources + 1).collect()]
-    if len(found) > p.max_sources:
-        raise ValueError(f"more than {p.max_sources} sources")
-    found.sort(key=lambda t: (t["source"] is None, t["source"] or ""))
-    goal = targets([t["size"] for t in found], [p.weights[i % len(p.weights)] for i in range(len(found))], p.cap)
-    for i, t in enumerate(found):
-        t.update(code=i, target=goal[i], mean=max(1.0, t["size"] / max(1, t["n"])))
-    schema = "source string, code int, source_size long, target double, mean double, lam double, groups int"
-    line = lambda t: (t["source"], t["code"], t["size"], t["target"], t["mean"], t.get("lam", 0.0), -(-t["n"] // p.group))
-    coded = raw.join(F.broadcast(spark.createDataFrame([line(t) for t in found], schema).select(F.col("source").alias("_s"), "code")), F.col("source").eqNullSafe(F.col("_s"))).select("code", "size")
-    sized = storage.keep(coded, "coded")
-    _solve(sized, found, p)
-    storage.drop(sized)
-    dim = spark.createDataFrame([line(t) for t in found], schema).withColumnRenamed("source", "_s")
-    tilt = F.when(F.col("lam") == float("inf"), float(p.cap)).when(F.col("lam") == float("-inf"), 0.0).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0))), F.lit(float(p.cap))))
-    rated = raw.join(F.broadcast(dim), F.col("source").eqNullSafe(F.col("_s"))).select(
+    counts = storage.keep(raw.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
+    per = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs"))
+    sources = targeted(coded(per), p).select(F.col("source").alias("_s"), "code", F.col("size").alias("source_size"), "docs", "target")
+    sources = storage.keep(sources, "sources")
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    sizes = storage.keep(counts.join(sources.select("_s", "code"), same).where("size > 0").select("code", "size", "n"), "counts")
+    solved = _solved(sources, sizes, p).select("_s", "code", "source_size", "target", "mean", "lam", F.ceil(F.col("docs") / p.group).alias("groups"))
+    for x in (counts, sizes):
+        storage.drop(x)
+    tilt = F.when(F.col("lam") == math.inf, float(p.cap)).when(F.col("lam") == -math.inf, 0.0).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0))), F.lit(float(p.cap))))
+    rated = raw.join(solved, same).select(
         "doc_id", "size", "source_size", "target", tilt.alias("rate"), "code", F.pmod(F.xxhash64("doc_id", "size"), F.col("groups")).cast("long").alias("part"), *tie
     )
 
@@ -151,8 +157,8 @@ def _mixed(rows: DataFrame, p: Params, tie: Sequence[str] = ()) -> DataFrame:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            key = held.column("code").to_numpy().astype(np.int64) * (1 << 32) + held.column("part").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            code, part = held.column("code").to_numpy(), held.column("part").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1])) + 1])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 yield from done(held.slice(a, b - a))
             held = held.slice(int(cuts[-1]))

@@ -301,11 +301,37 @@ def test_quality(spark):
     assert {r.score for r in quality_model.score(df, flat).collect()} == {0.5}
 
 
-def test_mix_targets():
-    assert source_mix.targets([100, 100, 100], [5, 2, 1], 3) == pytest.approx([187.5, 75, 37.5])
-    assert source_mix.targets([10, 1000], [5, 2], 3) == pytest.approx([30, 980])
-    assert source_mix.targets([10, 20, 1000], [5, 2, 1], 3) == pytest.approx([30, 60, 940])
-    assert source_mix.targets([], [], 3) == [] and source_mix.targets([0, 10], [5, 1], 3) == pytest.approx([0, 10])
+def brute_targets(sizes, weights, cap):
+    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while open_ and left > 0:
+        total = sum(weights[i] for i in open_)
+        over = {i for i in open_ if left * weights[i] / total > cap * sizes[i]}
+        if not over:
+            for i in open_:
+                out[i] = left * weights[i] / total
+            break
+        for i in over:
+            out[i] = float(cap * sizes[i])
+        left -= sum(out[i] for i in over)
+        open_ -= over
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000], [10, 20, 1000], [], [0, 10], [0, 0], [1, 5, 40, 300, 2000, 7, 7, 7], list(range(200))])
+def test_mix_targets(spark, sizes):
+    names = [None if i == len(sizes) - 1 else f"{i:04d}" for i in range(len(sizes))]
+    df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, size long").repartition(3)
+    got = {r["source"]: (r["code"], r["target"]) for r in source_mix.targeted(source_mix.coded(df), source_mix.Params()).collect()}
+    want = brute_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 3)
+    assert [got[n][0] for n in names] == list(range(len(sizes)))
+    assert [got[n][1] for n in names] == pytest.approx(want)
+
+
+def test_mix_many_sources(spark):
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 5).cast("int")).alias("text"))
+    got = source_mix.mix(df).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).first()
+    assert (got.n, got["size"]) == (n, 2 * n) and got.over <= 0 and math.isclose(got.target, 2 * n)
 
 
 def test_mix(spark):
@@ -318,7 +344,7 @@ def test_mix(spark):
     for _, t, s in rows:
         size[s] += len(WORD.findall(t or ""))
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, source_mix.targets([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 3), strict=True))
+    want = dict(zip(order, brute_targets([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 3), strict=True))
     taken = defaultdict(int)
     source = {i: s for i, _, s in rows}
     for r in got:
