@@ -34,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,9 @@ from sparkwright.llm import storage
 from sparkwright.llm import textops as tx
 
 U64 = np.uint64
-BEGIN, END = tx.constants(2, 81)
+#: words are known by 64 bits of hash; within n-grams the first 48 of them stand for a word
+SHORT = U64(16)
+BEGIN, END = tx.constants(2, 81)[0] >> SHORT, tx.constants(2, 81)[1]
 _PAIR, _CONTEXT, _LEFT = tx.constants(2, 82), tx.constants(2, 83), tx.constants(2, 84)
 NONE = np.zeros(0, U64)
 
@@ -94,19 +97,19 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def back(ids: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """The token ``n`` places before each token; ``BEGIN`` before a text."""
-    out = np.full(len(ids), BEGIN)
+def back(ids: np.ndarray, bounds: np.ndarray, n: int, begin=BEGIN) -> np.ndarray:
+    """The token ``n`` places before each token; ``begin`` before a text."""
+    out = np.full(len(ids), begin)
     out[n:] = ids[: max(0, len(ids) - n)]
     for i in range(n):
         at = bounds[:-1] + i
-        out[at[at < bounds[1:]]] = BEGIN
+        out[at[at < bounds[1:]]] = begin
     return out
 
 
 def contexts(ids: np.ndarray, bounds: np.ndarray, levels: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each level from two on, the hash of the words before each token that it looks at."""
-    out = back(ids, bounds, 1)
+    out = tx.mix(back(ids, bounds, 1))
     yield 2, out
     for k in range(3, levels + 1):
         out = tx.mix(out * _CONTEXT[0] + back(ids, bounds, k - 1) * _CONTEXT[1])
@@ -114,7 +117,7 @@ def contexts(ids: np.ndarray, bounds: np.ndarray, levels: int) -> Iterator[tuple
 
 
 def all_begin(level: int) -> np.uint64:
-    return [c for _, c in contexts(np.array([END]), np.array([0, 1]), level)][-1][0]
+    return [c for _, c in contexts(np.zeros(1, U64), np.array([0, 1]), level)][-1][0]
 
 
 def pair_id(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -153,6 +156,10 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
+def _compact(x: np.ndarray) -> np.ndarray:
+    return x if x.dtype == U64 else _small(x)
+
+
 def _runs(key: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
     new = np.ones(len(key), bool)
@@ -181,11 +188,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _blob(kind: str, shard: int, *arrays: np.ndarray) -> tuple:
-    return kind, int(shard), None, pickle.dumps(arrays, 5), None
+    return kind, int(shard), None, _pack(*arrays), None
 
 
-def _blobs(frame: pa.Table) -> list[tuple]:
-    return [pickle.loads(x) for x in frame.column("blob").to_pylist()]
+def _blobs(frame: pa.Table) -> list[list[np.ndarray]]:
+    return [_unpack(x) for x in frame.column("blob").to_pylist()]
 
 
 def _signed(x) -> int:
@@ -222,6 +229,22 @@ def _level(ids: np.ndarray, bounds: np.ndarray, level: int, order: int) -> tuple
     return context, pair, left, pair if left is None else left_id(pair, left)
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns by byte planes; most high bytes of codes and counts are zero."""
+    parts = []
+    for x in map(_compact, columns):
+        parts.append((x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()))
+    return zstandard.compress(pickle.dumps(parts, 5), 1)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    out = []
+    for kind, planes in pickle.loads(zstandard.decompress(blob)):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel())
+    return out
+
+
 def _hot_keys(texts: DataFrame, size: int, shards: int, p: Params) -> dict[int, Hot]:
     """Keys of more than a quarter of a shard's rows in a sample; four a shard, level and kind at most."""
     want = max(p.sample_tokens, 64 * shards)
@@ -231,7 +254,7 @@ def _hot_keys(texts: DataFrame, size: int, shards: int, p: Params) -> dict[int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, bounds in _chunks(batches, p):
             for level in range(2, p.order + 1):
-                context, pair, left, whole = _level(ids, bounds, level, p.order)
+                context, pair, left, whole = _level(ids >> SHORT, bounds, level, p.order)
                 one = np.unique(whole, return_index=True)[1]
                 out = [("all", NONE[:1], np.array([len(one)]))]
                 for kind, key in (("context", context[one]), *([("pair", pair[one])] if left is not None else [])):
@@ -249,42 +272,61 @@ def _hot_keys(texts: DataFrame, size: int, shards: int, p: Params) -> dict[int,
     return {k: Hot(*(np.sort(_unsigned([r["key"] for r in found if r["level"] == k and r["kind"] == kind])) for kind in ("context", "pair"))) for k in range(2, p.order + 1)}
 
 
+def _level_of(word: np.ndarray, columns: list[np.ndarray], level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Context, pair and left word of rows of codes: the words of the context, the word, the left word below the order."""
+    context = tx.mix(word[columns[level - 2]])
+    for x in columns[: level - 2][::-1]:
+        context = tx.mix(context * _CONTEXT[0] + word[x] * _CONTEXT[1])
+    return context, pair_id(context, word[columns[level - 1]]), word[columns[level]] if len(columns) > level else None
+
+
 def _count(texts: DataFrame, level: int, shards: int, hot: Hot, p: Params) -> DataFrame:
     """Blocks of the rows of one level, by shard; at the order itself the word counts too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, bounds in _chunks(batches, p):
-            word, code = np.unique(ids, return_inverse=True)
+            word, code, n = np.unique(ids, return_inverse=True, return_counts=True)
             if level == p.order:
-                n = np.bincount(code)
-                begin = _runs(at := shard_of(word, shards))
-                cuts = np.append(begin, len(word))
-                yield _rows([_blob("words", at[a], word[a:b], _small(n[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            context, pair, left, whole = _level(ids, bounds, level, p.order)
+                cuts = np.append(_runs(at := shard_of(word, shards)), len(word))
+                yield _rows([_blob("words", at[a], word[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            # frequent words get small codes; BEGIN, which no word has as its id, gets the last
+            order = np.argsort(-n)
+            rank = np.empty(len(word), np.int64)
+            rank[order] = np.arange(len(word))
+            word, code = np.append(word[order] >> SHORT, BEGIN), rank[code]
+            columns = [back(code, bounds, k, len(word) - 1) for k in range(level - 1, 0, -1)] + [code]
+            if level < p.order:
+                columns.append(back(code, bounds, level, len(word) - 1))
+            bits = len(word).bit_length()
+            if bits * len(columns) < 64:
+                whole = columns[0].astype(U64)
+                for x in columns[1:]:
+                    whole = whole << U64(bits) | x.astype(U64)
+            else:
+                whole = _level(ids >> SHORT, bounds, level, p.order)[3]
             order = np.argsort(whole)
             begin = _runs(whole[order])
             one, n = order[begin], _lengths(begin, len(order))
-            place = placed(hot, context[one], pair[one], None if left is None else left[one])
-            order = np.argsort(place)
-            place, one, n = place[order], one[order], n[order]
-            context, code = context[one], code[one]
-            if left is not None:
-                # the first words of a text have BEGIN to their left, which no word has as its id
-                word = np.append(word, BEGIN)
-                rank = np.argsort(word)
-                left_code = rank[np.searchsorted(word, left[one], sorter=rank)]
+            columns = [x[one] for x in columns]
+            context, pair, left = _level_of(word, columns, level)
+            at = shard_of(placed(hot, context, pair, left), shards)
+            order = np.argsort(at.astype(np.min_scalar_type(shards)), kind="stable")
+            at, n, columns = at[order], n[order], [x[order] for x in columns]
             seen, local = np.zeros(len(word), bool), np.zeros(len(word), np.int64)
-            cuts, out, held = np.append(_runs(at := shard_of(place, shards)), len(place)), [], 0
+            cuts, out, held = np.append(_runs(at), len(at)), [], 0
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                parts = [code[a:b]] if left is None else [code[a:b], left_code[a:b]]
-                for x in parts:
-                    seen[x] = True
+                for x in columns:
+                    seen[x[a:b]] = True
                 used = np.flatnonzero(seen)
                 seen[used] = False
                 local[used] = np.arange(len(used))
-                begin = _runs(context[a:b])
-                block = [context[a:b][begin], _small(_lengths(begin, b - a)), word[used], *(_small(local[x]) for x in parts)]
-                out.append(_blob("grams", at[a], *block, _small(n[a:b]) if left is None else NONE))
+                own = [local[x[a:b]] for x in columns]
+                new = np.ones(b - a, bool)
+                new[1:] = False
+                for x in own[: level - 1]:
+                    new[1:] |= x[1:] != x[:-1]
+                begin = np.flatnonzero(new)
+                out.append(_blob("grams", at[a], word[used], _lengths(begin, b - a), *(x[begin] for x in own[: level - 1]), *own[level - 1 :], *([n[a:b]] if level == p.order else [])))
                 held += len(out[-1][3])
                 if held > 1 << 22:
                     yield _rows(out)
@@ -296,7 +338,7 @@ def _count(texts: DataFrame, level: int, shards: int, hot: Hot, p: Params) -> Da
 
 def _directory(key: np.ndarray) -> list[np.ndarray]:
     """Sorted 64-bit keys as the start of each bucket of leading bits, and the next 32 bits of each key."""
-    bits = max(1, int(len(key)).bit_length() - 2)
+    bits = max(1, int(len(key)).bit_length() - 3)
     bucket = key >> U64(64 - bits)
     start = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=U64))
     return [start.astype("<u4"), ((key << U64(bits)) >> U64(32)).astype("<u4")]
@@ -326,16 +368,20 @@ def _merge(folder: str, level: int, hot: Hot, p: Params):
     first = all_begin(level)
 
     def grams(shard: int, parts: list[tuple]) -> list[tuple]:
-        context = np.concatenate([np.repeat(x[0], x[1]) for x in parts])
-        word = np.concatenate([x[2][x[3]] for x in parts])
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        while parts:
+            words, runs, *columns = parts.pop()
+            context = _level_of(words, [*columns[: level - 1], np.zeros(len(runs), np.int64)], level)[0]
+            found[0].append(np.repeat(context, runs))
+            found[1].append(words[columns[level - 1]])
+            found[2].append(words[columns[level]] if level < p.order else columns[level].astype(np.int64))
+        context, word, last = (np.concatenate(found.pop(0)) for _ in range(3))
         pair = pair_id(context, word)
         if level == p.order:
-            n = np.concatenate([x[4].astype(np.int64) for x in parts])
+            n = last
         else:  # a left word counts once
-            whole = left_id(pair, np.concatenate([x[2][x[4]] for x in parts]))
-            one = np.unique(whole, return_index=True)[1]
+            one = np.unique(left_id(pair, last), return_index=True)[1]
             context, word, pair, n = context[one], word[one], pair[one], np.ones(len(one), np.int64)
-        parts.clear()
         order = np.argsort(pair)
         pair = pair[order]
         begin = _runs(pair)
@@ -355,32 +401,27 @@ def _merge(folder: str, level: int, hot: Hot, p: Params):
         name = _write(folder, f"level{level}", shard, [*_directory(pair), *_bytes_and_more(n), *_directory(u[listed]), *stats])
         out.append(("file", shard, name, None, [len(pair), *(int((n == i).sum()) for i in (1, 2, 3, 4))]))
         if level == 2:
-            out.append(_blob("follows", shard, *map(_compact, _add(word, np.ones(len(word), np.int64)))))
+            out.append(_blob("follows", shard, *_add(word, np.ones(len(word), np.int64))))
         return out
 
     def merge(block: pa.Table) -> pa.Table:
         shard, kind = block.column("shard")[0].as_py(), block.column("kind")[0].as_py()
         parts = _blobs(block)
         if kind == "words":
-            w, n = _add(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
-            return pa.Table.from_batches([_rows([_blob("words", shard, w, _small(n))])])
+            return pa.Table.from_batches([_rows([_blob("words", shard, *_add(*map(np.concatenate, zip(*parts, strict=True))))])])
         return pa.Table.from_batches([_rows(grams(shard, parts))])
 
     return merge
 
 
-def _compact(x: np.ndarray) -> np.ndarray:
-    return x if x.dtype == U64 else _small(x)
-
-
 def _deal_words(shards: int):
-    """Word counts and numbers of followed words, cut by the words' shards."""
+    """Word counts, and numbers of words that a (short) word follows, cut by the words' shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                word, n = pickle.loads(row["blob"])
-                cuts = np.append(_runs(at := shard_of(word, shards)), len(word))
+                word, n = _unpack(row["blob"])
+                cuts = np.append(_runs(at := shard_of(word if row["kind"] == "words" else word << SHORT, shards)), len(word))
                 yield _rows([_blob(row["kind"], at[a], word[a:b], n[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
 
     return run
@@ -389,13 +430,11 @@ def _deal_words(shards: int):
 def _merge_words(folder: str):
     def merge(block: pa.Table) -> pa.Table:
         shard, parts = block.column("shard")[0].as_py(), _blobs(block)
-        is_count = [k == "words" for k in block.column("kind").to_pylist()]
-        zero = lambda x: np.zeros(len(x), np.int64)
-        w, count, follows = _add(
-            np.concatenate([x[0] for x in parts]),
-            np.concatenate([x[1].astype(np.int64) if k else zero(x[1]) for x, k in zip(parts, is_count, strict=True)]),
-            np.concatenate([zero(x[1]) if k else x[1].astype(np.int64) for x, k in zip(parts, is_count, strict=True)]),
-        )
+        own = {k: [x for x, kind in zip(parts, block.column("kind").to_pylist(), strict=True) if kind == k] or [(NONE, NONE)] for k in ("words", "follows")}
+        w, count = _add(*map(np.concatenate, zip(*own["words"], strict=True)))
+        short, n = _add(*map(np.concatenate, zip(*own["follows"], strict=True)))
+        at, ok = known(w >> SHORT, short)
+        follows = np.where(ok, n[at] if len(n) else 0, 0)
         name = _write(folder, "words", shard, [w, _small(count), _small(follows)])
         sums = [int(count.sum()), int((count > 0).sum()), int(follows.sum()), *(int((follows == i).sum()) for i in (1, 2, 3, 4)), int((follows > 2).sum())]
         return pa.Table.from_batches([_rows([("file", shard, name, None, sums)])])
@@ -478,7 +517,7 @@ def train(docs: DataFrame, params: Params | None = None) -> Model:
                 ones[r["n"] - 1] += 1
         if level == 2 and pairs:
             word, n = _add(_unsigned([r["word"] for r in pairs]), np.ones(len(pairs), np.int64))
-            follows = [("follows", 0, None, bytearray(pickle.dumps((word, _small(n)), 5)), None)]
+            follows = [("follows", 0, None, bytearray(_pack(word, n)), None)]
         model.discount[level] = discounts(ones)
         _free(spark)
     words = kept[0].where("kind = 'words'").unionAll(kept[-1].where("kind = 'follows'")).unionAll(spark.createDataFrame(follows, ROWS))
@@ -606,6 +645,7 @@ def probabilities(model: Model, ids: np.ndarray, bounds: np.ndarray) -> tuple[np
     count, follows = (x[code] for x in word_stats(model, distinct))
     p = _off(follows, model.discount[1]) / max(1, model.pairs) + model.word_gamma / (model.types + 1)
     seen = count  # how often the n-gram that ends at each token occurs, one level below
+    ids = ids >> SHORT
     for level, context in contexts(ids, bounds, model.order):
         n, stats = level_stats(model, level, context, ids)
         # a context is an n-gram that ends one token earlier; where it is known but not listed it occurs once
