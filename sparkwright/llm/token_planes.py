@@ -40,6 +40,8 @@ class Params:
     block_ids: int = 1 << 16
     planes: str = "byte"  # or "bit"
     level: int = 3
+    #: text encoded at once; what a worker holds beside its remembered pieces is some sixty times this
+    slice_bytes: int = 1 << 18
     #: strings of special tokens in a text are ordinary text, so that no document can forge an id
     special_as_text: bool = True
 
@@ -78,7 +80,7 @@ class PieceEncoder:
     pieces is full, those that no second slice of texts had are forgotten.
     """
 
-    def __init__(self, path: str, special_as_text: bool, limit: int = 1 << 20) -> None:
+    def __init__(self, path: str, special_as_text: bool, limit: int = 1 << 19) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -352,7 +354,7 @@ def write(docs: DataFrame, folder: str, p: Params, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = out = None
         for batch in batches:
-            for at, part in tx.slices(batch.column(1)):
+            for at, part in tx.slices(batch.column(1), p.slice_bytes):
                 ids = batch.column(0).slice(at, len(part)).to_pylist()
                 if writer is None and ids:
                     context = TaskContext.get()
