@@ -7,7 +7,8 @@ alignment of an item with a text are an occurrence, and in an occurrence each
 parameter of the item must stand for one value throughout.  A template needs
 literal tokens; copies whose windows have too few of them (arithmetic, lists of
 names, title case) are found by a second hash of every window, over its
-lower-cased tokens as they are.
+lower-cased tokens as they are.  An item of fewer tokens than a template needs
+is found where its tokens make up whole sentences or lines of a text.
 
 Only windows that pass a bitmap of the benchmark's windows leave the scan; the
 bitmap has a fixed greatest size and is a filter only, the join decides.
@@ -57,8 +58,8 @@ class Params:
     max_bitmap_bits: int = 1 << 28
 
 
-def template(column: pa.Array) -> tuple[tx.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of each text, their kinds, template hashes and value hashes.
+def template(column: pa.Array) -> tuple[tx.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, their kinds, template hashes, value hashes, and which open a sentence or line.
 
     Tokens are runs of letters and digits; a point or comma between digits
     belongs to the number.  A capitalised word is a name unless it starts a
@@ -78,7 +79,7 @@ def template(column: pa.Array) -> tuple[tx.Words, np.ndarray, np.ndarray, np.nda
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     w = tx.Words(np.where(_UPPER[data], data + 32, data).astype(np.uint8), offsets, start, end, doc, first)
     value = tx.word_hashes(w)
-    kind = np.zeros(len(start), np.int8)
+    kind, opens = np.zeros(len(start), np.int8), np.ones(len(start), bool)
     if len(start):
         # accented capitals of two bytes: C3 80 to C3 9E
         high = np.append(data[1:], 0)
@@ -96,19 +97,27 @@ def template(column: pa.Array) -> tuple[tx.Words, np.ndarray, np.ndarray, np.nda
         after = np.concatenate([[False], kind[:-1] == NUMBER]) & np.concatenate([[False], doc[1:] == doc[:-1]])
         kind[after & (kind != NUMBER) & np.isin(value, units)] = UNIT
     slots = tx.constants(4, 61)
-    return w, kind, np.where(kind == LITERAL, value, slots[kind]), value
+    return w, kind, np.where(kind == LITERAL, value, slots[kind]), value, opens
 
 
 def _windows(column: pa.Array, sizes: list[int], min_literal: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each size, hash, document, place and token span: templates of windows with enough literals, then values of all windows."""
-    w, kind, token, value = template(column)
+    """For each size, hash, document, place and token span: templates of windows with enough literals, then values of all windows.
+
+    Windows too short for a template count if they begin and end with a sentence or line.
+    """
+    w, kind, token, value, opens = template(column)
     literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+    closes = np.append(opens[1:], True)
     for k in sizes:
-        h, at = tx.windows(token, w, k, seed=62)
-        ok = literal[at + k] - literal[at] >= min(k, min_literal)
-        h, at = h[ok], at[ok]
-        yield k, False, h + tx.U64(k), w.doc[at], at - w.first[w.doc[at]], at, kind, value
+        if k >= min_literal:
+            h, at = tx.windows(token, w, k, seed=62)
+            ok = literal[at + k] - literal[at] >= min_literal
+            h, at = h[ok], at[ok]
+            yield k, False, h + tx.U64(k), w.doc[at], at - w.first[w.doc[at]], at, kind, value
         h, at = tx.windows(value, w, k, seed=63)
+        if k < min_literal:
+            ok = opens[at] & closes[at + k - 1]
+            h, at = h[ok], at[ok]
         yield k, True, h + tx.U64(k), w.doc[at], at - w.first[w.doc[at]], at, kind, value
 
 
@@ -175,8 +184,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params | None = None)
     """One row for each document and item that it holds: doc_id, item_id, n_windows, item_windows, n_slots, consistent_slots.
 
     ``docs (doc_id, text)`` and ``benchmark (item_id, text)``.  Rows with a
-    null id or text match nothing, nor do items with fewer than ``min_literal``
-    tokens; repeated rows count once; other columns are ignored; where either
+    null id or text match nothing, nor do items without a token; an item of
+    fewer than ``min_literal`` tokens matches where they are whole sentences or
+    lines; repeated rows count once; other columns are ignored; where either
     table is empty so is the result.  An occurrence counts if enough of the
     item's templates are there and its slots are consistent, or if enough of
     its windows are there verbatim but for case; the numbers returned are of
@@ -185,7 +195,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params | None = None)
     """
     p = params or Params()
     spark = docs.sparkSession
-    sizes = list(range(p.min_literal, p.window + 1))
+    sizes = list(range(1, p.window + 1))
     items = benchmark.where("item_id is not null and text is not null")
     rows = window_rows(items, "item_id", sizes, p, only_own=True)
     known = storage.keep(rows.groupBy("item_id", "hash", "verbatim", "place").agg(F.first("kinds").alias("kinds"), F.first("vals").alias("vals")), "templates")

@@ -243,6 +243,16 @@ def test_url_rules(spark):
     # brute-force association rules over the labelled urls
     sets = {i: frozenset(t) for i, t in ((r.page_id, r.t) for r in df.select("page_id", url_rules.tokens(F.coalesce("url", F.lit("")), url_rules.host(F.col("url")), url_rules.path(F.col("url"))).alias("t")).collect())}
     labelled = [(sets[i], by_id[i].verdict) for i in range(len(urls)) if by_id[i].rule] + ([(sets[0], by_id[0].verdict)] if by_id[0].rule else [])
+    # tokens of exactly the same labelled urls count as the least of them
+    where = defaultdict(set)
+    for k, (s, _) in enumerate(labelled):
+        for t in s:
+            where[t].add(k)
+    least = {t: min(x for x in where if where[x] == where[t]) for t in where if len(where[t]) >= URL_RULES.min_support * len(labelled)}
+    same = url_rules.bundles(spark.createDataFrame([(list(s),) for s, _ in labelled], "tokens array<string>"), URL_RULES)
+    assert same == {t: x for t, x in least.items() if sum(y == x for y in least.values()) > 1}
+    sets = {i: frozenset(least.get(t, t) for t in s) for i, s in sets.items()}
+    labelled = [(frozenset(least.get(t, t) for t in s), y) for s, y in labelled]
     mined = url_rules.mine(spark.createDataFrame([(list(s), y) for s, y in labelled], "tokens array<string>, label string"), URL_RULES).collect()
     assert mined
     for m in mined:
@@ -259,6 +269,17 @@ def test_url_rules(spark):
     assert {r.by for r in url_rules.judge(df.where("url like '%net%'"), URL_RULES).collect()} == {"default"}
 
 
+def test_url_rules_of_long_common_paths(spark, monkeypatch):
+    """Many segments that always stand together are mined as one; without a broadcast the rows are the same."""
+    path = "/".join(f"part{k}" for k in range(40))
+    urls = [f"http://site{i}.{'com/de' if i % 2 else 'com/fr'}/{path if i % 2 else 'x'}/{i}" for i in range(60)] + [f"http://other.net/{path}/{i}" for i in range(20)] + ["http://other.net/part7"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(url_rules.judge(df, URL_RULES).collect())
+    assert [r.verdict for r in got] == ["block" if i % 2 else "allow" for i in range(60)] + ["block"] * 21
+    monkeypatch.setattr(url_rules, "MAX_BROADCAST", 0)
+    assert sorted(url_rules.judge(df, URL_RULES).collect()) == got
+
+
 def test_language(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -492,6 +513,80 @@ def test_copies_without_literals_are_found(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()} == {3, 4}
 
 
+def test_short_items_are_found_as_sentences(spark):
+    texts = ["Sums. 12 + 7 = ? More.", "12 and 7 are numbers", "a 12 + 7 = ?", "x\n12 + 7 =\ny", "12 + 7 + 1", None, "", "paris", "Go to Paris!"]
+    bench = spark.createDataFrame([(0, "12 + 7 = ?"), (1, "Paris"), (2, "?!"), (3, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 0), (3, 0), (7, 1)}
+
+
+TOKEN = re.compile(r"(?:[0-9A-Za-z\u0080-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+")
+
+
+def brute_matches(texts, items, p):
+    """Occurrences by comparing every window of every text with every window of every item."""
+
+    def parse(text):
+        out, before = [], None
+        for m in TOKEN.finditer(text):
+            word = m[0]
+            opens = before is None or any(c in ".!?:\n" for c in text[before : m.start()])
+            capitals, kind = sum("A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" for c in word), ""
+            first = "A" <= word[0] <= "Z" or "\u00c0" <= word[0] <= "\u00de"
+            if word[0].isascii() and word[0].isdigit():
+                kind = "#"
+            elif out and out[-1][1] == "#" and low(word) in decontaminate.UNITS:
+                kind = "U"
+            elif first and not opens and (capitals < len(word) or len(word) < 2):
+                kind = "N"
+            out.append((low(word), kind))
+            before = m.end()
+        return out
+
+    found = set()
+    parsed = [parse(t) for t in items]
+    for i, text in enumerate(texts):
+        t = parse(text or "")
+        for j, item in enumerate(parsed):
+            k = min(p.window, len(item))
+            if k < p.min_literal:
+                continue
+            windows = range(len(item) - k + 1)
+            shape = lambda x: tuple(w if not kind else kind for w, kind in x)
+            rich = [q for q in windows if sum(not kind for _, kind in item[q : q + k]) >= p.min_literal]
+            for shift in range(-len(item), len(t)):
+                here = [q for q in windows if 0 <= q + shift <= len(t) - k]
+                templated = [q for q in here if q in rich and shape(item[q : q + k]) == shape(t[q + shift : q + shift + k])]
+                same = [q for q in here if [w for w, _ in item[q : q + k]] == [w for w, _ in t[q + shift : q + shift + k]]]
+                slots = defaultdict(set)
+                for q in templated:
+                    for x, y in zip(item[q : q + k], t[q + shift : q + shift + k], strict=True):
+                        if x[1]:
+                            slots[x].add(y[0])
+                enough = lambda n, of: n and n >= min(p.min_windows, math.ceil(of * p.min_share))
+                steady = sum(len(v) == 1 for v in slots.values()) >= p.min_consistent * len(slots)
+                if (enough(len(templated), len(rich)) and steady) or enough(len(same), len(windows)):
+                    found.add((i, j))
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = ["the", "boat", "sails", "past", "old", "mill", "Anna", "Carl", "12", "7", "3.5", "km", "hours", "and", "then", "É", "why"]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", ".", ","]) for _ in range(n))
+    items = [sentence(rng.randint(4, 30)) for _ in range(25)]
+    texts = [None, ""]
+    for item in items:
+        words = item.split(" ")
+        for change in range(4):
+            new = [rng.choice(["5", "9", "40"]) if w in ("12", "7") and change == 1 else rng.choice(vocabulary) if change == 2 and rng.random() < 0.15 else w for w in words]
+            texts.append(sentence(12) + " " + " ".join(new[rng.randint(0, 3) :]) + " " + sentence(12))
+    p = decontaminate.Params()
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs_of(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = brute_matches(texts, items, p)
+    assert got == want and len(want) > 40
+
+
 def test_values_do_not_hide_a_template(spark):
     """Windows without literals neither raise the number of templates needed nor make slots inconsistent."""
     item = "the old harbour had 7 boats and each boat held 7 men " + " ".join(map(str, range(100, 140)))
@@ -512,7 +607,7 @@ def test_inconsistent_slots_are_no_match(spark):
 
 
 def test_templates():
-    w, kind, _, _ = decontaminate.template(pa.array(["Anna saw 3.5 km, then Bob PAID 1,000 dollars. Carl left", None, "Éva met Éva"]))
+    w, kind, *_ = decontaminate.template(pa.array(["Anna saw 3.5 km, then Bob PAID 1,000 dollars. Carl left", None, "Éva met Éva"]))
     words = [bytes(w.data[a:b]).decode() for a, b in zip(w.start, w.end, strict=True)]
     assert words[:6] == ["anna", "saw", "3.5", "km", "then", "bob"]
     names = {0: "", 1: "#", 2: "N", 3: "U"}
