@@ -19,17 +19,20 @@ def active(findings: DataFrame) -> DataFrame:
     return findings.where(~F.col("status").eqNullSafe("dismissed"))
 
 
-def health(findings: DataFrame, affected_ratio: Column | None = None) -> DataFrame:
-    """A score for each pillar with findings and overall: 100 less the penalty's part of the budget, re-weighted over scored pillars.
+def health(findings: DataFrame, pillars: DataFrame, affected_ratio: Column | None = None) -> DataFrame:
+    """A score for each pillar that has data and overall: 100 less the penalty's part of the budget, re-weighted over scored pillars.
 
-    One aggregation; a pillar without data is null, not 100.
+    ``pillars (run_id, pillar)`` says which pillars of a run have data; one
+    without findings scores 100, one without data is null whatever was found.
+    ``affected_ratio`` is kept between 0 and 1; a null one counts as 1.  A run
+    in either table gives a row.
     """
-    ratio = F.lit(1.0) if affected_ratio is None else affected_ratio
+    ratio = F.lit(1.0) if affected_ratio is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(affected_ratio, F.lit(1.0))))
     weight = E.lookup(F.col("severity"), E.SEVERITY_WEIGHT, 0.0) * ratio
     sums = active(findings).groupBy("run_id").agg(*[F.sum(F.when(F.col("pillar") == p, weight)).alias(p) for p in PILLARS])
-    # greatest and least skip nulls, so a pillar without findings is kept null by hand
-    score = lambda p: F.when(F.col(p).isNotNull(), E.js_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - F.col(p) / E.HEALTH_BUDGET))), 1))
-    scored = sums.select("run_id", *[score(p).alias(p) for p in PILLARS])
+    data = pillars.groupBy("run_id").agg(*[F.coalesce(F.bool_or(F.col("pillar") == p), F.lit(False)).alias(f"has_{p}") for p in PILLARS])
+    score = lambda p: F.when(F.col(f"has_{p}"), E.js_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - F.coalesce(p, F.lit(0.0)) / E.HEALTH_BUDGET))), 1))
+    scored = data.join(sums, "run_id", "full_outer").select("run_id", *[score(p).alias(p) for p in PILLARS])
     total = sum((F.coalesce(F.col(p) * w, F.lit(0.0)) for p, w in E.PILLAR_WEIGHT.items()), F.lit(0.0))
     weights = sum((F.when(F.col(p).isNotNull(), w).otherwise(0.0) for p, w in E.PILLAR_WEIGHT.items()), F.lit(0.0))
     return scored.withColumn("overall", F.when(weights > 0, E.js_round(total / weights, 1)))

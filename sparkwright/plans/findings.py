@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sparkwright.functions import expr as E
 from sparkwright.operators import findings as O
 from sparkwright.operators import log as L
+from sparkwright.operators import probes as P
+from sparkwright.plans import probes as probe_plans
+from sparkwright.plans.serp import aio_rates
 from sparkwright.sources.bindings import Bound, ctes
 
 BASE, RETEST = 1995, 1996
@@ -20,7 +23,7 @@ def per_site(b: Bound) -> DataFrame:
 
 
 def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.health(per_site(Bound(spark, sf_dir)))
+    return O.health(per_site(Bound(spark, sf_dir)), pillars_with_data(spark, sf_dir))
 
 
 def active_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,16 +249,19 @@ def metric_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State counts of a retest, and two AI-overview rates for neighbouring runs with one-sided rows kept."""
-    from sparkwright.plans.serp import aio_rates
-
+    """State counts of a retest, and, for neighbouring runs with one-sided rows kept, health, unbranded presence and two AI-overview rates."""
+    b = Bound(spark, sf_dir)
     states = finding_delta_summary(spark, sf_dir).select(F.lit(RETEST).cast("long").alias("run_id"), F.concat(F.lit("findings."), "state").alias("metric"), F.lit(None).cast("long").alias("baseline"), F.col("n").alias("retest"), F.lit(None).cast("long").alias("delta"))
-    r = aio_rates(spark, sf_dir)
-    old = r.select((F.col("run_id") + 1).alias("run_id"), F.col("present_rate").alias("p0"), F.col("owned_rate").alias("o0"))
-    x = old.join(r, "run_id", "full_outer")
-    present = x.select("run_id", *O.ratio_row("aio.present_rate", F.col("p0"), F.col("present_rate")))
-    owned = x.select("run_id", *O.ratio_row("aio.owned_cited_rate", F.col("o0"), F.col("owned_rate")))
-    return states.unionByName(present.unionByName(owned).where("baseline is not null or retest is not null"))
+    health = O.health(b.findings, b.findings.select("run_id", "pillar"))
+    a = probe_plans.Answers(spark, sf_dir)
+    probe = P.unbranded_presence(P.prompt_presence(a.parsed, a.prompts)).select("run_id", (F.col("present") / F.col("total")).alias("ratio"))
+    aio = aio_rates(spark, sf_dir)
+    parts = ((health, "overall", "health.overall", 0.01), (probe, "ratio", "probe.unbranded_presence", 1.0), (aio, "present_rate", "aio.present_rate", 1.0), (aio, "owned_rate", "aio.owned_cited_rate", 1.0))
+    for table, column, metric, unit in parts:
+        now = table.select("run_id", (F.col(column) * unit).alias("p1"))
+        x = table.select((F.col("run_id") + 1).alias("run_id"), (F.col(column) * unit).alias("p0")).join(now, "run_id", "full_outer")
+        states = states.unionByName(x.select("run_id", *O.ratio_row(metric, F.col("p0"), F.col("p1"))).where("baseline is not null or retest is not null"))
+    return states
 
 
 QUERIES = (
@@ -281,11 +287,22 @@ _FRESH = f"select artifact_key, cast(date_diff('day', verified_on, date '{TODAY}
 _REFS = ", refs as (select run_id, finding_id, case when finding_id % 13 = 0 then [] when finding_id % 5 = 0 then [finding_id, finding_id * 2] else [finding_id, finding_id * 2, finding_id * 3] end as refs from b_findings)"
 _Q = "case when priority in ('quick_win', 'strategic', 'fill_in', 'low') then priority else 'fill_in' end"
 _QR = "case {p} when 'quick_win' then 0 when 'strategic' then 1 when 'fill_in' then 2 when 'low' then 3 else {e} end"
-_PIL = ", ".join(f"case when count(*) filter (pillar = '{p}') > 0 then floor(greatest(0::double, least(100::double, 100 * (1 - sum({_W}) filter (pillar = '{p}') / 12))) * 10 + 0.5) / 10 end as {p}" for p in O.PILLARS)
+_DATA = "select * from (select run_id, case type when 'view' then 'P1' when 'click' then 'P2' when 'signup' then 'P3' when 'purchase' then 'P4' else 'P5' end as pillar from b_evidence union select cast(fingerprint as bigint), pillar from b_findings) where pillar <> 'P4' or run_id % 2 = 0"
+
+
+def _health_sql(findings: str, data: str) -> str:
+    """One row a run and pillar first, so that the penalty and what has data meet in a join; then pillars side by side."""
+    sides = ", ".join(f"max(score) filter (pillar = '{p}') as {p}" for p in O.PILLARS)
+    return f"""pd as ({data}), pw as (select run_id, pillar, sum({_W}) as w from {findings} group by all),
+ps as (select k.run_id, q.pillar, case when pd.pillar is not null then floor(greatest(0::double, least(100::double, 100 * (1 - coalesce(pw.w, 0) / 12))) * 10 + 0.5) / 10 end as score
+  from (select run_id from pd union select run_id from {findings}) k cross join (select unnest([{', '.join(f"'{p}'" for p in O.PILLARS)}]) as pillar) q left join pd on pd.run_id = k.run_id and pd.pillar = q.pillar left join pw on pw.run_id = k.run_id and pw.pillar = q.pillar),
+ph as (select run_id, {sides} from ps group by run_id)"""
+
+
 _TOT = " + ".join(f"coalesce({p} * {w}::double, 0)" for p, w in E.PILLAR_WEIGHT.items())
 _WS = " + ".join(f"case when {p} is null then 0::double else {w}::double end" for p, w in E.PILLAR_WEIGHT.items())
 ORACLES = {
-    "health_score": _SITE + f", h as (select run_id, {_PIL} from a group by run_id) select *, floor(({_TOT}) / ({_WS}) * 10 + 0.5) / 10 as overall from h",
+    "health_score": _SITE.replace(ctes("findings"), ctes("findings", "evidence")) + ", " + _health_sql("a", _DATA) + f" select *, floor(({_TOT}) / nullif({_WS}, 0) * 10 + 0.5) / 10 as overall from ph",
     "active_findings": _F + "select run_id, finding_id, rule_id, severity, status from b_findings where status <> 'dismissed'",
     "measured_findings": _F + "select run_id, finding_id, claim_type from b_findings where claim_type like 'measured%'",
     "finding_stat_records": _F + "select finding_id, rule_id, status from b_findings",
@@ -307,7 +324,7 @@ ORACLES = {
     "applied_progress": _R + _RR + f" select run_id, count(*) filter ({_G}) as gated, count(*) filter ({_G} and applied) as applied, cast(floor(count(*) filter ({_G} and applied)::double / count(*) filter ({_G}) * 100 + 0.5) as bigint) as percent from rr group by run_id",
     "report_counts": _R + _RR + f" select run_id, findings, dismissed, coalesce(recommendations, 0) as recommendations, coalesce(gated, 0) as gated from (select run_id, count(*) filter (status <> 'dismissed') as findings, count(*) filter (status = 'dismissed') as dismissed from b_findings group by run_id) left join (select run_id, count(*) as recommendations, count(*) filter ({_G}) as gated from rr group by run_id) using (run_id)",
     "constraint_locator": _SITE + " select run_id, case when count(*) filter (pillar = 'P1' and severity = 'high') > 0 then 'systemic_basics' when count(*) filter (pillar = 'P3') = 0 then 'visibility_data_missing' when count(*) filter (pillar = 'P3') >= 3 and count(*) filter (pillar in ('P4', 'P5')) >= 2 then 'authority_content' else 'fine_tuning' end as kind from a group by run_id",
-    "pillars_with_data": ctes("findings", "evidence") + "select * from (select run_id, case type when 'view' then 'P1' when 'click' then 'P2' when 'signup' then 'P3' when 'purchase' then 'P4' else 'P5' end as pillar from b_evidence union select cast(fingerprint as bigint), pillar from b_findings) where pillar <> 'P4' or run_id % 2 = 0",
+    "pillars_with_data": ctes("findings", "evidence") + _DATA,
     "report_level": ctes("sources") + """, x as (select run_id, bool_or(source_key = 'crawl' and (status = 'collected' or (status = 'partial' and captured > 0))) as crawl, bool_or(source_key = 'gsc' and status = 'collected') as gsc,
  bool_or(source_key = 'dataforseo' and status = 'collected') as market, bool_or(source_key = 'ai_probe' and status = 'collected') as ai, coalesce(string_agg(source_key, ',' order by source_key) filter (status <> 'collected'), '') as gaps from b_sources group by run_id)
 select run_id, case when crawl and gsc and market and run_id % 4 > 0 and ai and run_id % 3 > 0 then 'R4' when crawl and gsc and market and run_id % 4 > 0 then 'R3' when crawl and gsc then 'R2' when crawl then 'R1' else 'R0' end as level, gaps from x""",
@@ -327,10 +344,12 @@ select run_id, case when crawl and gsc and market and run_id % 4 > 0 and ai and
     "share_expired": "select event_id, case event_id % 5 when 0 then false when 1 then true else date_trunc('second', ts) <= timestamp '2024-01-15 00:00:00' end as expired from events",
     "retest_gsc_metric": ctes("gsc", "labs") + "select run_id, cast(sum(impressions) as bigint) as impressions, round(avg(avg_pos), 6) as position from b_gsc where query_id in (select keyword_id from b_labs where intent = 'commercial') group by run_id",
     "metric_pairs": ctes("gsc") + ", g as (select query_id, page_id % 3 as run_id, cast(sum(impressions) as bigint) as impressions from b_gsc group by all) select n.query_id, n.run_id, o.impressions as baseline, n.impressions as retest from g n join g o on o.query_id = n.query_id and o.run_id = n.run_id - 1",
-    "retest_rows": ctes("findings", "aio") + _DELTA + f""", r as (select run_id, round(count(*) filter (measured and present)::double / nullif(count(*) filter (measured), 0), 6) as p, round(count(*) filter (measured and present and owned)::double / nullif(count(*) filter (measured and present), 0), 6) as o from b_aio group by run_id),
-x as (select coalesce(n.run_id, b.run_id + 1) as run_id, b.p as p0, n.p as p1, b.o as o0, n.o as o1 from r n full join r b on n.run_id = b.run_id + 1),
-y as (select run_id, 'aio.present_rate' as metric, p0 as a, p1 as b from x union all select run_id, 'aio.owned_cited_rate', o0, o1 from x),
-z as (select run_id, metric, cast(floor(a * 100 + 0.5) as bigint) as baseline, cast(floor(b * 100 + 0.5) as bigint) as retest from y)
+    "retest_rows": probe_plans._P + ", " + ctes("findings", "aio").removeprefix("with recursive ").rstrip() + _DELTA + probe_plans._PRES + ", " + _health_sql("(select * from b_findings where status <> 'dismissed')", "select distinct run_id, pillar from b_findings") + f""",
+m as (select run_id, 'aio.present_rate' as metric, round(count(*) filter (measured and present)::double / nullif(count(*) filter (measured), 0), 6) as v from b_aio group by run_id
+  union all select run_id, 'aio.owned_cited_rate', round(count(*) filter (measured and present and owned)::double / nullif(count(*) filter (measured and present), 0), 6) from b_aio group by run_id
+  union all select run_id, 'health.overall', 0.01::double * (floor(({_TOT}) / nullif({_WS}, 0) * 10 + 0.5) / 10) from ph
+  union all select run_id, 'probe.unbranded_presence', count_if(present)::double / count(*) from pres where not branded group by run_id),
+z as (select coalesce(n.run_id, b.run_id + 1) as run_id, coalesce(n.metric, b.metric) as metric, cast(floor(b.v * 100 + 0.5) as bigint) as baseline, cast(floor(n.v * 100 + 0.5) as bigint) as retest from m n full join m b on n.run_id = b.run_id + 1 and n.metric = b.metric)
 select run_id, metric, baseline, retest, retest - baseline as delta from z where baseline is not null or retest is not null
 union all select cast({RETEST} as bigint), 'findings.' || state, null, count(*), null from d group by state""",
 }

@@ -77,9 +77,7 @@ BINDINGS = {
     "proposals": """select p_partkey as proposal_id, concat('R', cast(p_partkey % 64 as string)) as target, case p_partkey % 3 when 0 then 'stats' when 1 then 'freshness' else 'manual' end as source,
   case p_partkey % 4 when 0 then 'pending' when 1 then 'approved' when 2 then 'rejected' else 'released' end as status,
   case when p_partkey % 4 = 3 then concat('rules_v', cast(p_partkey % 13 + 1 as string)) end as version, case when p_partkey % 9 = 0 then '' else p_name end as evidence from {part}""",
-    "lab_audits": """select cast(l_suppkey % 5 as bigint) as run_id, concat('audit', cast(l_partkey % 23 as string)) as title, l_quantity * 100 as savings_ms, l_orderkey as audit_id from {lineitem} where l_linenumber = 1""",
-    # an audit for each line; the SQL of psi_clues and rule_t09b still reads lab_audits, the first lines only
-    "all_lab_audits": """select cast(l_suppkey % 5 as bigint) as run_id, concat('audit', cast(l_partkey % 23 as string)) as title, l_quantity * 100 as savings_ms, l_orderkey as audit_id from {lineitem}""",
+    "lab_audits": """select cast(l_suppkey % 5 as bigint) as run_id, concat('audit', cast(l_partkey % 23 as string)) as title, l_quantity * 100 as savings_ms, l_orderkey * 10 + l_linenumber as audit_id from {lineitem}""",
     "vitals": """select cast(s_suppkey as bigint) as run_id, s_suppkey * 61.0 as lcp_ms, s_suppkey * 5.0 as inp_ms, s_suppkey / 400.0 as cls, s_suppkey * 17.0 as ttfb_ms, s_suppkey % 3 <> 0 as has_field from {supplier}""",
     "presence": """select s_suppkey as run_id, s_suppkey % 4 = 0 as encyclopedia, s_suppkey % 7 as forum_mentions, s_suppkey % 5 as video_results, s_suppkey % 3 as review_sites, s_suppkey % 2 as review_results,
   s_suppkey % 6 = 0 as knowledge_panel, s_suppkey % 9 as bing_indexed, s_suppkey % 8 = 0 as llms_txt, s_suppkey % 5 = 0 as organisation, s_suppkey % 10 = 0 as same_as from {supplier}""",

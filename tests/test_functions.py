@@ -136,10 +136,28 @@ def test_html():
 
 
 def test_health(spark):
-    rows = [(1, "P1", "high", "open"), (1, "P2", "ok", "open"), (1, "P3", "high", "dismissed"), (2, "P1", "ok", "dismissed")]
-    got = {r.run_id: r for r in O.health(spark.createDataFrame(rows, "run_id long, pillar string, severity string, status string")).collect()}
-    assert got[1].P1 == 75.0 and got[1].P2 == 97.9 and got[1].P3 is None and got[1].overall == 84.2
-    assert 2 not in got
+    rows = [(1, "P1", "high", "open"), (1, "P2", "ok", "open"), (1, "P3", "high", "dismissed"), (2, "P1", "ok", "dismissed"), (3, "P5", "high", "open"), *[(4, "P1", "high", "open")] * 5]
+    data = [(1, "P1"), (1, "P2"), (1, "P4"), (2, "P1"), (4, "P1"), (4, "P2"), (5, "P3")]
+    df, pillars = spark.createDataFrame(rows, "run_id long, pillar string, severity string, status string"), spark.createDataFrame(data, "run_id long, pillar string")
+    got = {r.run_id: r for r in O.health(df, pillars).collect()}
+    assert (got[1].P1, got[1].P2, got[1].P3, got[1].P4) == (75.0, 97.9, None, 100.0)
+    assert got[2].P1 == got[2].overall == 100.0  # data, nothing found
+    assert got[3].overall is None and got[3].P5 is None  # found, but without data
+    assert got[4].P1 == 0.0 and got[4].P2 == 100.0  # never below zero
+    assert got[5].P3 == 100.0
+    half = O.health(df, pillars, F.lit(0.5)).where("run_id = 1").first()
+    assert half.P1 == 87.5 and O.health(df, pillars, F.lit(7.0)).where("run_id = 1").first().P1 == 75.0
+
+
+def test_guarded_writes(spark):
+    runs = spark.createDataFrame([(1, "cancelled"), (2, "collecting"), (3, "completed"), (4, "collecting"), (5, "completed")], "run_id long, status string")
+    changes = spark.createDataFrame([(1, "completed"), (2, "failed"), (3, "collecting"), (5, "failed"), (9, "completed")], "run_id long, status string")
+    assert {r.run_id: r.status for r in L.change_status(runs, changes).collect()} == {1: "cancelled", 2: "failed", 3: "completed", 4: "collecting", 5: "failed"}
+    stored = spark.createDataFrame([("a", 1, "manual"), ("b", 2, "heuristic"), ("c", 3, "heuristic")], "pattern string, representative long, source string")
+    new = spark.createDataFrame([("a", 7, "heuristic"), ("b", 8, "heuristic"), ("d", 9, "heuristic")], "pattern string, representative long, source string")
+    assert {tuple(r) for r in L.upsert_templates(stored, new, ["pattern"]).collect()} == {("a", 1, "manual"), ("b", 8, "heuristic"), ("c", 3, "heuristic"), ("d", 9, "heuristic")}
+    log = spark.createDataFrame([("k", 1, "x", False), ("k", 2, "y", True), ("m", 1, "z", True), ("m", 2, "w", False)], "key string, at long, value string, deleted boolean")
+    assert [tuple(r) for r in L.without_deleted(log, ["key"], F.col("at")).collect()] == [("m", 2, "w")]
 
 
 def test_delta_takes_the_last_of_equal_fingerprints(spark):
