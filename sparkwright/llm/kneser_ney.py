@@ -9,6 +9,10 @@ counts, and the sums of each context that occurs more than once (a known
 context that is not listed occurs once).  What a shard passes on is small:
 word counts, how many words each word follows, and partial sums of hot keys.
 
+Words travel as places in a list of frequent words, taken from the sample too,
+and only others as hashes, so that a row takes the same room however few of a
+chunk's rows go to one shard.
+
 Hot keys: contexts, and n-grams with very many left words, that would fill a
 large part of a shard by a sample of the texts, are spread over all shards and
 their partial sums are added up; the sample decides only where rows go, never
@@ -48,6 +52,8 @@ SHORT = U64(16)
 BEGIN, END = tx.constants(2, 81)[0] >> SHORT, tx.constants(2, 81)[1]
 _PAIR, _CONTEXT, _LEFT = tx.constants(2, 82), tx.constants(2, 83), tx.constants(2, 84)
 NONE = np.zeros(0, U64)
+#: the place that says that a word isn't in the list of frequent ones
+RARE = (1 << 16) - 1
 
 
 @dataclass(frozen=True)
@@ -56,7 +62,8 @@ class Params:
     shard_bytes: int = 12 << 20  # text whose n-grams meet in one task
     chunk_tokens: int = 3 << 19  # tokens counted at once in a task
     slice_bytes: int = 2 << 20
-    sample_tokens: int = 1 << 20  # the sample for hot keys holds at least so many, and 64 a shard
+    sample_tokens: int = 1 << 20  # the sample for hot keys and frequent words holds at least so many, and 64 a shard
+    frequent: int = RARE
 
 
 @dataclass
@@ -233,7 +240,7 @@ def _pack(*columns: np.ndarray) -> bytes:
     """Columns by byte planes; most high bytes of codes and counts are zero."""
     parts = []
     for x in map(_compact, columns):
-        parts.append((x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()))
+        parts.append((x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()))
     return zstandard.compress(pickle.dumps(parts, 5), 1)
 
 
@@ -245,14 +252,16 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _hot_keys(texts: DataFrame, size: int, shards: int, p: Params) -> dict[int, Hot]:
-    """Keys of more than a quarter of a shard's rows in a sample; four a shard, level and kind at most."""
+def _hot_keys(texts: DataFrame, size: int, shards: int, p: Params) -> tuple[dict[int, Hot], np.ndarray]:
+    """By a sample: keys of more than a quarter of a shard's rows, four a shard, level and kind at most; and the most frequent words."""
     want = max(p.sample_tokens, 64 * shards)
     fraction = min(1.0, 6.0 * want / max(1, size))
     sample = texts.sample(fraction, 7) if fraction < 1 else texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, bounds in _chunks(batches, p):
+            word, n = np.unique(ids >> SHORT, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int64)), pa.array(["word"] * len(n), pa.string()), pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["level", "kind", "key", "n"])
             for level in range(2, p.order + 1):
                 context, pair, left, whole = _level(ids >> SHORT, bounds, level, p.order)
                 one = np.unique(whole, return_index=True)[1]
@@ -267,20 +276,34 @@ def _hot_keys(texts: DataFrame, size: int, shards: int, p: Params) -> dict[int,
 
     counts = storage.keep(sample.select("text").mapInArrow(run, "level long, kind string, key long, n long").groupBy("level", "kind", "key").agg(F.sum("n").alias("n")), "sample")
     total = counts.where("kind = 'all'").select("level", F.greatest(F.lit(16), F.col("n") / (4 * shards)).alias("least"))
-    found = counts.where("kind <> 'all'").join(total, "level").where("n > least").collect()
+    found = counts.where("kind in ('context', 'pair')").join(total, "level").where("n > least").collect()
+    words = counts.where("kind = 'word'").orderBy(F.desc("n"), "key").limit(p.frequent).select("key").collect()
     storage.drop(counts)
-    return {k: Hot(*(np.sort(_unsigned([r["key"] for r in found if r["level"] == k and r["kind"] == kind])) for kind in ("context", "pair"))) for k in range(2, p.order + 1)}
+    frequent = _unsigned([r["key"] for r in words])
+    return {k: Hot(*(np.sort(_unsigned([r["key"] for r in found if r["level"] == k and r["kind"] == kind])) for kind in ("context", "pair"))) for k in range(2, p.order + 1)}, frequent
+
+
+def _context_of(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of contexts, given their words in order."""
+    context = tx.mix(words[-1])
+    for x in words[-2::-1]:
+        context = tx.mix(context * _CONTEXT[0] + x * _CONTEXT[1])
+    return context
 
 
-def _level_of(word: np.ndarray, columns: list[np.ndarray], level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Context, pair and left word of rows of codes: the words of the context, the word, the left word below the order."""
-    context = tx.mix(word[columns[level - 2]])
-    for x in columns[: level - 2][::-1]:
-        context = tx.mix(context * _CONTEXT[0] + word[x] * _CONTEXT[1])
-    return context, pair_id(context, word[columns[level - 1]]), word[columns[level]] if len(columns) > level else None
+def _coded(words: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Places in the list of frequent words, and the words that aren't there."""
+    return [place, words[place == RARE]]
+
+
+def _decoded(place: np.ndarray, rare: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    place = place.astype(np.int64)
+    out = np.append(frequent, U64(0))[np.minimum(place, len(frequent))]
+    out[place == RARE] = rare
+    return out
 
 
-def _count(texts: DataFrame, level: int, shards: int, hot: Hot, p: Params) -> DataFrame:
+def _count(texts: DataFrame, level: int, shards: int, hot: Hot, frequent, p: Params) -> DataFrame:
     """Blocks of the rows of one level, by shard; at the order itself the word counts too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,11 +312,14 @@ def _count(texts: DataFrame, level: int, shards: int, hot: Hot, p: Params) -> Da
             if level == p.order:
                 cuts = np.append(_runs(at := shard_of(word, shards)), len(word))
                 yield _rows([_blob("words", at[a], word[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            # frequent words get small codes; BEGIN, which no word has as its id, gets the last
-            order = np.argsort(-n)
+            # codes follow the list of frequent words, then come the others; BEGIN, which no word has as its id, gets the last
+            sorted_, at_ = np.sort(frequent.value), np.argsort(frequent.value)
+            at, ok = known(word >> SHORT, sorted_)
+            place = np.where(ok, at_[at] if len(at_) else 0, RARE)
+            order = np.argsort(place, kind="stable")
             rank = np.empty(len(word), np.int64)
             rank[order] = np.arange(len(word))
-            word, code = np.append(word[order] >> SHORT, BEGIN), rank[code]
+            word, place, code = np.append(word[order] >> SHORT, BEGIN), np.append(place[order], RARE), rank[code]
             columns = [back(code, bounds, k, len(word) - 1) for k in range(level - 1, 0, -1)] + [code]
             if level < p.order:
                 columns.append(back(code, bounds, level, len(word) - 1))
@@ -308,25 +334,21 @@ def _count(texts: DataFrame, level: int, shards: int, hot: Hot, p: Params) -> Da
             begin = _runs(whole[order])
             one, n = order[begin], _lengths(begin, len(order))
             columns = [x[one] for x in columns]
-            context, pair, left = _level_of(word, columns, level)
-            at = shard_of(placed(hot, context, pair, left), shards)
+            context = _context_of([word[x] for x in columns[: level - 1]])
+            pair = pair_id(context, word[columns[level - 1]])
+            at = shard_of(placed(hot, context, pair, word[columns[level]] if level < p.order else None), shards)
             order = np.argsort(at.astype(np.min_scalar_type(shards)), kind="stable")
             at, n, columns = at[order], n[order], [x[order] for x in columns]
-            seen, local = np.zeros(len(word), bool), np.zeros(len(word), np.int64)
             cuts, out, held = np.append(_runs(at), len(at)), [], 0
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                for x in columns:
-                    seen[x[a:b]] = True
-                used = np.flatnonzero(seen)
-                seen[used] = False
-                local[used] = np.arange(len(used))
-                own = [local[x[a:b]] for x in columns]
+                own = [x[a:b] for x in columns]
                 new = np.ones(b - a, bool)
                 new[1:] = False
                 for x in own[: level - 1]:
                     new[1:] |= x[1:] != x[:-1]
                 begin = np.flatnonzero(new)
-                out.append(_blob("grams", at[a], word[used], _lengths(begin, b - a), *(x[begin] for x in own[: level - 1]), *own[level - 1 :], *([n[a:b]] if level == p.order else [])))
+                own = [*(x[begin] for x in own[: level - 1]), *own[level - 1 :]]
+                out.append(_blob("grams", at[a], _lengths(begin, b - a), *(y for x in own for y in _coded(word[x], place[x])), *([n[a:b]] if level == p.order else [])))
                 held += len(out[-1][3])
                 if held > 1 << 22:
                     yield _rows(out)
@@ -364,17 +386,17 @@ def _write(folder: str, kind: str, shard: int, arrays: list[np.ndarray]) -> str:
     return name
 
 
-def _merge(folder: str, level: int, hot: Hot, p: Params):
+def _merge(folder: str, level: int, hot: Hot, frequent, p: Params):
     first = all_begin(level)
 
     def grams(shard: int, parts: list[tuple]) -> list[tuple]:
-        found: list[list[np.ndarray]] = [[], [], [], []]
+        found: list[list[np.ndarray]] = [[], [], []]
         while parts:
-            words, runs, *columns = parts.pop()
-            context = _level_of(words, [*columns[: level - 1], np.zeros(len(runs), np.int64)], level)[0]
-            found[0].append(np.repeat(context, runs))
-            found[1].append(words[columns[level - 1]])
-            found[2].append(words[columns[level]] if level < p.order else columns[level].astype(np.int64))
+            runs, *columns = parts.pop()
+            words = [_decoded(*columns[i : i + 2], frequent.value) for i in range(0, len(columns) - 1, 2)]
+            found[0].append(np.repeat(_context_of(words[: level - 1]), runs))
+            found[1].append(words[level - 1])
+            found[2].append(words[level] if level < p.order else columns[-1].astype(np.int64))
         context, word, last = (np.concatenate(found.pop(0)) for _ in range(3))
         pair = pair_id(context, word)
         if level == p.order:
@@ -494,13 +516,14 @@ def train(docs: DataFrame, params: Params | None = None) -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(least, -(-size // p.shard_bytes))
-    tasks = max(least, -(-shards // 2))
-    model = Model(storage.scratch(spark, "kneser-ney"), p.order, shards, hot=_hot_keys(docs, size, shards, p))
+    hot_keys, frequent = _hot_keys(docs, size, shards, p)
+    model = Model(storage.scratch(spark, "kneser-ney"), p.order, shards, hot=hot_keys)
+    frequent = spark.sparkContext.broadcast(frequent)
     kept, follows = [], []
     for level in range(p.order, 1, -1):
         hot = model.hot[level]
-        blocks = _count(docs, level, shards, hot, p).repartition(tasks, "shard")
-        merged = storage.keep(blocks.groupBy("kind", "shard").applyInArrow(_merge(model.folder, level, hot, p), ROWS), f"level{level}")
+        blocks = _count(docs, level, shards, hot, frequent, p).repartition(shards, "shard")
+        merged = storage.keep(blocks.groupBy("kind", "shard").applyInArrow(_merge(model.folder, level, hot, frequent, p), ROWS), f"level{level}")
         del blocks
         kept.append(merged)
         _, *ones = _settle(merged, model.folder)[:5]
@@ -521,7 +544,7 @@ def train(docs: DataFrame, params: Params | None = None) -> Model:
         model.discount[level] = discounts(ones)
         _free(spark)
     words = kept[0].where("kind = 'words'").unionAll(kept[-1].where("kind = 'follows'")).unionAll(spark.createDataFrame(follows, ROWS))
-    dealt = words.mapInArrow(_deal_words(shards), ROWS).repartition(tasks, "shard")
+    dealt = words.mapInArrow(_deal_words(shards), ROWS).repartition(shards, "shard")
     finished = storage.keep(dealt.groupBy("shard").applyInArrow(_merge_words(model.folder), ROWS), "words")
     model.tokens, model.types, model.pairs, *ones, more = _settle(finished, model.folder)
     model.discount[1] = d = discounts(ones)
