@@ -51,13 +51,17 @@ def finite_or_zero(x: Column) -> Column:
 # text
 
 
+def _quoted(term: str) -> str:
+    return _SPECIAL.sub(r"\\\1", term)
+
+
 def pattern(term: str) -> str:
     """A term as a regular expression with ASCII word boundaries at both ends.
 
     A boundary at an end that is not a word character needs a word character
     beside it, as ``\\b`` does.
     """
-    quoted = _SPECIAL.sub(r"\\\1", term)
+    quoted = _quoted(term)
     left = f"(?<!{WORD})" if re.match(WORD, term[0]) else f"(?<={WORD})"
     right = f"(?!{WORD})" if re.match(WORD, term[-1]) else f"(?={WORD})"
     return f"(?i){left}{quoted}{right}"
@@ -88,12 +92,31 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return out
 
 
+def _any(text: Column, words: Sequence[str], parts: Sequence[str]) -> Column:
+    """Whether any of ``words`` stands in the text as a whole word, or any of ``parts`` anywhere: one pattern for each kind."""
+    out = F.lit(False)
+    inner = [w for w in words if re.match(WORD, w[0]) and re.match(WORD, w[-1])]
+    if inner:
+        out = out | text.rlike(f"(?i)(?<!{WORD})(?:{'|'.join(map(_quoted, inner))})(?!{WORD})")
+    for w in words:
+        if w not in inner:
+            out = out | text.rlike(pattern(w))
+    if parts:
+        out = out | F.lower(text).rlike("|".join(_quoted(x.lower()) for x in parts))
+    return out
+
+
 def mentions_any(text: Column, terms: Sequence[str]) -> Column:
-    return any_of([mentions(text, t) for t in terms])
+    """``mentions`` of any of the terms."""
+    terms = [t for t in terms if t]
+    return _any(text, [t for t in terms if not _CJK.search(t)], [t for t in terms if _CJK.search(t)])
 
 
 def hits_any(text: Column, terms: Sequence[str], plain: str = "[a-z']+") -> Column:
-    return any_of([hits_term(text, t, plain) for t in terms])
+    """``hits_term`` of any of the terms."""
+    terms = [t for t in terms if t]
+    whole = [t for t in terms if re.fullmatch(plain, t, re.IGNORECASE) and not _CJK.search(t)]
+    return _any(text, whole, [t for t in terms if t not in whole])
 
 
 SENTENCE_END = "[.!?。！？；;\n]+"

@@ -7,6 +7,7 @@ adds what ``parse`` finds, ``prompts`` is (run_id, prompt_id, branded) and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,14 +17,15 @@ from sparkwright.functions import expr as E
 from sparkwright.functions.lexicons import WEB_SEARCH, Lexicon
 
 
-def sentiment(text: Column, brand: str, aliases: Sequence[str], lex: Lexicon) -> Column:
-    """comparison, else negative, else positive without a negation, over the sentences with the brand; else neutral."""
-    plain = "[a-z]+"
-    mine = F.filter(E.sentences(text), lambda s: E.hits_any(s, [brand, *aliases], plain))
+PLAIN = "[a-z]+"
+
+
+def sentiment(mine: Column, lex: Lexicon) -> Column:
+    """comparison, else negative, else positive without a negation, over ``mine``, the sentences with the brand; else neutral."""
     return (
-        F.when(F.exists(mine, lambda s: E.hits_any(s, lex.comparisons, plain)), "comparison")
-        .when(F.exists(mine, lambda s: E.hits_any(s, lex.negatives, plain)), "negative")
-        .when(F.exists(mine, lambda s: E.hits_any(s, lex.positives, plain) & ~E.hits_any(s, lex.negations, plain)), "positive")
+        F.when(F.exists(mine, lambda s: E.hits_any(s, lex.comparisons, PLAIN)), "comparison")
+        .when(F.exists(mine, lambda s: E.hits_any(s, lex.negatives, PLAIN)), "negative")
+        .when(F.exists(mine, lambda s: E.hits_any(s, lex.positives, PLAIN) & ~E.hits_any(s, lex.negations, PLAIN)), "positive")
         .otherwise("neutral")
     )
 
@@ -32,22 +34,24 @@ def parse(answers: DataFrame, brand: str, domain: str, aliases: Sequence[str] =
     """brand_present, competitors, sentiment, hedged and unknown_admission of each answer.
 
     Hedging counts in the brand's sentences, admissions anywhere.  A null text
-    counts as empty.
+    counts as empty.  Only answers with the brand are cut into sentences, once,
+    and only its sentences are looked at again.
     """
     lex = lex or Lexicon()
+    terms = [brand, *aliases]
     text = F.coalesce("answer_text", F.lit(""))
-    present = E.mentions_any(text, [brand, *aliases]) | F.contains(F.lower(text), F.lit(domain.lower().removeprefix("www.")))
+    present = E.mentions_any(text, terms) | F.contains(F.lower(text), F.lit(domain.lower().removeprefix("www.")))
     named = F.array_compact(F.array(*[F.when(E.mentions(text, c), F.lit(c)) for c in competitors])) if competitors else F.array().cast("array<string>")
-    hedged = F.exists(E.sentences(text), lambda s: E.mentions_any(s, [brand, *aliases]) & E.hits_any(s, lex.hedges))
-    return answers.withColumns(
-        {
-            "brand_present": present,
-            "competitors": named,
-            "sentiment": F.when(present, sentiment(text, brand, aliases, lex)).otherwise("neutral"),
-            "hedged": hedged,
-            "unknown_admission": E.hits_any(text, lex.admissions),
-        }
-    )
+    # a sentence holds a term only if the text does; terms of other characters than letters are looked for differently by the two
+    alike = all(re.fullmatch(PLAIN, t, re.IGNORECASE) for t in terms)
+    some = E.mentions_any(text, terms) if alike else E.hits_any(text, terms, PLAIN) | E.mentions_any(text, terms)
+    cut = F.when(some, F.split(text, E.SENTENCE_END)).otherwise(F.array().cast("array<string>"))
+    with_brand = lambda has: F.transform(F.filter("_sentences", has), E.trim)
+    found = answers.withColumns({"brand_present": present, "competitors": named, "unknown_admission": E.hits_any(text, lex.admissions), "_sentences": cut})
+    found = found.withColumns({"_named": with_brand(lambda s: E.mentions_any(s, terms)), **({} if alike else {"_felt": with_brand(lambda s: E.hits_any(s, terms, PLAIN))})})
+    feeling = F.when(F.col("brand_present"), sentiment(F.col("_named" if alike else "_felt"), lex)).otherwise("neutral")
+    hedged = F.exists("_named", lambda s: E.hits_any(s, lex.hedges))
+    return found.withColumns({"sentiment": feeling, "hedged": hedged}).select(*answers.columns, "brand_present", "competitors", "sentiment", "hedged", "unknown_admission")
 
 
 def web_search(provider: Column, explicit: Column | None = None) -> Column:
