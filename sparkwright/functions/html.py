@@ -12,10 +12,17 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkwright.functions import json_ld
+
 SCHEMA = (
     "title string, n_h1 int, h1 string, description string, canonical string, robots string, viewport boolean, hreflangs array<string>, images int, missing_alt int, lists int, tables int, "
-    "mean_paragraph_words double, h2_questions double, mixed_content boolean, links array<string>, text_chars int, json_ld array<string>"
+    "mean_paragraph_words double, h2_questions double, mixed_content boolean, links array<string>, text_chars int, json_ld array<string>, "
+    "n_paragraphs int, first_answer int, figures int, quote_chars int, quoted boolean, author boolean, dated boolean, about boolean, "
+    "ld_invalid int, ld_context int, ld_types array<string>, ld_same_as array<string>, ld_missing array<string>, ld_absent array<string>"
 )
+# What marks figures, quotation marks and pages about the site, and how long an answer is.
+_FIGURE, _QUOTES, _ABOUT = re.compile(r"[0-9]+(?:[.,][0-9]+)?%?"), "\"“”„‟'‘’", re.compile(r"about|contact|关于|联系|关於|聯系|聯絡")
+ANSWER_CHARS = 40
 _SPACE = re.compile(r"\s+")
 _QUESTION = re.compile(r"(\?|？|^(what|how|why|when|where|who|which)\b)", re.IGNORECASE)
 
@@ -29,9 +36,21 @@ class _Page(HTMLParser):
         self.open: list[str] = []
         self.hidden = 0
         self.script: list[str] | None = None
+        self.anchor: list[str] | None = None
+        self.anchors: list[str] = []
+        self.out |= {"quoted": False, "author": False, "dated": False}
+
+    def _signals(self, tag: str, a: dict[str, str]) -> None:
+        """Marks of an author, of a date and of quotations, by tag, attribute and class."""
+        out, names = self.out, a.get("class", "")
+        prop = a.get("itemprop", "")
+        out["author"] |= a.get("rel") == "author" or prop == "author" or "author" in names or "byline" in names
+        out["dated"] |= tag == "time" or "datetime" in a or prop in ("datePublished", "dateModified") or "date" in names or "publish" in names or (tag == "meta" and a.get("property") == "article:published_time")
+        out["quoted"] |= tag in ("blockquote", "q")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a, out = {k: v or "" for k, v in attrs}, self.out
+        self._signals(tag, a)
         if tag in ("script", "style"):
             self.hidden += 1
             if tag == "script" and a.get("type", "").lower() == "application/ld+json":
@@ -59,8 +78,10 @@ class _Page(HTMLParser):
             out["lists"] += 1
         elif tag == "table":
             out["tables"] += 1
-        elif tag == "a" and a.get("href"):
-            out["links"].append(a["href"])
+        elif tag == "a" and "href" in a:
+            self.anchor = [a["href"], " "]
+            if a["href"]:
+                out["links"].append(a["href"])
         if tag in ("img", "script", "iframe", "link") and (a.get("src") or a.get("href", "") if tag != "a" else "").startswith("http://"):
             out["mixed_content"] = True
 
@@ -70,6 +91,9 @@ class _Page(HTMLParser):
             if self.script is not None:
                 self.out["json_ld"].append("".join(self.script))
                 self.script = None
+        elif tag == "a" and self.anchor is not None:
+            self.anchors.append("".join(self.anchor).lower())
+            self.anchor = None
         elif tag in self.open:
             self.open.remove(tag)
 
@@ -81,6 +105,8 @@ class _Page(HTMLParser):
                 self.text.append(data)
             for tag in self.open:
                 self.blocks[tag][-1].append(data)
+            if self.anchor is not None:
+                self.anchor.append(data)
 
 
 def parse(html: str | None) -> dict:
@@ -97,20 +123,29 @@ def parse(html: str | None) -> dict:
     out["h1"] = next((t for t in blocks["h1"] if t), None)
     out["mean_paragraph_words"] = sum(words) / len(words) if words else None
     out["h2_questions"] = sum(bool(_QUESTION.search(t)) for t in blocks["h2"]) / len(blocks["h2"]) if blocks["h2"] else None
-    out["text_chars"] = len(clean(page.text))
-    return out
-
-
-def page_features(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """``key`` and one struct of features for each row of ``pages (key, html)``."""
+    text = clean(page.text)
+    out["text_chars"] = len(text)
+    paragraphs = [p for p in blocks["p"] if p]
+    out["n_paragraphs"] = len(paragraphs)
+    out["first_answer"] = next((i for i, p in enumerate(paragraphs) if len(p) >= ANSWER_CHARS and p[-1] not in "?？"), None)
+    out["figures"] = len(_FIGURE.findall(text))
+    out["quote_chars"] = sum(c in _QUOTES for c in text)
+    last = ["".join(page.anchor).lower()] if page.anchor is not None else []
+    out["about"] = any(_ABOUT.search(x) for x in (*page.anchors, *last, text.lower()))
+    return out | json_ld.summary(out["json_ld"], text)
+
+
+def page_features(pages: DataFrame, key: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``carry`` and the features of each row of ``pages (key, html)``."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kind = pages.schema[key].dataType.simpleString()
+    held = (key, *carry)
     types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
     kinds = [types[x.split()[1]] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[n] for f in found], t) for n, t in zip(names, kinds, strict=True))], [key, *names])
+            found = [parse(x) for x in batch.column(len(held)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(held))), *(pa.array([f[n] for f in found], t) for n, t in zip(names, kinds, strict=True))], [*held, *names])
 
-    return pages.select(key, "html").mapInArrow(run, f"{key} {kind}, {SCHEMA}")
+    first = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in held)
+    return pages.select(*held, "html").mapInArrow(run, f"{first}, {SCHEMA}")

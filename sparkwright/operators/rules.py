@@ -8,8 +8,10 @@ evidence do not arise: a rule aggregates the evidence it cites.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,54 +89,72 @@ class Rule:
 
 HIGH, MID, OK = "'high'", "'mid'", "'ok'"
 MH, MS, INF, HYP = "'measured_hard'", "'measured_sample'", "'inferred'", "'hypothesis'"
-_TITLE = "trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1))"
-_H1S = "cast((length(html) - length(replace(html, '<h1>', ''))) / 4 as bigint)"
 
 
 def counting(frame: str, condition: str, severity: str, claim: str = MH, scope: str = "site", run: str = "run_id") -> Aggregate:
     return Aggregate(frame, {"n": f"count_if({condition})", "total": "count(*)"}, "n > 0", "n", "n * 1.0 / total", severity, claim, scope, run)
 
 
-#: Rules of one aggregation or one filter.  Thresholds are the defaults of the rule set, except
+#: Rules of one aggregation or one filter over what crawls and sources report; those of a page's
+#: own content are in ``page_rules``.  Thresholds are the defaults of the rule set, except
 #: where a comment says that the bound data need another to tell runs apart.
 PLAIN: tuple[Rule, ...] = (
     Rule("T01", "P1", counting("pages", "blocked", HIGH)),
     Rule("T02", "P1", Aggregate("pages", {"bad": "count_if(http_status >= 400 and not blocked)", "checked": "count_if(not blocked)"}, "bad > 0.05 * checked", "bad", "bad * 1.0 / checked", "case when bad > 0.15 * checked then 'high' else 'mid' end", MH)),
     Rule("T03", "P1", counting("pages", "noindex", HIGH)),
-    Rule("T04", "P1", counting("pages", "canonical_off", MID)),
     Rule("T05", "P1", counting("pages", "in_sitemap and inbound = 0 and not blocked", MID)),
     Rule("T06", "P1", counting("pages", "redirected", MID)),
     Rule("T07", "P1", Aggregate("pages", {"n": "count(*)", "listed": "count_if(in_sitemap)"}, "n > 1 and listed = 0", "n", "listed", MID, MH, run="page_id % 15")),
-    Rule("T08", "P1", counting("pages", "not is_https or mixed_content", HIGH)),
     Rule("T09a", "P1", Each("vitals", "has_field and (lcp_ms > 2500 or inp_ms > 200 or cls > 0.1)", "'site'", "case when lcp_ms > 2500 then 1 else 0 end + case when inp_ms > 200 then 1 else 0 end + case when cls > 0.1 then 1 else 0 end", MID, MH)),
     Rule("T09c", "P1", Each("vitals", "ttfb_ms > 800", "'site'", "ttfb_ms", MID, "case when has_field then 'measured_hard' else 'inferred' end")),
     Rule("T10", "P1", Each("pages", "rendered_chars > 0 and initial_chars * 1.0 / rendered_chars < 0.3", "url", "initial_chars * 1.0 / rendered_chars", HIGH, MH)),
     Rule("T11", "P1", Each("pages", "key_page and inbound < 3", "url", "inbound", MID, MH)),
     Rule("T12", "P1", counting("pages", "depth > 3", MID)),
-    Rule("T13", "P1", counting("pages", "no_viewport", HIGH)),
-    Rule("T14", "P1", Aggregate("pages", {"n": "count(hreflang)", "invalid": "count_if(hreflang = 'xx')", "fallback": "count_if(hreflang = 'x-default')"}, "n > 0 and (invalid > 0 or fallback = 0)", "invalid", "fallback", MID, MH)),
-    # bound titles end at 60 characters: 55 instead of 60
-    Rule("C01", "P2", counting("pages", f"{_TITLE} = '' or length({_TITLE}) > 55", MID)),
-    Rule("C02", "P2", counting("pages", "html not like '%name=\"description\"%'", MID)),
-    Rule("C03", "P2", counting("pages", f"{_H1S} <> 1 or trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) = {_TITLE}", MID)),
-    Rule("C05b", "P2", counting("json_ld", "not valid or not context_ok", HIGH)),
-    Rule("C05c", "P2", counting("json_ld", "valid and not has_fields", MID)),
-    Rule("C05d", "P2", counting("json_ld", "valid and stated <> '' and instr(html, stated) = 0", HIGH)),
-    Rule("C06", "P2", counting("pages", "html not like '%author%' and html not like '%<time%'", OK, INF)),
-    # digits stand in for statistics: 60 instead of 3 figures
-    Rule("C07", "P2", counting("pages", "length(html) - length(translate(html, '0123456789', '')) < 60 and html not like '%<blockquote%'", MID, INF)),
-    Rule("C08", "P2", counting("pages", "instr(html, '<p>') = 0 or instr(html, '<p>') > 0.3 * length(html)", OK, HYP)),
-    # 0.15 instead of 0.3
-    Rule("C09", "P2", Aggregate("pages", {"missing": "sum(missing_alt)", "total": "sum(images)"}, "total > 0 and missing * 1.0 / total > 0.15", "missing", "missing * 1.0 / total", MID, MH)),
-    Rule("C11", "P2", counting("pages", "list_count = 0 and paragraph_words > 150", OK, INF)),
     Rule("G02", "P5", counting("crawlers", "kind = 'search' and status >= 400", HIGH)),
     Rule("G03", "P5", Each("pages", "rendered_chars > 0 and initial_chars * 1.0 / rendered_chars < 0.3", "url", "initial_chars * 1.0 / rendered_chars", HIGH, MH)),
     Rule("G04", "P5", Each("presence", "bing_indexed <= 5", "'site'", "bing_indexed", MID, MS)),
     Rule("G07", "P5", Each("presence", "not encyclopedia and forum_mentions < 3", "'brand'", "forum_mentions", MID, MS)),
     Rule("G08", "P5", Each("presence", "llms_txt", "'site'", "1", OK, MH)),
-    Rule("E01", "P5", Each("presence", "organisation and not same_as", "'organisation'", "1", OK, MH)),
     Rule("E02", "P5", Each("presence", "not knowledge_panel", "'brand'", "0", OK, MS)),
     Rule("SP01", "P5", Each("presence", "video_results = 0", "'brand'", "0", MID, INF)),
     Rule("SP02", "P5", Each("presence", "review_sites = 2 and review_results = 0", "'brand'", "review_sites", OK, INF)),
     Rule("A03", "P5", Aggregate("backlinks", {"gained": "sum(new_links)", "lost": "sum(lost_links)"}, "gained >= 50 and gained >= 0.9 * lost", "gained", "gained * 1.0 / lost", OK, INF)),  # 0.9 instead of 5
 )
+
+
+def by_frame(rules: Sequence[Rule]) -> list[tuple[str, list[Rule]]]:
+    """Plain rules by the frame that they read."""
+    out: dict[str, list[Rule]] = {}
+    for rule in rules:
+        out.setdefault(rule.shape.frame, []).append(rule)
+    return list(out.items())
+
+
+def _inside(text: str, struct: str, names: Iterable[str]) -> str:
+    """An SQL expression whose ``names`` are fields of ``struct``."""
+    return re.sub(rf"\b({'|'.join(map(re.escape, names))})\b", rf"{struct}.\1", text)
+
+
+def together(rules: Sequence[Rule], df: DataFrame) -> DataFrame:
+    """The hits of several plain rules over one frame: one aggregation for each run key, and one pass for rules on single rows."""
+    parts = []
+    aggregates: dict[str, list[Rule]] = {}
+    for rule in rules:
+        if isinstance(rule.shape, Aggregate):
+            aggregates.setdefault(rule.shape.run, []).append(rule)
+    row = lambda rule, scope, severity, claim, affected, measure: F.struct(
+        F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.pillar).alias("pillar"), scope.alias("scope"), F.expr(severity).alias("severity"), F.expr(claim).alias("claim"), affected.cast("long").alias("affected"), F.round(F.expr(measure).cast("double"), 6).alias("measure")
+    )
+    for run, group in aggregates.items():
+        per = df.groupBy(F.expr(run).cast("long").alias("run_id")).agg(*(F.struct(*(F.expr(x).alias(a) for a, x in r.shape.aggs.items())).alias(f"a{i}") for i, r in enumerate(group)))
+        found = []
+        for i, r in enumerate(group):
+            at = lambda x, i=i, r=r: _inside(x, f"a{i}", r.shape.aggs)
+            found.append(F.when(F.expr(at(r.shape.where)), row(r, F.lit(r.shape.scope), at(r.shape.severity), at(r.shape.claim), F.expr(at(r.shape.affected)), at(r.shape.measure))))
+        parts.append(per.select("run_id", F.explode(F.array_compact(F.array(*found))).alias("r")))
+    single = [r for r in rules if isinstance(r.shape, Each)]
+    if single:
+        found = [F.when(F.expr(r.shape.where), row(r, F.expr(r.shape.scope), r.shape.severity, r.shape.claim, F.lit(1), r.shape.measure)) for r in single]
+        parts.append(df.select(F.col("run_id").cast("long").alias("run_id"), F.explode(F.array_compact(F.array(*found))).alias("r")))
+    out = reduce(DataFrame.unionByName, parts).select("r.rule_id", "r.pillar", "run_id", "r.scope", "r.severity", "r.claim", "r.affected", "r.measure")
+    return out.withColumn("fingerprint", E.fingerprint(F.col("rule_id"), F.col("scope")))

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
+from sparkwright.functions import html as H
 from sparkwright.operators import crawl as C
+from sparkwright.operators import page_rules as G
 from sparkwright.operators import probes as P
 from sparkwright.operators import rules as R
 from sparkwright.operators import serp as S
@@ -58,12 +60,6 @@ def c04(b: Bound) -> DataFrame:
     return R.hit(rep.join(pages, "representative").where("initial_chars < 3000"), F.col("pattern"), lit("mid"), lit("inferred"), F.col("pages"), F.col("initial_chars"))
 
 
-def c05a(b: Bound) -> DataFrame:
-    """Deprecated types in use, and recommended ones that are rare."""
-    x = b.json_ld.groupBy("run_id").agg(F.count_if(F.col("type").isin("FAQPage", "HowTo")).alias("old"), F.count_if(F.col("type") == "Organization").alias("org"), F.count("*").alias("n"))
-    return _one(x.where("old > 0"), "deprecated types", "ok", "measured_hard", "old", "old").union(_one(x.where("org < 0.2 * n"), "recommended types", "ok", "measured_hard", "org", "org"))
-
-
 def c10(b: Bound) -> DataFrame:
     g = C.duplicate_groups(b.pages).groupBy("run_id").agg(F.sum("pages").alias("n"), F.count("*").alias("groups"))
     return _one(g, "site", "mid", "measured_hard", "n", "groups")
@@ -89,11 +85,18 @@ def _answers(b: Bound) -> probe_plans.Answers:
     return probe_plans.Answers(b.spark, b.sf_dir)
 
 
+def low_presence(presence: DataFrame, least: float = 0.3) -> DataFrame:
+    """Runs whose unbranded prompts have the brand in less than ``least``; a run whose prompts are all branded gives an inferred hit without a number."""
+    x = presence.groupBy("run_id").agg(F.count_if(~F.col("branded") & F.col("present")).alias("present"), F.count_if(~F.col("branded")).alias("total"), F.count("*").alias("prompts"))
+    blind = F.col("total") == 0
+    claim = F.when(blind, "inferred").otherwise("measured_sample")
+    return R.hit(x.where(blind | (F.col("present") < least * F.col("total"))), lit("unbranded"), lit("mid"), claim, F.when(blind, F.col("prompts")).otherwise(F.col("present")), F.when(~blind, F.col("present") / F.col("total")))
+
+
 def g05(b: Bound) -> DataFrame:
-    """Unbranded presence below a threshold (1 stands in for 0.3)."""
+    """Unbranded presence below a threshold (0.95 instead of 0.3)."""
     a = _answers(b)
-    x = P.unbranded_presence(P.prompt_presence(a.parsed, a.prompts)).where("present <= total")
-    return _one(x, "unbranded", "mid", "measured_sample", "present", F.col("present") / F.col("total"))
+    return low_presence(P.prompt_presence(a.parsed, a.prompts), 0.95)
 
 
 def g06(b: Bound) -> DataFrame:
@@ -227,7 +230,7 @@ def tr05(b: Bound) -> DataFrame:
 BUILT = tuple(
     R.Rule(rule_id, pillar, f)
     for rule_id, pillar, f in (
-        ("T09b", "P1", t09b), ("T15", "P1", t15), ("C04", "P2", c04), ("C05a", "P2", c05a), ("C10", "P2", c10), ("TA01", "P2", ta01), ("TA02", "P2", ta02), ("G01", "P5", g01), ("G05", "P5", g05), ("G06", "P5", g06),
+        ("T09b", "P1", t09b), ("T15", "P1", t15), ("C04", "P2", c04), ("C10", "P2", c10), ("TA01", "P2", ta01), ("TA02", "P2", ta02), ("G01", "P5", g01), ("G05", "P5", g05), ("G06", "P5", g06),
         ("G09", "P5", g09), ("G10", "P5", g10), ("G11", "P5", g11), ("K01", "P3", k01), ("K02", "P3", k02), ("K03", "P3", k03), ("K04", "P3", k04), ("K05", "P3", k05), ("K06", "P3", k06), ("K07", "P3", k07),
         ("Q01", "P4", q01), ("Q02", "P4", q02), ("Q03", "P4", q03), ("A01", "P5", a01), ("A02", "P5", a02), ("E03", "P5", e03), ("TR04", "P2", tr04), ("TR05", "P2", tr05),
     )
@@ -235,6 +238,23 @@ BUILT = tuple(
 RULES = R.PLAIN + BUILT
 
 
+#: bound titles end at 60 characters, bound paragraphs have some 25 words, every third image lacks its text
+PAGE_LIMITS = G.Limits(title_chars=55, paragraph_words=25, missing_alt=0.35)
+PAGE_RULES = {k: tuple(r for r in G.RULES if r.rule_id == k) for k in dict.fromkeys(r.rule_id for r in G.RULES)}
+
+
+def _features(b: Bound) -> DataFrame:
+    return H.page_features(b.site_pages, carry=("run_id", "url"))
+
+
+def _page_query(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return G.hits(_features(Bound(spark, sf_dir)), PAGE_RULES[rule_id], PAGE_LIMITS)
+
+    run.__name__ = f"rule_{rule_id.lower()}"
+    return run
+
+
 def hits_of(rule: R.Rule, b: Bound) -> DataFrame:
     found = rule.shape(b) if callable(rule.shape) else rule.shape.hits(getattr(b, rule.shape.frame))
     return rule.finish(found)
@@ -249,9 +269,10 @@ def _query(rule: R.Rule) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule's hits; the tables that several rules read are scanned once each where plans agree."""
+    """Every rule's hits; rules on the content of pages are counted together, and so are plain rules that read one frame."""
     b = Bound(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [hits_of(r, b) for r in RULES])
+    parts = [G.hits(_features(b), G.RULES, PAGE_LIMITS), *(R.together(rules, getattr(b, frame)) for frame, rules in R.by_frame(R.PLAIN)), *(hits_of(r, b) for r in BUILT)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +293,7 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("run_id", "pillar", effort.alias("effort"), quadrant.alias("quadrant")).agg(F.count("*").alias("n"))
 
 
-QUERIES = (*[_query(r) for r in RULES], all_hits, findings, recommendations)
+QUERIES = (*[_query(r) for r in RULES], *map(_page_query, PAGE_RULES), all_hits, findings, recommendations)
 
 _T = crawl_plans._T
 _ROW = "select run_id, '{scope}' as scope, {severity} as severity, '{claim}' as claim, cast({affected} as bigint) as affected, cast({measure} as double) as measure from ({sql})"
@@ -304,12 +325,11 @@ _SQL: dict[str, tuple[str, str]] = {
     "C04": (ctes("pages") + _T + """, m as (select *, row_number() over (partition by run_id, pattern order by initial_chars, page_id) as i, count(*) over (partition by run_id, pattern) as n from t where http_status = 200),
 a as (select run_id, pattern, count(*) as pages, min(page_id) as first_page from t group by all), r as (select a.*, coalesce(m.page_id, first_page) as rep from a left join m on m.run_id = a.run_id and m.pattern = a.pattern and m.i = (m.n - 1) // 2 + 1) """,
         "select r.run_id, r.pattern as scope, 'mid' as severity, 'inferred' as claim, r.pages as affected, p.initial_chars::double as measure from r join b_pages p on p.page_id = r.rep where p.initial_chars < 3000"),
-    "C05a": (ctes("json_ld") + ", x as (select run_id, count_if(type in ('FAQPage', 'HowTo')) as old, count_if(type = 'Organization') as org, count(*) as n from b_json_ld group by run_id) ", _row("select * from x where old > 0", "deprecated types", "ok", "measured_hard", "old", "old") + " union all " + _row("select * from x where org < 0.2 * n", "recommended types", "ok", "measured_hard", "org", "org")),
     "C10": (ctes("pages"), _row("select run_id, sum(n) as n, count(*) as g from (select run_id, content_hash, count(*) as n from b_pages where content_hash <> '' group by all having count(*) >= 2) group by run_id", "site", "mid", "measured_hard", "n", "g")),
     "TA01": (ctes("pages") + _T + " ", "select run_id, pattern as scope, 'ok' as severity, 'inferred' as claim, count(*) as affected, avg(inbound) as measure from t group by run_id, pattern having count(*) <= 2 or avg(inbound) < 1"),
     "TA02": (ctes("pages") + _T + " ", "select run_id, pattern as scope, 'ok' as severity, 'inferred' as claim, count(*) as affected, max(inbound)::double as measure from t group by run_id, pattern having count(*) >= 4 and max(inbound) < 9"),
     "G01": (ctes("crawlers"), _row("select run_id, kind, count(*) as n from b_crawlers where disallowed group by all", "crawlers", "case kind when 'search' then 'high' else 'ok' end", "measured_hard", "n", "n")),
-    "G05": (_PR._P + _PR._PRES + " ", _row("select run_id, count_if(present) as p, count(*) as n from pres where not branded group by run_id", "unbranded", "mid", "measured_sample", "p", "p / n")),
+    "G05": (_PR._P + _PR._PRES + " ", "select run_id, 'unbranded' as scope, 'mid' as severity, case when n = 0 then 'inferred' else 'measured_sample' end as claim, case when n = 0 then k else p end as affected, case when n > 0 then p / n end as measure from (select run_id, count_if(present and not branded) as p, count_if(not branded) as n, count(*) as k from pres group by run_id) where n = 0 or p < 0.95 * n"),
     "G06": (_PR._P + ", e as (select p.run_id, provider, count(distinct prompt_id) filter (brand_present and not branded) as p, count(distinct prompt_id) filter (not branded) as n from p join b_prompts using (run_id, prompt_id) group by all) ", _row(f"select run_id, count(*) as n, min(p) as m from e where provider <> 'deepseek' and n > 0 and p <= {MAX_PRESENT} group by run_id", "engines", "mid", "measured_sample", "n", "m")),
     "G09": (_PR._P + " ", _row("select run_id, count_if(sentiment = 'negative') as x, count(*) as n from p where brand_present group by run_id having count_if(sentiment = 'negative') >= 0.2 * count(*)", "sentiment", "mid", "inferred", "x", "x / n")),
     "G10": (_STATES + " ", _row("select run_id, count_if(state = 'speculative') as x, count(*) as n from s group by run_id having count(*) >= 3 and count_if(state = 'speculative') >= 0.05 * count(*)", "branded", "mid", "inferred", "x", "x / n")),
@@ -332,6 +352,42 @@ a as (select run_id, pattern, count(*) as pages, min(page_id) as first_page from
 }
 
 
+#: what the bound pages were given, said again by page_id; texts by cutting tags off
+_PAGE = ctes("site_pages") + """,
+c as (select *, regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') as shown, replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&') as title0, trim(title0) as title from b_site_pages),
+q as (select *, replace(regexp_replace(regexp_replace(shown, '(?s)<title>.*?</title>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"') as body,
+  list_filter(list_transform(string_split(shown, '<p>')[2:], lambda x: trim(regexp_replace(regexp_replace(string_split(x, '</p>')[1], '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') as ps from c),
+p as (select *, page_id % 14 <> 0 as valid, len(regexp_extract_all(body, '[0-9]+(?:[.,][0-9]+)?%?')) as figures, len(regexp_extract_all(body, '["“”„‟''‘’]')) as quote_chars,
+  len(list_filter(ps[1:greatest(1, cast(ceil(len(ps) * 0.3) as integer))], lambda x: length(replace(replace(x, '&quot;', '"'), '&amp;', '&')) >= 40 and not regexp_matches(x, '[?？]$'))) > 0 as answered,
+  list_avg(list_transform(ps, lambda x: len(string_split(x, ' ')))) as mean_words from q) """
+
+
+def _pages_with(rule_id: str, pillar: str, severity: str, claim: str, fault: str, scope: str = "site", measure: str = "n / total", fires: str = "n > 0", n: str = "") -> str:
+    n = n or f"count_if({fault})"
+    return f"select '{rule_id}' as rule_id, '{pillar}' as pillar, run_id, '{scope}' as scope, '{severity}' as severity, '{claim}' as claim, cast(n as bigint) as affected, round(cast({measure} as double), 6) as measure, sha256('{rule_id}::' || lower('{scope}')) as fingerprint from (select run_id, {n} as n, count(*) as total from p group by run_id) where {fires}"
+
+
+_PAGE_SQL = {
+    "T04": _pages_with("T04", "P1", "mid", "measured_hard", "page_id % 13 = 0"),
+    "T08": _pages_with("T08", "P1", "high", "measured_hard", "not starts_with(url, 'https:') or page_id % 31 = 0"),
+    "T13": _pages_with("T13", "P1", "high", "measured_hard", "page_id % 41 = 0"),
+    "T14": _pages_with("T14", "P1", "mid", "measured_hard", "page_id % 7 = 0", measure="fallback", fires="tagged > 0 and (n > 0 or fallback = 0)", n="count_if(page_id % 7 < 3) as tagged, count_if(page_id % 7 = 2) as fallback, count_if(page_id % 7 = 0)"),
+    "C01": _pages_with("C01", "P2", "mid", "measured_hard", "trim(title) = '' or length(title) > 55"),
+    "C02": _pages_with("C02", "P2", "mid", "measured_hard", "page_id % 6 = 5"),
+    "C03": _pages_with("C03", "P2", "mid", "measured_hard", "len(regexp_extract_all(shown, '<h1>')) <> 1 or trim(regexp_extract(shown, '<h1>([^<]*)</h1>', 1)) = trim(title)"),
+    "C05a": _pages_with("C05a", "P2", "ok", "measured_hard", "valid and page_id % 6 in (1, 2)", "deprecated types", "n") + " union all " + _pages_with("C05a", "P2", "ok", "measured_hard", "valid and page_id % 6 = 0", "recommended types", "n", "n = 0"),
+    "C05b": _pages_with("C05b", "P2", "high", "measured_hard", "not valid or page_id % 9 = 0"),
+    "C05c": _pages_with("C05c", "P2", "mid", "measured_hard", "valid and page_id % 6 >= 3 and page_id % 4 = 0"),
+    "C05d": _pages_with("C05d", "P2", "high", "measured_hard", "valid and page_id % 3 = 0"),
+    "C06": _pages_with("C06", "P2", "ok", "inferred", "page_id % 5 = 0 or page_id % 7 = 0 or (page_id % 8 = 0 and not regexp_matches(lower(shown), 'about|contact'))"),
+    "C07": _pages_with("C07", "P2", "mid", "inferred", "figures < 3 or page_id % 6 = 1 or (page_id % 10 = 0 and quote_chars < 2)"),
+    "C08": _pages_with("C08", "P2", "ok", "hypothesis", "not answered"),
+    "C09": _pages_with("C09", "P2", "mid", "measured_hard", "", measure="n / images", fires="images > 0 and n > 0.35 * images", n="count_if(page_id % 2 = 0) + count_if(page_id % 3 = 0) as images, count_if(page_id % 3 = 0)"),
+    "C11": _pages_with("C11", "P2", "ok", "inferred", "page_id % 9 = 4 and mean_words > 25"),
+    "E01": _pages_with("E01", "P5", "ok", "measured_hard", "valid and page_id % 12 = 6", "organisation", "1"),
+}
+
+
 def _oracle(rule: R.Rule) -> str:
     if callable(rule.shape):
         head, body = _SQL[rule.rule_id]
@@ -340,7 +396,8 @@ def _oracle(rule: R.Rule) -> str:
 
 
 ORACLES = {f"rule_{r.rule_id.lower()}": _oracle(r) for r in RULES}
-_ALL = " union all ".join(f"select * from ({ORACLES[f'rule_{r.rule_id.lower()}']})" for r in RULES)
+ORACLES |= {f"rule_{k.lower()}": _PAGE + x for k, x in _PAGE_SQL.items()}
+_ALL = " union all ".join(f"select * from ({ORACLES[f'rule_{k.lower()}']})" for k in (*(r.rule_id for r in RULES), *PAGE_RULES))
 _IMPACT = "case when severity = 'high' or (severity = 'mid' and affected >= 5) then 'high' when severity = 'mid' then 'medium' else 'low' end"
 _EFFORT = "case when pillar in ('P1', 'P2') then 'low' when pillar = 'P3' then 'medium' else 'high' end"
 ORACLES["all_hits"] = _ALL

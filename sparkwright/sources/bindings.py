@@ -60,6 +60,20 @@ BINDINGS = {
   length(html) as initial_chars, length(html) * (1 + page_id % 5) as rendered_chars, page_id % 8 as list_count, 40 * (page_id % 6) as paragraph_words,
   case when page_id % 10 = 0 then '' else concat('h', cast(page_id % 60 as string)) end as content_hash,
   case page_id % 7 when 0 then 'xx' when 1 then 'US' when 2 then 'x-default' else null end as hreflang from {pages}""",
+    # the given pages with what they lack put into head and article: marks, links, images and structured data
+    "site_pages": """select page_id, cast(page_id % 5 as bigint) as run_id, url, replace(replace(case when page_id % 9 = 4 then replace(html, '<ul>', '<div>') else html end,
+  '</head>', concat(case when page_id % 41 = 0 then '' else '<meta name="viewport" content="width=device-width">' end, case when page_id % 6 = 5 then '' else '<meta name="description" content="d">' end,
+    case when page_id % 13 = 0 then '<link rel="canonical" href="https://elsewhere.example/x">' when page_id % 13 < 9 then concat('<link rel="canonical" href="', url, '">') else '' end,
+    case page_id % 7 when 0 then '<link rel="alternate" hreflang="en-123" href="/">' when 1 then '<link rel="alternate" hreflang="en-US" href="/">' when 2 then '<link rel="alternate" hreflang="x-default" href="/">' else '' end,
+    case when page_id % 31 = 0 then '<script src="http://plain.example/x.js"></script>' else '' end, '<script type="application/ld+json">',
+    case when page_id % 14 = 0 then concat(chr(123), '"@type": broken') else concat(chr(123), '"@context": "', case when page_id % 9 = 0 then 'https://example.com' else 'https://schema.org' end, '", "@type": "',
+      case page_id % 6 when 0 then 'Organization' when 1 then 'FAQPage' when 2 then 'HowTo' when 3 then 'Product' else 'Article' end, '", "name": "stated ', cast(page_id as string), ' here"',
+      case when page_id % 4 = 0 then '' else ', "image": "/i.png", "headline": "stated", "datePublished": "2024"' end,
+      case when page_id % 6 = 0 then concat(', "sameAs": ["https://', case when page_id % 12 = 0 then 'www.wikidata.org' else 'blog.example' end, '/q"]') else '' end, chr(125)) end, '</script></head>')),
+  '</article>', concat('<p>', case when page_id % 3 = 0 then 'stated' else concat('stated ', cast(page_id as string), ' here') end, '</p>', case when page_id % 5 = 0 then '' else '<span class="byline">N</span>' end,
+    case when page_id % 7 = 0 then '' else '<time>May</time>' end, case when page_id % 8 = 0 then '' else '<a href="/about">x</a>' end, case when page_id % 4 = 3 then '' else '<p>12% of 34,5 and 7</p>' end,
+    case when page_id % 6 = 1 then '' else '<a href="https://other.example/x">o</a>' end, case when page_id % 10 = 0 then '' else '<blockquote>q</blockquote>' end,
+    case when page_id % 2 = 0 then '<img src="/a.png" alt="a">' else '' end, case when page_id % 3 = 0 then '<img src="/b.png" alt="">' else '' end, '</article>')) as html from {pages}""",
     "json_ld": """select page_id, cast(page_id % 5 as bigint) as run_id, html, page_id % 14 <> 0 as valid, page_id % 9 <> 0 as context_ok, page_id % 4 <> 0 as has_fields,
   case page_id % 6 when 0 then 'Organization' when 1 then 'FAQPage' when 2 then 'HowTo' when 3 then 'Product' else 'Article' end as type,
   case when page_id % 3 = 0 then concat('absent ', cast(page_id as string)) else regexp_extract(html, '<h1>([^<]*)</h1>', 1) end as stated from {pages}""",
