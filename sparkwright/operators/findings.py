@@ -80,6 +80,10 @@ def quadrant(priority: Column) -> Column:
     return F.when(priority.isin("quick_win", "strategic", "fill_in", "low"), priority).otherwise("fill_in")
 
 
+def confidence(claim: Column) -> Column:
+    return E.lookup(claim, {"measured_hard": "high", "measured_sample": "medium"}, "low")
+
+
 def horizon(effort: Column) -> Column:
     return E.lookup(effort, {"low": "quick", "high": "long"}, "mid")
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from sparkwright.functions import expr as E
 from sparkwright.functions import html as H
 from sparkwright.operators import crawl as C
+from sparkwright.operators import findings as O
 from sparkwright.operators import page_rules as G
 from sparkwright.operators import probes as P
+from sparkwright.operators import recommendations as N
 from sparkwright.operators import rules as R
 from sparkwright.operators import serp as S
 from sparkwright.plans import crawl as crawl_plans
@@ -275,22 +277,20 @@ def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.sha2(F.concat_ws("|", F.col("run_id").cast("string"), "rule_id", "scope", "severity"), 256)
+    return all_hits(spark, sf_dir).withColumn("finding_id", F.concat(lit("fnd_"), F.substring(key, 1, 16)))
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as finding rows: identity, confidence and impact."""
-    x = all_hits(spark, sf_dir)
-    confidence = E.lookup(F.col("claim"), {"measured_hard": "high", "measured_sample": "medium"}, "low")
-    impact = F.when((F.col("severity") == "high") | ((F.col("severity") == "mid") & (F.col("affected") >= 5)), "high").when(F.col("severity") == "mid", "medium").otherwise("low")
-    key = F.sha2(F.concat_ws("|", F.col("run_id").cast("string"), "rule_id", "scope", "severity"), 256)
-    return x.select(F.concat(lit("fnd_"), F.substring(key, 1, 16)).alias("finding_id"), "run_id", "rule_id", "pillar", "severity", "claim", confidence.alias("confidence"), impact.alias("impact"), "fingerprint")
+    impact = N.impact(F.col("severity"), F.col("affected"))
+    return _findings(spark, sf_dir).select("finding_id", "run_id", "rule_id", "pillar", "severity", "claim", O.confidence(F.col("claim")).alias("confidence"), impact.alias("impact"), "fingerprint")
 
 
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recommendation for each finding: its quadrant by impact and effort, and when to validate."""
-    x = findings(spark, sf_dir)
-    effort = E.lookup(F.col("pillar"), {"P1": "low", "P2": "low", "P3": "medium"}, "high")
-    high = F.col("impact") == "high"
-    quadrant = F.when(high & (effort == "low"), "quick_win").when(high, "strategic").when(effort == "low", "fill_in").otherwise("low")
-    return x.groupBy("run_id", "pillar", effort.alias("effort"), quadrant.alias("quadrant")).agg(F.count("*").alias("n"))
+    """A recommendation for each finding."""
+    return N.recommend(_findings(spark, sf_dir))
 
 
 QUERIES = (*[_query(r) for r in RULES], *map(_page_query, PAGE_RULES), all_hits, findings, recommendations)
@@ -374,7 +374,7 @@ _PAGE_SQL = {
     "T14": _pages_with("T14", "P1", "mid", "measured_hard", "page_id % 7 = 0", measure="fallback", fires="tagged > 0 and (n > 0 or fallback = 0)", n="count_if(page_id % 7 < 3) as tagged, count_if(page_id % 7 = 2) as fallback, count_if(page_id % 7 = 0)"),
     "C01": _pages_with("C01", "P2", "mid", "measured_hard", "trim(title) = '' or length(title) > 55"),
     "C02": _pages_with("C02", "P2", "mid", "measured_hard", "page_id % 6 = 5"),
-    "C03": _pages_with("C03", "P2", "mid", "measured_hard", "len(regexp_extract_all(shown, '<h1>')) <> 1 or trim(regexp_extract(shown, '<h1>([^<]*)</h1>', 1)) = trim(title)"),
+    "C03": _pages_with("C03", "P2", "mid", "measured_hard", "len(regexp_extract_all(shown, '<h1>')) <> 1 or trim(replace(replace(regexp_extract(shown, '<h1>([^<]*)</h1>', 1), '&quot;', '\"'), '&amp;', '&')) = title"),
     "C05a": _pages_with("C05a", "P2", "ok", "measured_hard", "valid and page_id % 6 in (1, 2)", "deprecated types", "n") + " union all " + _pages_with("C05a", "P2", "ok", "measured_hard", "valid and page_id % 6 = 0", "recommended types", "n", "n = 0"),
     "C05b": _pages_with("C05b", "P2", "high", "measured_hard", "not valid or page_id % 9 = 0"),
     "C05c": _pages_with("C05c", "P2", "mid", "measured_hard", "valid and page_id % 6 >= 3 and page_id % 4 = 0"),
@@ -398,8 +398,13 @@ def _oracle(rule: R.Rule) -> str:
 ORACLES = {f"rule_{r.rule_id.lower()}": _oracle(r) for r in RULES}
 ORACLES |= {f"rule_{k.lower()}": _PAGE + x for k, x in _PAGE_SQL.items()}
 _ALL = " union all ".join(f"select * from ({ORACLES[f'rule_{k.lower()}']})" for k in (*(r.rule_id for r in RULES), *PAGE_RULES))
-_IMPACT = "case when severity = 'high' or (severity = 'mid' and affected >= 5) then 'high' when severity = 'mid' then 'medium' else 'low' end"
-_EFFORT = "case when pillar in ('P1', 'P2') then 'low' when pillar = 'P3' then 'medium' else 'high' end"
 ORACLES["all_hits"] = _ALL
-ORACLES["findings"] = f"select 'fnd_' || sha256(run_id || '|' || rule_id || '|' || scope || '|' || severity)[1:16] as finding_id, run_id, rule_id, pillar, severity, claim, case claim when 'measured_hard' then 'high' when 'measured_sample' then 'medium' else 'low' end as confidence, {_IMPACT} as impact, fingerprint from ({_ALL})"
-ORACLES["recommendations"] = f"select run_id, pillar, effort, case when impact = 'high' and effort = 'low' then 'quick_win' when impact = 'high' then 'strategic' when effort = 'low' then 'fill_in' else 'low' end as quadrant, count(*) as n from (select *, {_IMPACT} as impact, {_EFFORT} as effort from ({_ALL})) group by all"
+_ID = "'fnd_' || sha256(run_id || '|' || rule_id || '|' || scope || '|' || severity)[1:16] as finding_id"
+_CONFIDENCE = "case claim when 'measured_hard' then 'high' when 'measured_sample' then 'medium' else 'low' end as confidence"
+_IMPACT = "case when severity = 'high' or (severity = 'mid' and affected >= 5) then 'high' else 'low' end"
+_ACTIONS = ", ".join(f"('{k}', '{e}', '{kind}')" for k, (e, kind) in N.ACTIONS.items())
+ORACLES["findings"] = f"select {_ID}, run_id, rule_id, pillar, severity, claim, {_CONFIDENCE}, {_IMPACT} as impact, fingerprint from ({_ALL})"
+ORACLES["recommendations"] = f"""select finding_id, run_id, rule_id, pillar, kind, impact, effort, case impact when 'high' then case effort when 'low' then 'quick_win' else 'strategic' end else case effort when 'high' then 'low' else 'fill_in' end end as priority,
+  case effort when 'low' then 'quick' when 'high' then 'long' else 'mid' end as horizon, confidence, affected, page
+from (select {_ID}, h.*, {_IMPACT} as impact, {_CONFIDENCE}, coalesce(a.effort, 'mid') as effort, coalesce(a.kind, 'content') as kind, case when starts_with(scope, 'http://') or starts_with(scope, 'https://') then scope end as page
+  from ({_ALL}) h left join (values {_ACTIONS}) a(rule, effort, kind) on a.rule = h.rule_id)"""

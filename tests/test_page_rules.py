@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkwright.functions import html as H
 from sparkwright.functions import json_ld
 from sparkwright.operators import page_rules as G
+from sparkwright.operators import recommendations
 from sparkwright.operators import rules as R
 from sparkwright.plans import rules as plans
 
@@ -112,3 +113,14 @@ def test_low_presence(spark, present, total, hit):
     assert bool(got) == hit
     if hit:
         assert (got[0].claim, got[0].measure) == (("measured_sample", present / total) if total else ("inferred", None))
+
+
+def test_recommendations(spark):
+    rows = [("f1", 1, "T02", "P1", "site", "mid", "measured_hard", 5), ("f2", 1, "T02", "P1", "site", "mid", "measured_sample", 4), ("f3", 1, "C01", "P2", "site", "high", "inferred", 1), ("f4", 1, "K03", "P3", "x", "ok", "hypothesis", 99), ("f5", 1, "ZZ", "P1", "https://a/b", "high", "measured_hard", 1)]
+    df = spark.createDataFrame(rows, "finding_id string, run_id long, rule_id string, pillar string, scope string, severity string, claim string, affected long")
+    got = {r.finding_id: (r.impact, r.effort, r.priority, r.horizon, r.confidence, r.kind, r.page) for r in recommendations.recommend(df).collect()}
+    assert got == {
+        "f1": ("high", "mid", "strategic", "mid", "high", "technical", None), "f2": ("low", "mid", "fill_in", "mid", "medium", "technical", None), "f3": ("high", "low", "quick_win", "quick", "low", "content", None),
+        "f4": ("low", "high", "low", "long", "low", "content", None), "f5": ("high", "mid", "strategic", "mid", "high", "content", "https://a/b"),
+    }
+    assert recommendations.recommend(df.limit(0)).count() == 0

@@ -7,16 +7,12 @@ import pytest
 from sparkwright.plans import registry
 from tests.helpers import connect, same
 
-#: unions of queries that are each compared already
-SLOW = {"all_hits", "findings", "recommendations"}
-
-
 @pytest.fixture(scope="module")
 def con(data):
     return connect(data)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_same_rows(spark, data, con, name):
     df = registry.queries()[name](spark, data)
     sql = registry.oracle_sql().get(name)
@@ -32,7 +28,3 @@ def test_every_sql_has_a_query():
 
 def test_rules_are_64():
     assert sum(name.startswith("rule_") and name not in ("rule_dismissal_stats", "rule_ineffective_stats") for name in registry.queries()) == 64
-
-
-def test_union_of_rules_is_planned(spark, data):
-    assert "fingerprint" in registry.queries()["all_hits"](spark, data).columns
