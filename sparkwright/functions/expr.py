@@ -260,3 +260,14 @@ def lookup(value: Column, table: dict, default=None) -> Column:
     for k, v in table.items():
         out = F.when(value == k, F.lit(v)).otherwise(out)
     return out
+
+
+def input_url(raw: Column) -> Column:
+    """The address that a user typed, as a crawler's entry: ``https://`` where no scheme is given, host in lower case; null without a host that has a dot."""
+    text = F.trim(raw)
+    full = F.when(text.rlike("(?i)^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
+    part = lambda name: F.try_parse_url(full, F.lit(name))
+    address = F.lower(F.regexp_replace(part("AUTHORITY"), "^[^@]*@", ""))
+    file = F.coalesce(part("FILE"), F.lit(""))
+    rest = F.concat(F.when(file.startswith("/"), F.lit("")).otherwise("/"), file, F.coalesce(F.concat(F.lit("#"), part("REF")), F.lit("")))
+    return F.when(F.contains(part("HOST"), F.lit(".")), F.concat(F.lower(part("PROTOCOL")), F.lit("://"), address, rest))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
@@ -31,7 +31,9 @@ def confirmed_competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.newest(Bound(spark, sf_dir).prompts, ["run_id"], [F.col("prompt_id")], 1000).select("run_id", "prompt_id", "place")
+    """All prompts of each run by priority."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("prompt_id"))
+    return Bound(spark, sf_dir).prompts.select("run_id", "prompt_id", place.alias("place"))
 
 
 def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +157,14 @@ def brand_of_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("project_id", E.brand_of_domain(short).alias("brand"))
 
 
+def input_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as users type them: with and without scheme, path, capitals, and some that aren't addresses."""
+    host = F.upper("domain")
+    k = F.col("project_id") % 6
+    raw = F.when(k == 0, F.col("domain")).when(k == 1, F.concat(F.lit("HTTP://"), host)).when(k == 2, F.concat(F.col("domain"), F.lit("/a?b=1"))).when(k == 3, F.concat(F.lit("https://"), F.col("domain"), F.lit(":8080/x#y"))).when(k == 4, F.lit("localhost"))
+    return Bound(spark, sf_dir).projects.select("project_id", E.input_url(raw).alias("entry"))
+
+
 def market_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market to location by a small table: a default where it is unknown, and the strict answer beside it."""
     p = Bound(spark, sf_dir).projects
@@ -172,7 +182,7 @@ def page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     pk_lookup, run_scan, project_scan, confirmed_competitors, prompts_ordered, latest_run, active_run, retest_anchor, project_summary, project_search, latest_prompts, first_evidence, entry_page, recent_evidence,
-    dedup_evidence, stageline_state, progress_counts, run_status_derived, guarded_status, template_upsert, live_facts, probe_errors, dataforseo_context, stat_cards, alias_normalize, brand_of_domain, market_location, page_upsert,
+    dedup_evidence, stageline_state, progress_counts, run_status_derived, guarded_status, template_upsert, live_facts, probe_errors, dataforseo_context, stat_cards, alias_normalize, brand_of_domain, input_urls, market_location, page_upsert,
 )
 
 _RUNS, _EV = ctes("runs"), ctes("evidence")
@@ -206,6 +216,7 @@ select run_id, coalesce(any_value(terminal), 'running') as state, count(*) as me
     "stat_cards": _EV + ", k as (select unnest(['view', 'click', 'signup', 'purchase', 'refund']) as card) select r.run_id, k.card, case when count(e.type) > 0 then 'measured' else 'pending' end as state, count(e.type) as n from (select distinct run_id from b_evidence) r cross join k left join b_evidence e on e.run_id = r.run_id and e.type = k.card group by all",
     "alias_normalize": ctes("projects") + "select project_id, trim(name) || '|' || trim(market) as aliases from b_projects",
     "brand_of_domain": ctes("projects") + "select project_id, case when project_id % 3 = 0 then 'shop' || project_id else 'example' end as brand from b_projects",
+    "input_urls": ctes("projects") + "select project_id, case project_id % 6 when 0 then 'https://' || domain || '/' when 1 then 'http://' || lower(domain) || '/' when 2 then 'https://' || domain || '/a?b=1' when 3 then 'https://' || domain || ':8080/x#y' end as entry from b_projects",
     "market_location": ctes("projects") + ", l as (select project_id, case market when 'BUILDING' then 2840 when 'MACHINERY' then 2276 when 'FURNITURE' then 2250 end as s from b_projects) select project_id, coalesce(s, 2840) as location, s as strict_location from l",
     "page_upsert": _RUNS + "select run_id, type, case when run_id % 2 = 0 and status <> 'failed' then 'completed' else status end as status from b_runs",
 }

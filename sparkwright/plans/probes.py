@@ -125,10 +125,8 @@ def probe_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieved_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts that a run's even citations name and its odd ones do not."""
-    hosts = Answers(spark, sf_dir).hosts
-    even = F.collect_set(F.when(F.col("evidence_id") % 2 == 0, F.col("host")))
-    odd = F.collect_set(F.when(F.col("evidence_id") % 2 == 1, F.col("host")))
-    return hosts.groupBy("run_id").agg(F.sort_array(F.array_except(even, odd)).alias("h")).select("run_id", F.explode("h").alias("host"))
+    hosts = Answers(spark, sf_dir).hosts.select("run_id", "host", (F.col("evidence_id") % 2 == 1).alias("cited")).distinct()
+    return hosts.where("not cited").select("run_id", "host").join(hosts.where("cited").select("run_id", "host"), ["run_id", "host"], "left_anti")
 
 
 def reparse_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

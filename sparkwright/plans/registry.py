@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from sparkwright.plans import assets, crawl, findings, log, probes, rules, serp, streams
+from sparkwright.plans import assets, crawl, findings, log, payloads, probes, rules, serp, streams
 
-MODULES: tuple[ModuleType, ...] = (serp, probes, findings, log, crawl, rules, streams, assets)
+MODULES: tuple[ModuleType, ...] = (serp, probes, findings, log, crawl, rules, streams, assets, payloads)
 
 
 def queries() -> dict:

@@ -94,11 +94,11 @@ def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_table_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First page of 50 rows a run; nulls last whichever way a column is sorted."""
+    """All rows of each run in pages of 50; nulls last whichever way a column is sorted."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("run_id").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("clicks"), F.asc_nulls_last("avg_pos"), "keyword_id")
-    return keyword_table(spark, sf_dir).withColumn("place", F.row_number().over(order)).where("place <= 50").select("run_id", "keyword_id", "score", "clicks", "avg_pos", "place")
+    return keyword_table(spark, sf_dir).withColumn("place", F.row_number().over(order)).select("run_id", "keyword_id", "score", "clicks", "avg_pos", "place", F.ceil(F.col("place") / 50).cast("int").alias("page"))
 
 
 def seed_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ select run_id, cast(place as integer) as place, domain, shared_keywords, round(o
     "keyword_metrics_ordered": ctes("gsc") + f", {_TOTALS} select run_id, query_id, cast(clicks as bigint) as clicks, cast(impressions as bigint) as impressions, cast(row_number() over (partition by run_id order by clicks desc nulls last, impressions desc nulls last, query_id) as integer) as place from qt",
     "top_keyword_metrics": ctes("gsc") + f", {_TOTALS} select * from (select run_id, query_id, cast(impressions as bigint) as impressions, cast(row_number() over (partition by run_id order by impressions desc, query_id) as integer) as place from qt) where place <= 200",
     "keyword_table": ctes("serp", "labs", "gsc") + f", {GAPS}, {_TABLE} select * from kt",
-    "keyword_table_sorted": ctes("serp", "labs", "gsc") + f", {GAPS}, {_TABLE} select * from (select run_id, keyword_id, score, clicks, avg_pos, cast(row_number() over (partition by run_id order by score desc nulls last, clicks desc nulls last, avg_pos asc nulls last, keyword_id) as integer) as place from kt) where place <= 50",
+    "keyword_table_sorted": ctes("serp", "labs", "gsc") + f", {GAPS}, {_TABLE} select *, cast((place + 49) // 50 as integer) as page from (select run_id, keyword_id, score, clicks, avg_pos, cast(row_number() over (partition by run_id order by score desc nulls last, clicks desc nulls last, avg_pos asc nulls last, keyword_id) as integer) as place from kt)",
     "seed_keywords": ctes("gsc", "labs") + f""", {_TOTALS}, u as (select run_id, ' KW' || query_id as text, 0 as source, -impressions as rank from qt union all select run_id, case when keyword_id % 3 = 0 then keyword else title end, 1, keyword_id from b_labs),
 k as (select *, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) as key from u), w as (select *, row_number() over (partition by run_id, key order by source, rank, text) as i from k where key <> '' and not regexp_matches(key, '(?i)\\bred\\b')),
 p as (select *, row_number() over (partition by run_id order by source, rank, text) as place from w where i = 1) select run_id, cast(place as integer) as place, text, source from p where place <= 100""",

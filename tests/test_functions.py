@@ -208,3 +208,8 @@ def test_presence_is_additive_over_runs(spark):
     parsed = spark.createDataFrame([(1, 1, True), (1, 1, False)], "run_id long, prompt_id long, brand_present boolean")
     got = {(r.run_id, r.present, r.samples) for r in P.prompt_presence(parsed, prompts).collect()}
     assert got == {(1, True, 2), (2, False, 0)}
+
+
+@pytest.mark.parametrize(("raw", "want"), [("a.b", "https://a.b/"), (" A.b/c ", "https://a.b/c"), ("HTTP://X.y?q=1", "http://x.y/?q=1"), ("https://u@x.y:80/p#f", "https://x.y:80/p#f"), ("localhost", None), ("", None), (None, None), ("ftp://a.b", None), ("not a url.x y", None)])
+def test_input_url(spark, raw, want):
+    assert value(spark, E.input_url(F.lit(raw).cast("string"))) == want

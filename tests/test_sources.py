@@ -104,3 +104,43 @@ def test_actions(spark):
     recs = spark.createDataFrame([(1, "low", 1, 5, 1), (1, "quick_win", 2, 6, 1), (1, "quick_win", 1, 7, 2), (2, "low", 1, 8, 1)], "run_id long, quadrant string, place int, finding_id long, rec_no long")
     text = sinks.actions_markdown(recs, 1)
     assert text.index("7/2") < text.index("6/1") < text.index("5/1") and "8/1" not in text
+
+
+def landed(spark, *payloads):
+    rows = [(i, "k", "www.A.example", "brand", p) for i, p in enumerate(payloads)]
+    return spark.createDataFrame(rows, "run_id long, keyword string, domain string, brand string, payload string").withColumns({"target": F.lit("t"), "platform": F.lit("p"), "account_id": F.col("run_id")})
+
+
+ODD = (None, "", "nonsense", "{}", "[]", '{"tasks": []}', '{"tasks": [{"result": null}]}', '{"tasks": [{"result": [{"items": null}]}]}', '{"tasks": "x", "items": 3}')
+
+
+def test_odd_payloads_give_no_rows_or_plain_defaults(spark):
+    df = landed(spark, *ODD)
+    for f in (P.keyword_overview, P.link_anchors, P.site_list, P.opportunities):
+        assert f(df).count() == 0, f
+    n = len(ODD)
+    assert {(r.referring_domains, r.backlinks, r["rank"]) for r in P.link_summary(df).collect()} == {(0.0, 0.0, None)} and P.link_summary(df).count() == n
+    assert {(r.present, r.asynchronous, r.markdown) for r in P.ai_overview(df).collect()} == {(False, False, None)}
+    assert {(r.domain, r.total, r["items"]) for r in P.engine_index(df).collect()} == {("a.example", None, 0)}
+    assert {(r.knowledge_panel, r.own_present, r["items"]) for r in P.brand_results(df).collect()} == {(False, False, 0)}
+    assert {(r.total, r.shown, r.home_page, r.first_url) for r in P.site_search(df).collect()} == {(None, 0, False, None)}
+    assert {(r.results, len(r.top)) for r in P.social_presence(df).collect()} == {(0, 0)}
+    assert {(r.exists, r.title, r.url) for r in P.encyclopedia(df).collect()} == {(False, None, None)}
+    assert {r.mentions for r in P.forum_mentions(df, F.lit(0)).collect()} == {0}
+
+
+def test_brand_results_need_domain_url_and_rank(spark):
+    item = '{"type": "organic", "domain": "%s", "url": %s, "rank_absolute": %s}'
+    one = lambda *items: '{"tasks": [{"result": [{"items": [%s]}]}]}' % ", ".join(items)
+    df = landed(spark, one(item % ("A.example", '"u"', 1)), one(item % ("a.example", "null", 1)), one(item % ("a.example", '"u"', "null")), one('{"type": "knowledge_graph"}', item % ("b.example", '"u"', 2)))
+    got = {r.run_id: (r.knowledge_panel, r.own_present, r["items"]) for r in P.brand_results(df).collect()}
+    assert got == {0: (False, True, 1), 1: (False, False, 0), 2: (False, False, 0), 3: (True, False, 1)}
+
+
+def test_access_and_windows(spark):
+    probes = spark.createDataFrame([(1, None), (2, 200), (3, 301), (4, 400), (5, 429), (6, 503)], "run_id long, status int")
+    assert [r.blocked for r in P.crawler_access(probes).orderBy("run_id").collect()] == [False, False, False, True, True, True]
+    files = spark.createDataFrame([(1, 200, "x"), (2, 200, " \n"), (3, 404, "x"), (4, None, "x"), (5, 200, None)], "run_id long, status int, body string")
+    assert [r.exists for r in P.llms_txt(files).orderBy("run_id").collect()] == [True, False, False, False, False]
+    post = '{"data": {"children": [{"data": {"created_utc": 1000}}, {"data": {"created_utc": 999}}, {"data": {}}, {}]}}'
+    assert [r.mentions for r in P.forum_mentions(landed(spark, post), F.lit(1000 + 365 * 86400)).collect()] == [3]
