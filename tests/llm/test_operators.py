@@ -663,3 +663,134 @@ def test_token_output(spark, tokenizer, corpus):
     rows = token_planes.round_trip(odd, token_planes.Params(tokenizer_path())).collect()
     assert sorted((r.start, r.n_tokens) for r in rows)[0] == (0, 2) and sum(r.n_tokens for r in rows) == 5
     assert token_planes.round_trip(odd.limit(0), token_planes.Params(tokenizer_path())).count() == 0
+
+
+M64 = (1 << 64) - 1
+
+
+def mix_of(x):
+    """splitmix64's finaliser on one number."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def brute_language(train, texts, p):
+    """The filter by sets of places, and every text scored one n-gram at a time."""
+
+    def codes(text):
+        out, kept = [], bytearray()
+        for b in (text or "").encode():
+            c = b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+            if not (c == 32 and kept[-1:] == b" "):
+                kept.append(c)
+        for n in p.sizes:
+            for i in range(len(kept) - n + 1):
+                out.append(mix_of((int.from_bytes(kept[i : i + n], "big") + (n << 40)) & M64) & ((1 << p.gram_bits) - 1))
+        return out
+
+    seeds = [int(c) for c in tx.constants(p.hashes, 71)]
+    places = lambda g: [mix_of((g + c) & M64) >> (64 - p.filter_bits) for c in seeds]
+    counts = defaultdict(Counter)
+    for text, lang in train:
+        counts[lang].update(codes(text))
+    langs = sorted(counts)
+    share = {x: {g: n / sum(counts[x].values()) for g, n in counts[x].items()} for x in langs}
+    bits = {}
+    for x in langs:
+        mine = [g for g, v in share[x].items() if v >= p.min_share and v >= p.min_ratio * max(share[y].get(g, 0) for y in langs)]
+        bits[x] = {q for g in mine for q in places(g)}
+    has = lambda x, g: all(q in bits[x] for q in places(g))
+    rate = {x: sum(has(x, g) for g in range(1 << p.gram_bits)) / (1 << p.gram_bits) for x in langs}
+    out = []
+    for text in texts:
+        grams = codes(text)
+        score = {x: max(0.0, sum(has(x, g) for g in grams) - len(grams) * rate[x]) / max(1e-9, 1 - rate[x]) for x in langs}
+        total = sum(score.values())
+        best = max(langs, key=lambda x: (score[x], [-ord(c) for c in x]))
+        out.append((best if total > 0 else None, score[best] / total if total > 0 else 0.0))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(2)
+    syllables = {"aa": ["ba", "ko", "ti", "ru"], "bb": ["sch", "ein", "ung", "ö"], "cc": ["eau", "que", "ç", "ti"]}
+    make = lambda x, n: " ".join("".join(rng.choice(syllables[x]) for _ in range(3)) for _ in range(n))
+    train = [(make(x, rng.randint(5, 60)), x) for x in syllables for _ in range(12)]
+    texts = [make(x, n) for x in syllables for n in (1, 3, 40)] + [make("aa", 6) + " " + make("bb", 3), "x", "12", None, "", make("cc", 3000)]
+    p = language_id.Params(gram_bits=10, filter_bits=11)
+    model = language_id.train(spark.createDataFrame([*train, (None, "aa"), ("zz", None)], "text string, lang string"), p)
+    rows = [(i, t, "other", 9.0) for i, t in enumerate(texts)] + [(0, texts[0], None, None), (None, texts[1], None, None)]
+    got = language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double"), model, p).collect()
+    assert len(got) == len(rows)
+    want = brute_language(train, texts, p)
+    for r in got:
+        lang, score = want[1 if r.doc_id is None else r.doc_id]
+        if lang is None or not any(c.isalpha() for c in (texts[r.doc_id] if r.doc_id is not None else "x") or ""):
+            assert r.score == 0.0
+        else:
+            assert r.lang_pred == lang and math.isclose(r.score, score, rel_tol=1e-9), r
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert language_id.predict(empty, model, p).count() == 0
+    none = language_id.train(spark.createDataFrame([], "text string, lang string"), p)
+    assert {r.lang_pred for r in language_id.predict(empty.union(spark.createDataFrame([(1, "abc")], "doc_id long, text string")), none, p).collect()} == {"und"}
+
+
+def test_ftrl_against_scalar_updates(spark, corpus):
+    texts = [t for t in corpus if t is None or len(t) < 3000][:70] + ["same text", "same text", "other text"]
+    ids = [*range(len(texts) - 3), 5, 5, 5]
+    df = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts, strict=True)] + [(None, "x", 1)], "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(5, 0), (7, None), (None, 1)], "doc_id long, quality int")
+    p = quality_model.Params(bits=12, max_train=40, epochs=2)
+    got = quality_model.train(df, labels, p)
+    keyed = df.where("doc_id is not null and doc_id <> 7 or doc_id = 7").select("doc_id", "text", F.xxhash64("doc_id").alias("rank"), F.xxhash64("text").alias("tie")).where("doc_id is not null").distinct().orderBy("rank", "doc_id", "tie").collect()
+    z, g2 = [0.0] * ((1 << p.bits) + 1), [0.0] * ((1 << p.bits) + 1)
+    rows = []
+    for r in keyed[: p.max_train]:
+        idx, val, _ = quality_model.features(pa.array([r.text], pa.string()), p)
+        x = Counter()
+        for i, v in zip(idx.tolist(), val.tolist(), strict=True):
+            x[i] += v
+        x = {i: float(np.float32(v)) for i, v in x.items()} | {1 << p.bits: 1.0}
+        rows.append((x, 0 if r.doc_id == 5 else r.doc_id % 2))
+    weight = lambda i: 0.0 if abs(z[i]) <= p.l1 else -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(g2[i])) / p.alpha + p.l2)
+    for _ in range(p.epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            q = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (q - y) * v
+                z[i] += g - (math.sqrt(g2[i] + g * g) - math.sqrt(g2[i])) / p.alpha * w[i]
+                g2[i] += g * g
+    want = np.array([weight(i) for i in range(len(z))])
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-5) and np.count_nonzero(want) > 50
+    assert np.array_equal(got, quality_model.train(df.repartition(7), labels, p))
+    assert quality_model.score(df.limit(0), got, p).count() == 0
+    assert not quality_model.train(df.limit(0), labels, p).any()
+
+
+def test_structured_words_stay_apart(spark, tokenizer):
+    """Texts of regular structure, which hashes of sums of powers can't tell apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = docs_of(spark, [f"one two three four {a}", f"one two three four {b}", f"{a}\n{b}\n{a} x", f"hi {a} end hi {b} end"])
+    assert [r.component_id for r in near_dedup.cluster(df).orderBy("doc_id").collect()] == [0, 1, 2, 3]
+    assert [r.n_dup_lines for r in repetition.measure(df).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in (r.text for r in df.orderBy("doc_id").collect())]
+    got = token_planes.round_trip(df, token_planes.Params(tokenizer_path())).orderBy("doc_id").collect()
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+    bench = spark.createDataFrame([(0, f"q w e r t {a}")], "item_id long, text string")
+    found = decontaminate.matches(docs_of(spark, [f"q w e r t {b}", f"q w e r t {a}"]), bench).collect()
+    assert [r.doc_id for r in found] == [1]
+
+
+def test_pieces_with_equal_hashes(tokenizer, monkeypatch, corpus):
+    """With a hash of eight bits nearly all pieces collide, and the ids are still the library's."""
+    real = tx.lane_hashes
+    monkeypatch.setattr(tx, "lane_hashes", lambda *a: real(*a) & np.uint64(255))
+    encoder = token_planes.PieceEncoder(tokenizer_path(), True, limit=100)
+    texts = [t or "" for t in corpus[:60]]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts, pa.string())), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
