@@ -95,31 +95,50 @@ def counting(frame: str, condition: str, severity: str, claim: str = MH, scope:
     return Aggregate(frame, {"n": f"count_if({condition})", "total": "count(*)"}, "n > 0", "n", "n * 1.0 / total", severity, claim, scope, run)
 
 
-#: Rules of one aggregation or one filter over what crawls and sources report; those of a page's
-#: own content are in ``page_rules``.  Thresholds are the defaults of the rule set, except
-#: where a comment says that the bound data need another to tell runs apart.
-PLAIN: tuple[Rule, ...] = (
-    Rule("T01", "P1", counting("pages", "blocked", HIGH)),
-    Rule("T02", "P1", Aggregate("pages", {"bad": "count_if(http_status >= 400 and not blocked)", "checked": "count_if(not blocked)"}, "bad > 0.05 * checked", "bad", "bad * 1.0 / checked", "case when bad > 0.15 * checked then 'high' else 'mid' end", MH)),
-    Rule("T03", "P1", counting("pages", "noindex", HIGH)),
-    Rule("T05", "P1", counting("pages", "in_sitemap and inbound = 0 and not blocked", MID)),
-    Rule("T06", "P1", counting("pages", "redirected", MID)),
-    Rule("T07", "P1", Aggregate("pages", {"n": "count(*)", "listed": "count_if(in_sitemap)"}, "n > 1 and listed = 0", "n", "listed", MID, MH, run="page_id % 15")),
-    Rule("T09a", "P1", Each("vitals", "has_field and (lcp_ms > 2500 or inp_ms > 200 or cls > 0.1)", "'site'", "case when lcp_ms > 2500 then 1 else 0 end + case when inp_ms > 200 then 1 else 0 end + case when cls > 0.1 then 1 else 0 end", MID, MH)),
-    Rule("T09c", "P1", Each("vitals", "ttfb_ms > 800", "'site'", "ttfb_ms", MID, "case when has_field then 'measured_hard' else 'inferred' end")),
-    Rule("T10", "P1", Each("pages", "rendered_chars > 0 and initial_chars * 1.0 / rendered_chars < 0.3", "url", "initial_chars * 1.0 / rendered_chars", HIGH, MH)),
-    Rule("T11", "P1", Each("pages", "key_page and inbound < 3", "url", "inbound", MID, MH)),
-    Rule("T12", "P1", counting("pages", "depth > 3", MID)),
-    Rule("G02", "P5", counting("crawlers", "kind = 'search' and status >= 400", HIGH)),
-    Rule("G03", "P5", Each("pages", "rendered_chars > 0 and initial_chars * 1.0 / rendered_chars < 0.3", "url", "initial_chars * 1.0 / rendered_chars", HIGH, MH)),
-    Rule("G04", "P5", Each("presence", "bing_indexed <= 5", "'site'", "bing_indexed", MID, MS)),
-    Rule("G07", "P5", Each("presence", "not encyclopedia and forum_mentions < 3", "'brand'", "forum_mentions", MID, MS)),
-    Rule("G08", "P5", Each("presence", "llms_txt", "'site'", "1", OK, MH)),
-    Rule("E02", "P5", Each("presence", "not knowledge_panel", "'brand'", "0", OK, MS)),
-    Rule("SP01", "P5", Each("presence", "video_results = 0", "'brand'", "0", MID, INF)),
-    Rule("SP02", "P5", Each("presence", "review_sites = 2 and review_results = 0", "'brand'", "review_sites", OK, INF)),
-    Rule("A03", "P5", Aggregate("backlinks", {"gained": "sum(new_links)", "lost": "sum(lost_links)"}, "gained >= 50 and gained >= 0.9 * lost", "gained", "gained * 1.0 / lost", OK, INF)),  # 0.9 instead of 5
-)
+@dataclass(frozen=True)
+class Limits:
+    """The rule set's own thresholds."""
+
+    unseen_pages: float = 0.7  # T15
+    thin_chars: int = 300  # C04
+    cluster_inbound: int = 5  # TA02
+    unbranded_presence: float = 0.3  # G05
+    engine_prompts: int = 0  # G06
+    negative: float = 0.3  # G09
+    speculative: float = 0.3  # G10
+    user_content: float = 0.25  # G11
+    owned_citations: float = 0.0  # G11
+    impressions: int = 100  # K01, K02
+    keyword_anchors: float = 0.4  # A02
+    gained_links: int = 50  # A03
+    gained_by_lost: float = 5  # A03
+    review_sites: int = 3  # SP02
+
+
+def plain(t: Limits) -> tuple[Rule, ...]:
+    """Rules of one aggregation or one filter over what crawls and sources report; those of a page's own content are in ``page_rules``."""
+    return (
+        Rule("T01", "P1", counting("pages", "blocked", HIGH)),
+        Rule("T02", "P1", Aggregate("pages", {"bad": "count_if(http_status >= 400 and not blocked)", "checked": "count_if(not blocked)"}, "bad > 0.05 * checked", "bad", "bad * 1.0 / checked", "case when bad > 0.15 * checked then 'high' else 'mid' end", MH)),
+        Rule("T03", "P1", counting("pages", "noindex", HIGH)),
+        Rule("T05", "P1", counting("pages", "in_sitemap and inbound = 0 and not blocked", MID)),
+        Rule("T06", "P1", counting("pages", "redirected", MID)),
+        Rule("T07", "P1", Aggregate("pages", {"n": "count(*)", "listed": "count_if(in_sitemap)"}, "n > 1 and listed = 0", "n", "listed", MID, MH, run="page_id % 15")),
+        Rule("T09a", "P1", Each("vitals", "has_field and (lcp_ms > 2500 or inp_ms > 200 or cls > 0.1)", "'site'", "case when lcp_ms > 2500 then 1 else 0 end + case when inp_ms > 200 then 1 else 0 end + case when cls > 0.1 then 1 else 0 end", MID, MH)),
+        Rule("T09c", "P1", Each("vitals", "ttfb_ms > 800", "'site'", "ttfb_ms", MID, "case when has_field then 'measured_hard' else 'inferred' end")),
+        Rule("T10", "P1", Each("pages", "rendered_chars > 0 and initial_chars * 1.0 / rendered_chars < 0.3", "url", "initial_chars * 1.0 / rendered_chars", HIGH, MH)),
+        Rule("T11", "P1", Each("pages", "key_page and inbound < 3", "url", "inbound", MID, MH)),
+        Rule("T12", "P1", counting("pages", "depth > 3", MID)),
+        Rule("G02", "P5", counting("crawlers", "kind = 'search' and status >= 400", HIGH)),
+        Rule("G03", "P5", Each("pages", "rendered_chars > 0 and initial_chars * 1.0 / rendered_chars < 0.3", "url", "initial_chars * 1.0 / rendered_chars", HIGH, MH)),
+        Rule("G04", "P5", Each("presence", "bing_indexed <= 5", "'site'", "bing_indexed", MID, MS)),
+        Rule("G07", "P5", Each("presence", "not encyclopedia and forum_mentions < 3", "'brand'", "forum_mentions", MID, MS)),
+        Rule("G08", "P5", Each("presence", "llms_txt", "'site'", "1", OK, MH)),
+        Rule("E02", "P5", Each("presence", "not knowledge_panel", "'brand'", "0", OK, MS)),
+        Rule("SP01", "P5", Each("presence", "video_results = 0", "'brand'", "0", MID, INF)),
+        Rule("SP02", "P5", Each("presence", f"review_sites = {t.review_sites} and review_results = 0", "'brand'", "review_sites", OK, INF)),
+        Rule("A03", "P5", Aggregate("backlinks", {"gained": "sum(new_links)", "lost": "sum(lost_links)"}, f"gained >= {t.gained_links} and gained >= {t.gained_by_lost} * lost", "gained", "gained * 1.0 / lost", OK, INF)),
+    )
 
 
 def by_frame(rules: Sequence[Rule]) -> list[tuple[str, list[Rule]]]:
