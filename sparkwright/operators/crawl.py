@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
+from sparkwright.sources.shared import settle
 
 
 def templates(pages: DataFrame, siblings: int = 3) -> DataFrame:
@@ -68,18 +69,46 @@ def breadth_first(links: DataFrame, entries: DataFrame, max_depth: int = 3, max_
     """Depth of each page reached from ``entries (run_id, page)``, up to ``max_depth`` and the first ``max_pages`` of a run by depth and page.
 
     The crawl's limits are its definition.  One join and anti-join for each
-    level, as many as ``max_depth``.
+    level, as many as ``max_depth``; every level is written once, so that the
+    next one doesn't compute it again.
     """
     edges = links.select("run_id", F.col("source_id").alias("page"), F.col("target_id").alias("next")).distinct()
-    level = entries.select("run_id", "page").distinct()
+    level = settle(entries.select("run_id", "page").distinct(), "level")
     seen = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        level = level.join(edges, ["run_id", "page"]).select("run_id", F.col("next").alias("page")).distinct().join(seen, ["run_id", "page"], "left_anti")
+        level = settle(level.join(edges, ["run_id", "page"]).select("run_id", F.col("next").alias("page")).distinct().join(seen, ["run_id", "page"], "left_anti"), "level")
         seen = seen.union(level.withColumn("depth", F.lit(depth)))
     order = Window.partitionBy("run_id").orderBy("depth", "page")
     return seen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_pages)
 
 
+def frontier(links: DataFrame, entries: DataFrame, seeds: DataFrame, blocked: DataFrame, max_depth: int = 3, max_pages: int = 200) -> DataFrame:
+    """A crawl from ``entries`` and the sitemap's ``seeds``, past pages that robots.txt ``blocks``; all (run_id, page).
+
+    Pages come in the order entry, seeds, then by depth and page.  A blocked
+    page is recorded, but neither followed nor counted against ``max_pages``;
+    pages after that many fetched ones don't appear.  Links of seeds have
+    depth 1, seeds themselves a null depth.  ``via`` is entry, sitemap, crawl,
+    or both for a seed that a fetched page links to.
+    """
+    edges = links.select("run_id", F.col("source_id").alias("page"), F.col("target_id").alias("next")).distinct()
+    closed = blocked.select("run_id", "page").distinct()
+    first = entries.select("run_id", "page").distinct()
+    listed = seeds.select("run_id", "page").distinct().join(first, ["run_id", "page"], "left_anti")
+    seen = settle(first.selectExpr("*", "0 as step", "0 as depth").union(listed.selectExpr("*", "1 as step", "cast(null as int) as depth")), "level")
+    level = seen.select("run_id", "page")
+    for depth in range(1, max_depth + 1):
+        linked = level.join(closed, ["run_id", "page"], "left_anti").join(edges, ["run_id", "page"]).select("run_id", F.col("next").alias("page")).distinct()
+        level = settle(linked.join(seen, ["run_id", "page"], "left_anti"), "level")
+        seen = seen.union(level.selectExpr("*", f"{depth + 1} as step", f"{depth} as depth"))
+    known = seen.join(closed.withColumn("closed", F.lit(True)), ["run_id", "page"], "left").withColumn("fetched", F.col("closed").isNull())
+    before = Window.partitionBy("run_id").orderBy("step", "page").rowsBetween(Window.unboundedPreceding, -1)
+    reached = known.withColumn("n", F.coalesce(F.sum(F.col("fetched").cast("int")).over(before), F.lit(0))).where(F.col("n") < max_pages)
+    targets = reached.where("fetched").join(edges, ["run_id", "page"]).select("run_id", F.col("next").alias("page")).distinct().withColumn("linked", F.lit(True))
+    via = F.when(F.col("step") == 0, "entry").when(F.col("step") > 1, "crawl").when(F.col("linked"), "both").otherwise("sitemap")
+    return reached.join(targets, ["run_id", "page"], "left").select("run_id", "page", "depth", via.alias("via"), F.when(F.col("fetched"), "fetched").otherwise("blocked").alias("status"))
+
+
 def duplicate_groups(pages: DataFrame) -> DataFrame:
     """Non-empty content hashes that several pages of a run share."""
     return pages.where("content_hash <> ''").groupBy("run_id", "content_hash").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).where("pages >= 2")

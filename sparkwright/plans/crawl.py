@@ -80,6 +80,14 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.breadth_first(b.links, entries)
 
 
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With some pages in the sitemap and some closed by robots.txt; at most 60 pages fetched."""
+    b = Bound(spark, sf_dir)
+    pages = b.links.select("run_id", F.col("source_id").alias("page")).union(b.links.select("run_id", "target_id"))
+    entries = b.links.groupBy("run_id").agg(F.min("source_id").alias("page"))
+    return C.frontier(b.links, entries, pages.where("page % 50 = 1"), pages.where("page % 11 = 3"), max_pages=60)
+
+
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and text length by expressions only: scripts and styles go first, then tags, then white space."""
     html = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " ")
@@ -143,7 +151,7 @@ def render_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    url_normalize, url_template, url_templates, template_representative, page_links, internal_link_counts, inbound_links, site_audit_stats, audit_diff, audit_template_diff, site_citations, duplicate_content, crawl_bfs,
+    url_normalize, url_template, url_templates, template_representative, page_links, internal_link_counts, inbound_links, site_audit_stats, audit_diff, audit_template_diff, site_citations, duplicate_content, crawl_bfs, crawl_frontier,
     page_facts, light_check, page_signals, pages_by_status, site_panel, cluster_inbound, language_paths, robots_check, sitemap_locations, render_dependency,
 )
 
@@ -185,6 +193,15 @@ select a.run_id, a.pattern, a.pages, coalesce(m.page_id, a.first_page) as repres
 l1 as (select distinct l0.run_id, nxt as page, 1 as depth from l0 join e using (run_id, page)), l2 as (select distinct l1.run_id, nxt as page, 2 as depth from l1 join e using (run_id, page)), l3 as (select distinct l2.run_id, nxt as page, 3 as depth from l2 join e using (run_id, page)),
 s as (select run_id, page, min(depth) as depth from (select * from l0 union all select * from l1 union all select * from l2 union all select * from l3) group by all)
 select run_id, page, depth, cast(row_number() over (partition by run_id order by depth, page) as integer) as place from s qualify place <= 200""",
+    "crawl_frontier": ctes("links") + """, e as (select distinct run_id, source_id as page, target_id as nxt from b_links), u as (select run_id, source_id as page from b_links union select run_id, target_id from b_links),
+l0 as (select run_id, min(source_id) as page from b_links group by run_id), sd as (select run_id, page from u where page % 50 = 1 except select * from l0), k0 as (select * from l0 union select * from sd),
+l1 as (select distinct e.run_id, nxt as page from k0 join e using (run_id, page) where page % 11 <> 3 except select * from k0), k1 as (select * from k0 union select * from l1),
+l2 as (select distinct e.run_id, nxt as page from l1 join e using (run_id, page) where page % 11 <> 3 except select * from k1), k2 as (select * from k1 union select * from l2),
+l3 as (select distinct e.run_id, nxt as page from l2 join e using (run_id, page) where page % 11 <> 3 except select * from k2),
+a as (select *, 0 as step, 0 as depth from l0 union all select *, 1, null from sd union all select *, 2, 1 from l1 union all select *, 3, 2 from l2 union all select *, 4, 3 from l3),
+r as (select *, coalesce(sum(case when page % 11 <> 3 then 1 else 0 end) over (partition by run_id order by step, page rows between unbounded preceding and 1 preceding), 0) as n from a qualify n < 60),
+t as (select distinct e.run_id, nxt as page from r join e using (run_id, page) where page % 11 <> 3)
+select r.run_id, r.page, depth, case when step = 0 then 'entry' when step > 1 then 'crawl' when t.page is not null then 'both' else 'sitemap' end as via, case when r.page % 11 = 3 then 'blocked' else 'fetched' end as status from r left join t on t.run_id = r.run_id and t.page = r.page""",
     "page_facts": _PG + "select page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) as title, cast(length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) as integer) as text_chars from b_pages",
     "page_signals": _PG + "select page_id, nullif(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '') as title, " + ", ".join(f"cast(len(regexp_extract_all(html, '{p}')) as integer) as {n}" for n, p in (("n_h1", "<h1[ >]"), ("lists", "<(ul|ol)[ >]"), ("tables", "<table[ >]"), ("images", "<img[ >]"), ("n_links", "<a [^>]*href="), ("n_hreflangs", "hreflang="), ("n_json_ld", "application/ld.json"))) + ", html like '%name=\"viewport\"%' as viewport from b_pages",
     "pages_by_status": _PG + "select run_id, page_id, http_status from b_pages where http_status >= 400",

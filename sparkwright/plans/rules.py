@@ -22,6 +22,7 @@ from sparkwright.plans import probes as probe_plans
 from sparkwright.plans import serp as serp_plans
 from sparkwright.plans.serp import GAPS, RIVALS
 from sparkwright.sources.bindings import COMPETITORS, OWN, Bound, ctes
+from sparkwright.sources.shared import settle
 
 lit = F.lit
 CTR = {1: 0.28, 2: 0.15, 3: 0.10, 4: 0.07, 5: 0.05}
@@ -87,8 +88,15 @@ def g01(b: Bound) -> DataFrame:
     return _one(x, "crawlers", F.when(F.col("kind") == "search", "high").otherwise("ok"), "measured_hard", "n", "n")
 
 
-def _answers(b: Bound) -> probe_plans.Answers:
-    return probe_plans.Answers(b.spark, b.sf_dir)
+def _answers(b: Bound, settled: bool = False) -> probe_plans.Answers:
+    """The bound answers; ``settled`` writes what the parser finds once, for all rules that ask this ``b`` again."""
+    if "parsed_answers" not in vars(b):
+        a = probe_plans.Answers(b.spark, b.sf_dir)
+        if not settled:
+            return a
+        a.parsed = settle(a.parsed.drop("answer_text"), "answers")
+        vars(b)["parsed_answers"] = a
+    return vars(b)["parsed_answers"]
 
 
 def low_presence(presence: DataFrame, least: float = 0.3) -> DataFrame:
@@ -282,8 +290,9 @@ def _query(rule: R.Rule) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule's hits; rules on the content of pages are counted together, and so are plain rules that read one frame."""
+    """Every rule's hits; rules on the content of pages are counted together, and so are plain rules that read one frame; answers are parsed once."""
     b = Bound(spark, sf_dir)
+    _answers(b, settled=True)
     parts = [G.hits(_features(b), G.RULES, PAGE_LIMITS), *(R.together(rules, getattr(b, frame)) for frame, rules in R.by_frame(PLAIN)), *(hits_of(r, b) for r in BUILT)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.plans.log import ORACLES as LOG
+from sparkwright.sources import shared
 from sparkwright.streaming import progress as G
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sparkwright/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared.root(spark)}/sparkwright/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkwright.functions import expr as E
 from sparkwright.functions import html as H
 from sparkwright.functions.robots import allowed, decode_entities
+from sparkwright.operators import crawl as C
 from sparkwright.operators import findings as O
 from sparkwright.operators import log as L
 from sparkwright.operators import probes as P
@@ -213,3 +214,15 @@ def test_presence_is_additive_over_runs(spark):
 @pytest.mark.parametrize(("raw", "want"), [("a.b", "https://a.b/"), (" A.b/c ", "https://a.b/c"), ("HTTP://X.y?q=1", "http://x.y/?q=1"), ("https://u@x.y:80/p#f", "https://x.y:80/p#f"), ("localhost", None), ("", None), (None, None), ("ftp://a.b", None), ("not a url.x y", None)])
 def test_input_url(spark, raw, want):
     assert value(spark, E.input_url(F.lit(raw).cast("string"))) == want
+
+
+def test_crawl_frontier(spark):
+    links = spark.createDataFrame([(1, a, b) for a, b in [(1, 2), (1, 3), (3, 4), (2, 5), (5, 6), (6, 7), (9, 1), (9, 8), (2, 9), (10, 2)]], "run_id long, source_id long, target_id long")
+    one = lambda *pages: spark.createDataFrame([(1, p) for p in pages], "run_id long, page long")
+    got = lambda **k: {r.page: (r.depth, r.via, r.status) for r in C.frontier(links, one(1), one(1, 9, 20), one(3), **k).collect()}
+    every = got()
+    # 4 is behind a blocked page, 7 too deep, 10 never linked; 9 is in the sitemap and linked
+    assert every == {1: (0, "entry", "fetched"), 9: (None, "both", "fetched"), 20: (None, "sitemap", "fetched"), 2: (1, "crawl", "fetched"), 3: (1, "crawl", "blocked"), 8: (1, "crawl", "fetched"), 5: (2, "crawl", "fetched"), 6: (3, "crawl", "fetched")}
+    # blocked pages cost nothing: with four fetched pages 3 is still recorded; 2 wasn't fetched with three, so 9 isn't linked
+    assert set(got(max_pages=4)) == {1, 9, 20, 2} and got(max_pages=3)[9] == (None, "sitemap", "fetched")
+    assert set(got(max_pages=5)) == {1, 9, 20, 2, 3, 8}
