@@ -48,6 +48,36 @@ def report_markdown(health: DataFrame, top: DataFrame, constraint: DataFrame, ru
     return "\n".join(lines) + "\n"
 
 
+SECTIONS = ("Summary", "Method and scope", "Pillars", "Keywords and gaps", "Competitors", "Priorities", "Roadmap", "Retest")
+
+
+def _cell(value: object) -> str:
+    return "not measured" if value is None else str(value).replace("|", "\\|").replace("\n", " ")
+
+
+def full_report(frames: dict[str, DataFrame], run_id: int, rows: int = 20) -> str:
+    """A report of one run in eight sections, each a table of the frame of its name.
+
+    A frame has ``run_id``; its other columns are shown.  Rows go by ``place``
+    where there is one, else by all columns, and a report shows the first
+    ``rows`` of each with the number of the rest.  A section without a frame,
+    or without a row of the run, says so; nulls are what was not measured.
+    """
+    lines = [f"# Run {run_id}", ""]
+    for i, name in enumerate(SECTIONS, 1):
+        lines += [f"## {i}. {name}", ""]
+        own = frames[name].where(F.col("run_id") == run_id).drop("run_id") if name in frames else None
+        order = [] if own is None else ["place"] if "place" in own.columns else own.columns
+        shown = own.orderBy(*order).limit(rows + 1).collect() if own is not None else []
+        if not shown:
+            lines += ["Not measured.", ""]
+            continue
+        lines += [f"| {' | '.join(own.columns)} |", "|" + "---|" * len(own.columns), *(f"| {' | '.join(map(_cell, r))} |" for r in shown[:rows]), ""]
+        if len(shown) > rows:
+            lines += [f"{own.count() - rows} more.", ""]
+    return "\n".join(lines).rstrip() + "\n"
+
+
 def release(frames: dict[str, DataFrame], path: str) -> None:
     """Write several tables so that all appear at once or none: staged beside ``path``, then renamed.
 

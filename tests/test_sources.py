@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.plans import findings as plans
 from sparkwright.sources import payloads as P
-from sparkwright.sources import sinks
+from sparkwright.sources import shared, sinks
 from sparkwright.streaming import progress as G
 
 
@@ -144,3 +144,30 @@ def test_access_and_windows(spark):
     assert [r.exists for r in P.llms_txt(files).orderBy("run_id").collect()] == [True, False, False, False, False]
     post = '{"data": {"children": [{"data": {"created_utc": 1000}}, {"data": {"created_utc": 999}}, {"data": {}}, {}]}}'
     assert [r.mentions for r in P.forum_mentions(landed(spark, post), F.lit(1000 + 365 * 86400)).collect()] == [3]
+
+
+def test_full_report(spark):
+    gaps = spark.createDataFrame([(1, "b|x", 2, 9.5), (1, "a", 1, None), (2, "z", 1, 1.0), (1, "c", 3, 1.0)], "run_id long, keyword string, place int, score double")
+    pillars = spark.createDataFrame([(1, "P2", 80.0), (1, "P1", None)], "run_id long, pillar string, score double")
+    text = sinks.full_report({"Keywords and gaps": gaps, "Pillars": pillars, "Retest": gaps.where("run_id = 2")}, 1, rows=2)
+    parts = text.split("## ")
+    assert [p.split("\n")[0] for p in parts[1:]] == [f"{i}. {n}" for i, n in enumerate(sinks.SECTIONS, 1)]
+    assert "| a | 1 | not measured |\n| b\\|x | 2 | 9.5 |\n\n1 more." in parts[4] and "| P1 | not measured |\n| P2 | 80.0 |" in parts[3]
+    assert "Not measured." in parts[8] and "Not measured." in parts[1]
+
+
+class _Cluster:
+    """A session on a cluster without a shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, default: default)
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.root(_Cluster)
+    df = spark.createDataFrame([(1, None), (2, "x")], "a long, b string")
+    assert sorted(map(tuple, shared.settle(df, "t").collect())) == [(1, None), (2, "x")] and shared.settle(df.limit(0), "t").count() == 0
