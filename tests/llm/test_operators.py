@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwright.llm import components, decontaminate, kneser_ney, language_id, near_dedup, quality_model, repetition, source_mix, token_planes, url_rules, warc
+from sparkwright.llm import components, decontaminate, kneser_ney, language_id, near_dedup, quality_model, repetition, source_mix, storage, token_planes, url_rules, warc
 from sparkwright.llm import textops as tx
 from sparkwright.llm.queries import URL_RULES, tokenizer_path
 
@@ -794,3 +794,15 @@ def test_pieces_with_equal_hashes(tokenizer, monkeypatch, corpus):
     texts = [t or "" for t in corpus[:60]]
     for text, ids in zip(texts, encoder.encode(pa.array(texts, pa.string())), strict=True):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_no_local_folder_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "k8s://host"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_root(Cluster)
