@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
 from sparkwright.operators import serp as S
+from sparkwright.operators.ranking import ranked
 from sparkwright.sources.bindings import COMPETITORS, OWN, Bound, ctes
 
 RIVALS = ", ".join(f"'{d}'" for d in COMPETITORS)
@@ -39,10 +40,8 @@ def keyword_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gaps_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric score then volume, nulls last, as a rank column."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("run_id").orderBy(F.col("score").cast("double").desc_nulls_last(), F.desc_nulls_last("search_volume"), "keyword")
-    return gaps_of(Bound(spark, sf_dir)).select("run_id", "keyword_id", "gap_type", F.row_number().over(order).alias("place"))
+    gaps = gaps_of(Bound(spark, sf_dir)).select("run_id", "keyword_id", "gap_type", F.col("score").cast("double").alias("score"), "search_volume", "keyword")
+    return ranked(gaps, ["run_id"], [F.desc_nulls_last("score"), F.desc_nulls_last("search_volume"), F.col("keyword")]).select("run_id", "keyword_id", "gap_type", "place")
 
 
 def share_of_serp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +73,8 @@ def cannibalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_metrics_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("run_id").orderBy(F.desc_nulls_last("clicks"), F.desc_nulls_last("impressions"), "query_id")
-    return S.query_totals(Bound(spark, sf_dir).gsc).select("run_id", "query_id", "clicks", "impressions", F.row_number().over(order).alias("place"))
+    totals = S.query_totals(Bound(spark, sf_dir).gsc).select("run_id", "query_id", "clicks", "impressions")
+    return ranked(totals, ["run_id"], [F.desc_nulls_last("clicks"), F.desc_nulls_last("impressions"), F.col("query_id")])
 
 
 def top_keyword_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
@@ -13,6 +14,7 @@ from sparkwright.operators import findings as O
 from sparkwright.operators import log as L
 from sparkwright.operators import probes as P
 from sparkwright.operators import serp as S
+from sparkwright.operators.ranking import ranked
 
 
 def value(spark, column):
@@ -226,3 +228,14 @@ def test_crawl_frontier(spark):
     # blocked pages cost nothing: with four fetched pages 3 is still recorded; 2 wasn't fetched with three, so 9 isn't linked
     assert set(got(max_pages=4)) == {1, 9, 20, 2} and got(max_pages=3)[9] == (None, "sitemap", "fetched")
     assert set(got(max_pages=5)) == {1, 9, 20, 2, 3, 8}
+
+
+def test_ranked_is_the_row_number(spark):
+    rows = [(None if i % 13 == 0 else 1 if i % 7 else i % 3, None if i % 5 == 0 else i % 4, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "run_id long, score int, id long").repartition(6)
+    order = [F.desc_nulls_last("score"), F.col("id")]
+    want = df.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = ranked(df, ["run_id"], order)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert ranked(df.limit(0), ["run_id"], order).count() == 0
