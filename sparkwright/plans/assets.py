@@ -138,7 +138,7 @@ ORACLES = {
     "anchor_classes": f"select p_partkey, {_ANCHOR} as kind from part",
     "page_classes": "select page_id, ['product', 'article', 'category', 'other'][page_id % 4 + 1] as kind from pages",
     "competitor_form": ctes("pages") + "select run_id, case when page_id % 10 >= 3 then 'faq' when list_count >= 5 then 'listicle' when initial_chars >= 2500 then 'article' else 'page' end as page_type, count(*) as pages, round(avg(initial_chars), 4) as mean_chars from b_pages group by all",
-    "competitor_pool": ctes("serp") + f"select distinct run_id, domain from (select run_id, unnest({list(COMPETITORS)}) as domain from b_serp union all select run_id, domain from b_serp where item_rank <= 3 and keyword_id % 25 = 0)",
+    "competitor_pool": ctes("serp") + f"select distinct run_id, domain from (select run_id, unnest({list(COMPETITORS)}) as domain from b_serp union all select run_id, domain from b_serp where item_rank <= 3)",
     "platform_filter": ctes("serp") + f"select run_id, count(*) as items, count(distinct domain) as domains from b_serp where domain not in {PLATFORMS} group by run_id",
     "ecommerce_detect": "select * from (select regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') as host, count_if(regexp_matches(url, '/en/[0-9]')) as products, count_if(regexp_matches(url, '/en/1')) as policies from pages group by 1) where products > 0",
     "psi_clues": ctes("lab_audits") + "select run_id, title, ms, cast(row_number() over (partition by run_id order by ms desc, title) as integer) as place from (select run_id, title, max(savings_ms) as ms from b_lab_audits group by all) qualify place <= 5",
