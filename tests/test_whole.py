@@ -33,4 +33,4 @@ def test_rule_t09b_reads_every_line(spark, data, con):
 
 
 def test_every_line_is_an_audit(spark, data):
-    assert Bound(spark, data).all_lab_audits.count() == spark.read.parquet(f"{data}/lineitem.parquet").count()
+    assert Bound(spark, data).lab_audits.count() == spark.read.parquet(f"{data}/lineitem.parquet").count()
