@@ -73,7 +73,7 @@ def mentions(text: Column, term: str) -> Column:
         return F.lit(False)
     if _CJK.search(term):
         return F.contains(F.lower(text), F.lit(term.lower()))
-    return text.rlike(pattern(term))
+    return _any(text, [term], [])
 
 
 def hits_term(text: Column, term: str, plain: str = "[a-z']+") -> Column:
@@ -97,7 +97,9 @@ def _any(text: Column, words: Sequence[str], parts: Sequence[str]) -> Column:
     out = F.lit(False)
     inner = [w for w in words if re.match(WORD, w[0]) and re.match(WORD, w[-1])]
     if inner:
-        out = out | text.rlike(f"(?i)(?<!{WORD})(?:{'|'.join(map(_quoted, inner))})(?!{WORD})")
+        found = text.rlike(f"(?i)(?<!{WORD})(?:{'|'.join(map(_quoted, inner))})(?!{WORD})")
+        # looking for the letters alone is cheap and spares most texts the pattern
+        out = out | (any_of([F.contains(F.lower(text), F.lit(w.lower())) for w in inner]) & found if "".join(inner).isascii() else found)
     for w in words:
         if w not in inner:
             out = out | text.rlike(pattern(w))
