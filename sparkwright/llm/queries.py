@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import decontaminate, kneser_ney, language_id, near_dedup, quality_model, repetition, source_mix, token_planes, url_rules, warc
+from sparkwright.llm import conversation_repair, decontaminate, kneser_ney, language_id, near_dedup, periodic, quality_model, repetition, secret_ledger, source_mix, storage, token_planes, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +85,61 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.round_trip(_table(spark, sf_dir, "documents"), token_planes.Params(tokenizer_path()))
 
 
+def _tiled(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; in a tenth of the documents, by their id's hash, the words from some place on repeat a pattern."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(source_mix.WORD), F.lit(0))).alias("words")).withColumn("n", F.size("words"))
+    placed = chosen.withColumn("a", (F.col("g") % F.when(F.col("n") > 0, F.col("n"))).cast("int")).withColumn("left", F.col("n") - F.col("a"))
+    placed = placed.withColumn("p", (1 + F.floor(F.col("left") / (3 + F.col("g") % 8))).cast("int"))
+    pattern = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(F.col("left") / F.col("p")).cast("int")))
+    text = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), pattern), F.lit(1), F.col("n")), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(_tiled(_table(spark, sf_dir, "documents")))
+    first = lambda best, x: F.when(best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"]), x).otherwise(best)
+    found = found.withColumn("best", F.aggregate("runs", F.lit(None).cast(periodic.RUN), first))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000L * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rules = _table(spark, sf_dir, "documents"), secret_ledger.RuleSet()
+    ledger = secret_ledger.Ledger(spark, storage.scratch(spark, "ledger"))
+    ledger.update(docs, rules, ["doc_id"])
+    base = [r.kind for r in secret_ledger.BASE]
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return ledger.findings(docs, rules, ["doc_id"]).select(
+        "doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base), F.sha2(secret_ledger.joined(of(*base)), 256).alias("base_sha256"), secret_ledger.joined("spans").alias("spans"),
+    )
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    """``conversations`` with a quarter of its rows damaged by the hash of their place; nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", space("conv_id"), space("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), kind.alias("_kind")).where("_kind <> 0")
+    text = F.when(F.col("_kind") == 1, "").when(F.col("_kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("_kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", F.when(F.col("_kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("_copy")).drop("_copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(_damaged(turns))
+    named = lambda df, name: df.withColumnRenamed("conv_id", name)
+    every = turns.select("conv_id").distinct()
+    every = every.join(named(found.summary, "_s"), F.col("conv_id").eqNullSafe(F.col("_s")), "left").join(named(conversation_repair.digests(found.rows), "_d"), F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_minhash_dedup, op3_url_filter, op4_language_id, op5_quality_model, op6_source_mix, op7_kneser_ney, op8_repetition, op9_decontaminate, op10_token_planes)
+    found = (op1_warc, op2_minhash_dedup, op3_url_filter, op4_language_id, op5_quality_model, op6_source_mix, op7_kneser_ney, op8_repetition, op9_decontaminate, op10_token_planes, op11_periodic_runs, op12_secret_ledger, op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 
