@@ -229,5 +229,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params | None = None)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, params: Params | None = None) -> DataFrame:
-    """The rows of ``docs`` (all columns) that hold no benchmark item."""
-    return storage.by_ids(docs, matches(docs, benchmark, params).select("doc_id"), "doc_id", "left_anti")
+    """The rows of ``docs``, with all columns whatever their names, that hold no benchmark item.
+
+    Every row is judged by its own text, also where its id is null or repeated.
+    """
+    (row,) = storage.fresh(docs, "row")
+    rows = storage.keyed(docs, row)
+    with storage.temporary(docs.sparkSession) as stays:
+        gone = storage.keep(matches(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, params).select(F.col("doc_id").alias(row)).distinct(), "gone")
+        stays.append(gone)
+    return storage.by_ids(rows, gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -272,6 +272,22 @@ def cluster(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are the smallest id of their group."""
-    gone = cluster(docs, params).where("not kept").select("doc_id")
-    return storage.by_ids(docs, gone, "doc_id", "left_anti")
+    """The rows of ``docs``, with all columns whatever their names, without near copies: of each group the row with the smallest id stays.
+
+    Every row is judged by itself, also where its id is null or repeated: null
+    ids come after all others, and of equal ids the row that is first in its
+    file stays.  Rows without words are no copies of each other.
+    """
+    spark = docs.sparkSession
+    (row,) = storage.fresh(docs, "row")
+    rows = storage.keyed(docs, row)
+    with storage.temporary(spark) as stays:
+        found = cluster(rows.select(F.col(row).alias("doc_id"), "text"), params).where("n_shingles > 0").select("doc_id", "component_id")
+        sizes = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        members = storage.keep(found.join(sizes, "component_id"), "members")
+        ids = rows.select(F.col(row).alias("doc_id"), F.struct(F.col("`doc_id`").isNull().alias("none"), F.col("`doc_id`").alias("id"), F.col(row).alias("at")).alias("order"))
+        named = storage.keep(members.join(ids, "doc_id"), "named")
+        first = named.groupBy("component_id").agg(F.min("order").alias("first"))
+        gone = storage.keep(named.join(first, "component_id").where("order <> first").select(F.col("doc_id").alias(row)), "gone")
+        stays.append(gone)
+    return storage.by_ids(rows, gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

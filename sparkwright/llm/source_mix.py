@@ -130,11 +130,12 @@ def mix(docs: DataFrame, params: Params | None = None, text: str = "text", id_co
     rows of their own; a null id is allowed; other columns are ignored; an
     empty table gives an empty one.  Equal tables give equal mixes.
     """
-    return _mixed(_sized(docs, text, id_column, source), params or Params())
+    content = F.xxhash64(text).alias("content")
+    return _mixed(_sized(docs, text, id_column, source, content), params or Params(), ("content",)).drop("content")
 
 
 def _mixed(rows: DataFrame, p: Params, tie: Sequence[str] = ()) -> DataFrame:
-    """The mix of ``rows (doc_id, source, size)``; the long columns ``tie`` order equal ids and sizes, and are returned too."""
+    """The mix of ``rows (doc_id, source, size)``; the long columns ``tie`` order equal ids and sizes, deal them to groups, and are returned too."""
     spark = rows.sparkSession
     raw = storage.keep(rows, "sizes")
     counts = storage.keep(raw.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
@@ -148,7 +149,7 @@ def _mixed(rows: DataFrame, p: Params, tie: Sequence[str] = ()) -> DataFrame:
         storage.drop(x)
     tilt = F.when(F.col("lam") == math.inf, float(p.cap)).when(F.col("lam") == -math.inf, 0.0).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0))), F.lit(float(p.cap))))
     rated = raw.join(solved, same).select(
-        "doc_id", "size", "source_size", "target", tilt.alias("rate"), "code", F.pmod(F.xxhash64("doc_id", "size"), F.col("groups")).cast("long").alias("part"), *tie
+        "doc_id", "size", "source_size", "target", tilt.alias("rate"), "code", F.pmod(F.xxhash64("doc_id", "size", *tie), F.col("groups")).cast("long").alias("part"), *tie
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,16 +180,19 @@ def _mixed(rows: DataFrame, p: Params, tie: Sequence[str] = ()) -> DataFrame:
 
 
 def resample(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """The rows of ``docs`` (all columns), each as often as the mix takes it.
+    """The rows of ``docs``, with all columns whatever their names and types, each as often as the mix takes it.
 
-    A row is known by a key of its own, written with the rows before the mix,
-    so that null and repeated ids get exactly their own copies.  Rows that are
-    equal but for the key are interchangeable.
+    A row is known by its place in its file, so that null and repeated ids get
+    exactly their own copies.  Rows of one id, size and text are
+    interchangeable.
     """
-    keyed = storage.with_row_key(docs)
-    tie = [F.xxhash64(*docs.columns).alias("content"), F.col(storage.ROW_KEY).alias("row")]
-    mixed = _mixed(_sized(keyed, "text", "doc_id", "source", *tie), params or Params(), ("content", "row"))
-    copies = storage.keep(mixed.where("copies > 0").select(F.col("row").alias(storage.ROW_KEY), F.col("copies").cast("int").alias("_copies")), "copies")
+    row, times, copy = storage.fresh(docs, "row", "times", "copy")
+    rows = storage.keyed(docs, row)
+    with storage.temporary(docs.sparkSession) as stays:
+        tie = [F.xxhash64("text", "source").alias("content"), F.col(row).alias("row")]
+        mixed = _mixed(_sized(rows, "text", "doc_id", "source", *tie), params or Params(), ("content", "row"))
+        copies = storage.keep(mixed.where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(times)), "copies")
+        stays.append(copies)
     small = copies.count() <= storage.BROADCAST_IDS
-    joined = keyed.join(copies.hint("broadcast") if small else copies.hint("merge"), storage.ROW_KEY)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    joined = rows.join(copies.hint("broadcast") if small else copies.hint("merge"), row)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
