@@ -6,8 +6,6 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,46 +14,24 @@ from sparkwright.llm import decontaminate, near_dedup, repetition, source_mix, s
 from sparkwright.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_before: dict[str, list[str]] = {}
 
 
-def _stage(f: Stage) -> Stage:
-    """Drops the scratch tables of the stage before, whose result is written by now."""
-
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        for path in _before.pop(app, []):
-            storage.delete(spark, path)
-        known = set(storage.opened(spark))
-        out = f(spark, docs, sf_dir)
-        _before[app] = [x for x in storage.opened(spark) if x not in known]
-        return out
-
-    return run
-
-
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition.keep_good(docs)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.keep_one(docs)
 
 
-@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return source_mix.resample(docs)
 
 
-@_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_planes.round_trip(docs, token_planes.Params(tokenizer_path()))
 
@@ -73,14 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder, read again, and deleted when the next is there."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for _, stage in STAGES[:-1]:
-        path = f"{storage.shared_root(spark)}/sparkwright/stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        if before:
-            storage.delete(spark, before)
-        docs, before = spark.read.parquet(path), path
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    storage.delete(spark, before)  # the last stage has written its files
-    return out
+    """All stages over ``documents``, each result written to the shared folder and read again; in the end only the last one's table is left there."""
+    with storage.temporary(spark) as stays:
+        docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+        for name, stage in STAGES:
+            docs = storage.keep(stage(spark, docs, sf_dir), "-".join(["stage", *name.split()]))
+            if before is not None:
+                storage.drop(before)  # what read it is written
+            before = docs
+        stays.append(docs)
+    return docs
