@@ -63,18 +63,36 @@ def gap_type(own: Column, rivals: Column, top: int = 10, weak: int = 30) -> Colu
     )
 
 
+#: domains of sites that may be sent to every executor: some 20 MB
+BROADCAST_SITES = 200_000
+
+
+def of_sites(sites: DataFrame) -> DataFrame:
+    """``sites (run_id, domain, own)`` with normal domains, once a run (its own where a domain is both), to be joined: broadcast up to a counted limit."""
+    named = sites.groupBy("run_id", E.norm_domain(F.col("domain")).alias("domain")).agg(F.bool_or("own").alias("own")).where("domain is not null")
+    return named.hint("broadcast") if named.count() <= BROADCAST_SITES else named.hint("merge")
+
+
 def keyword_gaps(serp: DataFrame, labs: DataFrame, own: str, competitors: Sequence[str], top: int = 10) -> DataFrame:
     """missing / weak / winning keywords with their opportunity; other keywords are dropped.
 
     One aggregation over the result items; of repeated market data the last
     keyword row counts.
     """
-    named = serp.where("item_rank > 0").withColumn("domain", E.norm_domain(F.col("domain")))
-    wanted = F.broadcast(domain_dim(serp, [own, *competitors]))
-    best = named.join(wanted, "domain").groupBy("run_id", "keyword_id", "keyword", "domain").agg(F.min("item_rank").alias("r"))
-    rival = (F.col("domain") != own) & (F.col("r") <= top)
+    wanted = F.broadcast(domain_dim(serp, [own, *competitors])).withColumn("own", F.col("domain") == own)
+    return _gaps(serp.where("item_rank > 0").withColumn("domain", E.norm_domain(F.col("domain"))).join(wanted, "domain"), labs, top)
+
+
+def keyword_gaps_of(serp: DataFrame, labs: DataFrame, sites: DataFrame, top: int = 10) -> DataFrame:
+    """``keyword_gaps`` of each run against its own ``sites (run_id, domain, own)``; runs without sites have none."""
+    return _gaps(serp.where("item_rank > 0").withColumn("domain", E.norm_domain(F.col("domain"))).join(of_sites(sites), ["run_id", "domain"]), labs, top)
+
+
+def _gaps(named: DataFrame, labs: DataFrame, top: int) -> DataFrame:
+    best = named.groupBy("run_id", "keyword_id", "keyword", "domain", "own").agg(F.min("item_rank").alias("r"))
+    rival = ~F.col("own") & (F.col("r") <= top)
     per = best.groupBy("run_id", "keyword_id", "keyword").agg(
-        F.min(F.when(F.col("domain") == own, F.col("r"))).alias("our_position"),
+        F.min(F.when(F.col("own"), F.col("r"))).alias("our_position"),
         F.count(F.when(rival, 1)).alias("rivals"),
         F.min(F.when(rival, F.col("r"))).alias("best_rival"),
     )
@@ -101,10 +119,20 @@ def share_of_serp(serp: DataFrame, own: str, competitors: Sequence[str], top: in
     return every.join(counts, ["run_id", "domain"], "left").select("run_id", "domain", F.coalesce("items", F.lit(0)).alias("items"), (F.col("domain") == own).alias("own"))
 
 
+def share_of_serp_of(serp: DataFrame, sites: DataFrame, top: int = 10) -> DataFrame:
+    """``share_of_serp`` of each run for its own ``sites (run_id, domain, own)``; domains without an item count 0, runs without results are left out."""
+    wanted = of_sites(sites)
+    named = serp.where((F.col("item_rank") > 0) & (F.col("item_rank") <= top)).select("run_id", E.norm_domain(F.col("domain")).alias("domain"))
+    counts = named.join(wanted, ["run_id", "domain"], "left_semi").groupBy("run_id", "domain").agg(F.count("*").alias("items"))
+    runs = serp.select("run_id").distinct()
+    return wanted.join(runs, "run_id").join(counts, ["run_id", "domain"], "left").select("run_id", "domain", F.coalesce("items", F.lit(0)).alias("items"), "own")
+
+
 def seed_keywords(metrics: DataFrame, prompts: DataFrame, brand: str, limit: int = 100) -> DataFrame:
-    """Search queries by impressions, then prompts, de-duplicated by normal form, without brand queries, up to ``limit`` a run."""
+    """Search queries by impressions, then prompts, de-duplicated by normal form, up to ``limit`` a run; texts that contain the brand are left out."""
+    wanted = " ".join(brand.lower().split())
     both = metrics.select("run_id", "text", F.lit(0).alias("source"), (-F.col("impressions")).alias("rank")).unionByName(prompts.select("run_id", "text", F.lit(1).alias("source"), F.col("rank").cast("long").alias("rank")))
-    keyed = both.withColumn("key", E.norm_keyword(F.col("text"))).where((F.col("key") != "") & ~E.mentions(F.col("key"), brand))
+    keyed = both.withColumn("key", E.norm_keyword(F.col("text"))).where((F.col("key") != "") & ~(F.contains(F.col("key"), F.lit(wanted)) if wanted else F.lit(False)))
     first = keyed.groupBy("run_id", "key").agg(F.min(F.struct("source", "rank", "text")).alias("f")).select("run_id", "key", "f.*")
     order = Window.partitionBy("run_id").orderBy("source", "rank", "text")
     return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("run_id", "place", "text", "source")

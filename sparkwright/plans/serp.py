@@ -156,7 +156,7 @@ select run_id, cast(place as integer) as place, domain, shared_keywords, round(o
     "keyword_table": ctes("serp", "labs", "gsc") + f", {GAPS}, {_TABLE} select * from kt",
     "keyword_table_sorted": ctes("serp", "labs", "gsc") + f", {GAPS}, {_TABLE} select *, cast((place + 49) // 50 as integer) as page from (select run_id, keyword_id, score, clicks, avg_pos, cast(row_number() over (partition by run_id order by score desc nulls last, clicks desc nulls last, avg_pos asc nulls last, keyword_id) as integer) as place from kt)",
     "seed_keywords": ctes("gsc", "labs") + f""", {_TOTALS}, u as (select run_id, ' KW' || query_id as text, 0 as source, -impressions as rank from qt union all select run_id, case when keyword_id % 3 = 0 then keyword else title end, 1, keyword_id from b_labs),
-k as (select *, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) as key from u), w as (select *, row_number() over (partition by run_id, key order by source, rank, text) as i from k where key <> '' and not regexp_matches(key, '(?i)\\bred\\b')),
+k as (select *, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) as key from u), w as (select *, row_number() over (partition by run_id, key order by source, rank, text) as i from k where key <> '' and not contains(key, 'red')),
 p as (select *, row_number() over (partition by run_id order by source, rank, text) as place from w where i = 1) select run_id, cast(place as integer) as place, text, source from p where place <= 100""",
     "aio_exposure": ctes("aio") + "select run_id, count(*) as total, count(*) filter (measured) as measured, count(*) filter (measured and present) as present, count(*) filter (measured and present and owned) as owned, count(distinct cited_domain) filter (measured and present) as domains from b_aio group by run_id",
     "aio_rates": ctes("aio") + "select run_id, round(count(*) filter (measured and present)::double / nullif(count(*) filter (measured), 0), 6) as present_rate, round(count(*) filter (measured and present and owned)::double / nullif(count(*) filter (measured and present), 0), 6) as owned_rate from b_aio group by run_id",

@@ -39,6 +39,14 @@ BINDINGS = {
   case l_partkey % 3 when 0 then 'low' when 1 then 'medium' else 'high' end as effort, l_linestatus = 'F' as applied from {lineitem}""",
     "answers": """select doc_id as evidence_id, cast(doc_id % 3 as bigint) as run_id, doc_id % 30 as prompt_id,
   case doc_id % 4 when 0 then 'openai' when 1 then 'perplexity' when 2 then 'gemini' else 'deepseek' end as provider, text as answer_text from {documents}""",
+    # a thousand projects; each takes its names from the first words of other documents
+    "project_answers": """select doc_id as evidence_id, doc_id % 1000 as project_id, case doc_id % 4 when 0 then 'openai' when 1 then 'perplexity' when 2 then 'gemini' else 'deepseek' end as provider, text as answer_text from {documents}""",
+    "project_terms": """select k.p as project_id, k.kind, k.place, case k.kind when 'competitor' then regexp_extract(d.text, '([A-Za-z][a-z][a-z]+ [a-z]+)', 1) when 'domain' then concat('www.', regexp_extract(d.text, '([A-Za-z]+)', 1), '.') else regexp_extract(d.text, '([A-Za-z][a-z][a-z]+)', 1) end as term
+  from (select doc_id as p, 'brand' as kind, 0 as place, doc_id as source from {documents} where doc_id < 1000 union all select doc_id, 'alias', 0, doc_id + 1 from {documents} where doc_id < 1000
+    union all select doc_id, 'competitor', 1, doc_id + 2 from {documents} where doc_id < 1000 union all select doc_id, 'competitor', 2, doc_id + 3 from {documents} where doc_id < 1000 union all select doc_id, 'domain', 0, doc_id + 4 from {documents} where doc_id < 1000) k
+  join {documents} d on d.doc_id = k.source where d.text is not null""",
+    # the own domain of each run and its candidates; those of suppliers in credit are confirmed
+    "sites": """select cast(s_suppkey % 4 as bigint) as run_id, concat('s', cast(s_suppkey as string), '.example') as domain, s_suppkey < 5 as own, s_acctbal > 0 as confirmed from {supplier} where s_suppkey < 100""",
     "prompts": """select distinct cast(doc_id % 3 as bigint) as run_id, doc_id % 30 as prompt_id, (doc_id % 30) < 6 as branded from {documents}""",
     "citations": """select d.doc_id as evidence_id, cast(d.doc_id % 3 as bigint) as run_id, d.doc_id % 30 as prompt_id, p.url as cited_url
   from {documents} d cross join (select count(*) as n_pages from {pages}) c join {pages} p on p.page_id = d.doc_id % c.n_pages where d.doc_id % 3 <> 0 and d.doc_id % 4 <> 3""",
