@@ -31,14 +31,35 @@ def render_prompts(projects: DataFrame, prompts: tuple[tuple[str, str], ...] = P
     return x.select("project_id", "priority", "kind", text.alias("text"), F.contains("template", F.lit("{brand}")).alias("branded"))
 
 
-GENERIC = ("here", "click here", "read more", "learn more", "website", "link")
+# Anchor texts that say nothing.
+GENERIC = ("", "click here", "here", "link", "this", "this link", "website", "web site", "site", "visit", "visit website", "read more", "more", "learn more", "home", "homepage", "www")
 
 
-def anchor_class(anchor: Column, brand: Column) -> Column:
-    a = F.lower(F.trim(anchor))
-    return (
-        F.when(a.isin(*GENERIC), "generic").when(a.rlike("^https?://"), "url").when(a.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$"), "domain").when(F.contains(a, F.lower(brand)), "brand").otherwise("keyword")
-    )
+def anchor_class(anchor: Column, brand: Column, own: Column | None = None) -> Column:
+    """generic, url, domain, brand (it holds a brand of two letters or more, or the own domain) or else keyword; a null anchor is generic."""
+    a = F.coalesce(F.lower(E.trim(anchor)), F.lit(""))
+    names = (F.length(brand) >= 2) & F.contains(a, F.lower(brand))
+    if own is not None:
+        names = names | F.contains(a, F.lower(own))
+    return F.when(a.isin(*GENERIC), "generic").when(a.rlike("^https?://"), "url").when(a.rlike(r"^[\w.-]+\.[a-z]{2,}$"), "domain").when(names, "brand").otherwise("keyword")
+
+
+# Words in a path that tell what a page is for.
+INFORMS = ("blog", "article", "articles", "news", "guide", "guides", "tutorial", "tutorials", "post", "posts", "resource", "resources", "faq")
+SELLS = ("product", "products", "shop", "store", "buy", "pricing", "price", "checkout", "cart", "deal", "deals", "order")
+
+
+def landing_class(url: Column) -> Column:
+    """What a page that a search leads to is for, by its path: informational, transactional or other."""
+    path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), url))
+    word = lambda words: path.rlike(rf"\b({'|'.join(words)})\b")
+    return F.when(word(INFORMS) | path.rlike(r"/20\d\d/"), "informational").when(word(SELLS), "transactional").otherwise("other")
+
+
+def intent_class(intent: Column) -> Column:
+    """What a query is for; null where that can't be said of its intent."""
+    i = F.lower(intent)
+    return F.when(F.contains(i, F.lit("info")), "informational").when(F.contains(i, F.lit("transac")) | F.contains(i, F.lit("commerc")), "transactional")
 
 
 def page_class(path: Column) -> Column:
@@ -60,7 +81,7 @@ def vitals(lcp: Column, inp: Column, cls: Column, ttfb: Column) -> list[Column]:
 
 
 #: metric, its source and direction by pillar, for when nothing else is said
-VALIDATION = {"P1": ("crawl", "issues", "decrease"), "P2": ("crawl", "issues", "decrease"), "P3": ("gsc", "impressions", "increase"), "P4": ("probe", "brand_sov", "increase"), "P5": ("probe", "brand_presence", "increase")}
+VALIDATION = {"P1": ("crawl", "affected_pages", "decrease"), "P2": ("crawl", "affected_pages", "decrease"), "P3": ("gsc", "impressions", "increase"), "P4": ("probe", "brand_sov", "increase"), "P5": ("probe", "brand_presence", "increase")}
 WINDOW_DAYS = 28
 
 

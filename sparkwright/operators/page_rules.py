@@ -1,7 +1,9 @@
 """Rules on what parsed pages hold: titles, headings, structured data, signals of trust, images, links.
 
-``features`` is (run_id, url) and the columns of ``html.page_features``.  All
-rules of one call are counted in one aggregation over it.
+``features`` is (run_id, url, entry) and the columns of ``html.page_features``;
+``entry`` marks a run's entry page, which rules on titles, descriptions,
+headings, signals of trust and early answers judge alone.  All rules of one
+call are counted in one aggregation over it.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkwright.functions import expr as E
 from sparkwright.functions import json_ld
 
-# Hosts that identify an organisation, and the regions that language tags may name.
+# Hosts that identify an organisation.
 AUTHORITY_HOSTS = ("wikidata.org", "linkedin.com", "crunchbase.com", "facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com")
 ORGANISATIONS = ("Organization", "Brand")
 
@@ -45,9 +47,20 @@ class PageRule:
     fires: Callable[[dict[str, Column], Limits], Column] = lambda a, _: a["n"] > 0
     measure: Callable[[dict[str, Column]], Column] = lambda a: a["n"] / a["total"]
     scope: str = "site"
+    #: judges the entry page alone
+    entry: bool = False
+    #: the pages to show, where that isn't ``fault``
+    shown: Callable[[Limits], Column] | None = None
 
     def aggregates(self, limits: Limits) -> dict[str, Column]:
-        return self.aggs(limits) if self.aggs else {"n": F.count_if(self.fault(limits)), "total": F.count("*")}
+        if self.aggs:
+            return self.aggs(limits)
+        return {"n": F.count_if(self.faulty(limits)), "total": F.count_if("entry") if self.entry else F.count("*")}
+
+    def faulty(self, limits: Limits) -> Column | None:
+        """Whether a page has what the rule is about; None where no page is to be shown."""
+        found = self.shown or self.fault
+        return found and (F.col("entry") & found(limits) if self.entry else found(limits))
 
 
 def _host(url: Column) -> Column:
@@ -82,11 +95,11 @@ RULES: tuple[PageRule, ...] = (
     PageRule(
         "T14", "P1", "mid", "measured_hard",
         aggs=lambda _: {"total": F.count_if(F.size("hreflangs") > 0), "n": F.count_if(F.exists("hreflangs", _bad_region)), "fallback": F.count_if(F.array_contains("hreflangs", "x-default"))},
-        fires=lambda a, _: (a["total"] > 0) & ((a["n"] > 0) | (a["fallback"] == 0)), measure=lambda a: a["fallback"],
+        fires=lambda a, _: (a["total"] > 0) & ((a["n"] > 0) | (a["fallback"] == 0)), measure=lambda a: a["fallback"], shown=lambda _: F.exists("hreflangs", _bad_region),
     ),
-    PageRule("C01", "P2", "mid", "measured_hard", lambda t: ~_GIVEN("title") | (F.length("title") > t.title_chars)),
-    PageRule("C02", "P2", "mid", "measured_hard", lambda _: ~_GIVEN("description")),
-    PageRule("C03", "P2", "mid", "measured_hard", lambda _: (F.col("n_h1") != 1) | F.coalesce(F.col("h1") == F.col("title"), F.lit(False))),
+    PageRule("C01", "P2", "mid", "measured_hard", lambda t: ~_GIVEN("title") | (F.length("title") > t.title_chars), entry=True),
+    PageRule("C02", "P2", "mid", "measured_hard", lambda _: ~_GIVEN("description"), entry=True),
+    PageRule("C03", "P2", "mid", "measured_hard", lambda _: (F.col("n_h1") != 1) | F.coalesce(F.col("h1") == F.col("title"), F.lit(False)), entry=True),
     PageRule("C05a", "P2", "ok", "measured_hard", lambda _: F.arrays_overlap("ld_types", F.lit(list(json_ld.DEPRECATED))), measure=lambda a: a["n"], scope="deprecated types"),
     PageRule(
         "C05a", "P2", "ok", "measured_hard", aggs=lambda _: {"n": F.count_if(F.array_contains("ld_types", "Organization"))},
@@ -95,10 +108,10 @@ RULES: tuple[PageRule, ...] = (
     PageRule("C05b", "P2", "high", "measured_hard", lambda _: (F.col("ld_invalid") > 0) | (F.col("ld_context") > 0)),
     PageRule("C05c", "P2", "mid", "measured_hard", lambda _: F.size("ld_missing") > 0),
     PageRule("C05d", "P2", "high", "measured_hard", lambda _: F.size("ld_absent") > 0),
-    PageRule("C06", "P2", "ok", "inferred", lambda _: ~(F.col("author") & F.col("dated") & F.col("about"))),
-    PageRule("C07", "P2", "mid", "inferred", lambda t: (F.col("figures") < t.figures) | ~_leads_out(t) | (~F.col("quoted") & (F.col("quote_chars") < t.quote_chars))),
-    PageRule("C08", "P2", "ok", "hypothesis", lambda t: ~_answers_early(t)),
-    PageRule("C09", "P2", "mid", "measured_hard", aggs=lambda _: {"n": F.sum("missing_alt"), "total": F.sum("images")}, fires=lambda a, t: (a["total"] > 0) & (a["n"] > t.missing_alt * a["total"])),
+    PageRule("C06", "P2", "ok", "inferred", lambda _: ~(F.col("author") & F.col("dated") & F.col("about")), entry=True),
+    PageRule("C07", "P2", "mid", "inferred", lambda t: (F.col("figures") < t.figures) | ~_leads_out(t) | (~F.col("quoted") & (F.col("quote_chars") < t.quote_chars)), entry=True),
+    PageRule("C08", "P2", "ok", "hypothesis", lambda t: ~_answers_early(t), entry=True),
+    PageRule("C09", "P2", "mid", "measured_hard", aggs=lambda _: {"n": F.sum("missing_alt"), "total": F.sum("images")}, fires=lambda a, t: (a["total"] > 0) & (a["n"] > t.missing_alt * a["total"]), shown=lambda _: F.col("missing_alt") > 0),
     PageRule("C11", "P2", "ok", "inferred", lambda t: (F.col("lists") == 0) & (F.col("tables") == 0) & F.coalesce(F.col("mean_paragraph_words") > t.paragraph_words, F.lit(False))),
     PageRule("E01", "P5", "ok", "measured_hard", lambda _: F.arrays_overlap("ld_types", F.lit(list(ORGANISATIONS))) & ~F.exists("ld_same_as", _is_authority), measure=lambda a: F.lit(1), scope="organisation"),
 )

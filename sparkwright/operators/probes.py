@@ -108,7 +108,7 @@ def sentiment_breakdown(parsed: DataFrame) -> DataFrame:
 
 
 def with_citations(parsed: DataFrame, citations: DataFrame) -> DataFrame:
-    n = citations.groupBy("evidence_id").agg(F.count("*").alias("n_cited"))
+    n = citations.groupBy("evidence_id").agg(F.count("cited_url").alias("n_cited"))
     return parsed.join(n, "evidence_id", "left").withColumn("cited", F.coalesce("n_cited", F.lit(0)) > 0)
 
 

@@ -112,8 +112,7 @@ def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reparse_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with their project; answers of unknown projects are left out."""
     b = Bound(spark, sf_dir)
-    known = b.projects.where("project_id % 7 <> 0").select(F.col("project_id"), "market")
-    return b.answers.select("evidence_id", (F.col("evidence_id") % 500).alias("project_id")).join(known, "project_id")
+    return b.answers.select("evidence_id", F.col("evidence_id").alias("project_id")).join(b.projects.select("project_id", "market"), "project_id")
 
 
 def retest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +148,6 @@ ORACLES = {
     "artifact_patch": ctes("proposals") + "select proposal_id, case when proposal_id % 5 < 2 then 'v2' else 'v' || (proposal_id % 40 + 1) end as next_version from b_proposals",
     "cited_recommendations": ctes("recs") + "select finding_id, rec_no, 'rec_x' || rec_no as unknown from b_recs where rec_no <> 2",
     "required_fields": ctes("json_ld") + ", n(type, field) as (values ('Organization', 'name'), ('Organization', 'url'), ('Product', 'name'), ('Product', 'offers'), ('Article', 'headline'), ('FAQPage', 'mainEntity'), ('HowTo', 'step')) select run_id, type, field, count(*) as pages from b_json_ld join n using (type) where not list_contains(case when has_fields then ['name', 'headline', 'mainEntity'] else ['url'] end, field) group by all",
-    "reparse_context": ctes("answers", "projects") + "select evidence_id, project_id, market from (select evidence_id, evidence_id % 500 as project_id from b_answers) join b_projects using (project_id) where project_id % 7 <> 0",
+    "reparse_context": ctes("answers", "projects") + "select evidence_id, project_id, market from (select evidence_id, evidence_id as project_id from b_answers) join b_projects using (project_id)",
     "retest_snapshots": "select run_id, metric, coalesce(baseline::varchar, '-') as baseline, coalesce(retest::varchar, '-') as retest, case when delta > 0 then '+' || delta else coalesce(delta::varchar, '-') end as delta from (" + findings_plans.ORACLES["retest_rows"] + ")",
 }

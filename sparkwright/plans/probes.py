@@ -189,10 +189,10 @@ def _parsed(name: str, aliases: tuple[str, ...] = ALIASES) -> str:
 _P = ctes("answers", "prompts", "citations") + _parsed("p")
 _PRES = ", pres as (select q.run_id, q.prompt_id, q.branded, coalesce(bool_or(p.brand_present), false) as present, count(p.evidence_id) as samples from b_prompts q left join p using (run_id, prompt_id) group by all)"
 _OPEN = ", o as (select p.* from p join b_prompts q using (run_id, prompt_id) where not q.branded)"
-_HOST = """, h as (select *, regexp_replace(lower(regexp_extract(cited_url, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') as host from b_citations),
+_HOST = """, h as (select *, regexp_replace(lower(regexp_extract(cited_url, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') as host from b_citations where cited_url is not null),
 hh as (select *, case when host = 'example.com' or ends_with(host, '.example.com') then 'owned' else 'third_party' end as origin,
   case when host = 'example.org' or ends_with(host, '.example.org') then 'reddit' when host = 'example.net' or ends_with(host, '.example.net') then 'wikipedia' else 'other' end as platform from h)"""
-_CITED = ", c as (select distinct evidence_id from b_citations), pc as (select p.*, c.evidence_id is not null as cited, provider <> 'deepseek' as online from p left join c using (evidence_id))"
+_CITED = ", c as (select distinct evidence_id from b_citations where cited_url is not null), pc as (select p.*, c.evidence_id is not null as cited, provider <> 'deepseek' as online from p left join c using (evidence_id))"
 _WILSON = "case when {n} > 0 then greatest(0::double, ({x}::double / {n} + 3.8416::double / (2 * {n}) - 1.96::double * sqrt({x}::double / {n} * (1 - {x}::double / {n}) / {n} + 3.8416::double / (4 * {n}::double * {n}))) / (1 + 3.8416::double / {n})) else 0::double end"
 
 

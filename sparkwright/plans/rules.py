@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
 from sparkwright.functions import html as H
+from sparkwright.operators import assets as A
 from sparkwright.operators import crawl as C
 from sparkwright.operators import findings as O
 from sparkwright.operators import page_rules as G
@@ -19,12 +20,15 @@ from sparkwright.operators import rules as R
 from sparkwright.operators import serp as S
 from sparkwright.plans import crawl as crawl_plans
 from sparkwright.plans import probes as probe_plans
+from sparkwright.plans import projects as project_plans
 from sparkwright.plans import serp as serp_plans
-from sparkwright.plans.serp import GAPS, RIVALS
+from sparkwright.plans.serp import GAPS
 from sparkwright.sources.bindings import COMPETITORS, OWN, Bound, ctes
-from sparkwright.sources.shared import settle
 
 lit = F.lit
+#: what stands for the brand in the bound keywords' titles
+BRAND_TERM = "red"
+# The usual click rate of a place.
 CTR = {1: 0.28, 2: 0.15, 3: 0.10, 4: 0.07, 5: 0.05}
 #: where the rule set's own limits would take all or none of the bound data
 BOUND = R.Limits(
@@ -57,7 +61,7 @@ def t15(b: Bound) -> DataFrame:
 
 
 def _templated(b: Bound) -> DataFrame:
-    return C.templates(b.pages.withColumn("text_chars", F.col("initial_chars")))
+    return b.once("templates", lambda: C.templates(b.pages.drop("html").withColumn("text_chars", F.col("initial_chars"))))
 
 
 def c04(b: Bound) -> DataFrame:
@@ -88,15 +92,11 @@ def g01(b: Bound) -> DataFrame:
     return _one(x, "crawlers", F.when(F.col("kind") == "search", "high").otherwise("ok"), "measured_hard", "n", "n")
 
 
-def _answers(b: Bound, settled: bool = False) -> probe_plans.Answers:
-    """The bound answers; ``settled`` writes what the parser finds once, for all rules that ask this ``b`` again."""
-    if "parsed_answers" not in vars(b):
-        a = probe_plans.Answers(b.spark, b.sf_dir)
-        if not settled:
-            return a
-        a.parsed = settle(a.parsed.drop("answer_text"), "answers")
-        vars(b)["parsed_answers"] = a
-    return vars(b)["parsed_answers"]
+def _answers(b: Bound) -> probe_plans.Answers:
+    a = probe_plans.Answers(b.spark, b.sf_dir)
+    parsed = a.parsed.drop("answer_text")
+    a.parsed = b.once("answers", lambda: parsed)
+    return a
 
 
 def low_presence(presence: DataFrame, least: float = 0.3) -> DataFrame:
@@ -143,8 +143,25 @@ def g11(b: Bound) -> DataFrame:
     return _one(x.where((F.col("ugc") >= BOUND.user_content * F.col("n")) & (F.col("own") <= BOUND.owned_citations * F.col("n"))), "citations", "mid", "measured_sample", "ugc", F.col("ugc") / F.col("n"))
 
 
+def _gsc(b: Bound) -> DataFrame:
+    return b.once("gsc", lambda: b.gsc)
+
+
+def _serp(b: Bound) -> DataFrame:
+    return b.once("serp", lambda: b.serp)
+
+
 def _totals(b: Bound) -> DataFrame:
-    return S.query_totals(b.gsc)
+    return b.once("totals", lambda: S.query_totals(_gsc(b)))
+
+
+def _gaps(b: Bound) -> DataFrame:
+    return b.once("gaps", lambda: S.keyword_gaps(_serp(b), b.labs, OWN, COMPETITORS))
+
+
+def _sites(b: Bound) -> DataFrame:
+    """The own domain of each run and its confirmed competitors'."""
+    return b.sites.where("own or confirmed")
 
 
 def k01(b: Bound) -> DataFrame:
@@ -161,7 +178,7 @@ def k02(b: Bound) -> DataFrame:
 
 
 def _gap_rule(b: Bound, *kinds: str) -> DataFrame:
-    return S.top_gaps(serp_plans.gaps_of(b), kinds).groupBy("run_id").agg(F.count("*").alias("n"), F.max("score").alias("s"))
+    return S.top_gaps(_gaps(b), kinds).groupBy("run_id").agg(F.count("*").alias("n"), F.max("score").alias("s"))
 
 
 def k03(b: Bound) -> DataFrame:
@@ -174,55 +191,77 @@ def k04(b: Bound) -> DataFrame:
 
 def k05(b: Bound) -> DataFrame:
     """Result lists for brand queries where the own site is absent or not first."""
-    brand = b.serp.where("keyword_id % 50 = 0").groupBy("run_id", "keyword_id").agg(F.min_by("domain", "item_rank").alias("top"), F.bool_or(F.col("domain") == OWN).alias("own"))
+    asked = b.labs.where(F.contains(F.lower("title"), lit(BRAND_TERM))).select("run_id", "keyword_id")
+    brand = _serp(b).join(asked, ["run_id", "keyword_id"], "left_semi").groupBy("run_id", "keyword_id").agg(F.min_by("domain", "item_rank").alias("top"), F.bool_or(F.col("domain") == OWN).alias("own"))
     x = brand.where(~F.col("own") | (F.col("top") != OWN)).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
     return _one(x, "brand results", "mid", "measured_sample", "n", "own")
 
 
 def k06(b: Bound) -> DataFrame:
-    x = S.cannibalization(b.gsc, 75).groupBy("run_id").agg(F.count("*").alias("n"), F.max("pages").alias("p"))
+    x = S.cannibalization(_gsc(b), 75).groupBy("run_id").agg(F.count("*").alias("n"), F.max("pages").alias("p"))
     return _one(x, "keywords", "mid", "inferred", "n", "p")
 
 
+def _misled(b: Bound) -> DataFrame:
+    best = _gsc(b).groupBy("run_id", F.col("query_id").alias("keyword_id")).agg(F.max_by("page_id", F.struct("impressions", "page_id")).alias("page_id"))
+    landing = b.landing.select("page_id", "url", A.landing_class(F.col("url")).alias("lands"))
+    wanted = b.labs.select("run_id", "keyword_id", "keyword", A.intent_class(F.col("intent")).alias("wants")).where("wants is not null")
+    return best.join(wanted, ["run_id", "keyword_id"]).join(landing, "page_id").where("lands <> 'other' and lands <> wants")
+
+
 def k07(b: Bound) -> DataFrame:
-    """Commercial intent that lands on a page of another class (odd pages stand in for articles)."""
-    best = b.gsc.groupBy("run_id", F.col("query_id").alias("keyword_id")).agg(F.max_by("page_id", F.struct("impressions", "page_id")).alias("page"))
-    x = best.join(b.labs.select("keyword_id", "intent"), "keyword_id").where("intent in ('transactional', 'commercial') and page % 2 = 1")
+    """Queries whose intent is another than what the page that they land on is for."""
+    x = _misled(b)
     return _one(x.groupBy("run_id").agg(F.count("*").alias("n"), F.min("keyword_id").alias("k")), "intent", "mid", "inferred", "n", "k")
 
 
-def _confirmed(df: DataFrame) -> DataFrame:
-    """Runs whose competitors a person has confirmed; the others are not compared."""
-    return df.where("run_id % 2 = 0")
+def q01(b: Bound) -> DataFrame:
+    """Places in the first ten results, own and of the strongest confirmed competitor, where any of them has one; runs without a confirmed competitor aren't compared."""
+    x = S.share_of_serp_of(_serp(b), _sites(b)).groupBy("run_id").agg(F.max(F.when(~F.col("own"), F.col("items"))).alias("rival"), F.coalesce(F.max(F.when(F.col("own"), F.col("items"))), lit(0)).alias("own"))
+    return _one(x.where("rival + own > 0"), "share of results", "ok", "measured_sample", "rival", "own")
 
 
-def q01(b: Bound) -> DataFrame:
-    """Places in the first ten results, own and of the strongest confirmed competitor, where either has one."""
-    x = S.share_of_serp(b.serp, OWN, COMPETITORS).groupBy("run_id").agg(F.max(F.when(~F.col("own"), F.col("items"))).alias("rival"), F.max(F.when(F.col("own"), F.col("items"))).alias("own"))
-    return _one(_confirmed(x).where("rival + own > 0"), "share of results", "ok", "measured_sample", "rival", "own")
+def compared(b: Bound, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Shares of voice of the brand and of those competitors that are confirmed by name."""
+    a = _answers(b)
+    shares = P.share_of_voice(P.unbranded_samples(a.parsed, a.prompts), probe_plans.BRAND, probe_plans.RIVALS, by)
+    names = b.rivals.select("run_id", F.lower("name").alias("key")).distinct()
+    rivals = shares.where("not you").withColumn("key", F.lower("name")).join(names, ["run_id", "key"], "left_semi").drop("key")
+    return shares.where("you").unionByName(rivals.select(*shares.columns))
 
 
 def q02(b: Bound) -> DataFrame:
-    a = _answers(b)
-    x = P.share_of_voice(P.unbranded_samples(a.parsed, a.prompts), probe_plans.BRAND, probe_plans.RIVALS)
-    y = x.groupBy("run_id").agg(F.max(F.when(~F.col("you"), F.col("pct"))).alias("rival"), F.max(F.when(F.col("you"), F.col("pct"))).alias("you"))
-    return _one(_confirmed(y), "share of voice", "ok", "measured_sample", "rival", "you")
+    """Share of voice against the strongest confirmed competitor."""
+    y = compared(b).groupBy("run_id").agg(F.max(F.when(~F.col("you"), F.col("pct"))).alias("rival"), F.max(F.when(F.col("you"), F.col("pct"))).alias("you"))
+    return _one(y.where("rival is not null and you is not null"), "share of voice", "ok", "measured_sample", "rival", "you")
+
+
+def _behind(b: Bound) -> DataFrame:
+    return S.top_gaps(b.once("confirmed_gaps", lambda: S.keyword_gaps_of(_serp(b), b.labs, _sites(b))), ("missing", "weak"), 10)
 
 
 def q03(b: Bound) -> DataFrame:
-    x = S.top_gaps(_confirmed(serp_plans.gaps_of(b)), ("missing", "weak"), 10).groupBy("run_id").agg(F.count("*").alias("n"), F.max("score").alias("s"))
+    """Keywords where confirmed competitors are ahead, whose pages show what content the results want."""
+    x = _behind(b).groupBy("run_id").agg(F.count("*").alias("n"), F.max("score").alias("s"))
     return _one(x, "content form", "ok", "inferred", "n", "s")
 
 
 def a01(b: Bound) -> DataFrame:
-    """Referring domains of the own site (the first domain) against the median of the others."""
-    x = b.backlinks.groupBy("run_id").agg(F.max(F.when(F.col("domain_id") < 5, F.col("referring_domains"))).alias("own"), F.expr("percentile(case when domain_id >= 5 then referring_domains end, 0.5)").alias("median"))
+    """Referring domains of the own site against the median of confirmed competitors; without any, the own number alone."""
+    x = b.backlinks.join(S.of_sites(_sites(b)), ["run_id", "domain"]).groupBy("run_id").agg(F.max(F.when(F.col("own"), F.col("referring_domains"))).alias("own_domains"), F.expr("percentile(case when not own then referring_domains end, 0.5)").alias("median"))
+    x = x.where("own_domains is not null").select("run_id", F.col("own_domains").alias("own"), "median")
     return _one(x, "links", F.when(F.col("own") < F.col("median"), "mid").otherwise("ok"), "measured_sample", "own", "median")
 
 
+def _anchored(b: Bound) -> DataFrame:
+    own = b.anchors.join(S.of_sites(b.sites.where("own")), ["run_id", "domain"])
+    domain = F.col("domain")
+    return own.withColumn("kind", A.anchor_class(F.col("anchor"), F.split(domain, r"\.")[0], domain))
+
+
 def a02(b: Bound) -> DataFrame:
-    """Anchors that are keywords (the first four of twelve), and the largest anchor."""
-    x = b.anchors.groupBy("run_id").agg(F.sum(F.when(F.col("anchor_id") < 4, F.col("n")).otherwise(0)).alias("k"), F.max("n").alias("top"), F.sum("n").alias("n"))
+    """Share of keywords among the own site's anchors, and of the most frequent one."""
+    x = _anchored(b).groupBy("run_id").agg(F.sum(F.when(F.col("kind") == "keyword", F.col("n")).otherwise(0)).alias("k"), F.max(F.when(F.col("kind") == "keyword", F.col("n"))).alias("top"), F.sum("n").alias("n"))
     return _one(x.where((F.col("k") >= BOUND.keyword_anchors * F.col("n")) | (F.col("top") >= 0.2 * F.col("n"))), "anchors", "mid", "measured_sample", "k", F.col("k") / F.col("n"))
 
 
@@ -265,7 +304,7 @@ PAGE_RULES = {k: tuple(r for r in G.RULES if r.rule_id == k) for k in dict.fromk
 
 
 def _features(b: Bound) -> DataFrame:
-    return H.page_features(b.site_pages, carry=("run_id", "url"))
+    return b.once("features", lambda: H.page_features(b.site_pages, carry=("run_id", "url", "entry")))
 
 
 def _page_query(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -291,8 +330,7 @@ def _query(rule: R.Rule) -> Callable[[SparkSession, str], DataFrame]:
 
 def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule's hits; rules on the content of pages are counted together, and so are plain rules that read one frame; answers are parsed once."""
-    b = Bound(spark, sf_dir)
-    _answers(b, settled=True)
+    b = Bound(spark, sf_dir, sharing=True)
     parts = [G.hits(_features(b), G.RULES, PAGE_LIMITS), *(R.together(rules, getattr(b, frame)) for frame, rules in R.by_frame(PLAIN)), *(hits_of(r, b) for r in BUILT)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -331,6 +369,17 @@ _TOP = "(select run_id, score from (select *, row_number() over (partition by ru
 _STATES = _PR._P + _PR._CITED + f", s as (select pc.*, {_PR._STATE} as state from pc join b_prompts q using (run_id, prompt_id) where q.branded)"
 
 
+_MISLED = """, ld as (select page_id, url, case when url like '%/Shop/%' then 'transactional' when url like '%/blog/%' or url like '%/guides/%' then 'informational' end as lands from b_landing),
+misled as (select g.*, l.keyword, ld.url from (select run_id, query_id, arg_max(page_id, (impressions, page_id)) as page_id from b_gsc group by all) g join b_labs l on l.keyword_id = g.query_id and l.run_id = g.run_id join ld using (page_id)
+  where lands <> case intent when 'informational' then 'informational' when 'transactional' then 'transactional' when 'commercial' then 'transactional' end) """
+_SHARES = ", sh as (select w.run_id, w.domain, w.own, count(s.domain) as i from w left join b_serp s on s.run_id = w.run_id and s.domain = w.domain and s.item_rank <= 10 where w.run_id in (select run_id from b_serp) group by all) "
+_NAMED = f", b_rivals as ({ctes('rivals').split('b_rivals as (', 1)[1].rstrip()[:-1]}), nm as (select run_id, lower(name) as key from b_rivals)"
+_BEHIND = project_plans._SITES + f""", gp as (select p.*, case when our_position is null and rivals >= 2 then 'missing' when our_position > 10 and our_position <= 30 and rivals >= 1 then 'weak' end as gap_type, l.intent, {serp_plans.SCORE} as score from per p left join b_labs l on l.run_id = p.run_id and l.keyword = p.keyword),
+behind as (select * from gp where gap_type is not null qualify row_number() over (partition by run_id order by score desc nulls last, keyword) <= 10) """
+_ANCHORS = ctes("anchors", "sites") + """, an as (select a.*, case when trim(anchor) = 'Click here' then 'generic' when anchor like 'https://%' then 'url' when anchor like 'www.%' then 'domain' when contains(lower(anchor), split_part(a.domain, '.', 1)) then 'brand' else 'keyword' end as kind
+  from b_anchors a join b_sites s on s.run_id = a.run_id and s.domain = a.domain where s.own) """
+
+
 def _vol(term: str) -> str:
     return f"arg_min(search_volume, keyword_id) filter (contains(lower(title), '{term}') and search_volume is not null)"
 
@@ -358,14 +407,14 @@ a as (select run_id, pattern, count(*) as pages, min(page_id) as first_page from
     "K02": (ctes("gsc"), _row(f"select run_id, count(*) as n, sum(impressions) as s from (select *, {_CTR} as usual from {_QT}) where usual is not null and impressions >= {MIN_IMPRESSIONS} and clicks / impressions < 0.5 * usual group by run_id", "keywords", "mid", "hypothesis", "n", "s")),
     "K03": (ctes("serp", "labs") + f", {GAPS} ", _row(f"select run_id, count(*) as n, max(score) as s from {_TOP.format(kinds=chr(39) + 'missing' + chr(39), n=20)} group by run_id", "missing keywords", "ok", "measured_sample", "n", "s")),
     "K04": (ctes("serp", "labs") + f", {GAPS} ", _row(f"select run_id, count(*) as n, max(score) as s from {_TOP.format(kinds=chr(39) + 'weak' + chr(39), n=20)} group by run_id", "weak keywords", "ok", "measured_sample", "n", "s")),
-    "K05": (ctes("serp"), _row(f"select run_id, count(*) as n, count_if(own) as o from (select run_id, keyword_id, arg_min(domain, item_rank) as top, bool_or(domain = '{OWN}') as own from b_serp where keyword_id % 50 = 0 group by all) where not own or top <> '{OWN}' group by run_id", "brand results", "mid", "measured_sample", "n", "o")),
+    "K05": (ctes("serp", "labs"), _row(f"select run_id, count(*) as n, count_if(own) as o from (select run_id, keyword_id, arg_min(domain, item_rank) as top, bool_or(domain = '{OWN}') as own from b_serp semi join (select * from b_labs where contains(lower(title), '{BRAND_TERM}')) l using (run_id, keyword_id) group by all) where not own or top <> '{OWN}' group by run_id", "brand results", "mid", "measured_sample", "n", "o")),
     "K06": (ctes("gsc"), _row("select run_id, count(*) as n, max(pages) as p from (select run_id, query_id, count(distinct page_id) as pages, sum(impressions) as s from b_gsc where impressions >= 75 group by run_id, query_id having count(distinct page_id) >= 2 qualify row_number() over (partition by run_id order by sum(impressions) desc, query_id) <= 20) group by run_id", "keywords", "mid", "inferred", "n", "p")),
-    "K07": (ctes("gsc", "labs"), _row("select g.run_id, count(*) as n, min(g.query_id) as k from (select run_id, query_id, arg_max(page_id, (impressions, page_id)) as page from b_gsc group by all) g join b_labs l on l.keyword_id = g.query_id where intent in ('transactional', 'commercial') and page % 2 = 1 group by g.run_id", "intent", "mid", "inferred", "n", "k")),
-    "Q01": (ctes("serp"), _row(f"select * from (select r.run_id, max(i) filter (d <> '{OWN}') as rival, max(i) filter (d = '{OWN}') as own from (select r.run_id, d, count(s.domain) as i from (select distinct run_id from b_serp) r cross join (select unnest(['{OWN}', {RIVALS}]) as d) left join b_serp s on s.run_id = r.run_id and s.domain = d and s.item_rank <= 10 group by all) r group by r.run_id) where run_id % 2 = 0 and rival + own > 0", "share of results", "ok", "measured_sample", "rival", "own")),
-    "Q02": (_PR._P + _PR._OPEN + f", v as ({_PR._sov('run_id')}) ", _row("select run_id, max(pct) filter (not you) as rival, max(pct) filter (you) as me from v where run_id % 2 = 0 group by run_id", "share of voice", "ok", "measured_sample", "rival", "me")),
-    "Q03": (ctes("serp", "labs") + f", {GAPS} ", _row("select run_id, count(*) as n, max(score) as s from " + _TOP.format(kinds="'missing', 'weak'", n=10) + " where run_id % 2 = 0 group by run_id", "content form", "ok", "inferred", "n", "s")),
-    "A01": (ctes("backlinks"), _row("select run_id, max(referring_domains) filter (domain_id < 5) as own, median(referring_domains) filter (domain_id >= 5) as m from b_backlinks group by run_id", "links", "case when own < m then 'mid' else 'ok' end", "measured_sample", "own", "m")),
-    "A02": (ctes("anchors"), _row("select * from (select run_id, sum(n) filter (anchor_id < 4) as k, max(n) as top, sum(n) as n from b_anchors group by run_id) where k >= 0.33 * n or top >= 0.2 * n", "anchors", "mid", "measured_sample", "k", "k / n")),
+    "K07": (ctes("gsc", "labs", "landing") + _MISLED, _row("select run_id, count(*) as n, min(query_id) as k from misled group by run_id", "intent", "mid", "inferred", "n", "k")),
+    "Q01": (project_plans._SITES + _SHARES, _row("select run_id, max(i) filter (not own) as rival, coalesce(max(i) filter (own), 0) as mine from sh group by run_id having max(i) filter (not own) + coalesce(max(i) filter (own), 0) > 0", "share of results", "ok", "measured_sample", "rival", "mine")),
+    "Q02": (_PR._P + _PR._OPEN + _NAMED + f", v as ({_PR._sov('run_id')}) ", _row("select run_id, max(pct) filter (not you) as rival, max(pct) filter (you) as me from v where you or (run_id, lower(name)) in (select run_id, key from nm) group by run_id having max(pct) filter (not you) is not null", "share of voice", "ok", "measured_sample", "rival", "me")),
+    "Q03": (_BEHIND, _row("select run_id, count(*) as n, max(score) as s from behind group by run_id", "content form", "ok", "inferred", "n", "s")),
+    "A01": (ctes("backlinks", "sites"), _row("select k.run_id, max(referring_domains) filter (own) as mine, median(referring_domains) filter (not own) as m from b_backlinks k join b_sites s on s.run_id = k.run_id and s.domain = k.domain where own or confirmed group by k.run_id having max(referring_domains) filter (own) is not null", "links", "case when mine < m then 'mid' else 'ok' end", "measured_sample", "mine", "m")),
+    "A02": (_ANCHORS, _row("select * from (select run_id, coalesce(sum(n) filter (kind = 'keyword'), 0) as k, max(n) filter (kind = 'keyword') as top, sum(n) as n from an group by run_id) where k >= 0.33 * n or top >= 0.2 * n", "anchors", "mid", "measured_sample", "k", "k / n")),
     "E03": (ctes("labs"), _row(f"select *, greatest(r1, r2) as rival from (select run_id, {_vol('red')} as own, {_vol('blue')} as r1, {_vol('hot')} as r2 from b_labs group by run_id) where own is not null and greatest(r1, r2) is not null", "brand demand", "ok", "measured_sample", "own", "rival")),
     "TR04": (ctes("pages"), _row(_shop_sql(SHIPPING), "shipping", "mid", "inferred", "n", "p")),
     "TR05": (ctes("pages"), _row(_shop_sql(RETURNS), "returns", "mid", "inferred", "n", "p")),
@@ -383,8 +432,9 @@ p as (select *, page_id % 14 <> 0 as valid, len(regexp_extract_all(body, '[0-9]+
 
 
 def _pages_with(rule_id: str, pillar: str, severity: str, claim: str, fault: str, scope: str = "site", measure: str = "n / total", fires: str = "n > 0", n: str = "") -> str:
-    n = n or f"count_if({fault})"
-    return f"select '{rule_id}' as rule_id, '{pillar}' as pillar, run_id, '{scope}' as scope, '{severity}' as severity, '{claim}' as claim, cast(n as bigint) as affected, round(cast({measure} as double), 6) as measure, sha256('{rule_id}::' || lower('{scope}')) as fingerprint from (select run_id, {n} as n, count(*) as total from p group by run_id) where {fires}"
+    entry = any(r.entry for r in PAGE_RULES[rule_id])
+    n = n or f"count_if({f'entry and ({fault})' if entry else fault})"
+    return f"select '{rule_id}' as rule_id, '{pillar}' as pillar, run_id, '{scope}' as scope, '{severity}' as severity, '{claim}' as claim, cast(n as bigint) as affected, round(cast({measure} as double), 6) as measure, sha256('{rule_id}::' || lower('{scope}')) as fingerprint from (select run_id, {n} as n, {'count_if(entry)' if entry else 'count(*)'} as total from p group by run_id) where {fires}"
 
 
 _PAGE_SQL = {

@@ -8,9 +8,12 @@ rows.  The operators themselves know nothing of these tables.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkwright.sources.shared import settle
+
 #: parameters of the bound data: the site, its confirmed competitors, and text terms
 OWN = "s0.example"
 COMPETITORS = ("s1.example", "s2.example", "s3.example", "s4.example")
@@ -48,8 +51,9 @@ BINDINGS = {
     # the own domain of each run and its candidates; those of suppliers in credit are confirmed
     "sites": """select cast(s_suppkey % 4 as bigint) as run_id, concat('s', cast(s_suppkey as string), '.example') as domain, s_suppkey < 5 as own, s_acctbal > 0 as confirmed from {supplier} where s_suppkey < 100""",
     "prompts": """select distinct cast(doc_id % 3 as bigint) as run_id, doc_id % 30 as prompt_id, (doc_id % 30) < 6 as branded from {documents}""",
-    "citations": """select d.doc_id as evidence_id, cast(d.doc_id % 3 as bigint) as run_id, d.doc_id % 30 as prompt_id, p.url as cited_url
-  from {documents} d cross join (select count(*) as n_pages from {pages}) c join {pages} p on p.page_id = d.doc_id % c.n_pages where d.doc_id % 3 <> 0 and d.doc_id % 4 <> 3""",
+    # an answer that cites nothing is a row without a URL
+    "citations": """select d.doc_id as evidence_id, cast(d.doc_id % 3 as bigint) as run_id, d.doc_id % 30 as prompt_id, case when d.doc_id % 12 in (1, 2, 3, 7) then null else p.url end as cited_url
+  from {documents} d cross join (select count(*) as n_pages from {pages}) c join {pages} p on p.page_id = d.doc_id % c.n_pages""",
     "progress": """select user_id as run_id, event_id as seq, ts,
   case event_type when 'view' then 'progress' when 'click' then 'evidence_created' when 'signup' then 'phase' when 'purchase' then 'done' else 'failed' end as msg_type,
   cast(floor(value) as bigint) as amount from {events}""",
@@ -69,7 +73,7 @@ BINDINGS = {
   case when page_id % 10 = 0 then '' else concat('h', cast(page_id % 60 as string)) end as content_hash,
   case page_id % 7 when 0 then 'xx' when 1 then 'US' when 2 then 'x-default' else null end as hreflang from {pages}""",
     # the given pages with what they lack put into head and article: marks, links, images and structured data
-    "site_pages": """select page_id, cast(page_id % 5 as bigint) as run_id, url, replace(replace(case when page_id % 9 = 4 then replace(html, '<ul>', '<div>') else html end,
+    "site_pages": """select page_id, cast(page_id % 5 as bigint) as run_id, url, page_id between 20 and 24 as entry, replace(replace(case when page_id % 9 = 4 then replace(html, '<ul>', '<div>') else html end,
   '</head>', concat(case when page_id % 41 = 0 then '' else '<meta name="viewport" content="width=device-width">' end, case when page_id % 6 = 5 then '' else '<meta name="description" content="d">' end,
     case when page_id % 13 = 0 then '<link rel="canonical" href="https://elsewhere.example/x">' when page_id % 13 < 9 then concat('<link rel="canonical" href="', url, '">') else '' end,
     case page_id % 7 when 0 then '<link rel="alternate" hreflang="en-123" href="/">' when 1 then '<link rel="alternate" hreflang="en-US" href="/">' when 2 then '<link rel="alternate" hreflang="x-default" href="/">' else '' end,
@@ -91,10 +95,15 @@ BINDINGS = {
     "sources": """select s_suppkey as run_id, k.source_key,
   case (s_suppkey + k.code) % 6 when 0 then 'missing' when 1 then 'partial' when 2 then 'failed' else 'collected' end as status, (s_suppkey * k.code) % 4 as captured
   from {supplier} cross join (select 'crawl' as source_key, 1 as code union all select 'gsc', 2 union all select 'dataforseo', 3 union all select 'ai_probe', 5 union all select 'psi', 7) k""",
-    "backlinks": """select l_suppkey as domain_id, cast(l_suppkey % 4 as bigint) as run_id, count(distinct l_orderkey) as referring_domains, count(*) as backlinks,
+    "backlinks": """select l_suppkey as domain_id, concat('s', cast(l_suppkey as string), '.example') as domain, cast(l_suppkey % 4 as bigint) as run_id, count(distinct l_orderkey) as referring_domains, count(*) as backlinks,
   sum(case when l_returnflag = 'A' then 1 else 0 end) as new_links, sum(case when l_returnflag = 'R' then 1 else 0 end) as lost_links from {lineitem} group by l_suppkey""",
-    "anchors": """select cast(l_suppkey % 4 as bigint) as run_id, l_shipmode_id as anchor_id, count(*) as n from
-  (select l_suppkey, l_partkey % 12 as l_shipmode_id from {lineitem}) x group by l_suppkey % 4, l_shipmode_id""",
+    "anchors": """select run_id, domain, anchor, count(*) as n from (select cast(l_suppkey % 4 as bigint) as run_id, concat('s', cast(l_suppkey as string), '.example') as domain,
+    case l_linenumber when 1 then ' Click here' when 2 then concat('https://s', cast(l_suppkey as string), '.example/') when 3 then concat('www.s', cast(l_suppkey as string), '.example') when 4 then concat('The S', cast(l_suppkey as string), ' store') else p_name end as anchor
+    from {lineitem} join {part} on p_partkey = l_partkey) x group by run_id, domain, anchor""",
+    # where searches land: the given pages under the paths of a shop, by their language
+    "landing": """select page_id, concat('https://s0.example/', case when url like '%/en/%' then 'Shop' when url like '%/de/%' then 'blog' when url like '%/es/%' then 'guides' else 'about' end, '/', cast(page_id as string)) as url from {pages}""",
+    # the confirmed competitors' names of each run
+    "rivals": """select run_id, name from (select cast(doc_id % 3 as bigint) as run_id, case doc_id % 4 when 0 then 'With' when 1 then 'that' when 2 then 'Only' else 'elsewhere' end as name from {documents} where doc_id % 3 <> doc_id % 4) x group by run_id, name""",
     "artifacts": """select p_brand as artifact_key, min(make_date(2020 + cast(p_partkey % 5 as int), 1 + cast(p_partkey % 12 as int), 1)) as verified_on, max(30 * (1 + p_size % 6)) as cadence_days from {part} group by p_brand""",
     "proposals": """select p_partkey as proposal_id, concat('R', cast(p_partkey % 64 as string)) as target, case p_partkey % 3 when 0 then 'stats' when 1 then 'freshness' else 'manual' end as source,
   case p_partkey % 4 when 0 then 'pending' when 1 then 'approved' when 2 then 'rejected' else 'released' end as status,
@@ -126,10 +135,17 @@ def ctes(*names: str) -> str:
 
 
 class Bound:
-    """Frames of one data folder by name."""
+    """Frames of one data folder by name; with ``sharing``, what ``once`` is asked for is written once and read by all that ask again."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, sharing: bool = False) -> None:
+        self.spark, self.sf_dir, self.shared = spark, sf_dir, {} if sharing else None
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if self.shared is None:
+            return build()
+        if name not in self.shared:
+            self.shared[name] = settle(build(), name)
+        return self.shared[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BINDINGS:

@@ -63,8 +63,19 @@ CASES = [
 
 
 def features(spark, pages):
-    df = spark.createDataFrame([(i, i, "https://a.example/x", x) for i, x in enumerate(pages)], "page_id long, run_id long, url string, html string")
-    return H.page_features(df, carry=("run_id", "url"))
+    df = spark.createDataFrame([(i, i, "https://a.example/x", True, x) for i, x in enumerate(pages)], "page_id long, run_id long, url string, entry boolean, html string")
+    return H.page_features(df, carry=("run_id", "url", "entry"))
+
+
+def test_entry_rules_judge_the_entry_page(spark):
+    bad = page(" ", base=GOOD.replace('content="d"', 'content=""').replace("post-author", "post").replace("1 2 3", "1"), answer="y")
+    rows = [(0, 1, True, page()), (1, 1, False, bad), (2, 2, True, bad), (3, 2, False, page()), (4, 3, False, bad)]
+    df = spark.createDataFrame([(i, run, "https://a.example/x", entry, html) for i, run, entry, html in rows], "page_id long, run_id long, url string, entry boolean, html string")
+    found = G.hits(H.page_features(df, carry=("run_id", "url", "entry")), G.RULES).collect()
+    of = lambda run: {r.rule_id for r in found if r.run_id == run}
+    entry = {r.rule_id for r in G.RULES if r.entry}
+    assert entry == {"C01", "C02", "C03", "C06", "C07", "C08"}
+    assert not of(1) & entry and not of(3) & entry and of(2) & entry == entry - {"C03"}
 
 
 def test_thresholds(spark):
