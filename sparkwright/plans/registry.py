@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from sparkwright.plans import assets, crawl, findings, log, payloads, probes, projects, rules, serp, streams
+from sparkwright.plans import assets, crawl, details, findings, log, payloads, probes, projects, rules, serp, streams
 
-MODULES: tuple[ModuleType, ...] = (serp, probes, projects, findings, log, crawl, rules, streams, assets, payloads)
+MODULES: tuple[ModuleType, ...] = (serp, probes, projects, findings, log, crawl, rules, details, streams, assets, payloads)
 
 
 def queries() -> dict:

@@ -328,16 +328,15 @@ def _query(rule: R.Rule) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule's hits; rules on the content of pages are counted together, and so are plain rules that read one frame; answers are parsed once."""
-    b = Bound(spark, sf_dir, sharing=True)
+def hits_of_all(b: Bound) -> DataFrame:
+    """Every rule's hits; rules on the content of pages are counted together, and so are plain rules that read one frame; frames that several rules ask for are written once where ``b`` shares."""
     parts = [G.hits(_features(b), G.RULES, PAGE_LIMITS), *(R.together(rules, getattr(b, frame)) for frame, rules in R.by_frame(PLAIN)), *(hits_of(r, b) for r in BUILT)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.sha2(F.concat_ws("|", F.col("run_id").cast("string"), "rule_id", "scope", "severity"), 256)
-    return all_hits(spark, sf_dir).withColumn("finding_id", F.concat(lit("fnd_"), F.substring(key, 1, 16)))
+    return hits_of_all(Bound(spark, sf_dir, sharing=True)).withColumn("finding_id", F.concat(lit("fnd_"), F.substring(key, 1, 16)))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +350,7 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.recommend(_findings(spark, sf_dir))
 
 
-QUERIES = (*[_query(r) for r in RULES], *map(_page_query, PAGE_RULES), all_hits, findings, recommendations)
+QUERIES = (*[_query(r) for r in RULES], *map(_page_query, PAGE_RULES), findings, recommendations)
 
 _T = crawl_plans._T
 _ROW = "select run_id, '{scope}' as scope, {severity} as severity, '{claim}' as claim, cast({affected} as bigint) as affected, cast({measure} as double) as measure from ({sql})"
@@ -467,14 +466,13 @@ def _oracle(rule: R.Rule) -> str:
 
 ORACLES = {f"rule_{r.rule_id.lower()}": _oracle(r) for r in RULES}
 ORACLES |= {f"rule_{k.lower()}": _PAGE + x for k, x in _PAGE_SQL.items()}
-_ALL = " union all ".join(f"select * from ({ORACLES[f'rule_{k.lower()}']})" for k in (*(r.rule_id for r in RULES), *PAGE_RULES))
-ORACLES["all_hits"] = _ALL
+ALL_SQL = " union all ".join(f"select * from ({ORACLES[f'rule_{k.lower()}']})" for k in (*(r.rule_id for r in RULES), *PAGE_RULES))
 _ID = "'fnd_' || sha256(run_id || '|' || rule_id || '|' || scope || '|' || severity)[1:16] as finding_id"
 _CONFIDENCE = "case claim when 'measured_hard' then 'high' when 'measured_sample' then 'medium' else 'low' end as confidence"
 _IMPACT = "case when severity = 'high' or (severity = 'mid' and affected >= 5) then 'high' else 'low' end"
 _ACTIONS = ", ".join(f"('{k}', '{e}', '{kind}')" for k, (e, kind) in N.ACTIONS.items())
-ORACLES["findings"] = f"select {_ID}, run_id, rule_id, pillar, severity, claim, {_CONFIDENCE}, {_IMPACT} as impact, fingerprint from ({_ALL})"
+ORACLES["findings"] = f"select {_ID}, run_id, rule_id, pillar, severity, claim, {_CONFIDENCE}, {_IMPACT} as impact, fingerprint from ({ALL_SQL})"
 ORACLES["recommendations"] = f"""select finding_id, run_id, rule_id, pillar, kind, impact, effort, case impact when 'high' then case effort when 'low' then 'quick_win' else 'strategic' end else case effort when 'high' then 'low' else 'fill_in' end end as priority,
   case effort when 'low' then 'quick' when 'high' then 'long' else 'mid' end as horizon, confidence, affected, page
 from (select {_ID}, h.*, {_IMPACT} as impact, {_CONFIDENCE}, coalesce(a.effort, 'mid') as effort, coalesce(a.kind, 'content') as kind, case when starts_with(scope, 'http://') or starts_with(scope, 'https://') then scope end as page
-  from ({_ALL}) h left join (values {_ACTIONS}) a(rule, effort, kind) on a.rule = h.rule_id)"""
+  from ({ALL_SQL}) h left join (values {_ACTIONS}) a(rule, effort, kind) on a.rule = h.rule_id)"""
