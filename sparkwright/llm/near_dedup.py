@@ -271,6 +271,11 @@ def cluster(docs: DataFrame, params: Params | None = None) -> DataFrame:
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _sized_hint(table: DataFrame) -> DataFrame:
+    """A table of ``keep`` with a row a group: broadcast up to a counted limit, merged beyond it."""
+    return table.hint("broadcast") if table.count() <= storage.BROADCAST_IDS // 4 else table.hint("merge")
+
+
 def keep_one(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """The rows of ``docs``, with all columns whatever their names, without near copies: of each group the row with the smallest id stays.
 
@@ -282,12 +287,12 @@ def keep_one(docs: DataFrame, params: Params | None = None) -> DataFrame:
     (row,) = storage.fresh(docs, "row")
     rows = storage.keyed(docs, row)
     with storage.temporary(spark) as stays:
-        found = cluster(rows.select(F.col(row).alias("doc_id"), "text"), params).where("n_shingles > 0").select("doc_id", "component_id")
-        sizes = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        members = storage.keep(found.join(sizes, "component_id"), "members")
+        found = storage.keep(cluster(rows.select(F.col(row).alias("doc_id"), "text"), params).where("n_shingles > 0").select("doc_id", "component_id"), "found")
+        # a group of very many copies: its key is aggregated map-side, written, and joined apart from that
+        several = storage.keep(found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"), "several")
         ids = rows.select(F.col(row).alias("doc_id"), F.struct(F.col("`doc_id`").isNull().alias("none"), F.col("`doc_id`").alias("id"), F.col(row).alias("at")).alias("order"))
-        named = storage.keep(members.join(ids, "doc_id"), "named")
-        first = named.groupBy("component_id").agg(F.min("order").alias("first"))
-        gone = storage.keep(named.join(first, "component_id").where("order <> first").select(F.col("doc_id").alias(row)), "gone")
+        named = storage.keep(found.join(_sized_hint(several), "component_id").join(ids, "doc_id"), "named")
+        first = storage.keep(named.groupBy("component_id").agg(F.min("order").alias("first")), "first")
+        gone = storage.keep(named.join(_sized_hint(first), "component_id").where("order <> first").select(F.col("doc_id").alias(row)), "gone")
         stays.append(gone)
     return storage.by_ids(rows, gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
