@@ -69,17 +69,25 @@ def breadth_first(links: DataFrame, entries: DataFrame, max_depth: int = 3, max_
     """Depth of each page reached from ``entries (run_id, page)``, up to ``max_depth`` and the first ``max_pages`` of a run by depth and page.
 
     The crawl's limits are its definition.  One join and anti-join for each
-    level, as many as ``max_depth``; every level is written once, so that the
-    next one doesn't compute it again.
+    level, as many as ``max_depth``; every level is cut to what is left of the
+    run's pages, as later levels come after it, and written once, so that the
+    next one neither expands more than ``max_pages`` nor computes it again.
     """
     edges = links.select("run_id", F.col("source_id").alias("page"), F.col("target_id").alias("next")).distinct()
-    level = settle(entries.select("run_id", "page").distinct(), "level")
+    order = Window.partitionBy("run_id").orderBy("page")
+
+    def cut(level: DataFrame, taken: DataFrame) -> DataFrame:
+        """The first pages of the level, with their places after those ``taken (run_id, n)``."""
+        first = level.withColumn("i", F.row_number().over(order)).where(F.col("i") <= max_pages).join(taken, "run_id", "left")
+        return settle(first.select("run_id", "page", (F.col("i") + F.coalesce("n", F.lit(0))).cast("int").alias("place")).where(F.col("place") <= max_pages), "level")
+
+    level = cut(entries.select("run_id", "page").distinct(), links.sparkSession.createDataFrame([], "run_id long, n long"))
     seen = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        level = settle(level.join(edges, ["run_id", "page"]).select("run_id", F.col("next").alias("page")).distinct().join(seen, ["run_id", "page"], "left_anti"), "level")
+        taken = seen.groupBy("run_id").agg(F.count("*").alias("n"))
+        level = cut(level.join(edges, ["run_id", "page"]).select("run_id", F.col("next").alias("page")).distinct().join(seen, ["run_id", "page"], "left_anti"), taken)
         seen = seen.union(level.withColumn("depth", F.lit(depth)))
-    order = Window.partitionBy("run_id").orderBy("depth", "page")
-    return seen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_pages)
+    return seen.select("run_id", "page", "depth", "place")
 
 
 def frontier(links: DataFrame, entries: DataFrame, seeds: DataFrame, blocked: DataFrame, max_depth: int = 3, max_pages: int = 200) -> DataFrame:
@@ -87,7 +95,7 @@ def frontier(links: DataFrame, entries: DataFrame, seeds: DataFrame, blocked: Da
 
     Pages come in the order entry, seeds, then by depth and page.  A blocked
     page is recorded, but neither followed nor counted against ``max_pages``;
-    pages after that many fetched ones don't appear.  Links of seeds have
+    pages after that many fetched ones don't appear, and no level goes on from them.  Links of seeds have
     depth 1, seeds themselves a null depth.  ``via`` is entry, sitemap, crawl,
     or both for a seed that a fetched page links to.
     """
@@ -95,15 +103,20 @@ def frontier(links: DataFrame, entries: DataFrame, seeds: DataFrame, blocked: Da
     closed = blocked.select("run_id", "page").distinct()
     first = entries.select("run_id", "page").distinct()
     listed = seeds.select("run_id", "page").distinct().join(first, ["run_id", "page"], "left_anti")
-    seen = settle(first.selectExpr("*", "0 as step", "0 as depth").union(listed.selectExpr("*", "1 as step", "cast(null as int) as depth")), "level")
-    level = seen.select("run_id", "page")
-    for depth in range(1, max_depth + 1):
-        linked = level.join(closed, ["run_id", "page"], "left_anti").join(edges, ["run_id", "page"]).select("run_id", F.col("next").alias("page")).distinct()
-        level = settle(linked.join(seen, ["run_id", "page"], "left_anti"), "level")
-        seen = seen.union(level.selectExpr("*", f"{depth + 1} as step", f"{depth} as depth"))
-    known = seen.join(closed.withColumn("closed", F.lit(True)), ["run_id", "page"], "left").withColumn("fetched", F.col("closed").isNull())
     before = Window.partitionBy("run_id").orderBy("step", "page").rowsBetween(Window.unboundedPreceding, -1)
-    reached = known.withColumn("n", F.coalesce(F.sum(F.col("fetched").cast("int")).over(before), F.lit(0))).where(F.col("n") < max_pages)
+
+    def cut(level: DataFrame, taken: DataFrame) -> DataFrame:
+        """The level's pages that come before the run's last fetched one, and whether each is fetched."""
+        known = level.join(closed.withColumn("closed", F.lit(True)), ["run_id", "page"], "left").withColumn("fetched", F.col("closed").isNull()).drop("closed").join(taken, "run_id", "left")
+        n = F.coalesce(F.sum(F.col("fetched").cast("int")).over(before), F.lit(0)) + F.coalesce("taken", F.lit(0))
+        return settle(known.withColumn("n", n).where(F.col("n") < max_pages).drop("n", "taken"), "level")
+
+    nothing = links.sparkSession.createDataFrame([], "run_id long, taken long")
+    level = reached = cut(first.selectExpr("*", "0 as step", "0 as depth").union(listed.selectExpr("*", "1 as step", "cast(null as int) as depth")), nothing)
+    for depth in range(1, max_depth + 1):
+        linked = level.where("fetched").join(edges, ["run_id", "page"]).select("run_id", F.col("next").alias("page")).distinct().join(reached, ["run_id", "page"], "left_anti")
+        level = cut(linked.selectExpr("*", f"{depth + 1} as step", f"{depth} as depth"), reached.groupBy("run_id").agg(F.count_if("fetched").alias("taken")))
+        reached = reached.union(level)
     targets = reached.where("fetched").join(edges, ["run_id", "page"]).select("run_id", F.col("next").alias("page")).distinct().withColumn("linked", F.lit(True))
     via = F.when(F.col("step") == 0, "entry").when(F.col("step") > 1, "crawl").when(F.col("linked"), "both").otherwise("sitemap")
     return reached.join(targets, ["run_id", "page"], "left").select("run_id", "page", "depth", via.alias("via"), F.when(F.col("fetched"), "fetched").otherwise("blocked").alias("status"))

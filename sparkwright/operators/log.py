@@ -51,22 +51,20 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: S
     return joined.select(*out)
 
 
-TERMINAL = ("completed", "failed")
-
-
 def change_status(runs: DataFrame, changes: DataFrame) -> DataFrame:
-    """``runs (run_id, status)`` after ``changes (run_id, status)``, one a run: a cancelled run stays so, a finished one isn't reopened; changes of unknown runs are ignored."""
+    """``runs (run_id, status)`` after ``changes (run_id, status)``, one a run: a cancelled run stays so, unless the change's ``bypass`` (where there is such a column) is true; changes of unknown runs are ignored."""
     old, new = F.col("status"), F.col("_new")
-    held = (old == "cancelled") | (old.isin(*TERMINAL) & ~new.isin(*TERMINAL))
-    joined = runs.join(changes.select("run_id", F.col("status").alias("_new")), "run_id", "left")
+    bypass = F.coalesce("bypass", F.lit(False)) if "bypass" in changes.columns else F.lit(False)
+    held = (old == "cancelled") & ~F.coalesce("_bypass", F.lit(False))
+    joined = runs.join(changes.select("run_id", F.col("status").alias("_new"), bypass.alias("_bypass")), "run_id", "left")
     return joined.select("run_id", F.when(new.isNull() | held, old).otherwise(new).alias("status"))
 
 
 def upsert_templates(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incoming templates by key; where the stored representative wasn't chosen by the heuristic, it and its source stay."""
+    """Incoming templates by key, with their number of ``pages``; where the stored representative wasn't chosen by the heuristic, it and its source stay."""
     joined = stored.withColumn("_old", F.lit(1)).alias("o").join(incoming.withColumn("_new", F.lit(1)).alias("n"), list(keys), "full_outer")
     kept = F.col("_new").isNull() | (F.col("_old").isNotNull() & (F.col("o.source") != "heuristic"))
-    return joined.select(*keys, *(F.when(kept, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in ("representative", "source")))
+    return joined.select(*keys, *(F.when(kept, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in ("representative", "source")), F.when(F.col("_new").isNull(), F.col("o.pages")).otherwise(F.col("n.pages")).alias("pages"))
 
 
 def without_deleted(log: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

@@ -9,7 +9,10 @@ from sparkwright.functions import expr as E
 from sparkwright.functions.html import page_features
 from sparkwright.functions.robots import locations, robots_allowed, sitemap_urls
 from sparkwright.operators import crawl as C
+from sparkwright.operators import sitemaps as M
 from sparkwright.sources.bindings import Bound, ctes
+from sparkwright.sources.shared import new_path
+from sparkwright.sources.store import Batches, change_partitions
 
 LANGUAGES = ("de", "en", "es", "fr")
 
@@ -74,6 +77,42 @@ def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.duplicate_groups(Bound(spark, sf_dir).pages)
 
 
+def _discovered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    b = Bound(spark, sf_dir)
+    return M.discover(b.sitemap_entries, b.sitemap_files, M.Limits(urls=1_000_000))
+
+
+def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that each site's sitemaps list, through its indexes."""
+    return _discovered(spark, sf_dir)[0]
+
+
+def sitemap_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discovered(spark, sf_dir)[1]
+
+
+def inbound_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of every run with the inbound count of those that have links, written into their partitions."""
+    b = Bound(spark, sf_dir)
+    path = new_path(spark, "site-pages")
+    pages = b.links.select("run_id", F.col("source_id").alias("page")).union(b.links.select("run_id", "target_id")).distinct()
+    pages.withColumn("inbound", F.lit(-1).cast("long")).write.partitionBy("run_id").parquet(path)
+    counts = C.inbound(b.links.where("run_id <> 3")).select("run_id", F.col("target_id").alias("page"), "inbound")
+    change_partitions(spark, path, counts, ["page"], "run_id")
+    return spark.read.parquet(path).select(F.col("run_id").cast("long").alias("run_id"), "page", "inbound")
+
+
+def evidence_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of evidence appended in two batches that overlap, each sent twice."""
+    log = Bound(spark, sf_dir).evidence.select("run_id", "evidence_key", "evidence_id", "level")
+    one = log.groupBy("run_id", "evidence_key").agg(F.min_by(F.struct("evidence_id", "level"), "evidence_id").alias("e")).select("run_id", "evidence_key", "e.*")
+    table = Batches(spark, new_path(spark, "evidence"), one.schema, ["run_id", "evidence_key"])
+    for _ in range(2):
+        table.append(one.where("evidence_id % 3 < 2"), "b1")
+        table.append(one.where("evidence_id % 3 > 0").withColumn("level", F.lit("L9")), "b2")
+    return table.read()
+
+
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = Bound(spark, sf_dir)
     entries = b.links.groupBy("run_id").agg(F.min("source_id").alias("page"))
@@ -151,7 +190,7 @@ def render_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    url_normalize, url_template, url_templates, template_representative, page_links, internal_link_counts, inbound_links, site_audit_stats, audit_diff, audit_template_diff, site_citations, duplicate_content, crawl_bfs, crawl_frontier,
+    url_normalize, url_template, url_templates, template_representative, page_links, internal_link_counts, inbound_links, site_audit_stats, audit_diff, audit_template_diff, site_citations, duplicate_content, sitemap_pages, sitemap_warnings, inbound_writeback, evidence_batches, crawl_bfs, crawl_frontier,
     page_facts, light_check, page_signals, pages_by_status, site_panel, cluster_inbound, language_paths, robots_check, sitemap_locations, render_dependency,
 )
 
@@ -176,6 +215,12 @@ _LINKS = f", k as (select run_id, page_id, url, unnest(regexp_extract_all(html,
 _STAT = """, st as (select run_id, count(*) as discovered, count(*) filter (not blocked) as checked, count(*) filter (not blocked and http_status between 400 and 499) as http_4xx, count(*) filter (not blocked and http_status >= 500) as http_5xx,
  count(*) filter (blocked) as blocked, count(*) filter (not blocked and noindex) as noindex, count(*) filter (not blocked and canonical_off) as canonical_off, count(*) filter (not blocked and in_sitemap and inbound = 0) as orphans from b_pages group by run_id)"""
 ORACLES = {
+    "sitemap_pages": _PG + f"select distinct page_id % 7 as run_id, {_norm('url')} as url from b_pages where (page_id % 7 % 2 = 0 and page_id // 7 % 4 < 3) or page_id % 7 in (1, 5)",
+    "sitemap_warnings": _PG + """, r as (select distinct page_id % 7 as run_id, page_id % 7 % 2 = 0 as told from b_pages), m as (select distinct page_id % 7 as run_id, page_id // 7 % 4 as k from b_pages), h as (select *, 'https://r' || run_id || '.example/' as base from r)
+select run_id, 'sitemap_fetch_failed:' || base || unnest(case when told then ['extra.xml', 'gone.xml'] when run_id = 3 then ['sitemap.xml'] else [] end) as warning from h union all select run_id, 'sitemap_http_503:' || base || 'map3.xml' from h where told and run_id in (select run_id from m where k = 3)
+union all select run_id, 'sitemap_fetch_failed:' || base || 'map' || k || '.xml' from h cross join (select unnest([0, 1, 2, 3]) as k) where told and (run_id, k) not in (select run_id, k from m)""",
+    "inbound_writeback": ctes("links") + ", p as (select run_id, source_id as page from b_links union select run_id, target_id from b_links), n as (select run_id, target_id as page, count(distinct source_id) as inbound from b_links where run_id <> 3 group by all) select p.run_id, p.page, coalesce(inbound, -1) as inbound from p left join n using (run_id, page)",
+    "evidence_batches": ctes("evidence") + ", e as (select run_id, evidence_key, min(evidence_id) as evidence_id, arg_min(level, evidence_id) as level from b_evidence group by all) select run_id, evidence_key, evidence_id, case when evidence_id % 3 = 2 then 'L9' else level end as level from e",
     "url_normalize": _PG + f"select page_id, {_norm('url')} as url from b_pages",
     "url_template": _PG + f"select page_id, {_BASE} as template from b_pages",
     "url_templates": _PG + _T + " select run_id, pattern, count(*) as pages from t group by all",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
+from sparkwright.operators import lifecycle as Y
 from sparkwright.operators import log as L
 from sparkwright.sources.bindings import Bound, ctes
 
@@ -101,18 +102,25 @@ def run_status_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guarded_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs after a batch of status changes: what was cancelled stays cancelled, and a finished run isn't reopened."""
+    """Runs after a batch of status changes: what was cancelled stays cancelled, unless it is retried."""
     runs = Bound(spark, sf_dir).runs.select("run_id", F.when(F.col("run_id") % 5 == 0, "cancelled").otherwise(F.col("status")).alias("status"))
     changes = Bound(spark, sf_dir).progress.select("run_id", E.lookup(F.col("msg_type"), {"done": "completed", "failed": "failed"}, "collecting").alias("status"), "ts", "seq")
-    return L.change_status(runs, changes.groupBy("run_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status")))
+    return L.change_status(runs, changes.groupBy("run_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), (F.col("run_id") % 10 == 0).alias("bypass")))
+
+
+def run_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's status after its whole log, from a draft on: steps, cancellations, retries and decisions."""
+    b = Bound(spark, sf_dir)
+    runs = b.progress.select("run_id").distinct().select("run_id", F.lit("draft").alias("status"))
+    return Y.replay(runs, b.run_events).select("run_id", "status", "events", "active", "completed")
 
 
 def template_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored templates take a new representative only where the stored one was chosen by the heuristic; new ones are added."""
     b = Bound(spark, sf_dir)
     pages = b.pages.select("page_id", (F.col("page_id") % 60).alias("template_id"))
-    stored = pages.where("page_id % 3 = 0").groupBy("template_id").agg(F.min("page_id").alias("representative"), F.min(F.when(F.col("template_id") % 4 == 0, "manual").otherwise("heuristic")).alias("source"))
-    return L.upsert_templates(stored, pages.groupBy("template_id").agg(F.max("page_id").alias("representative"), F.lit("heuristic").alias("source")), ["template_id"])
+    stored = pages.where("page_id % 3 = 0").groupBy("template_id").agg(F.min("page_id").alias("representative"), F.min(F.when(F.col("template_id") % 4 == 0, "manual").otherwise("heuristic")).alias("source"), F.count("*").alias("pages"))
+    return L.upsert_templates(stored, pages.groupBy("template_id").agg(F.max("page_id").alias("representative"), F.lit("heuristic").alias("source"), F.count("*").alias("pages")), ["template_id"])
 
 
 def live_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +190,7 @@ def page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     pk_lookup, run_scan, project_scan, confirmed_competitors, prompts_ordered, latest_run, active_run, retest_anchor, project_summary, project_search, latest_prompts, first_evidence, entry_page, recent_evidence,
-    dedup_evidence, stageline_state, progress_counts, run_status_derived, guarded_status, template_upsert, live_facts, probe_errors, dataforseo_context, stat_cards, alias_normalize, brand_of_domain, input_urls, market_location, page_upsert,
+    dedup_evidence, stageline_state, progress_counts, run_status_derived, guarded_status, run_lifecycle, template_upsert, live_facts, probe_errors, dataforseo_context, stat_cards, alias_normalize, brand_of_domain, input_urls, market_location, page_upsert,
 )
 
 _RUNS, _EV = ctes("runs"), ctes("evidence")
@@ -208,8 +216,12 @@ x as (select p.*, terminal from b_progress p left join t using (run_id) where e
 select run_id, coalesce(any_value(terminal), 'running') as state, count(*) as messages, count(*) filter (msg_type = 'evidence_created') as evidence, count(*) filter (msg_type = 'phase') as phases, arg_max(amount, (ts, seq)) filter (msg_type = 'progress') as last_progress from x group by run_id""",
     "progress_counts": _EV + "select run_id, type, count(*) as n from b_evidence group by all",
     "run_status_derived": ctes("progress") + ", m as (select run_id, arg_min(msg_type, (ts, seq)) filter (msg_type in ('failed', 'done')) as t from b_progress group by run_id) select run_id, case t when 'failed' then 'failed' when 'done' then 'completed' else 'collecting' end as status, t is null as active from m",
-    "guarded_status": ctes("runs", "progress") + ", r as (select run_id, case when run_id % 5 = 0 then 'cancelled' else status end as status from b_runs), l as (select *, row_number() over (partition by run_id order by ts desc, seq desc) as i from b_progress) select r.run_id, case when r.status = 'cancelled' then r.status when l.msg_type is null then r.status when r.status in ('completed', 'failed') and l.msg_type not in ('done', 'failed') then r.status when l.msg_type = 'done' then 'completed' when l.msg_type = 'failed' then 'failed' else 'collecting' end as status from r left join l on l.run_id = r.run_id and l.i = 1",
-    "template_upsert": "select page_id % 60 as template_id, case when count(*) filter (page_id % 3 = 0) > 0 and (page_id % 60) % 4 = 0 then min(page_id) filter (page_id % 3 = 0) else max(page_id) end as representative, case when count(*) filter (page_id % 3 = 0) > 0 and (page_id % 60) % 4 = 0 then 'manual' else 'heuristic' end as source from pages group by 1",
+    "guarded_status": ctes("runs", "progress") + ", r as (select run_id, case when run_id % 5 = 0 then 'cancelled' else status end as status from b_runs), l as (select *, row_number() over (partition by run_id order by ts desc, seq desc) as i from b_progress) select r.run_id, case when l.msg_type is null or (r.status = 'cancelled' and r.run_id % 10 <> 0) then r.status when l.msg_type = 'done' then 'completed' when l.msg_type = 'failed' then 'failed' else 'collecting' end as status from r left join l on l.run_id = r.run_id and l.i = 1",
+    "template_upsert": "select page_id % 60 as template_id, case when count(*) filter (page_id % 3 = 0) > 0 and (page_id % 60) % 4 = 0 then min(page_id) filter (page_id % 3 = 0) else max(page_id) end as representative, case when count(*) filter (page_id % 3 = 0) > 0 and (page_id % 60) % 4 = 0 then 'manual' else 'heuristic' end as source, count(*) as pages from pages group by 1",
+    "run_lifecycle": ctes("run_events") + """, f as (select run_id, count(*) as events, list_reduce(list_prepend('draft', list(event order by ts, seq)), lambda s, e: case
+  when e = 'cancel' then case when s in ('collecting', 'diagnosing') then 'cancelled' else s end when e = 'retry' then case when s in ('failed', 'cancelled') then 'collecting' else s end
+  when e = 'decided' then case when s = 'reviewing' then 'output' else s end when e = 'undecided' then case when s = 'output' then 'reviewing' else s end when s = 'cancelled' then s else e end) as status from b_run_events group by run_id)
+select run_id, status, events, status in ('draft', 'collecting', 'collected', 'diagnosing') as active, status in ('reviewing', 'output') as completed from f""",
     "live_facts": _EV + ", x as (select *, row_number() over (partition by run_id, evidence_key order by captured_at desc, evidence_id desc) as i from b_evidence) select evidence_key, run_id, captured_at, evidence_id from x where i = 1 and type <> 'refund'",
     "probe_errors": _EV + "select run_id, count(*) filter (coalesce(cast(json_extract(payload, '$.k') as integer) % 10 = 0, true)) as errors, count(*) filter (not coalesce(cast(json_extract(payload, '$.k') as integer) % 10 = 0, true)) as results from b_evidence group by run_id",
     "dataforseo_context": _EV + "select evidence_id, cast(json_extract(payload, '$.k') as bigint) as k, json_extract_string(payload, '$.missing') as missing from b_evidence",

@@ -57,6 +57,8 @@ BINDINGS = {
     "progress": """select user_id as run_id, event_id as seq, ts,
   case event_type when 'view' then 'progress' when 'click' then 'evidence_created' when 'signup' then 'phase' when 'purchase' then 'done' else 'failed' end as msg_type,
   cast(floor(value) as bigint) as amount from {events}""",
+    "run_events": """select user_id as run_id, event_id as seq, ts, case event_type when 'view' then 'collecting' when 'click' then case event_id % 3 when 0 then 'collected' when 1 then 'diagnosing' else 'reviewing' end
+  when 'signup' then case event_id % 4 when 0 then 'cancel' when 1 then 'retry' when 2 then 'decided' else 'undecided' end when 'purchase' then 'reviewing' else 'failed' end as event from {events}""",
     "evidence": """select event_id as evidence_id, user_id as run_id, ts as captured_at, event_type as type,
   concat('L', cast(event_id % 4 + 1 as string)) as level, props as payload, event_id % 3 = 0 as has_page, concat(event_type, '-', cast(event_id % 700 as string)) as evidence_key from {events}""",
     "projects": """select c_custkey as project_id, cast(c_nationkey as bigint) as owner_id, concat('www.c', cast(c_custkey as string), '.example.com') as domain, c_name as name, c_mktsegment as market from {customer}""",
@@ -86,6 +88,14 @@ BINDINGS = {
     case when page_id % 7 = 0 then '' else '<time>May</time>' end, case when page_id % 8 = 0 then '' else '<a href="/about">x</a>' end, case when page_id % 4 = 3 then '' else '<p>12% of 34,5 and 7</p>' end,
     case when page_id % 6 = 1 then '' else '<a href="https://other.example/x">o</a>' end, case when page_id % 10 = 0 then '' else '<blockquote>q</blockquote>' end,
     case when page_id % 2 = 0 then '<img src="/a.png" alt="a">' else '' end, case when page_id % 3 = 0 then '<img src="/b.png" alt="">' else '' end, '</article>')) as html from {pages}""",
+    # seven sites: an index of four files, a circle and two dead ends; one file for all; nothing
+    "sitemap_entries": """select distinct cast(page_id % 7 as bigint) as run_id, concat('https://r', cast(page_id % 7 as string), '.example/home?x=1') as entry_url,
+  case when page_id % 7 % 2 = 0 then concat('User-agent: *', chr(10), 'Sitemap: https://r', cast(page_id % 7 as string), '.example/index.xml', chr(10), 'sitemap: https://r', cast(page_id % 7 as string), '.example/extra.xml') end as robots from {pages}""",
+    "sitemap_files": """select run_id, concat('https://r', cast(run_id as string), '.example/map', cast(k as string), '.xml') as url, case when k = 3 then 503 else 200 end as status, concat('<urlset>', string_agg(loc, ''), '</urlset>') as body
+    from (select cast(page_id % 7 as bigint) as run_id, cast(floor(page_id / 7) as bigint) % 4 as k, concat('<url><loc>', replace(url, '&', '&amp;'), '</loc></url>') as loc from {pages} where page_id % 7 % 2 = 0) x group by run_id, k
+  union all select distinct cast(page_id % 7 as bigint), concat('https://r', cast(page_id % 7 as string), '.example/index.xml'), 200, concat('<sitemapindex>', concat('<loc>https://r', cast(page_id % 7 as string), '.example/map0.xml</loc><loc>https://r', cast(page_id % 7 as string), '.example/map1.xml</loc>'),
+    concat('<loc>https://r', cast(page_id % 7 as string), '.example/index.xml</loc><loc>https://r', cast(page_id % 7 as string), '.example/map2.xml</loc><loc>https://r', cast(page_id % 7 as string), '.example/map3.xml</loc><loc>https://r', cast(page_id % 7 as string), '.example/gone.xml</loc>'), '</sitemapindex>') from {pages} where page_id % 7 % 2 = 0
+  union all select cast(page_id % 7 as bigint), concat('https://r', cast(page_id % 7 as string), '.example/sitemap.xml'), 200, concat('<urlset>', string_agg(concat('<url><loc><![CDATA[', url, ']]></loc></url>'), ''), '</urlset>') from {pages} where page_id % 7 in (1, 5) group by page_id % 7""",
     "json_ld": """select page_id, cast(page_id % 5 as bigint) as run_id, html, page_id % 14 <> 0 as valid, page_id % 9 <> 0 as context_ok, page_id % 4 <> 0 as has_fields,
   case page_id % 6 when 0 then 'Organization' when 1 then 'FAQPage' when 2 then 'HowTo' when 3 then 'Product' else 'Article' end as type,
   case when page_id % 3 = 0 then concat('absent ', cast(page_id as string)) else regexp_extract(html, '<h1>([^<]*)</h1>', 1) end as stated from {pages}""",

@@ -12,15 +12,19 @@ def root(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a new temporary one only where none is named and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{root(spark)}/sparkwright/{tag}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and read it back: what is built on it doesn't compute it again, and its lineage ends."""
-    path = f"{root(df.sparkSession)}/sparkwright/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
