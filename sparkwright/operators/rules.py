@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
+from sparkwright.sources.shared import settle
 
 HIT = ("run_id", "scope", "severity", "claim", "affected", "measure")
 
@@ -43,10 +45,6 @@ class Aggregate:
         per = df.groupBy(F.expr(self.run).cast("long").alias("run_id")).agg(*[F.expr(x).alias(a) for a, x in self.aggs.items()]).where(self.where)
         return hit(per, F.lit(self.scope), F.expr(self.severity), F.expr(self.claim), F.expr(self.affected), F.expr(self.measure))
 
-    def sql(self) -> str:
-        inner = ", ".join(f"{x} as {a}" for a, x in self.aggs.items())
-        return f"select run_id, '{self.scope}' as scope, {self.severity} as severity, {self.claim} as claim, cast({self.affected} as bigint) as affected, cast({self.measure} as double) as measure from (select cast({self.run} as bigint) as run_id, {inner} from b_{self.frame} group by 1) where {self.where}"
-
 
 @dataclass(frozen=True)
 class Each:
@@ -62,9 +60,6 @@ class Each:
     def hits(self, df: DataFrame) -> DataFrame:
         return hit(df.where(self.where), F.expr(self.scope), F.expr(self.severity), F.expr(self.claim), F.lit(1), F.expr(self.measure))
 
-    def sql(self) -> str:
-        return f"select run_id, {self.scope} as scope, {self.severity} as severity, {self.claim} as claim, cast(1 as bigint) as affected, cast({self.measure} as double) as measure from b_{self.frame} where {self.where}"
-
 
 def hit(df: DataFrame, scope: Column, severity: Column, claim: Column, affected: Column, measure: Column) -> DataFrame:
     return df.select(F.col("run_id").cast("long").alias("run_id"), scope.alias("scope"), severity.alias("severity"), claim.alias("claim"), affected.cast("long").alias("affected"), F.round(measure.cast("double"), 6).alias("measure"))
@@ -141,6 +136,25 @@ def plain(t: Limits) -> tuple[Rule, ...]:
     )
 
 
+def isolated(parts: Sequence[tuple[str, Callable[[], DataFrame]]]) -> tuple[list[DataFrame], list[tuple[str, str]]]:
+    """Written hits of all ``parts (name, build)`` that can be evaluated, and the name and error of each that can't.
+
+    All are written in one job.  Only where that fails are they halved, again
+    and again, until what fails stands alone: a rule that raises, when it is
+    planned or when it runs, costs some more jobs and takes no other with it.
+    """
+    if not parts:
+        return [], []
+    try:
+        return [settle(reduce(DataFrame.unionByName, [build() for _, build in parts]), "hits")], []
+    except PySparkException as e:
+        if len(parts) == 1:
+            return [], [(parts[0][0], e.getCondition() or type(e).__name__)]
+    half = len(parts) // 2
+    (a, bad), (b, worse) = isolated(parts[:half]), isolated(parts[half:])
+    return [*a, *b], [*bad, *worse]
+
+
 def by_frame(rules: Sequence[Rule]) -> list[tuple[str, list[Rule]]]:
     """Plain rules by the frame that they read."""
     out: dict[str, list[Rule]] = {}

@@ -334,6 +334,19 @@ def hits_of_all(b: Bound) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: a rule that no run survives: its condition divides by zero
+BROKEN = R.Rule("X00", "P1", R.Aggregate("pages", {"n": "count(*)", "none": "count_if(page_id < 0)"}, "n div none > 0", "n", "n", R.MID, R.MH))
+
+
+def isolated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the plain rules and of one that raises, which gives a row with its error and leaves the others whole."""
+    b = Bound(spark, sf_dir)
+    found, failed = R.isolated([(r.rule_id, lambda r=r: hits_of(r, b)) for r in (*PLAIN[:8], BROKEN, *PLAIN[8:])])
+    rows = reduce(DataFrame.unionByName, found).select("rule_id", "run_id", "scope", "severity", "affected", lit(None).cast("string").alias("error"))
+    errors = [spark.range(1).select(lit(name).alias("rule_id"), lit(None).cast("long").alias("run_id"), lit(None).cast("string").alias("scope"), lit(None).cast("string").alias("severity"), lit(None).cast("long").alias("affected"), lit(error).alias("error")) for name, error in failed]
+    return reduce(DataFrame.unionByName, [rows, *errors])
+
+
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.sha2(F.concat_ws("|", F.col("run_id").cast("string"), "rule_id", "scope", "severity"), 256)
     return hits_of_all(Bound(spark, sf_dir, sharing=True)).withColumn("finding_id", F.concat(lit("fnd_"), F.substring(key, 1, 16)))
@@ -350,7 +363,7 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.recommend(_findings(spark, sf_dir))
 
 
-QUERIES = (*[_query(r) for r in RULES], *map(_page_query, PAGE_RULES), findings, recommendations)
+QUERIES = (*[_query(r) for r in RULES], *map(_page_query, PAGE_RULES), isolated_hits, findings, recommendations)
 
 _T = crawl_plans._T
 _ROW = "select run_id, '{scope}' as scope, {severity} as severity, '{claim}' as claim, cast({affected} as bigint) as affected, cast({measure} as double) as measure from ({sql})"
@@ -457,16 +470,48 @@ _PAGE_SQL = {
 }
 
 
+def _plain(table: str, per: str, fires: str, affected: str, measure: str, severity: str, claim: str, run: str = "page_id % 5") -> str:
+    """A rule of one count a run, said of the given table's own columns."""
+    return f"select cast(run_id as bigint) as run_id, 'site' as scope, {severity} as severity, '{claim}' as claim, cast({affected} as bigint) as affected, cast({measure} as double) as measure from (select {run} as run_id, {per} from {table} group by 1) where {fires}"
+
+
+def _each(table: str, fires: str, measure: str, severity: str, claim: str, scope: str = "'site'", run: str = "s_suppkey") -> str:
+    claim = claim if " " in claim else f"'{claim}'"
+    return f"select cast({run} as bigint) as run_id, {scope} as scope, '{severity}' as severity, {claim} as claim, cast(1 as bigint) as affected, cast({measure} as double) as measure from {table} where {fires}"
+
+
+def _share(condition: str, severity: str) -> str:
+    return _plain("pages", f"count(*) filter ({condition}) as n, count(*) as total", "n > 0", "n", "n / total", f"'{severity}'", "measured_hard")
+
+
+_BAD = "page_id % 29 <> 0 and (page_id % 19 = 0 or page_id % 37 = 1)"
+_HIDDEN = _each("pages", "page_id % 5 >= 3 and length(html) > 0", "1 / (1 + page_id % 5)", "high", "measured_hard", "url", "page_id % 5")
+_PLAIN_SQL = {
+    "T01": _share("page_id % 29 = 0", "high"), "T03": _share("page_id % 17 = 0", "high"), "T05": _share("page_id % 9 = 0 and page_id % 29 <> 0", "mid"), "T06": _share("page_id % 23 = 0", "mid"), "T12": _share("page_id % 11 <> 0 and page_id % 7 > 3", "mid"),
+    "T02": _plain("pages", f"count(*) filter ({_BAD}) as bad, count(*) filter (page_id % 29 <> 0) as checked", "bad > 0.05 * checked", "bad", "bad / checked", "case when bad > 0.15 * checked then 'high' else 'mid' end", "measured_hard"),
+    "T07": _plain("pages", "count(*) as n, count(*) filter (page_id % 3 = 0) as listed", "n > 1 and listed = 0", "n", "0", "'mid'", "measured_hard", "page_id % 15"),
+    "T09a": _each("supplier", "s_suppkey % 3 <> 0 and s_suppkey > 40", "(s_suppkey > 40)::int + (s_suppkey > 40)::int + (s_suppkey > 40)::int", "mid", "measured_hard"),
+    "T09c": _each("supplier", "s_suppkey >= 48", "s_suppkey * 17", "mid", "case when s_suppkey % 3 <> 0 then 'measured_hard' else 'inferred' end"), "T10": _HIDDEN, "G03": _HIDDEN,
+    "T11": _each("pages", "page_id % 6 = 0 and page_id % 9 < 3", "page_id % 9", "mid", "measured_hard", "url", "page_id % 5"),
+    "G02": _plain("supplier", "(s_suppkey * 3 % 11 < 2)::int + (s_suppkey * 5 % 11 < 2)::int as n", "n > 0", "n", "n / 3", "'high'", "measured_hard", "s_suppkey").replace(" group by 1)", ")"),
+    "G04": _each("supplier", "s_suppkey % 9 <= 5", "s_suppkey % 9", "mid", "measured_sample"), "G07": _each("supplier", "s_suppkey % 4 <> 0 and s_suppkey % 7 < 3", "s_suppkey % 7", "mid", "measured_sample", "'brand'"),
+    "G08": _each("supplier", "s_suppkey % 8 = 0", "1", "ok", "measured_hard"), "E02": _each("supplier", "s_suppkey % 6 <> 0", "0", "ok", "measured_sample", "'brand'"), "SP01": _each("supplier", "s_suppkey % 5 = 0", "0", "mid", "inferred", "'brand'"),
+    "SP02": _each("supplier", "s_suppkey % 6 = 2", "2", "ok", "inferred", "'brand'"),
+    "A03": _plain("lineitem", "count(*) filter (l_returnflag = 'A') as gained, count(*) filter (l_returnflag = 'R') as lost", "gained >= 50 and gained >= 0.9 * lost", "gained", "gained / lost", "'ok'", "inferred", "l_suppkey % 4"),
+}
+
+
 def _oracle(rule: R.Rule) -> str:
     if callable(rule.shape):
         head, body = _SQL[rule.rule_id]
         return head + rule.finish_sql(body)
-    return ctes(rule.shape.frame) + rule.finish_sql(rule.shape.sql())
+    return rule.finish_sql(_PLAIN_SQL[rule.rule_id])
 
 
 ORACLES = {f"rule_{r.rule_id.lower()}": _oracle(r) for r in RULES}
 ORACLES |= {f"rule_{k.lower()}": _PAGE + x for k, x in _PAGE_SQL.items()}
 ALL_SQL = " union all ".join(f"select * from ({ORACLES[f'rule_{k.lower()}']})" for k in (*(r.rule_id for r in RULES), *PAGE_RULES))
+ORACLES["isolated_hits"] = " union all ".join(f"select rule_id, run_id, scope, severity, affected, cast(null as varchar) as error from ({ORACLES[f'rule_{r.rule_id.lower()}']})" for r in PLAIN) + " union all select 'X00', null, null, null, null, 'DIVIDE_BY_ZERO'"
 _ID = "'fnd_' || sha256(run_id || '|' || rule_id || '|' || scope || '|' || severity)[1:16] as finding_id"
 _CONFIDENCE = "case claim when 'measured_hard' then 'high' when 'measured_sample' then 'medium' else 'low' end as confidence"
 _IMPACT = "case when severity = 'high' or (severity = 'mid' and affected >= 5) then 'high' else 'low' end"

@@ -47,3 +47,21 @@ def test_first_examples_and_true_totals(spark):
     assert shapes.where("rule_id = 'U'").select(F.try_variant_get("detail", "$.examples[0].url", "string")).first()[0] == "http://x"
     assert shapes.where("rule_id = 'K' and run_id = 1").select(F.try_variant_get("detail", "$.total", "long"), F.try_variant_get("detail", "$.keywords[0].text", "string")).first() == (500, "k00")
     assert D.listed(df.limit(0)).count() == 0
+
+
+def test_a_rule_that_raises_leaves_the_others(spark):
+    from sparkwright.operators import rules as R
+
+    rows = lambda k: spark.createDataFrame([(f"R{k}", k)], "rule_id string, run_id long")
+
+    def at_planning():
+        return rows(90).select("rule_id", "no_such_column")
+
+    def at_running():
+        return rows(91).select("rule_id", F.expr("run_id div (run_id - 91)").alias("run_id"))
+
+    parts = [(f"R{k}", lambda k=k: rows(k)) for k in range(7)]
+    found, failed = R.isolated([*parts[:3], ("plan", at_planning), *parts[3:6], ("run", at_running), parts[6]])
+    assert sorted(r.rule_id for x in found for r in x.collect()) == [f"R{k}" for k in range(7)]
+    assert [name for name, _ in failed] == ["plan", "run"] and failed[1][1] == "DIVIDE_BY_ZERO"
+    assert R.isolated(parts)[1] == [] and len(R.isolated(parts)[0]) == 1 and R.isolated([]) == ([], [])
