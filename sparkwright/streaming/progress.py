@@ -1,18 +1,22 @@
 """Progress messages and evidence as streams.
 
-``run_states`` keeps, for each run, the fold of its messages in managed state;
+``run_states`` keeps, for each run, the fold of its messages in managed state,
+and ``late_run_states`` that of messages that come in any order up to a delay;
 ``evidence_windows`` counts evidence by type and day behind a watermark (an
 extension: nothing in the batch operators needs event time).
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import StructType
 
 STATE = "state string, messages long, evidence long, phases long, last_progress long"
@@ -24,24 +28,28 @@ def source(spark: SparkSession, folder: str, schema: StructType, name: str = "*.
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+START = ("running", 0, 0, 0, None)
+TERMINAL = ("done", "failed")
+
+
 def fold(state: tuple, messages: pd.DataFrame) -> tuple:
     """The state after messages in order; after a terminal message nothing counts."""
     kind, n, evidence, phases, last = state
-    for row in messages.sort_values(["ts", "seq"]).itertuples():
-        if kind != "running":
-            break
-        n += 1
-        evidence += row.msg_type == "evidence_created"
-        phases += row.msg_type == "phase"
-        if row.msg_type == "progress":
-            last = int(row.amount)
-        if row.msg_type in ("done", "failed"):
-            kind = row.msg_type
-    return kind, int(n), int(evidence), int(phases), last
+    if kind != "running" or not len(messages):
+        return state
+    kinds = messages.sort_values(["ts", "seq"])
+    ends = kinds["msg_type"].isin(TERMINAL).to_numpy()
+    stop = int(ends.argmax()) + 1 if ends.any() else len(kinds)
+    kinds = kinds.iloc[:stop]
+    moved = kinds.loc[kinds["msg_type"] == "progress", "amount"]
+    return (
+        kinds["msg_type"].iloc[-1] if ends.any() else "running", int(n + stop), int(evidence + (kinds["msg_type"] == "evidence_created").sum()), int(phases + (kinds["msg_type"] == "phase").sum()),
+        int(moved.iloc[-1]) if len(moved) else last,
+    )
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = state.get if state.exists else ("running", 0, 0, 0, None)
+    before = state.get if state.exists else START
     # a run's messages of one trigger are few; they are ordered together
     after = fold(before, pd.concat(list(batches)))
     state.update(after)
@@ -49,10 +57,78 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 
 def run_states(messages: DataFrame) -> DataFrame:
-    """Current state of each run that had messages in the trigger; messages must reach triggers in order."""
+    """Current state of each run that had messages in the trigger; messages must reach triggers in order (``late_run_states`` asks for less)."""
     return messages.groupBy("run_id").applyInPandasWithState(_update, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+class LateProgress(StatefulProcessor):
+    """What is older than the watermark is folded; what isn't waits by (ts, seq), so that a late message finds its place.
+
+    A timer at each waiting message's time folds it once the watermark has
+    passed.  A run whose folded part has ended keeps nothing that waits, and
+    takes nothing more.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", STATE)
+        self.waiting = handle.getMapState("waiting", "ts timestamp, seq long", "msg_type string, amount long")
+
+    def _now(self) -> tuple:
+        return tuple(self.folded.get()) if self.folded.exists() else START
+
+    def _held(self) -> pd.DataFrame:
+        rows = [(*k, *v) for k, v in self.waiting.iterator()] if self.waiting.exists() else []
+        return pd.DataFrame(rows, columns=["ts", "seq", "msg_type", "amount"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        before = self._now()
+        if before[0] != "running":
+            return
+        for batch in rows:
+            for ts, seq, kind, amount in zip(batch["ts"], batch["seq"], batch["msg_type"], batch["amount"], strict=True):
+                self.waiting.updateValue((ts.to_pydatetime(), int(seq)), (kind, int(amount)))
+            for at in {int(x.timestamp() * 1000) for x in batch["ts"]}:
+                self.handle.registerTimer(at)
+        yield pd.DataFrame([(key[0], *fold(before, self._held()))], columns=[x.split()[0] for x in RESULT.split(", ")])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = expiredTimerInfo.getExpiryTimeInMs()
+        held = self._held()
+        ripe = held[[int(x.timestamp() * 1000) <= limit for x in held["ts"]]]
+        after = fold(self._now(), ripe)
+        self.folded.update(after)
+        if after[0] != "running":
+            self.waiting.clear()
+        else:
+            for ts, seq in zip(ripe["ts"], ripe["seq"], strict=True):
+                self.waiting.removeKey((ts.to_pydatetime(), int(seq)))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+@contextlib.contextmanager
+def rocks_db(spark: SparkSession) -> Iterator[None]:
+    """Within the block, streams keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def late_run_states(messages: DataFrame, late: str = "1 day") -> DataFrame:
+    """State of each run that had messages in the trigger, from all that have come in whatever order; what is later than ``late`` is dropped.
+
+    Needs the RocksDB state store (``rocks_db``, or the session's own setting).
+    """
+    return messages.withWatermark("ts", late).groupBy("run_id").transformWithStateInPandas(LateProgress(), StructType.fromDDL(RESULT), "Update", "EventTime")
+
+
 def evidence_windows(evidence: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """Evidence of each type in each window of event time; what is later than ``late`` is dropped."""
     at = evidence.withWatermark("captured_at", late)
