@@ -8,12 +8,15 @@
 2. Documents with equal digests are one class; only its smallest id goes on.
 3. Bands of the signature are hashed into buckets.  Buckets with the same
    members (by two 64-bit hashes of all of them) are looked at once.
-4. The members' full sets meet in tasks of at most ``block`` documents and the
-   bucket's leader; pairs are confirmed on the full sets and only a spanning
-   forest of confirmed links leaves the task.
-5. Where a bucket has more than one block, components are formed first, and
-   what is outside the bucket's largest component meets the other blocks, so
-   that no link is lost and a large group of copies isn't compared with itself.
+4. The members' full sets meet in tasks of some ``block`` documents or
+   ``shingles`` shingles, with the bucket's leader; pairs are confirmed on the
+   full sets and only a spanning forest of confirmed links leaves the task.
+5. Where a bucket has more than one block, components are formed first.  If it
+   has several, its members meet again by prefixes: of two similar sets, the
+   shingles that come first in any one order, as many as may be missing and one
+   more, have one in common.  With the rarest first, what pages of one template
+   share is in no prefix, so only sets that share something rare are compared,
+   and only if they are in different components; no link is lost.
 6. Components come from a distributed contraction.
 
 With 32 bands of 4 rows a pair at the threshold of 0.75 misses all buckets
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm import storage
@@ -43,6 +46,10 @@ class Params:
     bands: int = 32
     rows: int = 4
     block: int = 512
+    #: shingles of a block, about
+    shingles: int = 4_000_000
+    #: cells that count how frequent a shingle is, which orders prefixes
+    cells: int = 1 << 18
 
     @property
     def slots(self) -> int:
@@ -215,6 +222,81 @@ def _confirm(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(run, "a long, b long")
 
 
+def _blocks(p: Params) -> Column:
+    return F.greatest(F.ceil(F.col("n") / p.block), F.ceil(F.col("mass") / p.shingles)).cast("int")
+
+
+def _sized_hint(table: DataFrame) -> DataFrame:
+    """A table of ``keep`` with a row a group: broadcast up to a counted limit, merged beyond it."""
+    return table.hint("broadcast") if table.count() <= storage.BROADCAST_IDS // 4 else table.hint("merge")
+
+
+def _frequency(sets: DataFrame, cells: int) -> np.ndarray:
+    """How often the shingles of each cell stand in ``sets``: ``cells`` numbers, whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).astype(np.int64) & (cells - 1), minlength=cells)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    found = sets.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, often: np.ndarray, p: Params) -> DataFrame:
+    """shingle, doc_id, grp and n_shingles for each shingle in the prefix of each of ``sets (doc_id, grp, shingles)``."""
+    frequency = sets.sparkSession.sparkContext.broadcast(often.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.frombuffer(frequency.value, np.int64)
+        for batch in batches:
+            raw = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            size = np.array([len(x) for x in raw], np.int64)
+            take = np.where(size > 0, size - -(-size * p.percent // 100) + 1, 0)
+            parts = []
+            for s, k in zip(raw, take.tolist(), strict=True):
+                parts.append(s[np.lexsort((s, often[s.astype(np.int64) & (len(often) - 1)]))[:k]])
+            row = pa.array(np.repeat(np.arange(len(raw)), take))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(size, take))], ["shingle", "doc_id", "grp", "n_shingles"]
+            )
+
+    return sets.select("doc_id", "grp", "shingles").mapInArrow(run, "shingle long, doc_id long, grp long, n_shingles long")
+
+
+def rest_tasks(open_: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Tasks (task, doc_id, side, grp) in which all similar documents of ``open_ (doc_id, grp)`` meet that are in different groups.
+
+    Documents of one prefix shingle are a task, if they have several groups.
+    Very many of them are dealt to blocks, and what is outside the largest
+    group meets all blocks.
+    """
+    held = storage.keep(sets.join(open_, "doc_id").select("doc_id", "grp", "shingles"), "open")
+    first = storage.keep(prefixes(held, _frequency(held, p.cells), p), "prefixes")
+    members = (F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"members_{i}") for i in (1, 2))
+    shared = first.groupBy("shingle").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("mass"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), *members).where("n > 1 and lo <> hi")
+    shared = storage.keep(shared.groupBy("n", "mass", "members_1", "members_2").agg(F.min("shingle").alias("shingle")).select("shingle", _blocks(p).alias("blocks")), "shared")
+    met = storage.keep(first.join(_sized_hint(shared), "shingle").select(F.col("shingle").alias("key"), "doc_id", "grp", "blocks"), "met")
+    for x in (held, first):
+        storage.drop(x)
+    tasks = met.where("blocks = 1").select(F.xxhash64("key").alias("task"), "doc_id", F.lit(True).alias("side"), "grp")
+    large = met.where("blocks > 1")
+    if large.isEmpty():
+        return tasks
+    most = storage.keep(large.groupBy("key", "grp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "grp"))["grp"].alias("main")), "most")
+    known = storage.keep(large.join(_sized_hint(most), "key"), "large")
+    rest = known.where("grp <> main").withColumn("row", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks"))
+    rows = rest.select("key", "row", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("col"), "doc_id", F.lit(True).alias("side"), "grp")
+    used = rest.select("key", "row").distinct()
+    cols = known.withColumn("col", F.pmod(F.xxhash64("doc_id", F.lit(2)), "blocks").cast("int")).join(used, "key").select("key", "row", "col", "doc_id", F.lit(False).alias("side"), "grp")
+    grid = rows.union(cols).groupBy("key", "row", "col", "doc_id", "grp").agg(F.max("side").alias("side"))
+    return tasks.union(grid.select(F.xxhash64("key", "row", "col").alias("task"), "doc_id", "side", "grp"))
+
+
 def cluster(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs (doc_id, text)``.
 
@@ -229,11 +311,11 @@ def cluster(docs: DataFrame, params: Params | None = None) -> DataFrame:
     digest = ["n_shingles", "set_a", "set_b"]
     classes = storage.keep(some.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands"))["bands"].alias("bands")), "classes")
 
-    placed = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
+    placed = classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("key"))
     buckets = (
-        placed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"), *(F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"members_{i}") for i in (1, 2)))
-        .where("n > 1").groupBy("n", "leader", "members_1", "members_2").agg(F.min("key").alias("key"))
-        .withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
+        placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("mass"), F.min("doc_id").alias("leader"), *(F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"members_{i}") for i in (1, 2)))
+        .where("n > 1").groupBy("n", "mass", "leader", "members_1", "members_2").agg(F.min("key").alias("key"))
+        .withColumn("blocks", _blocks(p))
     )
     inside = storage.keep(placed.join(buckets, "key").select("key", "doc_id", "leader", "blocks", F.pmod(F.xxhash64("doc_id", "key"), "blocks").cast("int").alias("block")), "inside")
     involved = inside.select("doc_id")
@@ -247,20 +329,14 @@ def cluster(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
     large = inside.where("blocks > 1")
     if not large.isEmpty():
-        named = storage.keep(large.join(groups, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", "blocks", F.coalesce("component_id", "doc_id").alias("grp")), "named")
-        most = named.groupBy("key", "grp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "grp"))["grp"].alias("main"), F.count("*").alias("parts"))
-        open_ = named.join(most.where("parts > 1"), "key")
-        rest = open_.where("grp <> main").withColumn("row", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks"))
-        grid = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rows = rest.select("key", "row", grid.alias("col"), "doc_id", F.lit(True).alias("side"), "grp")
-        used = rest.select("key", "row").distinct()
-        cols = open_.withColumn("col", F.pmod(F.xxhash64("doc_id", F.lit(2)), "blocks").cast("int")).join(used, "key").select("key", "row", "col", "doc_id", F.lit(False).alias("side"), "grp")
-        more = rows.union(cols).groupBy("key", "row", "col", "doc_id", "grp").agg(F.max("side").alias("side"))
-        extra = _confirm(more.select(F.xxhash64("key", "row", "col").alias("task"), "doc_id", "side", "grp"), sets, p.percent)
+        named = storage.keep(large.join(groups, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("grp")), "named")
+        several = storage.keep(named.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("key"), "several")
+        open_ = storage.keep(named.join(_sized_hint(several), "key").select("doc_id", "grp").distinct(), "open_ids")
+        extra = _confirm(rest_tasks(open_, sets, p), sets, p.percent)
         first, old = links, groups
         links = storage.keep(links.union(extra), "links")
         groups = storage.keep(connected_components(links), "groups")
-        for x in (first, old, named):
+        for x in (first, old, named, open_):
             storage.drop(x)
     for x in (sets, inside, links):
         storage.drop(x)
@@ -271,11 +347,6 @@ def cluster(docs: DataFrame, params: Params | None = None) -> DataFrame:
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _sized_hint(table: DataFrame) -> DataFrame:
-    """A table of ``keep`` with a row a group: broadcast up to a counted limit, merged beyond it."""
-    return table.hint("broadcast") if table.count() <= storage.BROADCAST_IDS // 4 else table.hint("merge")
-
-
 def keep_one(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """The rows of ``docs``, with all columns whatever their names, without near copies: of each group the row with the smallest id stays.
 
