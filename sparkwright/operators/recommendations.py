@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
+from sparkwright.operators import assets as A
 from sparkwright.operators import findings as O
 
 # The effort and the kind of work that each rule's recommendation takes.
@@ -37,11 +38,12 @@ def quadrant(impact_: Column, effort: Column) -> Column:
 def recommend(findings: DataFrame) -> DataFrame:
     """A row for each of ``findings (finding_id, run_id, rule_id, pillar, scope, severity, claim, affected)``: what it takes, where it stands, what it touches.
 
-    ``page`` is the finding's scope where that is a URL.  Rules unknown to the
+    ``page`` is the finding's scope where that is a URL; the last columns say
+    how the fix is to be measured.  Rules unknown to the
     table take the generic entry; equal findings give equal rows.
     """
     effort = E.lookup(F.col("rule_id"), {k: v[0] for k, v in ACTIONS.items()}, GENERIC[0])
     kind = E.lookup(F.col("rule_id"), {k: v[1] for k, v in ACTIONS.items()}, GENERIC[1])
     page = F.when(F.col("scope").rlike("(?i)^https?://"), F.col("scope"))
     x = findings.withColumns({"effort": effort, "kind": kind, "impact": impact(F.col("severity"), F.col("affected")), "page": page})
-    return x.select("finding_id", "run_id", "rule_id", "pillar", "kind", "impact", "effort", quadrant(F.col("impact"), F.col("effort")).alias("priority"), O.horizon(F.col("effort")).alias("horizon"), O.confidence(F.col("claim")).alias("confidence"), "affected", "page")
+    return x.select("finding_id", "run_id", "rule_id", "pillar", "kind", "impact", "effort", quadrant(F.col("impact"), F.col("effort")).alias("priority"), O.horizon(F.col("effort")).alias("horizon"), O.confidence(F.col("claim")).alias("confidence"), "affected", "page", *A.validation(F.col("pillar"), F.col("rule_id"), F.col("scope")))

@@ -15,9 +15,24 @@ PLATFORMS = ("s3.example", "s7.example", "s11.example")
 
 
 def prompt_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.render_prompts(_briefs(spark, sf_dir))
+
+
+def prompt_set_zh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.render_prompts(_briefs(spark, sf_dir), A.PROMPTS_ZH, "zh")
+
+
+def prompt_set_earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier set of twenty, in both languages."""
+    p = _briefs(spark, sf_dir)
+    en, zh = (A.render_prompts(p, tuple((x[0], x[i]) for x in A.EARLIER), lang).withColumn("language", F.lit(lang)) for i, lang in ((1, "en"), (2, "zh")))
+    return en.unionByName(zh)
+
+
+def _briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Bound(spark, sf_dir).projects
     rival = F.when(F.col("project_id") % 4 > 0, F.concat(F.lit("R"), (F.col("project_id") % 4).cast("string")))
-    return A.render_prompts(p.select("project_id", F.concat(F.lit("B"), F.col("project_id").cast("string")).alias("brand"), F.lower("market").alias("category"), rival.alias("rival"), F.col("owner_id").cast("string").alias("market")))
+    return p.select("project_id", F.concat(F.lit("B"), F.col("project_id").cast("string")).alias("brand"), F.lower("market").alias("category"), rival.alias("rival"), F.col("owner_id").cast("string").alias("market"))
 
 
 def anchor_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,16 +139,22 @@ def retest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    prompt_set, anchor_classes, page_classes, competitor_form, competitor_pool, platform_filter, ecommerce_detect, psi_clues, vitals_check, run_estimate, validation_specs, retest_due, artifact_patch,
+    prompt_set, prompt_set_zh, prompt_set_earlier, anchor_classes, page_classes, competitor_form, competitor_pool, platform_filter, ecommerce_detect, psi_clues, vitals_check, run_estimate, validation_specs, retest_due, artifact_patch,
     cited_recommendations, required_fields, reparse_context, retest_snapshots,
 )
 
-_VALUES = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(A.PROMPTS))
+def _prompt_sql(prompts, language: str, more: str = "") -> str:
+    values = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(prompts))
+    return ctes("projects") + f""", t(priority, kind, template) as (values {values}) select project_id, priority, kind,
+ replace(replace(replace(replace(template, '{{brand}}', 'B' || project_id), '{{category}}', lower(market)), '{{rival}}', case when project_id % 4 > 0 then 'R' || (project_id % 4) else '{A.OTHERS[language]}' end), '{{market}}', owner_id::varchar) as text, contains(template, '{{brand}}') as branded{more} from b_projects cross join t"""
+
+
 _SPEC = ", ".join("case pillar " + " ".join(f"when '{k}' then '{v[i]}'" for k, v in A.VALIDATION.items()) + f" end as {name}" for i, name in enumerate(("metric_source", "metric", "direction")))
 _ANCHOR = "case p_partkey % 6 when 0 then 'generic' when 1 then 'url' when 2 then 'domain' when 3 then 'brand' else 'keyword' end"
 ORACLES = {
-    "prompt_set": ctes("projects") + f""", t(priority, kind, template) as (values {_VALUES}) select project_id, priority, kind,
- replace(replace(replace(replace(template, '{{brand}}', 'B' || project_id), '{{category}}', lower(market)), '{{rival}}', case when project_id % 4 > 0 then 'R' || (project_id % 4) else 'other vendors' end), '{{market}}', owner_id::varchar) as text, contains(template, '{{brand}}') as branded from b_projects cross join t""",
+    "prompt_set": _prompt_sql(A.PROMPTS, "en"),
+    "prompt_set_zh": _prompt_sql(A.PROMPTS_ZH, "zh"),
+    "prompt_set_earlier": " union all ".join(f"select * from ({_prompt_sql([(x[0], x[i]) for x in A.EARLIER], lang, f", '{lang}' as language")})" for i, lang in ((1, "en"), (2, "zh"))),
     "anchor_classes": f"select p_partkey, {_ANCHOR} as kind from part",
     "page_classes": "select page_id, ['product', 'article', 'category', 'other'][page_id % 4 + 1] as kind from pages",
     "competitor_form": ctes("pages") + "select run_id, case when page_id % 10 >= 3 then 'faq' when list_count >= 5 then 'listicle' when initial_chars >= 2500 then 'article' else 'page' end as page_type, count(*) as pages, round(avg(initial_chars), 4) as mean_chars from b_pages group by all",

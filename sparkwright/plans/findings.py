@@ -9,6 +9,7 @@ from sparkwright.functions import expr as E
 from sparkwright.operators import findings as O
 from sparkwright.operators import log as L
 from sparkwright.operators import probes as P
+from sparkwright.operators.ranking import ranked
 from sparkwright.plans import probes as probe_plans
 from sparkwright.plans.serp import aio_rates
 from sparkwright.sources.bindings import Bound, ctes
@@ -260,15 +261,27 @@ def retest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     for table, column, metric, unit in parts:
         now = table.select("run_id", (F.col(column) * unit).alias("p1"))
         x = table.select((F.col("run_id") + 1).alias("run_id"), (F.col(column) * unit).alias("p0")).join(now, "run_id", "full_outer")
-        states = states.unionByName(x.select("run_id", *O.ratio_row(metric, F.col("p0"), F.col("p1"))).where("baseline is not null or retest is not null"))
+        rows = x.select("run_id", *O.ratio_row(metric, F.col("p0"), F.col("p1"))).where("baseline is not null or retest is not null")
+        if table is probe:  # the numbers of runs that can't be compared stand side by side, without a difference
+            apart = probe_plans.comparability(spark, sf_dir).where("not comparable").select("run_id", F.lit(True).alias("apart"))
+            rows = rows.join(apart, "run_id", "left").withColumn("delta", F.when(F.col("apart").isNull(), F.col("delta"))).drop("apart")
+        states = states.unionByName(rows)
     return states
 
 
+def findings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each run as JSON arrays of 50, by id: what an API would send."""
+    f = Bound(spark, sf_dir).findings.select("run_id", "finding_id", "rule_id", "severity", "status", "claim_type")
+    placed = ranked(f, ["run_id"], [F.col("finding_id")]).withColumn("page", F.ceil(F.col("place") / 50).cast("int"))
+    rows = F.sort_array(F.collect_list(F.struct("finding_id", "rule_id", "severity", "status", "claim_type")))
+    return placed.groupBy("run_id", "page").agg(F.count("*").alias("rows"), F.to_json(rows, {"ignoreNullFields": "false"}).alias("body"))
+
+
 QUERIES = (
     health_score, active_findings, measured_findings, finding_stat_records, rec_stat_records, rule_dismissal_stats, rule_ineffective_stats, new_proposals, finding_delta, finding_delta_summary, duplicate_fingerprints,
     rec_outcomes, new_hits, top_findings, gated_recs, priority_matrix, roadmap, next_steps, action_order, applied_progress, report_counts, constraint_locator, pillars_with_data, report_level, source_health,
     artifact_freshness, stale_artifacts, claim_gate_violations, hits_with_evidence, finding_levels, evidence_summaries, valid_proposals, proposals_by_status, released_proposals, released_versions, changelog,
-    rules_version_delta, share_expired, retest_gsc_metric, metric_pairs, retest_rows,
+    rules_version_delta, share_expired, retest_gsc_metric, metric_pairs, retest_rows, findings_pages,
 )
 
 _F, _R = ctes("findings"), ctes("findings", "recs")
@@ -343,6 +356,7 @@ select run_id, case when crawl and gsc and market and run_id % 4 > 0 and ai and
     "rules_version_delta": ctes("proposals") + "select 'rules_v' || (max(cast(regexp_extract(version, '(\\d+)$', 1) as integer)) + 1) as next_version from b_proposals where version is not null",
     "share_expired": "select event_id, case event_id % 5 when 0 then false when 1 then true else date_trunc('second', ts) <= timestamp '2024-01-15 00:00:00' end as expired from events",
     "retest_gsc_metric": ctes("gsc", "labs") + "select run_id, cast(sum(impressions) as bigint) as impressions, round(avg(avg_pos), 6) as position from b_gsc where query_id in (select keyword_id from b_labs where intent = 'commercial') group by run_id",
+    "findings_pages": _F + "select run_id, cast((place + 49) // 50 as integer) as page, count(*) as rows, cast(to_json(list(struct_pack(finding_id := finding_id, rule_id := rule_id, severity := severity, status := status, claim_type := claim_type) order by finding_id)) as varchar) as body from (select *, row_number() over (partition by run_id order by finding_id) as place from b_findings) group by 1, 2",
     "metric_pairs": ctes("gsc") + ", g as (select query_id, page_id % 3 as run_id, cast(sum(impressions) as bigint) as impressions from b_gsc group by all) select n.query_id, n.run_id, o.impressions as baseline, n.impressions as retest from g n join g o on o.query_id = n.query_id and o.run_id = n.run_id - 1",
     "retest_rows": probe_plans._P + ", " + ctes("findings", "aio").removeprefix("with recursive ").rstrip() + _DELTA + probe_plans._PRES + ", " + _health_sql("(select * from b_findings where status <> 'dismissed')", "select distinct run_id, pillar from b_findings") + f""",
 m as (select run_id, 'aio.present_rate' as metric, round(count(*) filter (measured and present)::double / nullif(count(*) filter (measured), 0), 6) as v from b_aio group by run_id
@@ -350,6 +364,6 @@ m as (select run_id, 'aio.present_rate' as metric, round(count(*) filter (measur
   union all select run_id, 'health.overall', 0.01::double * (floor(({_TOT}) / nullif({_WS}, 0) * 10 + 0.5) / 10) from ph
   union all select run_id, 'probe.unbranded_presence', count_if(present)::double / count(*) from pres where not branded group by run_id),
 z as (select coalesce(n.run_id, b.run_id + 1) as run_id, coalesce(n.metric, b.metric) as metric, cast(floor(b.v * 100 + 0.5) as bigint) as baseline, cast(floor(n.v * 100 + 0.5) as bigint) as retest from m n full join m b on n.run_id = b.run_id + 1 and n.metric = b.metric)
-select run_id, metric, baseline, retest, retest - baseline as delta from z where baseline is not null or retest is not null
+select z.run_id, metric, baseline, retest, case when metric like 'probe.%' and not coalesce(c.comparable, true) then null else retest - baseline end as delta from z left join ({probe_plans.ORACLES["comparability"]}) c on c.run_id = z.run_id where baseline is not null or retest is not null
 union all select cast({RETEST} as bigint), 'findings.' || state, null, count(*), null from d group by state""",
 }

@@ -518,6 +518,8 @@ _IMPACT = "case when severity = 'high' or (severity = 'mid' and affected >= 5) t
 _ACTIONS = ", ".join(f"('{k}', '{e}', '{kind}')" for k, (e, kind) in N.ACTIONS.items())
 ORACLES["findings"] = f"select {_ID}, run_id, rule_id, pillar, severity, claim, {_CONFIDENCE}, {_IMPACT} as impact, fingerprint from ({ALL_SQL})"
 ORACLES["recommendations"] = f"""select finding_id, run_id, rule_id, pillar, kind, impact, effort, case impact when 'high' then case effort when 'low' then 'quick_win' else 'strategic' end else case effort when 'high' then 'low' else 'fill_in' end end as priority,
-  case effort when 'low' then 'quick' when 'high' then 'long' else 'mid' end as horizon, confidence, affected, page
+  case effort when 'low' then 'quick' when 'high' then 'long' else 'mid' end as horizon, confidence, affected, page,
+  case pillar when 'P3' then 'gsc' when 'P4' then 'probe' when 'P5' then 'probe' else 'crawl' end as metric_source, case when rule_id in ('K02', 'K06') then 'position' when pillar = 'P3' then 'impressions' when pillar = 'P4' then 'brand_sov' when pillar = 'P5' then 'brand_presence' else 'affected_pages' end as metric,
+  case when rule_id in ('K02', 'K06') or pillar in ('P1', 'P2') then 'decrease' else 'increase' end as direction, scope as validation_scope, 28 as window_days
 from (select {_ID}, h.*, {_IMPACT} as impact, {_CONFIDENCE}, coalesce(a.effort, 'mid') as effort, coalesce(a.kind, 'content') as kind, case when starts_with(scope, 'http://') or starts_with(scope, 'https://') then scope end as page
   from ({ALL_SQL}) h left join (values {_ACTIONS}) a(rule, effort, kind) on a.rule = h.rule_id)"""

@@ -92,10 +92,8 @@ def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_table_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of each run in pages of 50; nulls last whichever way a column is sorted."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("run_id").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("clicks"), F.asc_nulls_last("avg_pos"), "keyword_id")
-    return keyword_table(spark, sf_dir).withColumn("place", F.row_number().over(order)).select("run_id", "keyword_id", "score", "clicks", "avg_pos", "place", F.ceil(F.col("place") / 50).cast("int").alias("page"))
+    order = [F.desc_nulls_last("score"), F.desc_nulls_last("clicks"), F.asc_nulls_last("avg_pos"), F.col("keyword_id")]
+    return ranked(keyword_table(spark, sf_dir).select("run_id", "keyword_id", "score", "clicks", "avg_pos"), ["run_id"], order).select("run_id", "keyword_id", "score", "clicks", "avg_pos", "place", F.ceil(F.col("place") / 50).cast("int").alias("page"))
 
 
 def seed_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
