@@ -9,6 +9,7 @@ from sparkwright.functions import expr as E
 from sparkwright.operators import findings as O
 from sparkwright.operators import log as L
 from sparkwright.operators import probes as P
+from sparkwright.operators.log import newest
 from sparkwright.operators.ranking import ranked
 from sparkwright.plans import probes as probe_plans
 from sparkwright.plans.serp import aio_rates
@@ -233,6 +234,13 @@ def share_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("event_id", F.when(F.col("expires").isNull(), False).otherwise(at.isNull() | (at <= F.to_timestamp(F.lit("2024-01-15 00:00:00")))).alias("expired"))
 
 
+def latest_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest share of each run that hasn't expired."""
+    shares = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("run_id"), F.col("ts").alias("created_at"))
+    open_ = share_expired(spark, sf_dir).where("not expired").select("event_id")
+    return newest(shares.join(open_, "event_id"), ["run_id"], [F.desc("created_at"), F.desc("event_id")]).select("run_id", F.col("event_id").alias("share_id"))
+
+
 def retest_gsc_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impressions and mean position of each run over the target keywords."""
     b = Bound(spark, sf_dir)
@@ -281,7 +289,7 @@ QUERIES = (
     health_score, active_findings, measured_findings, finding_stat_records, rec_stat_records, rule_dismissal_stats, rule_ineffective_stats, new_proposals, finding_delta, finding_delta_summary, duplicate_fingerprints,
     rec_outcomes, new_hits, top_findings, gated_recs, priority_matrix, roadmap, next_steps, action_order, applied_progress, report_counts, constraint_locator, pillars_with_data, report_level, source_health,
     artifact_freshness, stale_artifacts, claim_gate_violations, hits_with_evidence, finding_levels, evidence_summaries, valid_proposals, proposals_by_status, released_proposals, released_versions, changelog,
-    rules_version_delta, share_expired, retest_gsc_metric, metric_pairs, retest_rows, findings_pages,
+    rules_version_delta, share_expired, latest_share, retest_gsc_metric, metric_pairs, retest_rows, findings_pages,
 )
 
 _F, _R = ctes("findings"), ctes("findings", "recs")
@@ -357,6 +365,7 @@ select run_id, case when crawl and gsc and market and run_id % 4 > 0 and ai and
     "share_expired": "select event_id, case event_id % 5 when 0 then false when 1 then true else date_trunc('second', ts) <= timestamp '2024-01-15 00:00:00' end as expired from events",
     "retest_gsc_metric": ctes("gsc", "labs") + "select run_id, cast(sum(impressions) as bigint) as impressions, round(avg(avg_pos), 6) as position from b_gsc where query_id in (select keyword_id from b_labs where intent = 'commercial') group by run_id",
     "findings_pages": _F + "select run_id, cast((place + 49) // 50 as integer) as page, count(*) as rows, cast(to_json(list(struct_pack(finding_id := finding_id, rule_id := rule_id, severity := severity, status := status, claim_type := claim_type) order by finding_id)) as varchar) as body from (select *, row_number() over (partition by run_id order by finding_id) as place from b_findings) group by 1, 2",
+    "latest_share": "select user_id as run_id, event_id as share_id from events where event_id % 5 = 0 or (event_id % 5 <> 1 and date_trunc('second', ts) > timestamp '2024-01-15 00:00:00') qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "metric_pairs": ctes("gsc") + ", g as (select query_id, page_id % 3 as run_id, cast(sum(impressions) as bigint) as impressions from b_gsc group by all) select n.query_id, n.run_id, o.impressions as baseline, n.impressions as retest from g n join g o on o.query_id = n.query_id and o.run_id = n.run_id - 1",
     "retest_rows": probe_plans._P + ", " + ctes("findings", "aio").removeprefix("with recursive ").rstrip() + _DELTA + probe_plans._PRES + ", " + _health_sql("(select * from b_findings where status <> 'dismissed')", "select distinct run_id, pillar from b_findings") + f""",
 m as (select run_id, 'aio.present_rate' as metric, round(count(*) filter (measured and present)::double / nullif(count(*) filter (measured), 0), 6) as v from b_aio group by run_id

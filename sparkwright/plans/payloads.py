@@ -113,12 +113,85 @@ def landed_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.opportunities(landed)
 
 
+def _text(*parts) -> Column:
+    """JSON written out, of literal pieces and columns."""
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def landed_page_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sites; a third has no interaction value."""
+    k = F.col("s_suppkey")
+    inp = F.when(k % 3 > 0, _text(',"INTERACTION_TO_NEXT_PAINT":{"percentile":', k * 5, "}")).otherwise("")
+    body = _text(
+        '{"loadingExperience":{"metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":', k * 61, '},"CUMULATIVE_LAYOUT_SHIFT_SCORE":{"percentile":', k % 40, "}", inp,
+        '}},"lighthouseResult":{"categories":{"performance":{"score":', (k % 101) / 100, '}},"audits":{"server-response-time":{"numericValue":', k * 17, "}}}}",
+    )
+    return J.page_speed(_table(spark, sf_dir, "supplier").select(k.alias("run_id"), body.alias("payload")))
+
+
+def landed_search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as search rows of three dimensions and an unknown one; every 11th row has no key."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("query", "page", "queryPage", "device"))), (k % 4 + 1).cast("int"))
+    keys = F.when(k % 11 == 0, "[]").when(k % 4 == 1, _text('["https://x.example/', k, '"]')).otherwise(_text('["kw ', k, '","https://x.example/', k, '"]'))
+    row = _text('{"keys":', keys, ',"clicks":', k % 7, ',"impressions":', k * 3, F.when(k % 5 > 0, _text(',"position":', k % 50)).otherwise(""), "}")
+    rows = _table(spark, sf_dir, "part").groupBy(F.floor(k / 100).alias("run_id"), kind.alias("dimension")).agg(F.array_join(F.collect_list(row), ",").alias("rows"))
+    return J.search_metrics(rows.select("run_id", "dimension", _text('{"rows":[', F.col("rows"), "]}").alias("payload")))
+
+
+def landed_result_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of three items for each part, the second without a domain in one of four, and lists without items."""
+    k = F.col("p_partkey")
+    second = F.when(k % 4 > 0, _text(',"domain":"d', k % 9, '.example"')).otherwise("")
+    items = _text('{"type":"organic","domain":"www.s', k % 5, '.example","url":"https://s/', k, '","rank_absolute":1,"title":"T"},{"type":"video"', second, ',"rank_absolute":2},{"type":"organic","domain":"x.example","rank_absolute":"3"}')
+    body = F.when(k % 10 == 0, '{"items":[]}').when(k % 10 == 1, "{}").otherwise(_text('{"items":[', items, "]}"))
+    return J.serp_items(_table(spark, sf_dir, "part").select((k % 4).alias("run_id"), _text("kw", k).alias("keyword"), body.alias("payload")))
+
+
+def landed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers of four engines in their own shapes; one of nine isn't JSON."""
+    k = F.col("doc_id")
+    quoted = F.to_json(F.array("text"), {"ignoreNullFields": "false"})
+    t = F.expr("substring(j, 2, length(j) - 2)")
+    provider = F.element_at(F.array(*map(F.lit, ("openai", "perplexity", "gemini", "deepseek"))), (k % 4 + 1).cast("int"))
+    body = (
+        F.when(k % 9 == 0, "502 Bad Gateway")
+        .when(k % 4 == 0, _text('{"output":[{"content":[{"text":', t, ',"annotations":[{"url":"https://a/', k, '"},{"url":"https://b"},{"type":"note"}]}]}]}'))
+        .when(k % 4 == 1, _text('{"choices":[{"message":{"content":', t, '}}],"citations":["https://c","https://c"],"search_results":[{"url":"https://c"},{"url":"https://r/', k, '"}]}'))
+        .when(k % 4 == 2, _text('{"candidates":[{"content":{"parts":[{"text":', t, '}]},"groundingMetadata":{"groundingChunks":[{"web":{"uri":"https://g"}}]}}]}'))
+        .otherwise(_text('{"choices":[{"message":{"content":', t, "}}]}"))
+    )
+    x = _table(spark, sf_dir, "documents").select("doc_id", quoted.alias("j")).select(k.alias("evidence_id"), provider.alias("provider"), body.alias("payload"))
+    p, v = F.col("provider"), F.col("payload")
+    return x.select("evidence_id", "provider", J.answer(p, v).alias("answer"), F.array_join(J.cited(p, v), " ").alias("cited"), F.array_join(J.retrieved_only(p, v), " ").alias("retrieved"))
+
+
+def landed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' responses: whole ones, and errors of the transport, of the envelope, of a task, and texts that aren't JSON."""
+    k = F.col("s_suppkey")
+    body = F.when(k % 6 == 1, '{"status_code":40100,"tasks":[]}').when(k % 6 == 2, _text('{"status_code":20000,"tasks":[{"status_code":', k + 40000, "}]}")).when(k % 6 == 3, "<html>busy").otherwise('{"status_code":20000,"tasks":[{"status_code":20000}]}')
+    x = _table(spark, sf_dir, "supplier").select(k.alias("run_id"), F.when(k % 6 == 5, 503).otherwise(200).alias("http_status"), body.alias("payload"))
+    return J.envelope_errors(x).select("run_id", "http_status", "reason")
+
+
 QUERIES = (
+    landed_page_speed, landed_search_metrics, landed_result_lists, landed_answers, landed_errors,
     landed_keyword_overview, landed_link_summary, landed_link_anchors, landed_ai_overview, landed_engine_index, landed_brand_results, landed_site_search, landed_social_presence, landed_site_list, landed_crawler_access,
     landed_llms_txt, landed_encyclopedia, landed_forum_mentions, landed_opportunities,
 )
 _HOST = "regexp_extract(url, '://([^/?#]+)', 1)"
 ORACLES = {
+    "landed_page_speed": "select s_suppkey as run_id, s_suppkey * 61.0::double as lcp_ms, case when s_suppkey % 3 > 0 then s_suppkey * 5.0::double end as inp_ms, (s_suppkey % 40) / 100.0::double as cls, cast(s_suppkey % 101 as integer) as score, s_suppkey * 17.0::double as ttfb_ms from supplier",
+    "landed_search_metrics": "select p_partkey // 100 as run_id, ['query', 'page', 'queryPage'][p_partkey % 4 + 1] as dimension, case when p_partkey % 4 in (0, 2) then 'kw ' || p_partkey end as query, case when p_partkey % 4 in (1, 2) then 'https://x.example/' || p_partkey end as page, (p_partkey % 7)::double as clicks, (p_partkey * 3)::double as impressions, 0::double as ctr, case when p_partkey % 5 > 0 then (p_partkey % 50)::double else 0 end as position from part where p_partkey % 11 > 0 and p_partkey % 4 < 3",
+    "landed_result_lists": """with p as (select *, p_partkey % 4 as run_id, 'kw' || p_partkey as keyword from part where p_partkey % 10 > 1) select run_id, keyword, 'organic' as type, 'www.s' || (p_partkey % 5) || '.example' as domain, 'https://s/' || p_partkey as url, 1 as item_rank, 'T' as title from p
+union all select run_id, keyword, 'video', 'd' || (p_partkey % 9) || '.example', null, 2, null from p where p_partkey % 4 > 0 union all select run_id, keyword, 'organic', 'x.example', null, null, null from p""",
+    "landed_answers": """select doc_id as evidence_id, ['openai', 'perplexity', 'gemini', 'deepseek'][doc_id % 4 + 1] as provider, case when doc_id % 9 > 0 then text end as answer,
+ case when doc_id % 9 = 0 then '' else ['https://a/' || doc_id || ' https://b', 'https://c', 'https://g', ''][doc_id % 4 + 1] end as cited, case when doc_id % 9 > 0 and doc_id % 4 = 1 then 'https://r/' || doc_id else '' end as retrieved from documents""",
+    "landed_errors": "select s_suppkey as run_id, cast(case when s_suppkey % 6 = 5 then 503 else 200 end as integer) as http_status, case s_suppkey % 6 when 5 then 'http' when 3 then 'not json' else 'envelope' end as reason from supplier where s_suppkey % 6 in (1, 2, 3, 5)",
     "landed_keyword_overview": "select cast(p_partkey // 100 as bigint) as run_id, 'kw' || p_partkey as keyword, case when p_partkey % 7 > 0 then p_partkey * 10::double end as search_volume, p_size::double as difficulty, p_size / 4.0::double as cpc, p_brand as intent from part where p_partkey % 13 > 0",
     "landed_link_summary": "select s_suppkey as run_id, s_name as target, case when s_suppkey % 3 > 0 then s_nationkey * 10 else 0 end::double as referring_domains, s_suppkey * 2::double as backlinks, case when s_suppkey % 4 = 0 then s_nationkey end::double as rank from supplier",
     "landed_link_anchors": "select s_suppkey as run_id, s_name as target, s_name as anchor, s_nationkey::double as n, s_suppkey % 2 = 1 as dofollow from supplier union all select s_suppkey, s_name, 'here', s_suppkey::double, false from supplier where s_suppkey % 5 > 0",

@@ -60,6 +60,26 @@ def keyword_metrics(landed: DataFrame) -> DataFrame:
     return r.where(F.coalesce(key, F.lit("")) != "").select("run_id", key.alias("text"), *[F.coalesce(f"r.{c}", F.lit(0.0)).alias(c) for c in ("clicks", "impressions", "ctr", "position")])
 
 
+#: what the keys of a search row are, in order, by the dimension that was asked for
+DIMENSIONS = {"query": ("query",), "page": ("page",), "queryPage": ("query", "page")}
+
+
+def search_metrics(landed: DataFrame) -> DataFrame:
+    """``(run_id, dimension, payload)`` to query and page (null where the dimension has none) with their numbers; rows without their first key, and unknown dimensions, are dropped."""
+    r = landed.select("run_id", "dimension", F.explode(search_rows(F.col("payload"))).alias("r"))
+
+    def key(name: str) -> Column:
+        out = F.lit(None).cast("string")
+        for dimension, names in DIMENSIONS.items():
+            if name in names:
+                out = F.when(F.col("dimension") == dimension, F.try_element_at("r.keys", F.lit(names.index(name) + 1))).otherwise(out)
+        return out
+
+    first = F.coalesce(F.try_element_at("r.keys", F.lit(1)), F.lit(""))
+    numbers = [F.coalesce(f"r.{c}", F.lit(0.0)).alias(c) for c in ("clicks", "impressions", "ctr", "position")]
+    return r.where((first != "") & F.col("dimension").isin(*DIMENSIONS)).select("run_id", "dimension", key("query").alias("query"), key("page").alias("page"), *numbers)
+
+
 def serp_items(landed: DataFrame) -> DataFrame:
     """``(run_id, keyword, payload)`` of result lists to ranked items; a list without items keeps no row."""
     items = F.from_json("payload", "items array<struct<type string, domain string, url string, rank_absolute int, title string>>")["items"]
