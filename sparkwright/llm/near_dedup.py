@@ -139,8 +139,8 @@ def forest(ids: np.ndarray, side: np.ndarray, group: np.ndarray, sets: list[np.n
     """A spanning forest of the links among the sets of one task.
 
     Two sets are compared if at least one has ``side`` true and their known
-    ``group`` differs.  Each set is counted against all earlier ones at once
-    through a list of who has each shingle.
+    ``group`` differs.  Each set with ``side`` is counted against all others at
+    once through a list of who has each shingle.
     """
     n = len(sets)
     parent = list(range(n))
@@ -176,16 +176,18 @@ def forest(ids: np.ndarray, side: np.ndarray, group: np.ndarray, sets: list[np.n
     holders = owner[np.argsort(code, kind="stable")]
     begin = np.concatenate([[0], np.cumsum(count)])
     at = np.concatenate([[0], np.cumsum(size)])
-    for i in range(1, n):
+    place = np.arange(n)
+    for i in np.flatnonzero(side).tolist():
         c = code[at[i] : at[i + 1]]
         c = c[count[c] > 1]
         if not len(c):
             continue
         lengths = count[c]
         first = np.repeat(begin[c] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        both = np.bincount(holders[first + np.arange(len(first))], minlength=n)[:i]
-        hits = np.flatnonzero(100 * both >= percent * (size[i] + size[:i] - both))
-        for j in hits[side[hits] | side[i]].tolist():
+        both = np.bincount(holders[first + np.arange(len(first))], minlength=n)
+        # of two sets with side, the later one looks at the earlier
+        hits = np.flatnonzero((100 * both >= percent * (size[i] + size - both)) & ((place < i) | ~side) & (place != i))
+        for j in hits.tolist():
             link(i, j)
     return out
 
@@ -273,7 +275,7 @@ def rest_tasks(open_: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
 
     Documents of one prefix shingle are a task, if they have several groups.
     Very many of them are dealt to blocks, and what is outside the largest
-    group meets all blocks.
+    group, in as few parts as its number asks for, meets all blocks.
     """
     held = storage.keep(sets.join(open_, "doc_id").select("doc_id", "grp", "shingles"), "open")
     first = storage.keep(prefixes(held, _frequency(held, p.cells), p), "prefixes")
@@ -287,9 +289,10 @@ def rest_tasks(open_: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     large = met.where("blocks > 1")
     if large.isEmpty():
         return tasks
-    most = storage.keep(large.groupBy("key", "grp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "grp"))["grp"].alias("main")), "most")
+    most = large.groupBy("key", "grp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "grp")).alias("top"), F.sum("n").alias("n"))
+    most = storage.keep(most.select("key", F.col("top.grp").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / p.block).cast("int").alias("parts")), "most")
     known = storage.keep(large.join(_sized_hint(most), "key"), "large")
-    rest = known.where("grp <> main").withColumn("row", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks"))
+    rest = known.where("grp <> main").withColumn("row", F.pmod(F.xxhash64("doc_id", F.lit(1)), "parts"))
     rows = rest.select("key", "row", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("col"), "doc_id", F.lit(True).alias("side"), "grp")
     used = rest.select("key", "row").distinct()
     cols = known.withColumn("col", F.pmod(F.xxhash64("doc_id", F.lit(2)), "blocks").cast("int")).join(used, "key").select("key", "row", "col", "doc_id", F.lit(False).alias("side"), "grp")

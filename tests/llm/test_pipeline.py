@@ -39,9 +39,6 @@ def test_stages_one_by_one(spark, data, tmp_path):
     assert len(last) == kept[3] and sorted(r.doc_id for r in last) == sorted(r.doc_id for r in docs.collect())
 
 
-def test_run_is_repeatable(spark, data):
-    a, b = (sorted(corpus_pipeline.run(spark, data).collect()) for _ in range(2))
-    assert a == b and len(a) > 0
 
 
 def left(spark):
@@ -52,10 +49,11 @@ def left(spark):
     return {x.getPath().getName() for x in fs.listStatus(path)} if fs.exists(path) else set()
 
 
-def test_scratch_is_gone(spark, data):
+def test_run_is_repeatable_and_leaves_its_result(spark, data):
     before = left(spark)
-    assert corpus_pipeline.run(spark, data).count() > 0
-    assert [x.split("-")[1] for x in left(spark) - before] == ["token"]  # the result's own table
+    a, b = (sorted(corpus_pipeline.run(spark, data).collect()) for _ in range(2))
+    assert a == b and len(a) > 0
+    assert [x.split("-")[1] for x in left(spark) - before] == ["token"] * 2  # each result's own table
 
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, _row_key long, row string, times int, copy string, file string, m map<string, int>"
@@ -69,20 +67,20 @@ def test_rows_not_ids(spark, data, tmp_path):
     words = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
     item = spark.read.parquet(f"{data}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first().text
     rows = [(1, words(1), "a"), (1, words(1), "a"), (2, words(1), "b"), (None, words(2), "a"), (None, words(2), None), (None, words(3) + " " + item, "a"), (5, words(4) + " " + item, "b"), (7, words(5), "a"), (7, words(6), "b"), (8, None, "a"), (9, "", None), (None, None, "b")]
-    for docs in (odd(spark, rows), odd(spark, rows).repartition(3)):
-        docs.write.mode("overwrite").parquet(f"file://{tmp_path}/odd")
-        for frame in (docs, spark.read.parquet(f"file://{tmp_path}/odd")):
-            one = near_dedup.keep_one(frame)
-            assert one.schema == frame.schema
-            got = sorted(((r.doc_id, r.text) for r in one.collect()), key=str)
-            assert got == sorted([(1, words(1)), (None, words(2)), *[(i, t) for i, t, _ in rows[5:]]], key=str)
-            clean = decontaminate.keep_clean(frame, spark.read.parquet(f"{data}/benchmark.parquet"))
-            assert sorted(r._row_key for r in clean.collect()) == [100 + k for k in range(12) if k not in (5, 6)] and clean.schema == frame.schema
-            mixed = source_mix.resample(frame, source_mix.Params(weights=(1, 1, 1)))
-            assert mixed.schema == frame.schema
-            for r in mixed.collect():  # whole rows, with their own values
-                k = r._row_key - 100
-                assert (r.doc_id, r.text, r.source) == rows[k] and (r.row, r.times, r.copy, r.file, r.m) == (f"r{k}", -1, "c", "f", {"k": k})
+    docs = odd(spark, rows).repartition(3)
+    docs.write.parquet(f"file://{tmp_path}/odd")
+    for frame in (docs, spark.read.parquet(f"file://{tmp_path}/odd")):
+        one = near_dedup.keep_one(frame)
+        assert one.schema == frame.schema
+        got = sorted(((r.doc_id, r.text) for r in one.collect()), key=str)
+        assert got == sorted([(1, words(1)), (None, words(2)), *[(i, t) for i, t, _ in rows[5:]]], key=str)
+        clean = decontaminate.keep_clean(frame, spark.read.parquet(f"{data}/benchmark.parquet"))
+        assert sorted(r._row_key for r in clean.collect()) == [100 + k for k in range(12) if k not in (5, 6)] and clean.schema == frame.schema
+        mixed = source_mix.resample(frame, source_mix.Params(weights=(1, 1, 1)))
+        assert mixed.schema == frame.schema
+        for r in mixed.collect():  # whole rows, with their own values
+            k = r._row_key - 100
+            assert (r.doc_id, r.text, r.source) == rows[k] and (r.row, r.times, r.copy, r.file, r.m) == (f"r{k}", -1, "c", "f", {"k": k})
 
 
 def test_stages_chained_without_writes(spark, data):
