@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
+from sparkwright.functions.html import page_features
 from sparkwright.operators import assets as A
 from sparkwright.operators import serp as S
 from sparkwright.plans import findings as findings_plans
@@ -118,10 +119,10 @@ def cited_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields that a type's vocabulary asks for and a page's markup lacks."""
-    need = spark.createDataFrame([("Organization", "name"), ("Organization", "url"), ("Product", "name"), ("Product", "offers"), ("Article", "headline"), ("FAQPage", "mainEntity"), ("HowTo", "step")], "type string, field string")
-    ld = Bound(spark, sf_dir).json_ld.withColumn("fields", F.when(F.col("has_fields"), F.array(*map(F.lit, ("name", "headline", "mainEntity")))).otherwise(F.array(F.lit("url"))))
-    return ld.join(F.broadcast(need), "type").where(~F.array_contains("fields", F.col("field"))).groupBy("run_id", "type", "field").agg(F.count("*").alias("pages"))
+    """Fields that the vocabulary of a type asks for and a page's markup lacks, with the number of pages."""
+    x = page_features(Bound(spark, sf_dir).site_pages, carry=("run_id",)).select("run_id", "page_id", F.explode("ld_missing").alias("missing"))
+    named = x.select("run_id", "page_id", F.substring_index("missing", ".", 1).alias("type"), F.substring_index("missing", ".", -1).alias("field"))
+    return named.groupBy("run_id", "type", "field").agg(F.count_distinct("page_id").alias("pages"))
 
 
 def reparse_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +169,8 @@ ORACLES = {
     "retest_due": "select l_orderkey, l_linenumber, strftime(l_shipdate::date + interval 28 day, '%Y-%m-%d') as due, l_shipdate::date + interval 28 day <= date '1997-01-01' as is_due from lineitem where l_linestatus = 'F'",
     "artifact_patch": ctes("proposals") + "select proposal_id, case when proposal_id % 5 < 2 then 'v2' else 'v' || (proposal_id % 40 + 1) end as next_version from b_proposals",
     "cited_recommendations": ctes("recs") + "select finding_id, rec_no, 'rec_x' || rec_no as unknown from b_recs where rec_no <> 2",
-    "required_fields": ctes("json_ld") + ", n(type, field) as (values ('Organization', 'name'), ('Organization', 'url'), ('Product', 'name'), ('Product', 'offers'), ('Article', 'headline'), ('FAQPage', 'mainEntity'), ('HowTo', 'step')) select run_id, type, field, count(*) as pages from b_json_ld join n using (type) where not list_contains(case when has_fields then ['name', 'headline', 'mainEntity'] else ['url'] end, field) group by all",
+    "required_fields": """with x as (select page_id % 5 as run_id, unnest(case when page_id % 6 = 3 then ['Product.image'] else ['Article.headline', 'Article.datePublished'] end) as missing from pages where page_id % 14 <> 0 and page_id % 6 >= 3 and page_id % 4 = 0)
+select run_id, split_part(missing, '.', 1) as type, split_part(missing, '.', 2) as field, count(*) as pages from x group by all""",
     "reparse_context": ctes("answers", "projects") + "select evidence_id, project_id, market from (select evidence_id, evidence_id as project_id from b_answers) join b_projects using (project_id)",
     "retest_snapshots": "select run_id, metric, coalesce(baseline::varchar, '-') as baseline, coalesce(retest::varchar, '-') as retest, case when delta > 0 then '+' || delta else coalesce(delta::varchar, '-') end as delta from (" + findings_plans.ORACLES["retest_rows"] + ")",
 }
