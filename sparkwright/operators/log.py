@@ -61,10 +61,11 @@ def change_status(runs: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def upsert_templates(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incoming templates by key, with their number of ``pages``; where the stored representative wasn't chosen by the heuristic, it and its source stay."""
+    """Incoming templates by key, with their number of ``pages`` where there is such a column; where the stored representative wasn't chosen by the heuristic, it and its source stay."""
     joined = stored.withColumn("_old", F.lit(1)).alias("o").join(incoming.withColumn("_new", F.lit(1)).alias("n"), list(keys), "full_outer")
     kept = F.col("_new").isNull() | (F.col("_old").isNotNull() & (F.col("o.source") != "heuristic"))
-    return joined.select(*keys, *(F.when(kept, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in ("representative", "source")), F.when(F.col("_new").isNull(), F.col("o.pages")).otherwise(F.col("n.pages")).alias("pages"))
+    pages = [F.when(F.col("_new").isNull(), F.col("o.pages")).otherwise(F.col("n.pages")).alias("pages")] if "pages" in stored.columns else []
+    return joined.select(*keys, *(F.when(kept, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in ("representative", "source")), *pages)
 
 
 def without_deleted(log: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

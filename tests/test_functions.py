@@ -155,7 +155,7 @@ def test_health(spark):
 def test_guarded_writes(spark):
     runs = spark.createDataFrame([(1, "cancelled"), (2, "collecting"), (3, "completed"), (4, "collecting"), (5, "completed")], "run_id long, status string")
     changes = spark.createDataFrame([(1, "completed"), (2, "failed"), (3, "collecting"), (5, "failed"), (9, "completed")], "run_id long, status string")
-    assert {r.run_id: r.status for r in L.change_status(runs, changes).collect()} == {1: "cancelled", 2: "failed", 3: "completed", 4: "collecting", 5: "failed"}
+    assert {r.run_id: r.status for r in L.change_status(runs, changes).collect()} == {1: "cancelled", 2: "failed", 3: "collecting", 4: "collecting", 5: "failed"}
     stored = spark.createDataFrame([("a", 1, "manual"), ("b", 2, "heuristic"), ("c", 3, "heuristic")], "pattern string, representative long, source string")
     new = spark.createDataFrame([("a", 7, "heuristic"), ("b", 8, "heuristic"), ("d", 9, "heuristic")], "pattern string, representative long, source string")
     assert {tuple(r) for r in L.upsert_templates(stored, new, ["pattern"]).collect()} == {("a", 1, "manual"), ("b", 8, "heuristic"), ("c", 3, "heuristic"), ("d", 9, "heuristic")}
