@@ -239,7 +239,9 @@ def _frequency(sets: DataFrame, cells: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).astype(np.int64) & (cells - 1), minlength=cells)
+            for _, part in tx.slices(batch.column(0)):
+                cell = tx.raw(part)[0].view(np.uint64) & np.uint64(cells - 1)
+                total += np.bincount(cell.astype(np.int64), minlength=cells)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -256,16 +258,17 @@ def prefixes(sets: DataFrame, often: np.ndarray, p: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(frequency.value, np.int64)
         for batch in batches:
-            raw = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            size = np.array([len(x) for x in raw], np.int64)
-            take = np.where(size > 0, size - -(-size * p.percent // 100) + 1, 0)
-            parts = []
-            for s, k in zip(raw, take.tolist(), strict=True):
-                parts.append(s[np.lexsort((s, often[s.astype(np.int64) & (len(often) - 1)]))[:k]])
-            row = pa.array(np.repeat(np.arange(len(raw)), take))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(size, take))], ["shingle", "doc_id", "grp", "n_shingles"]
-            )
+            for at, part in tx.slices(batch.column(2)):
+                data, offsets = tx.raw(part)
+                s, bounds = data.view(np.uint64), offsets >> 3
+                size = np.diff(bounds)
+                take = np.where(size > 0, size - -(-size * p.percent // 100) + 1, 0)
+                doc = np.repeat(np.arange(len(size)), size)
+                # each document's shingles, the rarest first, and of these its prefix
+                order = np.lexsort((s, often[(s & np.uint64(len(often) - 1)).astype(np.int64)], doc))
+                kept = order[np.arange(len(s)) - bounds[doc] < take[doc]]
+                row = pa.array(doc[kept] + at)
+                yield pa.RecordBatch.from_arrays([pa.array(s[kept].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(size[doc[kept]])], ["shingle", "doc_id", "grp", "n_shingles"])
 
     return sets.select("doc_id", "grp", "shingles").mapInArrow(run, "shingle long, doc_id long, grp long, n_shingles long")
 
