@@ -12,7 +12,7 @@ import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 STATE = "state string, messages long, evidence long, phases long, last_progress long"
 RESULT = f"run_id long, {STATE}"
+Result = Row(*(x.split()[0] for x in RESULT.split(", ")))
 
 
 def source(spark: SparkSession, folder: str, schema: StructType, name: str = "*.parquet", files: int = 1) -> DataFrame:
@@ -61,48 +62,82 @@ def run_states(messages: DataFrame) -> DataFrame:
     return messages.groupBy("run_id").applyInPandasWithState(_update, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+WAITING = "at long, seq long, msg_type string, amount long"
+
+
+def counting(messages: dict[tuple, tuple]) -> list[tuple]:
+    """Of ``messages {(at, seq): (msg_type, amount)}`` in order those up to the first terminal one: what comes after it never counts, whatever is still to come."""
+    ends = min((k for k, m in messages.items() if m[0] in TERMINAL), default=None)
+    return [(*k, *messages[k]) for k in sorted(messages) if ends is None or k <= ends]
+
+
+def fold_rows(state: tuple, rows: list[tuple]) -> tuple:
+    """``fold`` of a few rows that ``counting`` gave."""
+    kind, n, evidence, phases, last = state
+    if kind != "running":
+        return state
+    for _, _, what, amount in rows:
+        n += 1
+        evidence += what == "evidence_created"
+        phases += what == "phase"
+        last = amount if what == "progress" else last
+        kind = what if what in TERMINAL else kind
+    return kind, n, evidence, phases, last
+
+
 class LateProgress(StatefulProcessor):
-    """What is older than the watermark is folded; what isn't waits by (ts, seq), so that a late message finds its place.
+    """What is older than the watermark is folded; what isn't waits by (at, seq), so that a late message finds its place.
 
-    A timer at each waiting message's time folds it once the watermark has
-    passed.  A run whose folded part has ended keeps nothing that waits, and
+    Each call to the state is a message to Spark and back, so a run's waiting
+    messages are read and added in one call each, and only the earliest of
+    them has a timer (``due``), which hands on to the next.  Messages after a
+    run's first terminal one don't wait; a message that comes again counts
+    once.  A run whose folded part has ended keeps nothing that waits, and
     takes nothing more.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.folded = handle.getValueState("folded", STATE)
-        self.waiting = handle.getMapState("waiting", "ts timestamp, seq long", "msg_type string, amount long")
-
-    def _now(self) -> tuple:
-        return tuple(self.folded.get()) if self.folded.exists() else START
+        self.folded = handle.getValueState("folded", f"{STATE}, due long")
+        self.waiting = handle.getListState("waiting", WAITING)
 
-    def _held(self) -> pd.DataFrame:
-        rows = [(*k, *v) for k, v in self.waiting.iterator()] if self.waiting.exists() else []
-        return pd.DataFrame(rows, columns=["ts", "seq", "msg_type", "amount"])
+    def _due(self, at: int) -> int:
+        self.handle.registerTimer(at // 1000)
+        return at
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        before = self._now()
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        known = self.folded.get()
+        *before, due = known or (*START, None)
+        before = tuple(before)
         if before[0] != "running":
             return
-        for batch in rows:
-            for ts, seq, kind, amount in zip(batch["ts"], batch["seq"], batch["msg_type"], batch["amount"], strict=True):
-                self.waiting.updateValue((ts.to_pydatetime(), int(seq)), (kind, int(amount)))
-            for at in {int(x.timestamp() * 1000) for x in batch["ts"]}:
-                self.handle.registerTimer(at)
-        yield pd.DataFrame([(key[0], *fold(before, self._held()))], columns=[x.split()[0] for x in RESULT.split(", ")])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs()
-        held = self._held()
-        ripe = held[[int(x.timestamp() * 1000) <= limit for x in held["ts"]]]
-        after = fold(self._now(), ripe)
-        self.folded.update(after)
-        if after[0] != "running":
+        held = [tuple(x) for x in self.waiting.get()] if known else []
+        all_ = {x[:2]: x[2:] for x in held}
+        came = {(x["at"], x["seq"]): (x["msg_type"], x["amount"]) for x in rows}
+        came = {k: v for k, v in came.items() if k not in all_}
+        keep = counting(all_ | came)
+        if len(keep) < len(all_) + len(came):
+            if keep != held:
+                self.waiting.put(keep)
+        elif came:
+            self.waiting.appendList([(*k, *v) for k, v in came.items()])
+        if keep and (due is None or keep[0][0] < due):
+            self.folded.update((*before, self._due(keep[0][0])))
+        yield Result(key[0], *fold_rows(before, keep))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        limit = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = sorted(tuple(x) for x in self.waiting.get())
+        ripe = [x for x in held if x[0] // 1000 <= limit]
+        if not ripe:
+            return iter(())
+        after, rest = fold_rows(tuple(self.folded.get())[:-1], ripe), held[len(ripe) :]
+        if after[0] != "running" or not rest:
             self.waiting.clear()
+            self.folded.update((*after, None))
         else:
-            for ts, seq in zip(ripe["ts"], ripe["seq"], strict=True):
-                self.waiting.removeKey((ts.to_pydatetime(), int(seq)))
+            self.waiting.put(rest)
+            self.folded.update((*after, self._due(rest[0][0])))
         return iter(())
 
     def close(self) -> None:
@@ -126,7 +161,8 @@ def late_run_states(messages: DataFrame, late: str = "1 day") -> DataFrame:
 
     Needs the RocksDB state store (``rocks_db``, or the session's own setting).
     """
-    return messages.withWatermark("ts", late).groupBy("run_id").transformWithStateInPandas(LateProgress(), StructType.fromDDL(RESULT), "Update", "EventTime")
+    at = messages.withWatermark("ts", late).select("run_id", "ts", F.unix_micros("ts").alias("at"), "seq", "msg_type", "amount")
+    return at.groupBy("run_id").transformWithState(LateProgress(), StructType.fromDDL(RESULT), "Update", "EventTime")
 
 
 def evidence_windows(evidence: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 
 from sparkwright.plans import registry
 from sparkwright.sources.bindings import Bound
+from sparkwright.streaming import progress as G
 from tests.helpers import same
 
 
@@ -36,3 +37,48 @@ def test_page_signals_of_cut_and_quoted_references(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet')")
     same(registry.queries()["page_signals"](spark, str(tmp_path)), con, registry.oracle_sql()["page_signals"])
+
+
+class _State:
+    """State of one key that counts the calls to it."""
+
+    def __init__(self) -> None:
+        self.calls, self.value, self.list = [], None, []
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getMapState = getValueState
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.list)) if self.value is not None and self.calls.count("get") % 2 == 0 else self.value
+
+    def update(self, x):
+        self.calls.append("update")
+        self.value = x
+
+    def put(self, x):
+        self.calls.append("put")
+        self.list = list(x)
+
+    def appendList(self, x):
+        self.calls.append("append")
+        self.list += x
+
+    def registerTimer(self, _):
+        self.calls.append("timer")
+
+
+def test_late_messages_take_as_many_calls_as_one():
+    """Calls to the state don't grow with a run's messages, and what follows an end doesn't wait."""
+    state = _State()
+    run = G.LateProgress()
+    run.init(state)
+    rows = [{"at": i * 1000, "seq": i, "msg_type": "progress", "amount": i} for i in range(1000)]
+    assert [tuple(r) for r in run.handleInputRows((1,), iter(rows[1:]), None)] == [(1, "running", 999, 0, 0, 999)]
+    assert len(state.calls) <= 5 and len(state.list) == 999
+    late = [rows[0], {"at": 500_500, "seq": 9999, "msg_type": "done", "amount": 0}]
+    state.calls.clear()
+    assert [tuple(r) for r in run.handleInputRows((1,), iter(late), None)] == [(1, "done", 502, 0, 0, 500)]
+    assert len(state.calls) <= 5 and len(state.list) == 502
