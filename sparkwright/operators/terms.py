@@ -30,6 +30,8 @@ CJK = "[一-鿿぀-ヿ가-힯]"
 _EDGE = "(?<=[a-z0-9_])(?=[^a-z0-9_])|(?<=[^a-z0-9_])(?=[a-z0-9_])"
 #: terms that may be sent to every executor: some 30 MB
 BROADCAST_TERMS = 200_000
+#: terms of one project that each of its texts may be searched for one by one
+FEW_TERMS = 64
 
 
 def pieces(text: Column) -> Column:
@@ -70,6 +72,31 @@ def found(texts: DataFrame, terms: DataFrame, key: Sequence[str]) -> DataFrame:
     return whole.union(parts).distinct()
 
 
+def _stands(text: Column) -> Column:
+    """Whether the term of a row with ``_low`` and ``_pattern`` stands in a text in lower case; looking for its letters first spares most texts the pattern."""
+    return F.contains(text, F.col("_low")) & (F.col("part") | F.rlike(text, F.col("_pattern")))
+
+
+def standing(texts: DataFrame, terms: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of ``texts`` with each term that ``found`` finds in them, ``_low`` and ``_pattern``.
+
+    Where no project has more than ``FEW_TERMS``, each text is asked for its
+    project's terms as it is, which costs less than cutting it into pieces;
+    else by ``found``.
+    """
+    edge = lambda at, inside, outside: F.when(_wordy(F.substring("_low", at, 1)), inside).otherwise(outside)
+    quoted = F.concat(F.lit("\\Q"), F.col("_low"), F.lit("\\E"))  # in lower case, so without an end of the quotation
+    own = terms.where("term <> ''").withColumn("_low", F.lower("term")).withColumn("_pattern", F.concat(edge(1, "(?<![a-z0-9_])", "(?<=[a-z0-9_])"), quoted, edge(-1, "(?![a-z0-9_])", "(?=[a-z0-9_])")))
+    per = own.groupBy("project_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    some = texts.where("text is not null")
+    if (per["most"] or 0) > FEW_TERMS:
+        columns = [c for c in terms.columns if c != "project_id"]
+        marks = own.select("project_id", *columns, "_low", "_pattern").distinct()
+        return some.join(found(texts, terms, key).join(marks, ["project_id", *columns]), ["project_id", *key])
+    own = own.hint("broadcast") if (per["n"] or 0) <= BROADCAST_TERMS else own
+    return some.withColumn("_text", F.lower("text")).join(own, "project_id").where(_stands(F.col("_text"))).drop("_text")
+
+
 def _looked_for(terms: DataFrame) -> DataFrame:
     """Each term as it counts for presence (``named``) and, of the brand, for the feeling of a sentence (``felt``), where only plain words need boundaries."""
     cjk, domain = F.col("term").rlike(CJK), F.col("kind") == "domain"
@@ -85,33 +112,23 @@ def parse(answers: DataFrame, terms: DataFrame, lex: Lexicon | None = None) -> D
     evidence_id.  Answers of projects without terms name nothing.
     """
     lex = lex or Lexicon()
-    wanted = _looked_for(terms)
+    wanted = settle(_looked_for(terms), "terms")
     text = F.coalesce("answer_text", F.lit(""))
     texts = answers.select("project_id", "evidence_id", text.alias("text"))
-    rival = (F.col("sense") == "named") & (F.col("kind") == "competitor")
-    own = F.col("kind") != "competitor"
-    hits = settle(
-        found(texts, wanted, ["evidence_id"]).groupBy("evidence_id").agg(
-            F.bool_or((F.col("sense") == "named") & own).alias("brand_present"), F.sort_array(F.collect_set(F.when(rival, F.struct("place", "term")))).alias("rivals"), F.bool_or(F.col("kind").isin("brand", "alias")).alias("told"),
-        ),
-        "terms",
-    )
-    # sentences of answers with the brand; those that name it are looked at again
-    told = texts.join(hits.where("told").select("evidence_id"), "evidence_id", "left_semi")
-    cut = told.select("project_id", "evidence_id", F.posexplode(E.sentences(F.col("text"))).alias("place_in", "text"))
-    mine = found(cut, wanted.where("kind in ('brand', 'alias')").select("project_id", "term", "part", "sense"), ["evidence_id", "place_in"])
-    senses = mine.groupBy("evidence_id", "place_in").agg(F.bool_or(F.col("sense") == "named").alias("named"), F.bool_or(F.col("sense") == "felt").alias("felt"))
-    s = F.col("text")
-    some = lambda kind, cond: F.bool_or(F.col(kind) & cond)
-    feeling = cut.join(senses, ["evidence_id", "place_in"]).groupBy("evidence_id").agg(
-        some("named", E.hits_any(s, lex.hedges)).alias("hedged"), some("felt", E.hits_any(s, lex.comparisons, PLAIN)).alias("compared"), some("felt", E.hits_any(s, lex.negatives, PLAIN)).alias("negative"),
-        some("felt", E.hits_any(s, lex.positives, PLAIN) & ~E.hits_any(s, lex.negations, PLAIN)).alias("positive"),
+    named, felt, own = F.col("sense") == "named", F.col("sense") == "felt", F.col("kind") != "competitor"
+    # a term stands in a sentence only if it stands in its text, so the rows of the texts are all that sentences are asked for
+    told = standing(texts, wanted, ["evidence_id"]).withColumn("mine", F.when(F.col("kind").isin("brand", "alias"), F.filter(E.sentences(F.col("text")), lambda s: _stands(F.lower(s)))))
+    some = lambda sense, cond: F.coalesce(F.bool_or(sense & F.exists("mine", cond)), F.lit(False))
+    hits = told.groupBy("evidence_id").agg(
+        F.bool_or(named & own).alias("brand_present"), F.sort_array(F.collect_set(F.when(named & ~own, F.struct("place", "term")))).alias("rivals"),
+        some(named, lambda s: E.hits_any(s, lex.hedges)).alias("hedged"), some(felt, lambda s: E.hits_any(s, lex.comparisons, PLAIN)).alias("compared"), some(felt, lambda s: E.hits_any(s, lex.negatives, PLAIN)).alias("negative"),
+        some(felt, lambda s: E.hits_any(s, lex.positives, PLAIN) & ~E.hits_any(s, lex.negations, PLAIN)).alias("positive"),
     )
     present = F.coalesce("brand_present", F.lit(False))
     sentiment = F.when(~present, "neutral").when(F.col("compared"), "comparison").when(F.col("negative"), "negative").when(F.col("positive"), "positive").otherwise("neutral")
     rest = [c for c in answers.columns if c not in ("brand_present", "competitors", "sentiment", "hedged", "unknown_admission")]
     admits = answers.select(*rest, E.hits_any(text, lex.admissions).alias("unknown_admission"))
-    return admits.join(hits, "evidence_id", "left").join(feeling, "evidence_id", "left").select(
+    return admits.join(hits, "evidence_id", "left").select(
         *rest, present.alias("brand_present"), F.coalesce(F.transform("rivals", lambda r: r["term"]), F.array().cast("array<string>")).alias("competitors"), sentiment.alias("sentiment"),
         F.coalesce("hedged", F.lit(False)).alias("hedged"), "unknown_admission",
     )

@@ -15,7 +15,12 @@ FOUND = ("brand_present", "sentiment", "hedged", "unknown_admission")
 
 
 def _parsed(b: Bound) -> DataFrame:
-    return T.parse(b.project_answers, b.project_terms, LEX)
+    return T.parse(b.project_answers, _terms(b), LEX)
+
+
+def _terms(b: Bound) -> DataFrame:
+    """Read from the texts once for all that ask."""
+    return b.once("project_terms", lambda: b.project_terms)
 
 
 def project_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +34,13 @@ def project_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_sov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = Bound(spark, sf_dir)
-    return T.share_of_voice(_parsed(b), b.project_terms)
+    b = Bound(spark, sf_dir, sharing=True)
+    return T.share_of_voice(_parsed(b), _terms(b))
 
 
 def project_sov_by_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = Bound(spark, sf_dir)
-    return T.share_of_voice(_parsed(b), b.project_terms, ("project_id", "provider"))
+    b = Bound(spark, sf_dir, sharing=True)
+    return T.share_of_voice(_parsed(b), _terms(b), ("project_id", "provider"))
 
 
 def project_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 
+from sparkwright.operators import terms as T
 from sparkwright.plans import registry
 from sparkwright.sources.bindings import Bound
 from sparkwright.streaming import progress as G
 from tests.helpers import same
+from tests.test_terms import CJK, NAMES, TERMS, TEXTS, answers_of
 
 
 def _plan(df) -> str:
@@ -82,3 +85,19 @@ def test_late_messages_take_as_many_calls_as_one():
     state.calls.clear()
     assert [tuple(r) for r in run.handleInputRows((1,), iter(late), None)] == [(1, "done", 502, 0, 0, 500)]
     assert len(state.calls) <= 5 and len(state.list) == 502
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_standing_is_found(spark, monkeypatch, few):
+    """Few terms a project are looked for as they are, many by pieces: the same rows."""
+    monkeypatch.setattr(T, "FEW_TERMS", few)
+    terms = spark.createDataFrame([(p, k, t, bool(CJK.search(t))) for p in range(2) for k, t in enumerate(TERMS)], "project_id long, place int, term string, part boolean")
+    texts = spark.createDataFrame([(i % 3, i, t) for i, t in enumerate(TEXTS * 3)], "project_id long, evidence_id long, text string")
+    columns = ["evidence_id", "project_id", "place", "term", "part"]
+    want = sorted(map(tuple, T.found(texts, terms, ["evidence_id"]).select(columns).collect()))
+    assert sorted(map(tuple, T.standing(texts, terms, ["evidence_id"]).select(columns).collect())) == want and len(want) > 20
+
+
+def test_few_terms_make_no_row_for_each_word(spark):
+    terms = spark.createDataFrame([(p, kind, 0, t) for p, x in NAMES.items() for kind, t in (("brand", x[0]), ("domain", x[1]))], "project_id long, kind string, place int, term string")
+    assert "Generate" not in _plan(T.parse(answers_of(spark), terms))
