@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from sparkwright.functions import html as H
 from sparkwright.operators import terms as T
 from sparkwright.plans import registry
 from sparkwright.sources.bindings import Bound
@@ -101,3 +103,15 @@ def test_standing_is_found(spark, monkeypatch, few):
 def test_few_terms_make_no_row_for_each_word(spark):
     terms = spark.createDataFrame([(p, kind, 0, t) for p, x in NAMES.items() for kind, t in (("brand", x[0]), ("domain", x[1]))], "project_id long, kind string, place int, term string")
     assert "Generate" not in _plan(T.parse(answers_of(spark), terms))
+
+
+def test_pages_are_parsed_in_slices(monkeypatch):
+    """A worker holds the features of some pages, however many a batch has."""
+    seen = []
+    monkeypatch.setattr(H, "parse", lambda html, f=H.parse: seen.append(html) or f(html))
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(1000)), "html": [f"<title>t{i}</title>" if i % 7 else None for i in range(1000)]})
+    out = H.parsed(iter([batch]), ("page_id",))
+    first = next(out)
+    assert len(seen) == first.num_rows <= 100
+    rows = [r for b in (first, *out) for r in zip(b.column("page_id").to_pylist(), b.column("title").to_pylist(), strict=True)]
+    assert rows == [(i, f"t{i}" if i % 7 else None) for i in range(1000)]
