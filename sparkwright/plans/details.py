@@ -111,9 +111,8 @@ def _detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_details(R.hits_of_all(b), _listed(b))
 
 
-def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _searched(b: Bound) -> DataFrame:
     """The hits of the rules on keywords, with their details."""
-    b = Bound(spark, sf_dir, sharing=True)
     rows = reduce(DataFrame.unionByName, _searches(b))
     return _with_details(reduce(DataFrame.unionByName, [R.hits_of(r, b) for r in R.BUILT if r.rule_id in ("K01", "K02", "K03", "K04", "K06", "K07", "Q03")]), D.listed(rows))
 
@@ -138,13 +137,18 @@ def hit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hit_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords that a retest measures, out of the hits' details."""
-    return D.metric_targets(_searched(spark, sf_dir).select(*D.KEYS, "detail"))
+    return _targets(Bound(spark, sf_dir, sharing=True))
+
+
+def _targets(b: Bound) -> DataFrame:
+    return D.metric_targets(_searched(b).select(*D.KEYS, "detail"))
 
 
 def hit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the keywords of each hit have in every run."""
-    metrics = R._totals(Bound(spark, sf_dir)).select("run_id", _keyword().alias("keyword"), "impressions", "position")
-    return D.target_metrics(hit_targets(spark, sf_dir), metrics)
+    b = Bound(spark, sf_dir, sharing=True)
+    metrics = R._totals(b).select("run_id", _keyword().alias("keyword"), "impressions", "position")
+    return D.target_metrics(_targets(b), metrics)
 
 
 QUERIES: tuple[Callable, ...] = (all_hits, hit_pages, hit_targets, hit_metrics)

@@ -9,6 +9,7 @@ import pytest
 from sparkwright.functions import html as H
 from sparkwright.operators import terms as T
 from sparkwright.plans import registry
+from sparkwright.sources import bindings
 from sparkwright.sources.bindings import Bound
 from sparkwright.streaming import progress as G
 from tests.helpers import same
@@ -115,3 +116,10 @@ def test_pages_are_parsed_in_slices(monkeypatch):
     assert len(seen) == first.num_rows <= 100
     rows = [r for b in (first, *out) for r in zip(b.column("page_id").to_pylist(), b.column("title").to_pylist(), strict=True)]
     assert rows == [(i, f"t{i}" if i % 7 else None) for i in range(1000)]
+
+
+def test_hit_metrics_reads_search_rows_once(spark, data, monkeypatch):
+    asked = []
+    monkeypatch.setattr(bindings, "frame", lambda s, d, name, f=bindings.frame: asked.append(name) or f(s, d, name))
+    registry.queries()["hit_metrics"](spark, data)
+    assert asked.count("gsc") == 1
