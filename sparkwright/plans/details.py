@@ -61,7 +61,7 @@ def _searches(b: Bound) -> list[DataFrame]:
     score = -F.col("score")
     return [
         _things(best, "K01", "keywords", "keyword", _keyword(), many, "query_id"), _things(rarely, "K02", "keywords", "keyword", _keyword(), many, "query_id"),
-        _things(S.cannibalization(R._gsc(b), 75), "K06", "keywords", "query", _keyword(), many, "query_id"), _things(R._misled(b), "K07", "intent", "keyword", "keyword", "keyword_id", "keyword_id"),
+        _things(R._shared_queries(b), "K06", "keywords", "query", _keyword(), many, "query_id"), _things(R._misled(b), "K07", "intent", "keyword", "keyword", "keyword_id", "keyword_id"),
         _things(S.top_gaps(R._gaps(b), ("missing",)), "K03", "missing keywords", "keyword", "keyword", score, "keyword_id"), _things(S.top_gaps(R._gaps(b), ("weak",)), "K04", "weak keywords", "keyword", "keyword", score, "keyword_id"),
         _things(R._behind(b), "Q03", "content form", "keyword", "keyword", score, "keyword_id"),
     ]

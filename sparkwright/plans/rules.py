@@ -197,12 +197,20 @@ def k05(b: Bound) -> DataFrame:
     return _one(x, "brand results", "mid", "measured_sample", "n", "own")
 
 
+def _shared_queries(b: Bound) -> DataFrame:
+    return b.once("shared_queries", lambda: S.cannibalization(_gsc(b), 75))
+
+
 def k06(b: Bound) -> DataFrame:
-    x = S.cannibalization(_gsc(b), 75).groupBy("run_id").agg(F.count("*").alias("n"), F.max("pages").alias("p"))
+    x = _shared_queries(b).groupBy("run_id").agg(F.count("*").alias("n"), F.max("pages").alias("p"))
     return _one(x, "keywords", "mid", "inferred", "n", "p")
 
 
 def _misled(b: Bound) -> DataFrame:
+    return b.once("misled", lambda: _elsewhere(b))
+
+
+def _elsewhere(b: Bound) -> DataFrame:
     best = _gsc(b).groupBy("run_id", F.col("query_id").alias("keyword_id")).agg(F.max_by("page_id", F.struct("impressions", "page_id")).alias("page_id"))
     landing = b.landing.select("page_id", "url", A.landing_class(F.col("url")).alias("lands"))
     wanted = b.labs.select("run_id", "keyword_id", "keyword", A.intent_class(F.col("intent")).alias("wants")).where("wants is not null")

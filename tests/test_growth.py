@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from sparkwright.functions import expr as E
 from sparkwright.functions import html as H
 from sparkwright.operators import terms as T
 from sparkwright.plans import registry
@@ -123,3 +127,25 @@ def test_hit_metrics_reads_search_rows_once(spark, data, monkeypatch):
     monkeypatch.setattr(bindings, "frame", lambda s, d, name, f=bindings.frame: asked.append(name) or f(s, d, name))
     registry.queries()["hit_metrics"](spark, data)
     assert asked.count("gsc") == 1
+
+
+def test_keyword_rules_ask_once_for_what_their_details_share(spark, data, monkeypatch):
+    """Joins and aggregations that a rule and its details both need are written once."""
+    asked = []
+    monkeypatch.setattr(bindings, "frame", lambda s, d, name, f=bindings.frame: asked.append(name) or f(s, d, name))
+    registry.queries()["hit_targets"](spark, data)
+    assert asked.count("landing") == 1 and asked.count("serp") == 1
+
+
+def test_items_are_ranked_before_they_are_named(spark, data):
+    """Names of keywords and domains aren't moved with the items that are ranked."""
+    plan = _plan(Bound(spark, data).serp)
+    moved = plan[plan.index("Exchange") :]
+    assert "Window" in plan and "concat" not in moved
+
+
+@pytest.mark.parametrize("domain", ["www.a.example", " WWW.A.example ", "a.www.b", "wwwa.example", "www.www.c", "www.", "", None])
+def test_domains_in_normal_form(spark, domain):
+    """As the pattern ``^www\\.`` has it."""
+    df = spark.createDataFrame([(domain,)], "d string")
+    assert df.select(E.norm_domain(F.col("d"))).first()[0] == (None if domain is None else re.sub(r"^www\.", "", domain.strip(" ").lower()))
