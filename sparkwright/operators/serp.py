@@ -73,6 +73,16 @@ def of_sites(sites: DataFrame) -> DataFrame:
     return named.hint("broadcast") if named.count() <= BROADCAST_SITES else named.hint("merge")
 
 
+def at_sites(df: DataFrame, sites: DataFrame) -> DataFrame:
+    """Rows of ``df (run_id, domain)`` at ``sites (run_id, domain, own)``, with ``own``.
+
+    Rows elsewhere go by a semi-join, which Spark moves below the aggregation or
+    join that ``df`` comes from; it moves no join that adds a column.
+    """
+    wanted = of_sites(sites)
+    return df.join(wanted, ["run_id", "domain"], "left_semi").join(wanted, ["run_id", "domain"])
+
+
 def keyword_gaps(serp: DataFrame, labs: DataFrame, own: str, competitors: Sequence[str], top: int = 10) -> DataFrame:
     """missing / weak / winning keywords with their opportunity; other keywords are dropped.
 

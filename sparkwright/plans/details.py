@@ -88,7 +88,7 @@ def _others(b: Bound) -> list[DataFrame]:
     titles = titles.withColumn("i", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("ms"), "title"))).where("i <= 8")
     lang = b.pages.where(F.col("url").rlike("/(de|en|es|fr)(/|$)")).join(R._gsc(b).select("page_id").distinct(), "page_id", "left_anti")
     groups = b.pages.join(C.duplicate_groups(b.pages).select("run_id", "content_hash"), ["run_id", "content_hash"], "left_semi")
-    links = b.backlinks.join(S.of_sites(R._sites(b)), ["run_id", "domain"]).withColumn("line", F.concat_ws(":", "domain", "referring_domains"))
+    links = S.at_sites(b.backlinks, R._sites(b)).withColumn("line", F.concat_ws(":", "domain", "referring_domains"))
     return [
         _things(shares, "Q01", "share of results", "item", "line", -F.col("items"), "domain"), _things(titles, "T09b", "site", "item", "title", -F.col("ms")), _things(lang, "T15", "languages", "url", "url", "page_id", "page_id"),
         _things(groups, "C10", "site", "url", "url", "page_id", "page_id"), _things(links, "A01", "links", "item", "line", -F.col("referring_domains"), "domain"),

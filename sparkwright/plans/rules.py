@@ -256,13 +256,13 @@ def q03(b: Bound) -> DataFrame:
 
 def a01(b: Bound) -> DataFrame:
     """Referring domains of the own site against the median of confirmed competitors; without any, the own number alone."""
-    x = b.backlinks.join(S.of_sites(_sites(b)), ["run_id", "domain"]).groupBy("run_id").agg(F.max(F.when(F.col("own"), F.col("referring_domains"))).alias("own_domains"), F.expr("percentile(case when not own then referring_domains end, 0.5)").alias("median"))
+    x = S.at_sites(b.backlinks, _sites(b)).groupBy("run_id").agg(F.max(F.when(F.col("own"), F.col("referring_domains"))).alias("own_domains"), F.expr("percentile(case when not own then referring_domains end, 0.5)").alias("median"))
     x = x.where("own_domains is not null").select("run_id", F.col("own_domains").alias("own"), "median")
     return _one(x, "links", F.when(F.col("own") < F.col("median"), "mid").otherwise("ok"), "measured_sample", "own", "median")
 
 
 def _anchored(b: Bound) -> DataFrame:
-    own = b.anchors.join(S.of_sites(b.sites.where("own")), ["run_id", "domain"])
+    own = b.once("own_anchors", lambda: S.at_sites(b.anchors, b.sites.where("own")))
     domain = F.col("domain")
     return own.withColumn("kind", A.anchor_class(F.col("anchor"), F.split(domain, r"\.")[0], domain))
 

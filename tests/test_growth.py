@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions import expr as E
 from sparkwright.functions import html as H
+from sparkwright.operators import serp as S
 from sparkwright.operators import terms as T
 from sparkwright.plans import registry
+from sparkwright.plans import rules as R
 from sparkwright.sources import bindings
 from sparkwright.sources.bindings import Bound
 from sparkwright.streaming import progress as G
@@ -149,3 +151,17 @@ def test_domains_in_normal_form(spark, domain):
     """As the pattern ``^www\\.`` has it."""
     df = spark.createDataFrame([(domain,)], "d string")
     assert df.select(E.norm_domain(F.col("d"))).first()[0] == (None if domain is None else re.sub(r"^www\.", "", domain.strip(" ").lower()))
+
+
+@pytest.mark.parametrize("frame", [lambda b: R._anchored(b).where("kind = 'keyword'"), lambda b: S.at_sites(b.backlinks, R._sites(b))])
+def test_links_elsewhere_go_before_they_are_counted(spark, data, frame):
+    """Only links to the wanted sites are judged and counted."""
+    plan = _plan(frame(Bound(spark, data)))
+    assert plan.count("LeftSemi") == 1
+    below = plan[plan.index("LeftSemi") :]
+    assert "l_suppkey" in below and "functions=[partial_count" not in below
+
+
+def test_pages_of_one_file_are_dealt_to_many_parsers(spark, data):
+    plan = _plan(H.page_features(Bound(spark, data).site_pages))
+    assert "Exchange" in plan[plan.index("MapInArrow") :]
